@@ -12,3 +12,13 @@ def op1_minhash_near_dedup(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
 ORACLE = {}
+
+
+def queries():
+    import corpus_pipeline
+
+    return {**QUERIES, "pipeline": corpus_pipeline.run}
+
+
+def oracle_sql():
+    return dict(ORACLE)
