@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from sparsewing.llm.common import table
+from pyspark.sql import functions as F
+
+from sparsewing.llm import chat, decontaminate, mixing, urlfilter, warc
+from sparsewing.llm.common import checkpoint, drop_path, shared_path, table
 from sparsewing.llm.minhash import near_duplicates
 
 
@@ -10,7 +13,35 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, num=80, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
+def op4_chat_formatting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.read_back(chat.format_chats(rows.unionByName(more))))
+
+
+def op6_url_filters(spark, sf_dir):
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_benchmark_decontamination(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op9_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_warc_index_merge(spark, sf_dir):
+    folder = shared_path(spark, "warc")
+    files = warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    index = checkpoint(warc.capture_index(warc.read_warc(files, folder)))
+    drop_path(spark, folder)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_chat_formatting, op6_url_filters, op8_benchmark_decontamination, op9_source_mixing, op10_warc_index_merge)}
 ORACLE = {}
 
 
