@@ -9,8 +9,9 @@ Method
      similarity of 0.8 a pair lies outside the radius with a chance of about 1 in 10,000; closer pairs far less often.
   3. Pairs are not enumerated inside a key. First each class meets only its keys' leaders; what that links becomes one
      component. Keys that then hold a single component are done. In the others each class meets its nearest partner of
-     another component, and last all pairs across components that are still within the radius. Keys with many rows are
-     cut into blocks of ``ROWS`` rows, and block pairs are dealt out as tasks of equal size.
+     another component, and last all pairs across components that are still within the radius. Classes that share a key
+     also have a wide signature of 512 bits, which leaves out pairs far below the threshold. Keys with many rows are
+     cut into blocks of ``ROWS`` rows, and block pairs are dealt out over buckets of equal size.
   4. Every link is confirmed on the full shingle sets with integers: den * |A n B| >= num * |A u B|.
 
 Components are found by ``graph.components`` and carry the smallest document id.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparsewing.llm.common import U64, blocks, checkpoint, drop_path, mix64, shared_path, words_of, write_table
+from sparsewing.llm.common import U64, blocks, checkpoint, mix64, words_of, write_table
 from sparsewing.llm.graph import components
 
 CHUNKS, WIDTH, RADIUS, ROWS = 8, 4, 15, 512
@@ -38,6 +39,10 @@ SYMBOLS = CHUNKS * WIDTH
 #: Beyond so many ids the texts to verify are found by a shuffled join instead of a broadcast one (8 bytes an id).
 BROADCAST_IDS = 2_000_000
 _MUL = mix64(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
+#: Bits of the wide signature, and the distance beyond which a pair is not looked at: at a similarity of 0.8 the distance is
+#: 51 with a deviation of 6.8.
+WIDE, WIDE_RADIUS = 512, 80
+_WIDE = mix64(np.arange(101, 101 + WIDE, dtype=U64) * U64(0xE7037ED1A0B428DB)) | U64(1)
 _MIX = mix64(np.arange(11, 75, dtype=U64)) | U64(1)
 
 
@@ -63,6 +68,11 @@ def shingles(batch, size: int):
             yield r, np.zeros(0, dtype=U64)
 
 
+def set_keys(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One hash for each set of hashes; sets are glued in ``h`` and begin at ``at``."""
+    return mix64(np.add.reduceat(mix64(h ^ U64(0x5DEECE66D)), at) + n.astype(U64))
+
+
 def _sketch(batches, size: int):
     for b in blocks(batches):
         sets = [x for _, x in shingles(b, size)]
@@ -75,7 +85,7 @@ def _sketch(batches, size: int):
             at = np.concatenate(([0], np.cumsum(n[full])[:-1]))
             for k in range(SYMBOLS):
                 sig[full, k] = (np.minimum.reduceat(h * _MUL[k], at) >> U64(20)).astype(np.uint16)
-            key[full] = mix64(np.add.reduceat(mix64(h ^ U64(0x5DEECE66D)), at) + n[full].astype(U64))
+            key[full] = set_keys(h, at, n[full])
         raw = sig.tobytes()
         step = SYMBOLS * 2
         yield pa.RecordBatch.from_arrays(
@@ -106,60 +116,98 @@ def _keys(frames):
                 yield pd.DataFrame({"key": mix64(k ^ (U64(c * WIDTH + wrong + 1) << U64(56))).view(np.int64), "node": f.node.to_numpy()})
 
 
-def _block_pairs(f: pd.DataFrame, nearest: bool) -> pd.DataFrame:
-    """Pairs of one task: rows of block ``x`` against rows of block ``y`` (or within x = y) from different components."""
-    f = f.sort_values(["blk", "node"])
-    lo, hi = f.lo.iloc[0], f.hi.iloc[0]
-    a, b = f[f.blk == lo], f[f.blk == hi]
-    sa, sb = _sigs(a.sig), _sigs(b.sig)
-    na, nb, ca, cb = a.node.to_numpy(), b.node.to_numpy(), a.lab.to_numpy(), b.lab.to_numpy()
-    za, zb = a.n.to_numpy(), b.n.to_numpy()
-    num, den = f.num.iloc[0], f.den.iloc[0]
-    out = []
-    for i in range(0, len(a), 64):
-        d = (sa[i : i + 64, None, :] != sb[None, :, :]).sum(axis=2, dtype=np.int16)
-        x, y = za[i : i + 64, None], zb[None, :]
-        ok = (d <= RADIUS) & (ca[i : i + 64, None] != cb[None, :]) & (np.minimum(x, y) * den >= np.maximum(x, y) * num)
-        if lo == hi:
-            ok &= na[i : i + 64, None] < nb[None, :]
-        if nearest:
-            d = np.where(ok, d, 99)
-            r = np.flatnonzero(d.min(axis=1) < 99)
-            y = d[r].argmin(axis=1)
-            out.append((na[i : i + 64][r], nb[y], d[r, y]))
-            c = np.flatnonzero(d.min(axis=0) < 99)
-            x = d[:, c].argmin(axis=0)
-            out.append((nb[c], na[i : i + 64][x], d[x, c]))
-        else:
-            r, c = np.nonzero(ok)
-            out.append((na[i : i + 64][r], nb[c], d[r, c]))
-    p, q, d = (np.concatenate(x) for x in zip(*out, strict=True))
-    r = pd.DataFrame({"u": p, "v": q, "d": d.astype(np.int32)})
+def _small(n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i < j) inside each of many small groups; ``at``: first rows, ``n``: rows."""
+    first = np.repeat(at, n * (n - 1) // 2)
+    k = np.arange(len(first)) - np.repeat(np.cumsum(n * (n - 1) // 2) - n * (n - 1) // 2, n * (n - 1) // 2)
+    j = ((1 + np.sqrt(8.0 * k + 1)) / 2).astype(np.int64)
+    j -= j * (j - 1) // 2 > k
+    return first + k - j * (j - 1) // 2, first + j
+
+
+def _near(a: np.ndarray, b: np.ndarray, sig, wide, n, lab, num: int, den: int):
+    """Which of the row pairs (a, b) lie within the radius and the wide signature's bound, and their wide distance."""
+    ok = (lab[a] != lab[b]) & (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num)
+    a, b = a[ok], b[ok]
+    d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int32)
+    ok = d <= WIDE_RADIUS
+    a, b, d = a[ok], b[ok], d[ok]
+    ok = (sig[a] != sig[b]).sum(axis=1) <= RADIUS
+    return a[ok], b[ok], d[ok]
+
+
+def _bucket_pairs(f: pd.DataFrame, nearest: bool, num: int, den: int) -> pd.DataFrame:
+    """Pairs of many keys dealt to one call; a large key comes as pairs of blocks (lo, hi)."""
+    f = f.sort_values(["key", "lo", "hi", "blk", "node"], ignore_index=True)
+    sig, node, lab, n = _sigs(f.sig), f.node.to_numpy(), f.lab.to_numpy(), f.n.to_numpy()
+    wide = np.frombuffer(b"".join(f.wide), dtype=U64).reshape(len(f), -1)
+    k = f[["key", "lo", "hi"]].to_numpy()
+    at = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1))))
+    rows = np.diff(np.concatenate((at, [len(f)])))
+    few = (rows <= 32) & (f.lo.to_numpy()[at] == f.hi.to_numpy()[at])
+    found = []
+    step = max(1, (1 << 18) // 512)
+    for i in range(0, int(few.sum()), step):
+        found.append(_near(*_small(rows[few][i : i + step], at[few][i : i + step]), sig, wide, n, lab, num, den))
+    for s, m in zip(at[~few].tolist(), rows[~few].tolist(), strict=True):
+        blk = f.blk.to_numpy()[s : s + m]
+        cut = s + int(np.searchsorted(blk, f.lo.iloc[s], side="right"))
+        same = f.lo.iloc[s] == f.hi.iloc[s]
+        for i in range(s, s + m if same else cut, 64):
+            rest = np.arange(i if same else cut, s + m)
+            x, y = np.repeat(np.arange(i, min(i + 64, s + m if same else cut)), len(rest)), np.tile(rest, min(64, (s + m if same else cut) - i))
+            if same:
+                x, y = x[x < y], y[x < y]
+            found.append(_near(x, y, sig, wide, n, lab, num, den))
+    a, b, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    u, v = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+    r = pd.DataFrame({"u": u, "v": v, "d": d.astype(np.int32)}).drop_duplicates(["u", "v"])
     if nearest:
-        return r.sort_values(["u", "d", "v"]).drop_duplicates("u")
-    return r.assign(u=r[["u", "v"]].min(axis=1), v=r[["u", "v"]].max(axis=1)).drop_duplicates(["u", "v"])
+        r = pd.concat([r, r.rename(columns={"u": "v", "v": "u"})]).sort_values(["u", "d", "v"]).drop_duplicates("u")
+    return r
 
 
 def _across(keys: DataFrame, classes: DataFrame, lab: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    """Pairs (u, v, d) within the radius that meet under a key and lie in different components."""
+    """Pairs (u, v) within the radius that meet under a key and lie in different components."""
     k = keys.join(lab, "node", "left").select("key", "node", F.coalesce("lab", "node").alias("lab"))
     mixed = k.groupBy("key").agg(F.min("lab").alias("a"), F.max("lab").alias("b"), F.count("*").alias("rows")).filter("a <> b").select("key", "rows")
-    # only components that differ matter; the hash of a node deals the rows of a large key over its blocks
-    k = k.join(mixed, "key").join(classes.select("node", "sig", F.col("n_shingles").alias("n")), "node")
-    nb = F.ceil(F.col("rows") / ROWS).cast("int")
-    k = k.withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    k = checkpoint(k.join(mixed, "key"))
+    n = max(1, int(k.count() // 20_000), int(k.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    k = k.join(classes.select("node", "sig", "wide", F.col("n_shingles").alias("n")), "node")
+    # the hash of a node deals the rows of a large key over its blocks
+    k = k.withColumn("nb", F.ceil(F.col("rows") / ROWS).cast("int")).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     k = k.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    k = k.select("key", "node", "lab", "sig", "n", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), F.lit(num).alias("num"), F.lit(den).alias("den"))
-    got = k.groupBy("key", "lo", "hi").applyInPandas(partial(_block_pairs, nearest=nearest), "u long, v long, d int")
+    k = k.select("key", "node", "lab", "sig", "wide", "n", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
+    k = k.withColumn("bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n)))
+    got = k.groupBy("bucket").applyInPandas(partial(_bucket_pairs, nearest=nearest, num=num, den=den), "u long, v long, d int")
     if nearest:
         got = got.groupBy("u").agg(F.min(F.struct("d", "v")).alias("x")).select(F.col("u"), F.col("x.v").alias("v"))
     return got.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
 
 
 def _sets(batches, size: int):
+    """The full set of each text and its wide signature: one bit of each of 512 minima."""
     for b in blocks(batches):
-        sets = [x.tobytes() for _, x in shingles(b, size)]
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), pa.array(sets, pa.binary())], names=["node", "items"])
+        sets = [x for _, x in shingles(b, size)]
+        # an id may stand on rows of different texts; only the named class's text counts
+        node = b.column(b.schema.get_field_index("node")).to_numpy()
+        full = [i for i, x in enumerate(sets) if len(x)]
+        if not full:
+            continue
+        n = np.array([len(sets[i]) for i in full])
+        h, at = np.concatenate([sets[i] for i in full]), np.concatenate(([0], np.cumsum(n)[:-1]))
+        right = set_keys(h, at, n).view(np.int64) == node[full]
+        sets = [sets[i] for i, r in zip(full, right, strict=True) if r]
+        if not sets:
+            continue
+        node = node[full][right]
+        h, at = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])[:-1]))
+        bits = np.zeros((len(sets), WIDE), dtype=np.uint8)
+        for k in range(WIDE):
+            bits[:, k] = (np.minimum.reduceat(h * _WIDE[k], at) >> U64(9)).astype(np.uint8) & 1
+        wide = np.packbits(bits, axis=1).tobytes()
+        step = WIDE // 8
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([wide[i * step : (i + 1) * step] for i in range(len(sets))], pa.binary())], names=["node", "items", "wide"])
 
 
 def _confirm(frames, num: int, den: int):
@@ -176,22 +224,17 @@ def _confirm(frames, num: int, den: int):
         yield f.loc[keep, ["u", "v"]]
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Pairs of nodes whose full shingle sets are similar enough. Only texts that a pair names are read into sets."""
-    spark = docs.sparkSession
-    pairs = checkpoint(pairs)
-    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", "rep"), "node")
-    named = checkpoint(named.select("node", F.col("rep").alias("doc_id")))
-    small = named.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(named) if small else named, "doc_id")
-    sets = texts.select("node", "text").mapInArrow(partial(_sets, size=size), "node long, items binary")
-    path = shared_path(spark, "sets")
-    sets.write.parquet(path)
-    sets = spark.read.schema("node long, items binary").parquet(path)
+def full_sets(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
+    """(node, items, wide) of the classes in ``named`` (node, doc_id); only their texts leave the scan."""
+    few = named.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(named) if few else named, "doc_id")
+    return write_table(texts.select("node", "text").mapInArrow(partial(_sets, size=size), "node long, items binary, wide binary"), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of nodes whose full shingle sets are similar enough."""
     full = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("items").alias("y")), "v")
-    links = checkpoint(full.select("u", "v", "x", "y").mapInPandas(partial(_confirm, num=num, den=den), "u long, v long"))
-    drop_path(spark, path)
-    return links.distinct()
+    return checkpoint(full.select("u", "v", "x", "y").mapInPandas(partial(_confirm, num=num, den=den), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -203,14 +246,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     many = keys.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("lead")).filter("rows > 1").select("key", "lead")
     shared = checkpoint(keys.join(many, "key").select("key", "node", "lead"))
     keys = shared.select("key", "node")
-    sigs = classes.select("node", "sig")
-    # leaders: each class meets the nearest of its keys' leaders
+    named = checkpoint(keys.groupBy("node").agg(F.lit(1).alias("one")).join(classes.select("node", F.col("rep").alias("doc_id")), "node").select("node", "doc_id"))
+    sets = full_sets(docs, named, size)
+    seen = checkpoint(classes.select("node", "sig", "n_shingles").join(sets.select("node", "wide"), "node"))
+    # leaders: each class meets the leader that most of its keys have
     first = shared.filter("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("hits"))
     first = first.groupBy("node").agg(F.max(F.struct("hits", "lead")).alias("x")).select(F.col("node").alias("u"), F.col("x.lead").alias("v"))
-    links = confirm(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), docs, classes, size, num, den)
+    links = confirm(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, num, den)
     for nearest in (True, False):
         lab = components(links).select("node", F.col("component").alias("lab"))
-        links = checkpoint(links.unionByName(confirm(_across(keys, classes, lab, num, den, nearest), docs, classes, size, num, den)))
+        links = checkpoint(links.unionByName(confirm(_across(keys, seen, lab, num, den, nearest), sets, num, den)))
     lab = components(links).select("node", F.col("component").alias("lab"))
     of = classes.select("node", "rep").join(lab, "node", "left").select("node", "rep", F.coalesce("lab", "node").alias("lab"))
     least = of.groupBy("lab").agg(F.min("rep").alias("component_id"))
