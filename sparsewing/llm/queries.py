@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparsewing.llm import chat, decontaminate, mixing, urlfilter, warc
-from sparsewing.llm.common import checkpoint, drop_path, shared_path, table
+from sparsewing.llm import chat, decontaminate, langid, mixing, pivots, suffixes, urlfilter, warc
+from sparsewing.llm.common import checkpoint, drop_path, held_out, shared_path, table
 from sparsewing.llm.minhash import near_duplicates
 
 
@@ -13,6 +13,13 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, num=80, den=100)
 
 
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(held_out(docs, 3, 1), F.lit(False)))
+    model = langid.train(docs.filter("not held_out and lang is not null").select("text", "lang"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "lang_set")
+
+
 def op4_chat_formatting(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -20,10 +27,19 @@ def op4_chat_formatting(spark, sf_dir):
     return chat.digests(chat.read_back(chat.format_chats(rows.unionByName(more))))
 
 
+def op5_suffix_array_dedup(spark, sf_dir):
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_url_filters(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_embedding_near_dedup(spark, sf_dir):
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op8_benchmark_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -41,7 +57,7 @@ def op10_warc_index_merge(spark, sf_dir):
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_chat_formatting, op6_url_filters, op8_benchmark_decontamination, op9_source_mixing, op10_warc_index_merge)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_language_id, op4_chat_formatting, op5_suffix_array_dedup, op6_url_filters, op7_embedding_near_dedup, op8_benchmark_decontamination, op9_source_mixing, op10_warc_index_merge)}
 ORACLE = {}
 
 

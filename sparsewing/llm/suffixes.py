@@ -56,7 +56,6 @@ def two_stage(text: bytes, depth: int) -> np.ndarray:
     cut = np.searchsorted(t[direct], np.arange(257))
     heads: list[list[np.ndarray]] = [[] for _ in range(256)]  # induced suffixes of each bucket, in order
     out = []
-    at = np.arange(n)
     for c in np.unique(t).tolist():
         own = direct[cut[c] : cut[c + 1]].tolist()
         own.sort(key=lambda i: text[i : i + depth])
@@ -69,7 +68,6 @@ def two_stage(text: bytes, depth: int) -> np.ndarray:
         _induce(own, t, small, heads)
         out.extend(first)
         out.append(own)
-    del at
     return np.concatenate(out)
 
 
@@ -224,9 +222,8 @@ def _cut(batches, length: int, stride: int):
                 d = w["off"] - k  # distance of the start to the anchor; ranges are aligned on it
                 block = d // stride
                 m = min(w["live"] - k, d - block * stride + 1)
-                core = p[k + (d - block * stride) : k + (d - block * stride) - stride + 1 + length] if stride > 1 else p[k : k + length]
-                full = w["off"] - block * stride  # the last start of the aligned range, whose first is stride - 1 before
-                core = p[full : full - stride + 1 + length]
+                last = w["off"] - block * stride  # the last start of the aligned range, whose first is stride - 1 before
+                core = p[last : last - stride + 1 + length]
                 key = int.from_bytes(hashlib.blake2b(core + block.to_bytes(4, "big", signed=True) + w["anchor"].to_bytes(8, "big", signed=True), digest_size=8).digest(), "big", signed=True)
                 rows.append({"rid": w["rid"], "at": w["at"] + k, "live": m, "anchor": key, "off": d, "rows": w["rows"], "hot": False, "piece": p[k : k + m + length - 1]})
                 k += m
@@ -240,11 +237,6 @@ def _sorted_buckets(open_: DataFrame, length: int) -> DataFrame:
     return open_.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n))).groupBy("bucket").applyInPandas(partial(_bucket, length=length), SPANS)
 
 
-def _folded(pieces: DataFrame) -> DataFrame:
-    """Equal pieces of one key become one row with their number; spans of the folded ones are found by their count."""
-    return pieces.withColumn("h", F.xxhash64("piece", "live"))
-
-
 def _open_cut(hot: DataFrame, length: int) -> DataFrame:
     """Spans from pieces of hot anchors: by ranges of starts, then by single strings where a range is hot again."""
     spans = None
