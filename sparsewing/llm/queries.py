@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparsewing.llm import chat, decontaminate, langid, mixing, pivots, suffixes, urlfilter, warc
+from sparsewing.llm import chat, decontaminate, langid, lm, mixing, pivots, suffixes, urlfilter, warc
 from sparsewing.llm.common import checkpoint, drop_path, held_out, shared_path, table
 from sparsewing.llm.minhash import near_duplicates
 
@@ -13,6 +13,11 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, num=80, den=100)
 
 
+def op2_lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_texts(docs.withColumn("train", ~F.coalesce(held_out(docs, 7, 2), F.lit(False))))
+
+
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", F.coalesce(held_out(docs, 3, 1), F.lit(False)))
@@ -57,7 +62,7 @@ def op10_warc_index_merge(spark, sf_dir):
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_language_id, op4_chat_formatting, op5_suffix_array_dedup, op6_url_filters, op7_embedding_near_dedup, op8_benchmark_decontamination, op9_source_mixing, op10_warc_index_merge)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_lm_scoring, op3_language_id, op4_chat_formatting, op5_suffix_array_dedup, op6_url_filters, op7_embedding_near_dedup, op8_benchmark_decontamination, op9_source_mixing, op10_warc_index_merge)}
 ORACLE = {}
 
 
