@@ -1,27 +1,64 @@
-"""The stages of the corpus pipeline; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""The stages of the corpus pipeline.
+
+Each takes (spark, docs, sf_dir), where ``docs`` is all that the stage before has kept, and returns a DataFrame; all but the
+last return the columns of ``documents``. Ids name documents, so they should be unique; a null id is kept wherever a stage
+decides by id. Ids of dropped documents are broadcast up to ``FEW`` of them and joined by a shuffle beyond.
+"""
 
 from __future__ import annotations
 
-from sparsewing.llm.common import table
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparsewing.llm import decontaminate, langid, mixing, suffixes
+from sparsewing.llm.common import checkpoint, held_out, table, write_table
 from sparsewing.llm.minhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+FEW = 2_000_000
 
 
-def minhash_dedup(spark, docs, sf_dir):
-    gone = near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = checkpoint(gone)
+    return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, "doc_id", "left_anti").select(COLUMNS)
 
 
-STAGES = [("minhash_near_dedup", minhash_dedup)]
+def language_id(spark, docs, sf_dir):
+    """Drops documents without a letter and those in which no language holds half of the words."""
+    train = docs.filter(~F.coalesce(held_out(docs, 3, 1), F.lit(False)) & F.col("lang").isNotNull())
+    model = langid.train(train.select("text", "lang"))
+    return langid.identify(docs.select(COLUMNS), model).filter("lang_pred <> 'und' and score >= 0.5").select(COLUMNS)
 
 
-def run(spark, sf_dir):
-    from sparsewing.llm.common import write_table
+def minhash_near_dedup(spark, docs, sf_dir):
+    """Keeps one document of each component of near-duplicates (five words, similarity 0.8): the one with the smallest id."""
+    return _without(docs, near_duplicates(docs).filter("not kept").select("doc_id"))
+
+
+def suffix_array_dedup(spark, docs, sf_dir):
+    """Cuts every repeated passage out of the texts; documents stay, with what is left of them."""
+    out = suffixes.remove_repeats(docs.select(COLUMNS))
+    return out.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(COLUMNS)
+
+
+def benchmark_decontamination(spark, docs, sf_dir):
+    """Drops contaminated documents."""
+    found = decontaminate.judged(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
+    return _without(docs, found.filter("contaminated and doc_id is not null").select("doc_id"))
 
+
+def source_mixing(spark, docs, sf_dir):
+    """The documents that the mix takes, with the words taken of each."""
+    got = mixing.mix(docs.select(COLUMNS)).filter("taken > 0 and doc_id is not null").dropDuplicates(["doc_id"])
+    got = checkpoint(got)
+    return docs.select(COLUMNS).join(F.broadcast(got) if got.count() <= FEW else got, "doc_id")
+
+
+STAGES = [(f.__name__, f) for f in (language_id, minhash_near_dedup, suffix_array_dedup, benchmark_decontamination, source_mixing)]
+
+
+def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = write_table(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
