@@ -1,9 +1,10 @@
-"""Connected components by minimum labels, with pointer jumping, as DataFrame joins and aggregations only.
+"""Connected components by contraction, as DataFrame joins and aggregations only.
 
-Every round joins the edges with the labels of their ends and lowers each label to the smallest one seen, both at the
-node itself and at the node that its label names (hooking), and then replaces each label by its label's label. Long
-chains halve, so rounds grow with the logarithm of the diameter. Minima are combined before each shuffle, so a node with a
-third of all edges costs no task more than its share; labels are cut off from their history by a reliable checkpoint.
+In each round every node moves to the smallest of itself and its neighbours, edges are carried over to the new ends, and
+loops and repeats drop out. Nodes compare by a hash first, so on chains and trees of any numbering about half of them or
+more vanish in a round, and the rounds grow with the logarithm of the size. Minima are combined before each shuffle, so
+a node with a third of all edges costs no task more than its share; both tables of a round are cut off from their history by
+a reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -14,21 +15,27 @@ from pyspark.sql import functions as F
 from sparsewing.llm.common import checkpoint
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", most: int = 60) -> DataFrame:
+def _pairs(e: DataFrame) -> DataFrame:
+    e = e.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return checkpoint(e.groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v"))
+
+
+def components(edges: DataFrame, u: str = "u", v: str = "v", hashed: bool = False) -> DataFrame:
     """``edges``: pairs of comparable ids; direction, repeats and loops do not matter, rows with a null end are left out.
-    Returns (node, component): the smallest id that each node with an edge reaches. No edges: no rows."""
-    e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u is not null and v is not null and u <> v")
-    e = e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
-    e = checkpoint(e)
-    lab = checkpoint(e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("u").alias("lab")), F.struct(F.col("v").alias("node"), F.col("u").alias("lab")))).alias("x")).groupBy("x.node").agg(F.least(F.min("x.lab"), F.col("node")).alias("lab")))
-    for _ in range(most):
-        a, b = lab.select(F.col("node").alias("u"), F.col("lab").alias("lu")), lab.select(F.col("node").alias("v"), F.col("lab").alias("lv"))
-        x = e.join(a, "u").join(b, "v").filter("lu <> lv").select("u", "v", "lu", "lv", F.least("lu", "lv").alias("m"))
-        seen = x.select(F.explode(F.array(*[F.struct(F.col(c).alias("node"), F.col("m")) for c in ("u", "v", "lu", "lv")])).alias("x")).groupBy("x.node").agg(F.min("x.m").alias("m"))
-        low = lab.join(seen, "node", "left").select("node", F.col("lab").alias("old"), F.least("lab", "m").alias("lab"))
-        up = low.select(F.col("node").alias("lab"), F.col("lab").alias("up"))
-        low = checkpoint(low.join(up, "lab", "left").select("node", "old", F.least("lab", "up").alias("lab")))
-        lab = low.select("node", "lab")
-        if low.filter("old <> lab").limit(1).isEmpty():
+    Returns (node, component): the smallest id that each node with an edge reaches. ``hashed`` says that the ids are
+    hashes already. No edges: no rows."""
+    tag = (lambda c: F.col(c)) if hashed else (lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id")))
+    e = edges.filter(F.col(u).isNotNull() & F.col(v).isNotNull()).select(tag(u).alias("u"), tag(v).alias("v"))
+    e, at = _pairs(e), None
+    while True:
+        ends = F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b"))))
+        m = checkpoint(e.select(ends.alias("x")).groupBy("x.a").agg(F.min("x.b").alias("b")).select("a", F.least("a", "b").alias("b")))
+        at = m.select(F.col("a").alias("node"), F.col("b").alias("at")) if at is None else at.join(m, F.col("at") == F.col("a"), "left").select("node", F.coalesce("b", "at").alias("at"))
+        e = _pairs(e.join(m.select(F.col("a").alias("u"), F.col("b").alias("x")), "u").join(m.select(F.col("a").alias("v"), F.col("b").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v")))
+        if e.isEmpty():
             break
-    return lab.select("node", F.col("lab").alias("component"))
+    if hashed:
+        return at.select("node", F.col("at").alias("component"))
+    at = checkpoint(at.select("node.id", "at"))
+    least = at.groupBy("at").agg(F.min("id").alias("component"))
+    return at.join(least, "at").select(F.col("id").alias("node"), "component")

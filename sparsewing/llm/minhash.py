@@ -10,7 +10,7 @@ Method
   3. Pairs are not enumerated inside a key. First each class meets only its keys' leaders; what that links becomes one
      component. Keys that then hold a single component are done. In the others each class meets its nearest partner of
      another component, and last all pairs across components that are still within the radius. Classes that share a key
-     also have a wide signature of 512 bits, which leaves out pairs far below the threshold. Keys with many rows are
+     also have a wide signature of 2048 bits, which leaves out pairs far below the threshold. Keys with many rows are
      cut into blocks of ``ROWS`` rows, and block pairs are dealt out over buckets of equal size.
   4. Every link is confirmed on the full shingle sets with integers: den * |A n B| >= num * |A u B|.
 
@@ -40,8 +40,8 @@ SYMBOLS = CHUNKS * WIDTH
 BROADCAST_IDS = 2_000_000
 _MUL = mix64(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
 #: Bits of the wide signature, and the distance beyond which a pair is not looked at: at a similarity of 0.8 the distance is
-#: 51 with a deviation of 6.8.
-WIDE, WIDE_RADIUS = 512, 80
+#: 205 with a deviation of 13.6.
+WIDE, WIDE_RADIUS = 2048, 262
 _WIDE = mix64(np.arange(101, 101 + WIDE, dtype=U64) * U64(0xE7037ED1A0B428DB)) | U64(1)
 _MIX = mix64(np.arange(11, 75, dtype=U64)) | U64(1)
 
@@ -113,7 +113,7 @@ def _keys(frames):
                 for i in range(WIDTH):
                     if i != wrong:
                         k = k * U64(1 << 16) + s[:, c, i] + U64(1)
-                yield pd.DataFrame({"key": mix64(k ^ (U64(c * WIDTH + wrong + 1) << U64(56))).view(np.int64), "node": f.node.to_numpy()})
+                yield pd.DataFrame({"key": mix64(k ^ (U64(c * WIDTH + wrong + 1) << U64(56))).view(np.int64), "kix": c * WIDTH + wrong, "node": f.node.to_numpy()})
 
 
 def _small(n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,30 +125,37 @@ def _small(n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first + k - j * (j - 1) // 2, first + j
 
 
-def _near(a: np.ndarray, b: np.ndarray, sig, wide, n, lab, num: int, den: int):
-    """Which of the row pairs (a, b) lie within the radius and the wide signature's bound, and their wide distance."""
+def _near(a: np.ndarray, b: np.ndarray, sig, wide, n, lab, kix, num: int, den: int):
+    """Which of the row pairs (a, b) lie within the radius and the wide signature's bound, and their wide distance. A pair
+    that meets under several keys counts under the first of them only."""
     ok = (lab[a] != lab[b]) & (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num)
     a, b = a[ok], b[ok]
+    off = sig[a] != sig[b]
+    ok = off.sum(axis=1) <= RADIUS
+    a, b, off = a[ok], b[ok], off[ok].reshape(-1, CHUNKS, WIDTH)
+    wrong = off.sum(axis=2)
+    chunk = (wrong <= 1).argmax(axis=1)
+    row = np.arange(len(a))
+    ok = kix[a] == chunk * WIDTH + off[row, chunk].argmax(axis=1)
+    a, b = a[ok], b[ok]
     d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int32)
     ok = d <= WIDE_RADIUS
-    a, b, d = a[ok], b[ok], d[ok]
-    ok = (sig[a] != sig[b]).sum(axis=1) <= RADIUS
     return a[ok], b[ok], d[ok]
 
 
 def _bucket_pairs(f: pd.DataFrame, nearest: bool, num: int, den: int) -> pd.DataFrame:
     """Pairs of many keys dealt to one call; a large key comes as pairs of blocks (lo, hi)."""
     f = f.sort_values(["key", "lo", "hi", "blk", "node"], ignore_index=True)
-    sig, node, lab, n = _sigs(f.sig), f.node.to_numpy(), f.lab.to_numpy(), f.n.to_numpy()
+    sig, node, lab, n, kix = _sigs(f.sig), f.node.to_numpy(), f.lab.to_numpy(), f.n.to_numpy(), f.kix.to_numpy()
     wide = np.frombuffer(b"".join(f.wide), dtype=U64).reshape(len(f), -1)
     k = f[["key", "lo", "hi"]].to_numpy()
     at = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1))))
     rows = np.diff(np.concatenate((at, [len(f)])))
     few = (rows <= 32) & (f.lo.to_numpy()[at] == f.hi.to_numpy()[at])
     found = []
-    step = max(1, (1 << 18) // 512)
+    step = 256
     for i in range(0, int(few.sum()), step):
-        found.append(_near(*_small(rows[few][i : i + step], at[few][i : i + step]), sig, wide, n, lab, num, den))
+        found.append(_near(*_small(rows[few][i : i + step], at[few][i : i + step]), sig, wide, n, lab, kix, num, den))
     for s, m in zip(at[~few].tolist(), rows[~few].tolist(), strict=True):
         blk = f.blk.to_numpy()[s : s + m]
         cut = s + int(np.searchsorted(blk, f.lo.iloc[s], side="right"))
@@ -158,7 +165,7 @@ def _bucket_pairs(f: pd.DataFrame, nearest: bool, num: int, den: int) -> pd.Data
             x, y = np.repeat(np.arange(i, min(i + 64, s + m if same else cut)), len(rest)), np.tile(rest, min(64, (s + m if same else cut) - i))
             if same:
                 x, y = x[x < y], y[x < y]
-            found.append(_near(x, y, sig, wide, n, lab, num, den))
+            found.append(_near(x, y, sig, wide, n, lab, kix, num, den))
     a, b, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
     u, v = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
     r = pd.DataFrame({"u": u, "v": v, "d": d.astype(np.int32)}).drop_duplicates(["u", "v"])
@@ -169,7 +176,7 @@ def _bucket_pairs(f: pd.DataFrame, nearest: bool, num: int, den: int) -> pd.Data
 
 def _across(keys: DataFrame, classes: DataFrame, lab: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
     """Pairs (u, v) within the radius that meet under a key and lie in different components."""
-    k = keys.join(lab, "node", "left").select("key", "node", F.coalesce("lab", "node").alias("lab"))
+    k = keys.join(lab, "node", "left").select("key", "kix", "node", F.coalesce("lab", "node").alias("lab"))
     mixed = k.groupBy("key").agg(F.min("lab").alias("a"), F.max("lab").alias("b"), F.count("*").alias("rows")).filter("a <> b").select("key", "rows")
     k = checkpoint(k.join(mixed, "key"))
     n = max(1, int(k.count() // 20_000), int(k.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -177,7 +184,7 @@ def _across(keys: DataFrame, classes: DataFrame, lab: DataFrame, num: int, den:
     # the hash of a node deals the rows of a large key over its blocks
     k = k.withColumn("nb", F.ceil(F.col("rows") / ROWS).cast("int")).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     k = k.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    k = k.select("key", "node", "lab", "sig", "wide", "n", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
+    k = k.select("key", "kix", "node", "lab", "sig", "wide", "n", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
     k = k.withColumn("bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n)))
     got = k.groupBy("bucket").applyInPandas(partial(_bucket_pairs, nearest=nearest, num=num, den=den), "u long, v long, d int")
     if nearest:
@@ -186,7 +193,7 @@ def _across(keys: DataFrame, classes: DataFrame, lab: DataFrame, num: int, den:
 
 
 def _sets(batches, size: int):
-    """The full set of each text and its wide signature: one bit of each of 512 minima."""
+    """The full set of each text and its wide signature: one bit of each of ``WIDE`` minima."""
     for b in blocks(batches):
         sets = [x for _, x in shingles(b, size)]
         # an id may stand on rows of different texts; only the named class's text counts
@@ -242,10 +249,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     rows = write_table(sketch(docs, size), "sketch")
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
     classes = checkpoint(classes)
-    keys = classes.select("node", "sig").mapInPandas(_keys, "key long, node long")
+    keys = classes.select("node", "sig").mapInPandas(_keys, "key long, kix int, node long")
     many = keys.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("lead")).filter("rows > 1").select("key", "lead")
-    shared = checkpoint(keys.join(many, "key").select("key", "node", "lead"))
-    keys = shared.select("key", "node")
+    shared = checkpoint(keys.join(many, "key").select("key", "kix", "node", "lead"))
+    keys = shared.select("key", "kix", "node")
     named = checkpoint(keys.groupBy("node").agg(F.lit(1).alias("one")).join(classes.select("node", F.col("rep").alias("doc_id")), "node").select("node", "doc_id"))
     sets = full_sets(docs, named, size)
     seen = checkpoint(classes.select("node", "sig", "n_shingles").join(sets.select("node", "wide"), "node"))
@@ -254,9 +261,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     first = first.groupBy("node").agg(F.max(F.struct("hits", "lead")).alias("x")).select(F.col("node").alias("u"), F.col("x.lead").alias("v"))
     links = confirm(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, num, den)
     for nearest in (True, False):
-        lab = components(links).select("node", F.col("component").alias("lab"))
+        lab = components(links, hashed=True).select("node", F.col("component").alias("lab"))
         links = checkpoint(links.unionByName(confirm(_across(keys, seen, lab, num, den, nearest), sets, num, den)))
-    lab = components(links).select("node", F.col("component").alias("lab"))
+    lab = components(links, hashed=True).select("node", F.col("component").alias("lab"))
     of = classes.select("node", "rep").join(lab, "node", "left").select("node", "rep", F.coalesce("lab", "node").alias("lab"))
     least = of.groupBy("lab").agg(F.min("rep").alias("component_id"))
     of = of.join(least, "lab").select("node", "component_id")

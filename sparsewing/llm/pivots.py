@@ -136,7 +136,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     k = k.withColumn("bucket", F.pmod(F.xxhash64("label", "d", "a", "b", "lo", "hi"), F.lit(buckets))).drop("nb", "o", "m")
     found = checkpoint(k.groupBy("bucket").applyInPandas(partial(_judge, threshold=threshold), "cid long, links long, root long"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    comp = components(found, "cid", "root").select(F.col("node").alias("cid"), F.col("component").alias("lab"))
+    comp = components(found, "cid", "root", hashed=True).select(F.col("node").alias("cid"), F.col("component").alias("lab"))
     of = classes.select("cid", "rep", "rows").join(comp, "cid", "left").withColumn("lab", F.coalesce("lab", "cid"))
     least = of.groupBy("lab").agg(F.min("rep").alias("component_id"))
     of = of.join(least, "lab").join(links, "cid", "left").select("cid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
