@@ -46,9 +46,9 @@ def type_parser(spark, d):
     return s.select(F.col("s_suppkey").alias("id"), kind.alias("kind"), vectors.type_to_dim(F.replace("s_name", F.lit("#"), F.lit("_"))).alias("dim"))
 
 
-@query(sql("resp", "SELECT item, dim, round(v, 6) AS v FROM resp"))
+@query(sql("resp", "SELECT item, dim, round(v, 9) AS v FROM resp"))
 def response_matrix(spark, d):
-    return tables.responses(spark, d).withColumn("v", F.round("v", 6))
+    return tables.responses(spark, d).withColumn("v", F.round("v", 9))
 
 
 @query(sql("resp", "SELECT dim, count(*) AS measured, round(avg(CASE WHEN v > 50 THEN 1.0 ELSE 0.0 END), 9) AS breadth FROM resp GROUP BY dim"))
@@ -68,10 +68,10 @@ def _covered(spark, d, items_at_least: int, dims_at_least: int):
 _COVERED = "a AS (SELECT * FROM resp WHERE v IS NOT NULL), b AS (SELECT * FROM a WHERE dim IN (SELECT dim FROM a GROUP BY dim HAVING count(*) >= 60)), cov AS (SELECT * FROM b WHERE item IN (SELECT item FROM b GROUP BY item HAVING count(*) >= 20))"
 
 
-@query(sql("resp", "SELECT item, dim, round(v, 6) AS v FROM cov").replace(" SELECT item, dim, round", f", {_COVERED} SELECT item, dim, round"))
+@query(sql("resp", "SELECT item, dim, round(v, 9) AS v FROM cov").replace(" SELECT item, dim, round", f", {_COVERED} SELECT item, dim, round"))
 def coverage_filter(spark, d):
     """First dimensions with enough items, then items with enough of the dimensions that are left."""
-    return _covered(spark, d, 60, 20).withColumn("v", F.round("v", 6))
+    return _covered(spark, d, 60, 20).withColumn("v", F.round("v", 9))
 
 
 def _grid(r):
@@ -81,27 +81,27 @@ def _grid(r):
 
 
 def _impute_sql(value: str) -> str:
-    body = f"SELECT item, dim, round({value}, 6) AS v FROM (SELECT item, dim, v, avg(v) OVER (PARTITION BY dim) AS cm, avg(v) OVER (PARTITION BY item) AS rm FROM (SELECT DISTINCT item FROM cov) CROSS JOIN (SELECT DISTINCT dim FROM cov) LEFT JOIN cov USING (item, dim))"
+    body = f"SELECT item, dim, round({value}, 9) AS v FROM (SELECT item, dim, v, avg(v) OVER (PARTITION BY dim) AS cm, avg(v) OVER (PARTITION BY item) AS rm FROM (SELECT DISTINCT item FROM cov) CROSS JOIN (SELECT DISTINCT dim FROM cov) LEFT JOIN cov USING (item, dim))"
     return sql("resp", body).replace(f" {body}", f", {_COVERED} {body}")
 
 
 @query(_impute_sql("coalesce(v, 0)"))
 def impute_zero(spark, d):
-    return _grid(_covered(spark, d, 60, 20)).withColumn("v", F.round(F.coalesce("v", F.lit(0.0)), 6))
+    return _grid(_covered(spark, d, 60, 20)).withColumn("v", F.round(F.coalesce("v", F.lit(0.0)), 9))
 
 
 @query(_impute_sql("coalesce(v, cm, 0)"))
 def impute_col_mean(spark, d):
     g = _grid(_covered(spark, d, 60, 20))
     m = g.groupBy("dim").agg(F.avg("v").alias("m"))
-    return g.join(m, "dim").select("item", "dim", F.round(F.coalesce("v", "m", F.lit(0.0)), 6).alias("v"))
+    return g.join(m, "dim").select("item", "dim", F.round(F.coalesce("v", "m", F.lit(0.0)), 9).alias("v"))
 
 
 @query(_impute_sql("coalesce(v, rm, 0)"))
 def impute_row_mean(spark, d):
     g = _grid(_covered(spark, d, 60, 20))
     m = g.groupBy("item").agg(F.avg("v").alias("m"))
-    return g.join(m, "item").select("item", "dim", F.round(F.coalesce("v", "m", F.lit(0.0)), 6).alias("v"))
+    return g.join(m, "item").select("item", "dim", F.round(F.coalesce("v", "m", F.lit(0.0)), 9).alias("v"))
 
 
 @query()
