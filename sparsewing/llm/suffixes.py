@@ -304,19 +304,22 @@ def _keep(batches):
                 at = s["e"]
             kept.append(b"".join([*parts, x[at:]]))
             gone.append(len(x) - len(kept[-1]))
-        names = [n for n in b.schema.names if n not in ("text", "spans", "rid")]
-        cols = [b.column(b.schema.get_field_index(n)) for n in names]
         spans = b.column(b.schema.get_field_index("spans"))
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(o), pa.int64()), pa.array(gone, pa.int64()), pa.array([len(s or ()) for s in spans.to_pylist()], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("row")), pa.array(np.diff(o), pa.int64()), pa.array(gone, pa.int64()), pa.array([len(s or ()) for s in spans.to_pylist()], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())], names=["row", *MADE])
+
+
+MADE = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """All columns of ``docs`` but ``text``, with n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and
-    kept_text (the remaining bytes as text; a character that a span cuts goes as a whole)."""
-    docs = docs.withColumn("rid", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text"))
-    spans = repeated_spans(docs.select("rid", "text"), length)
+    kept_text (the remaining bytes as text; a character that a span cuts goes as a whole). Columns that have one of these
+    names already are replaced."""
+    rid = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "text")
+    others = [f for f in docs.schema.fields if f.name not in ("text", *MADE)]
+    rows = docs.select(rid.alias("rid"), "text", F.struct(*[F.col(f"`{f.name}`") for f in others]).alias("row"))
+    spans = repeated_spans(rows.select("rid", "text"), length)
     n = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    out = docs.join(F.broadcast(spans) if n <= BROADCAST else spans, "rid", "left")
-    extra = [f for f in docs.schema.fields if f.name not in ("text", "rid")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"])
-    return out.select("rid", "text", "spans", *[f"`{f.name}`" for f in extra]).mapInArrow(_keep, schema)
+    out = rows.join(F.broadcast(spans) if n <= BROADCAST else spans, "rid", "left").select("text", "spans", "row")
+    out = out.mapInArrow(_keep, f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return out.select("row.*", *MADE)
