@@ -63,7 +63,7 @@ def op10_warc_index_merge(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_lm_scoring, op3_language_id, op4_chat_formatting, op5_suffix_array_dedup, op6_url_filters, op7_embedding_near_dedup, op8_benchmark_decontamination, op9_source_mixing, op10_warc_index_merge)}
-ORACLE = {}
+
 
 
 def queries():
@@ -73,4 +73,6 @@ def queries():
 
 
 def oracle_sql():
+    from sparsewing.llm.oracles import ORACLE
+
     return dict(ORACLE)
