@@ -39,15 +39,15 @@ def curve(valued: DataFrame, width: float) -> DataFrame:
 
 def theta_half(bins: DataFrame, least: int = 1, level: float = 0.5) -> DataFrame:
     """First downward crossing of the level between neighbouring retained bins, by linear interpolation; how many crossings;
-    and a status: ok, no_bins, below_range (never above), above_range (never below)."""
+    and a status: ok, no_bins, below_range (the first bin is below already), above_range (never below)."""
     b = bins.filter(F.col("pairs") >= least)
     w = Window.orderBy("mean_angle")
     n = b.withColumns({"na": F.lead("mean_angle").over(w), "nv": F.lead("mean_value").over(w)})
-    down = (F.col("mean_value") > level) & (F.col("nv") <= level)
+    down = (F.col("mean_value") >= level) & (F.col("nv") < level)
     at = F.col("mean_angle") + (F.col("mean_value") - level) / (F.col("mean_value") - F.col("nv")) * (F.col("na") - F.col("mean_angle"))
-    g = n.agg(F.count("*").alias("n"), F.count_if(down).alias("crossings"), F.min_by(F.when(down, at), F.when(down, F.col("mean_angle"))).alias("theta"), F.max("mean_value").alias("top"))
-    status = F.when(F.col("n") == 0, "no_bins").when(F.col("crossings") > 0, "ok").when(F.col("top") <= level, "below_range").otherwise("above_range")
-    return g.select(F.round("theta", 6).alias("theta"), "crossings", status.alias("status"))
+    g = n.agg(F.count("*").alias("n"), F.count_if(down).alias("crossings"), F.min_by(F.when(down, at), F.when(down, F.col("mean_angle"))).alias("theta"), F.min_by("mean_value", "mean_angle").alias("first"))
+    status = F.when(F.col("n") == 0, "no_bins").when(F.col("first") < level, "below_range").when(F.col("crossings") > 0, "ok").otherwise("above_range")
+    return g.select(status.alias("status"), "crossings", "theta").withColumn("theta", F.when(F.col("status") == "ok", F.round("theta", 6)))
 
 
 def fit_c(points: DataFrame) -> DataFrame:

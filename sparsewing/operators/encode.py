@@ -91,13 +91,14 @@ def scale_tag(items: DataFrame, train: DataFrame, col: str = "q") -> DataFrame:
     return v.crossJoin(F.broadcast(lim)).select("item_id", F.bround(share * 255).cast("bigint").alias("tag"))  # one row
 
 
-def value_tags(y: DataFrame, k: int, bits: int, seed: int = 1) -> DataFrame:
-    """Winners with a level of ``bits`` bits between the item's least and largest drive, and its reconstruction."""
-    w = Window.partitionBy("item_id")
-    r = y.withColumns({"lo": F.min("y").over(w), "hi": F.max("y").over(w)})
+def value_tags(code: DataFrame, bits: int) -> DataFrame:
+    """Winners with a level of ``bits`` bits on the range of all winners' drives, and the middle of the level; on an empty
+    range the level is 0 and the value itself is kept."""
+    lim = code.agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    r = code.crossJoin(F.broadcast(lim))  # one row
     step = (F.col("hi") - F.col("lo")).cast("double") / (1 << bits)
     lev = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("y") - F.col("lo")) / step), F.lit((1 << bits) - 1))).otherwise(0)
-    r = winners(r, k, "random", seed).withColumn("lev", lev.cast("bigint"))
+    r = r.withColumn("lev", lev.cast("bigint"))
     return r.withColumn("rec", F.when(F.col("hi") > F.col("lo"), F.col("lo") + (F.col("lev") + 0.5) * step).otherwise(F.col("lo").cast("double"))).select("item_id", "cell", "rnk", "y", "lev", "rec")
 
 

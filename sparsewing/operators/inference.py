@@ -45,7 +45,7 @@ def shift_power(null: DataFrame, keys: list[str], shifts: list[float], alpha: fl
 
 def smallest_shift(power: DataFrame, keys: list[str], level: float = 0.8) -> DataFrame:
     x = power.filter(F.col("power") >= level)
-    return x.groupBy(*keys).agg(F.min(F.when(F.col("shift") > 0, F.col("shift"))).alias("up"), F.max(F.when(F.col("shift") < 0, F.col("shift"))).alias("down"))
+    return x.groupBy(*keys).agg(F.min(F.when(F.col("shift") > 0, F.col("shift"))).alias("up"), F.max(F.when(F.col("shift") < 0, F.col("shift"))).alias("down"), F.min_by("shift", F.struct(F.abs("shift"), "shift")).alias("smallest"))
 
 
 def resamples(spark, draws: int, n: int, seed: int) -> DataFrame:

@@ -190,12 +190,12 @@ def probe_bins(spark, d):
     return e.probe_bins(driven(spark, d), M, 8)
 
 
-_VT = f"SELECT item_id, cell, rnk, CAST(CASE WHEN hi > lo THEN least(floor((y - lo) / ((hi - lo) / 16.0)), 15) ELSE 0 END AS BIGINT) AS lev, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY y DESC, md5('prio:1:' || cell), cell) AS rnk, min(y) OVER (PARTITION BY item_id) AS lo, max(y) OVER (PARTITION BY item_id) AS hi FROM drive) WHERE rnk <= {K}"
+_VT = "SELECT item_id, cell, rnk, lev, CASE WHEN hi > lo THEN lo + (lev + 0.5) * ((hi - lo) / 16.0) ELSE lo END AS rec FROM (SELECT item_id, cell, rnk, lo, hi, CAST(CASE WHEN hi > lo THEN least(floor((y - lo) / ((hi - lo) / 16.0)), 15) ELSE 0 END AS BIGINT) AS lev FROM code, (SELECT min(y) AS lo, max(y) AS hi FROM code))"
 
 
-@query(sql("drive", f"SELECT item_id, cell, rnk, lev, round(CASE WHEN hi > lo THEN lo + (lev + 0.5) * ((hi - lo) / 16.0) ELSE lo END, 3) AS rec FROM ({_VT})"))
+@query(sql("code", f"SELECT item_id, cell, rnk, lev, round(rec, 3) AS rec FROM ({_VT})"))
 def value_tag(spark, d):
-    return e.value_tags(driven(spark, d), K, 4).select("item_id", "cell", "rnk", "lev", F.round("rec", 3).alias("rec"))
+    return e.value_tags(coded(spark, d), 4).select("item_id", "cell", "rnk", "lev", F.round("rec", 3).alias("rec"))
 
 
 @query(f"SELECT cell FROM range({M}) t(cell) ORDER BY md5('rand:12:' || cell), cell LIMIT {K}")

@@ -55,7 +55,7 @@ def bin_curve(spark, d):
     return _bins(spark, d)
 
 
-_HALF = "SELECT round(arg_min(x, mean_angle) FILTER (down), 6) AS theta, count(*) FILTER (down) AS crossings, CASE WHEN count(*) = 0 THEN 'no_bins' WHEN count(*) FILTER (down) > 0 THEN 'ok' WHEN max(mean_value) <= 0.04 THEN 'below_range' ELSE 'above_range' END AS status FROM (SELECT *, mean_value > 0.04 AND nv <= 0.04 AS down, mean_angle + (mean_value - 0.04) / (mean_value - nv) * (na - mean_angle) AS x FROM (SELECT *, lead(mean_angle) OVER (ORDER BY mean_angle) AS na, lead(mean_value) OVER (ORDER BY mean_angle) AS nv FROM ({}) WHERE pairs >= 5))"
+_HALF = "SELECT CASE WHEN arg_min(mean_value, mean_angle) >= 0.04 THEN round(arg_min(x, mean_angle) FILTER (down), 6) END AS theta, count(*) FILTER (down) AS crossings, CASE WHEN count(*) = 0 THEN 'no_bins' WHEN arg_min(mean_value, mean_angle) < 0.04 THEN 'below_range' WHEN count(*) FILTER (down) > 0 THEN 'ok' ELSE 'above_range' END AS status FROM (SELECT *, mean_value >= 0.04 AND nv < 0.04 AS down, mean_angle + (mean_value - 0.04) / (mean_value - nv) * (na - mean_angle) AS x FROM (SELECT *, lead(mean_angle) OVER (ORDER BY mean_angle) AS na, lead(mean_value) OVER (ORDER BY mean_angle) AS nv FROM ({}) WHERE pairs >= 5))"
 
 
 @query(sql("true items code", _HALF.format(_CURVE)))

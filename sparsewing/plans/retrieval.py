@@ -8,7 +8,7 @@ from sparsewing.catalog import query
 from sparsewing.functions import numbers
 from sparsewing.operators import encode as e, knn, metrics
 from sparsewing.plans.codes import _VT, coded, driven, train
-from sparsewing.plans.sql import K, QUERIES, TOP, sql
+from sparsewing.plans.sql import K, M, QUERIES, TOP, sql
 from sparsewing.sources import tables
 
 
@@ -76,14 +76,21 @@ def knn_shared_order(spark, d):
     return knn.hamming(coded(spark, d), queries(spark, d), tables.items(spark, d), TOP, shared_order=True)
 
 
+def packed(y):
+    """Dense sign codes as arrays of 32-bit words."""
+    bits = e.signs(y).groupBy("item_id", F.floor(F.col("cell") / 32).alias("word")).agg(F.sum(F.col("bit") * F.pow(F.lit(2.0), F.col("cell") % 32)).cast("bigint").alias("x"))
+    return bits.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "x"))), lambda t: t["x"]).alias("q"))
+
+
+def xor_distance():
+    return F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+
 @query(sql("drive queries", _RANK.format("d", "d, item_id", "SELECT query_id, b.item_id, sum(CASE WHEN (a.y >= 0) <> (b.y >= 0) THEN 1 ELSE 0 END)::BIGINT AS d FROM queries JOIN drive a ON a.item_id = query_id JOIN drive b ON b.cell = a.cell AND b.item_id <> query_id GROUP BY ALL")))
 def knn_dense(spark, d):
-    """Dense sign codes packed into 64-bit words: Hamming distance by xor and bit count."""
-    bits = e.signs(driven(spark, d)).withColumn("word", F.floor(F.col("cell") / 32)).groupBy("item_id", "word").agg(F.sum(F.shiftleft(F.col("bit"), 0) * F.pow(F.lit(2.0), F.col("cell") % 32)).cast("bigint").alias("x"))
-    packed = bits.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "x"))), lambda t: t["x"]).alias("q"))
-    p = knn.pairs(packed, queries(spark, d))
-    dist = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
-    return knn.first(p.select("query_id", "item_id", dist.alias("d")), TOP, F.col("d"), F.col("item_id")).select("query_id", "rnk", "item_id", "d")
+    """Dense sign codes packed into words: Hamming distance by xor and bit count."""
+    p = knn.pairs(packed(driven(spark, d)), queries(spark, d))
+    return knn.first(p.select("query_id", "item_id", xor_distance().alias("d")), TOP, F.col("d"), F.col("item_id")).select("query_id", "rnk", "item_id", "d")
 
 
 _S = _RANK.format("s", "s DESC, md5('tie:5:' || query_id || ':' || item_id), item_id", "{}")
@@ -101,34 +108,100 @@ def asym_sign(spark, d):
     return knn.by_score(knn.asymmetric(e.signs(y), y, queries(spark, d), 2 * F.col("bit") - 1), TOP)
 
 
-@query(sql("drive queries", _S.format(f"SELECT query_id, c.item_id, CAST(sum(u.y * (2 * lev + 1)) AS BIGINT) AS s FROM queries JOIN drive u ON u.item_id = query_id JOIN ({_VT}) c ON c.cell = u.cell AND c.item_id <> query_id GROUP BY ALL")))
+_UV = f"SELECT query_id, c.item_id, sum((u.y / 1e6) * (rec / 1e6)) AS uv, sum((rec / 1e6) * (rec / 1e6)) AS vv FROM queries JOIN drive u ON u.item_id = query_id JOIN ({_VT}) c ON c.cell = u.cell AND c.item_id <> query_id GROUP BY ALL"
+
+
+@query(sql("drive code queries", _S.format(f"SELECT query_id, item_id, round(uv, 4) AS s FROM ({_UV})")))
 def asym_value(spark, d):
-    """Winners weighted by their level."""
+    """Winners weighted by their reconstructed value."""
     y = driven(spark, d)
-    return knn.by_score(knn.asymmetric(e.value_tags(y, K, 4), y, queries(spark, d), 2 * F.col("lev") + 1), TOP)
+    s = knn.asymmetric(e.value_tags(e.winners(y, K), 4), y.withColumn("y", F.col("y") / 1e6), queries(spark, d), F.col("rec") / 1e6)
+    return knn.by_score(s.withColumn("s", F.round("s", 4)), TOP)
 
 
-@query(sql("drive queries", _RANK.format("d", "d, item_id", f"SELECT query_id, c.item_id, round(sum(pow(u.y / 1e6 - (CASE WHEN hi > lo THEN lo + (lev + 0.5) * ((hi - lo) / 16.0) ELSE lo END) / 1e6, 2)), 4) AS d FROM queries JOIN drive u ON u.item_id = query_id JOIN ({_VT}) c ON c.cell = u.cell AND c.item_id <> query_id GROUP BY ALL HAVING count(*) = {K}")))
+@query(sql("drive code queries", _RANK.format("d", "d, item_id", f"SELECT query_id, g.item_id, round(uu - 2 * uv + vv, 3) AS d FROM ({_UV}) g JOIN (SELECT item_id, sum((y / 1e6) * (y / 1e6)) AS uu FROM drive GROUP BY item_id) n ON n.item_id = query_id")))
 def value_adc(spark, d):
-    """Squared distance of the query's drives to the item's reconstruction over the item's winners."""
-    y = driven(spark, d)
-    q = y.join(queries(spark, d), "item_id", "left_semi").select(F.col("item_id").alias("query_id"), "cell", F.col("y").alias("u"))
-    s = e.value_tags(y, K, 4).join(q, "cell").filter("item_id <> query_id").groupBy("query_id", "item_id").agg(F.round(F.sum(F.pow(F.col("u") / 1e6 - F.col("rec") / 1e6, F.lit(2))), 4).alias("d"))
+    """Squared distance of the query's drives to the item's reconstruction, which is zero outside its winners."""
+    y = driven(spark, d).withColumn("u", F.col("y") / 1e6)
+    q = y.join(queries(spark, d), "item_id", "left_semi").select(F.col("item_id").alias("query_id"), "cell", "u")
+    uu = q.groupBy("query_id").agg(F.sum(F.col("u") * F.col("u")).alias("uu"))
+    v = F.col("rec") / 1e6
+    s = e.value_tags(coded(spark, d), 4).join(q, "cell").filter("item_id <> query_id").groupBy("query_id", "item_id").agg(F.sum(F.col("u") * v).alias("uv"), F.sum(v * v).alias("vv"))
+    s = s.join(F.broadcast(uu), "query_id").withColumn("d", F.round(F.col("uu") - 2 * F.col("uv") + F.col("vv"), 3))  # a row per query
     return knn.first(s, TOP, F.col("d"), F.col("item_id")).select("query_id", "rnk", "item_id", "d")
 
 
-_HALF = "SELECT query_id, c.item_id FROM queries JOIN (SELECT * FROM (SELECT item_id, cell, row_number() OVER (PARTITION BY item_id ORDER BY y DESC, md5('prio:1:' || cell), cell) AS r FROM drive WHERE cell % 2 = {0}) WHERE r <= 8) q ON q.item_id = query_id JOIN (SELECT * FROM (SELECT item_id, cell, row_number() OVER (PARTITION BY item_id ORDER BY y DESC, md5('prio:1:' || cell), cell) AS r FROM drive WHERE cell % 2 = {0}) WHERE r <= 8) c ON c.cell = q.cell AND c.item_id <> query_id GROUP BY query_id, c.item_id HAVING count(*) >= 2"
+@query(
+    sql(
+        "code items queries",
+        _RANK.format("d", "d, item_id", f"SELECT query_id, i.item_id, round(a.vv + b.vv - 2 * coalesce(vw, 0), 3) AS d FROM queries JOIN items i ON i.item_id <> query_id JOIN nv a ON a.item_id = query_id JOIN nv b ON b.item_id = i.item_id LEFT JOIN (SELECT query_id AS qq, y.item_id AS j, sum((x.rec / 1e6) * (y.rec / 1e6)) AS vw FROM queries JOIN vt x ON x.item_id = query_id JOIN vt y ON y.cell = x.cell GROUP BY ALL) ON qq = query_id AND j = i.item_id"),
+    ).replace(" SELECT query_id, rnk", f", vt AS ({_VT}), nv AS (SELECT item_id, sum((rec / 1e6) * (rec / 1e6)) AS vv FROM vt GROUP BY item_id) SELECT query_id, rnk", 1)
+)
+def value_distance(spark, d):
+    """Squared distance between the two reconstructions; pairs that share no winner take part."""
+    t = e.value_tags(coded(spark, d), 4).select("item_id", "cell", (F.col("rec") / 1e6).alias("v"))
+    nv = t.groupBy("item_id").agg(F.sum(F.col("v") * F.col("v")).alias("vv"))
+    q = queries(spark, d).select(F.col("item_id").alias("query_id"))
+    tq = t.join(q, t.item_id == q.query_id).select("query_id", "cell", F.col("v").alias("u"))
+    both = t.join(tq, "cell").groupBy("query_id", "item_id").agg(F.sum(F.col("u") * F.col("v")).alias("vw"))
+    every = nv.join(F.broadcast(q), F.col("item_id") != F.col("query_id")).join(nv.select(F.col("item_id").alias("query_id"), F.col("vv").alias("qq")), "query_id")  # the stated queries
+    s = every.join(both, ["query_id", "item_id"], "left").withColumn("d", F.round(F.col("vv") + F.col("qq") - 2 * F.coalesce("vw", F.lit(0.0)), 3))
+    return knn.first(s, TOP, F.col("d"), F.col("item_id")).select("query_id", "rnk", "item_id", "d")
 
 
-def _half(spark, d, t):
-    c = e.winners(driven(spark, d).filter(F.col("cell") % 2 == t), K // 2)
-    return knn.overlap(c, queries(spark, d)).filter("both >= 2")
+BUDGET = 60
+_HC = "SELECT item_id, cell FROM (SELECT item_id, cell, row_number() OVER (PARTITION BY item_id ORDER BY y DESC, md5('prio:1:' || cell), cell) AS r FROM drive WHERE cell % 2 = {0}) WHERE r <= 8"
+_HD = f"SELECT query_id, i.item_id, 16 - 2 * coalesce(n, 0) AS d FROM queries JOIN items i ON i.item_id <> query_id LEFT JOIN (SELECT query_id AS qq, c.item_id AS j, count(*) AS n FROM queries JOIN ({_HC}) x ON x.item_id = query_id JOIN ({_HC}) c ON c.cell = x.cell GROUP BY ALL) ON qq = query_id AND j = i.item_id"
+_CUT = f"SELECT query_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, md5('tie:5:' || item_id), item_id) AS r FROM ({{}})) WHERE r <= {BUDGET // 2}"
 
 
-@query(sql("drive queries", f"{_HALF.format(0)} UNION {_HALF.format(1)}"))
+@query(
+    sql(
+        "drive items queries",
+        _RANK.format("d", "d, md5('tie:5:' || item_id), item_id", "SELECT c.query_id, c.item_id, CAST(a.d + b.d AS BIGINT) AS d FROM cand c JOIN l a ON a.query_id = c.query_id AND a.item_id = c.item_id JOIN r b ON b.query_id = c.query_id AND b.item_id = c.item_id"),
+    ).replace(" SELECT query_id, rnk", f", l AS ({_HD.format(0)}), r AS ({_HD.format(1)}), cand AS ({_CUT.format('SELECT * FROM l')} UNION {_CUT.format('SELECT * FROM r')}) SELECT query_id, rnk", 1)
+)
 def two_or(spark, d):
-    """Candidates of either half table: two shared winners at least."""
-    return knn.candidates(_half(spark, d, 0), _half(spark, d, 1))
+    """Two half tables: the best of each by its own distance are candidates, ranked by the distance over both."""
+    y, q, it = driven(spark, d), queries(spark, d), tables.items(spark, d)
+    half = [e.winners(y.filter(F.col("cell") % 2 == t), K // 2) for t in (0, 1)]
+    cand = knn.candidates(*[knn.hamming(c, q, it, BUDGET // 2, shared_order=True) for c in half])
+    s = cand
+    for t, c in enumerate(half):
+        s = s.join(knn.overlap(c, q).withColumnRenamed("both", f"b{t}"), ["query_id", "item_id"], "left")
+    dist = (F.lit(2 * K) - 2 * F.coalesce("b0", F.lit(0)) - 2 * F.coalesce("b1", F.lit(0))).cast("bigint")
+    return knn.first(s.withColumn("d", dist), TOP, F.col("d"), F.md5(F.concat(F.lit("tie:5:"), F.col("item_id").cast("string"))), F.col("item_id")).select("query_id", "rnk", "item_id", "d")
+
+
+_BIN = f"SELECT item_id, CAST(sum(CASE WHEN s >= 0 THEN pow(2, block) ELSE 0 END) AS BIGINT) AS bin FROM (SELECT item_id, cell * 8 // {M} AS block, sum(y) AS s FROM drive GROUP BY ALL) GROUP BY item_id"
+_DD = "SELECT query_id, b.item_id, sum(CASE WHEN (a.y >= 0) <> (b.y >= 0) THEN 1 ELSE 0 END)::BIGINT AS d FROM queries JOIN drive a ON a.item_id = query_id JOIN drive b ON b.cell = a.cell AND b.item_id <> query_id GROUP BY ALL"
+
+
+@query(
+    sql(
+        "drive queries",
+        _RANK.format("d", "d, md5('tie:5:' || item_id), item_id", "SELECT query_id, item_id, d FROM dd JOIN cand USING (query_id, item_id)"),
+    ).replace(
+        " SELECT query_id, rnk",
+        f", bins AS ({_BIN}), occ AS (SELECT bin, count(*) AS n FROM bins GROUP BY bin), ord AS (SELECT query_id, o.bin, sum(n) OVER (PARTITION BY query_id ORDER BY bit_count(xor(o.bin, x.bin)), o.bin ROWS UNBOUNDED PRECEDING) - n AS before FROM queries JOIN bins x ON x.item_id = query_id, occ o), cand AS (SELECT query_id, item_id FROM ord JOIN (SELECT item_id, bin, row_number() OVER (PARTITION BY bin ORDER BY item_id) AS r FROM bins) USING (bin) WHERE before + r <= {BUDGET}), dd AS ({_DD}) SELECT query_id, rnk",
+        1,
+    )
+)
+def densefly_probe(spark, d):
+    """Occupied bins in order of Hamming distance to the query's bin until the budget of items is spent, then dense distances.
+    A query probes bins, not items; an item that is the query itself takes a place of the budget but is no answer."""
+    from pyspark.sql import Window
+
+    y, q = driven(spark, d), queries(spark, d)
+    bins = e.probe_bins(y, M, 8)
+    occ = bins.groupBy("bin").agg(F.count("*").alias("n"))
+    qb = q.join(bins, "item_id").select(F.col("item_id").alias("query_id"), F.col("bin").alias("qbin"))
+    w = Window.partitionBy("query_id").orderBy(F.bit_count(F.col("bin").bitwiseXOR(F.col("qbin"))), "bin")
+    order = occ.crossJoin(F.broadcast(qb)).withColumn("before", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))  # 256 bins by the stated queries
+    member = bins.withColumn("r", F.row_number().over(Window.partitionBy("bin").orderBy("item_id"))).filter(F.col("r") <= BUDGET)
+    cand = order.filter(F.col("before") < BUDGET).join(member, "bin").filter(F.col("before") + F.col("r") <= BUDGET).select("query_id", "item_id").filter("query_id <> item_id")
+    s = cand.join(packed(y).select("item_id", F.col("q").alias("y")), "item_id").join(packed(y).select(F.col("item_id").alias("query_id"), F.col("q").alias("x")), "query_id")
+    return knn.first(s.withColumn("d", xor_distance()), TOP, F.col("d"), F.md5(F.concat(F.lit("tie:5:"), F.col("item_id").cast("string"))), F.col("item_id")).select("query_id", "rnk", "item_id", "d")
 
 
 @query(sql("pred gap", "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, item_id) AS rnk, item_id, d FROM (SELECT p.query_id, p.item_id, g.d FROM pred p JOIN gap g ON g.query_id = p.query_id AND g.item_id = p.item_id)"))

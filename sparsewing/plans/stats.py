@@ -60,7 +60,7 @@ def shift_power(spark, d):
     return i.shift_power(_null(spark, d), ["seg"], list(_SHIFTS))
 
 
-@query(f"WITH nul AS ({_NULL}) SELECT seg, min(shift) FILTER (shift > 0) AS up, max(shift) FILTER (shift < 0) AS down FROM ({_POWER}) WHERE power >= 0.1 GROUP BY seg")
+@query(f"WITH nul AS ({_NULL}) SELECT seg, min(shift) FILTER (shift > 0) AS up, max(shift) FILTER (shift < 0) AS down, arg_min(shift, abs(shift) * 1000 + shift) AS smallest FROM ({_POWER}) WHERE power >= 0.1 GROUP BY seg")
 def smallest_shift(spark, d):
     return i.smallest_shift(i.shift_power(_null(spark, d), ["seg"], list(_SHIFTS)), ["seg"], 0.1)
 
