@@ -1,7 +1,7 @@
 """Encoders: drives (item x wiring), winners under explicit tie rules, and the codes built from them.
 
-A code is the long table (item_id, cell, rnk, y): winners of an item in order. The wiring is the small side of the drive
-join: its size is dims * inputs and does not grow with the items; it is broadcast only below a checked size.
+A code is the long table (item_id, cell, rnk, y): winners of an item in order. The wiring does not grow with the items; below
+a checked size it is sent to every task and encoding is a map over the items, above it the drive is a join.
 """
 
 from __future__ import annotations
@@ -14,15 +14,39 @@ from sparsewing.functions import rng, vectors
 BROADCAST_ROWS = 200_000
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint where a known number of rows allows it; else the planner shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def one_row(wiring: DataFrame, seed: int = 1) -> DataFrame:
+    """The wiring as one row: an array of (cell, rank of its priority, inputs), to be sent to every task."""
+    w = wiring.groupBy("cell").agg(F.collect_list(F.struct(F.col("dim").cast("int").alias("dim"), F.col("w").cast("bigint").alias("w"))).alias("inputs"))
+    order = F.array_sort(F.collect_list(F.struct(priority(seed).alias("p"), "cell", "inputs")))
+    ranked = w.agg(order.alias("c")).select(F.transform("c", lambda x, i: F.struct(x["cell"].alias("cell"), i.alias("prio"), x["inputs"].alias("inputs"))).alias("cells"))
+    return F.broadcast(ranked)
+
+
+def _sums(col: str):
+    """Array of (cell, prio, y) of a row that holds ``col`` and the wiring's cells."""
+    return F.transform("cells", lambda c: F.struct(c["cell"].alias("cell"), c["prio"].alias("prio"), F.aggregate(c["inputs"], F.lit(0).cast("bigint"), lambda a, i: a + F.coalesce(F.get(F.col(col), i["dim"]), F.lit(0).cast("bigint")) * i["w"]).alias("y")))
 
 
 def drive(items: DataFrame, wiring: DataFrame, wiring_rows: int, col: str = "q") -> DataFrame:
-    """(item_id, cell, y): sums of the item's values over each cell's inputs, as whole numbers."""
+    """(item_id, cell, y): sums of the item's values over each cell's inputs, as whole numbers. A wiring of up to
+    BROADCAST_ROWS entries goes to every task and the sums are made inside the item's row, without a shuffle; a larger one is
+    joined on the dimension."""
+    if wiring_rows <= BROADCAST_ROWS:
+        x = items.select("item_id", col).crossJoin(one_row(wiring))
+        return x.select("item_id", F.explode(_sums(col)).alias("s")).select("item_id", "s.cell", "s.y")
     x = items.select("item_id", F.posexplode(col).alias("dim", "v")).withColumn("dim", F.col("dim").cast("bigint"))
-    return x.join(small(wiring.select("dim", "cell", "w"), wiring_rows), "dim").groupBy("item_id", "cell").agg(F.sum(F.col("v") * F.col("w")).alias("y"))
+    return x.join(wiring.select("dim", "cell", "w"), "dim").groupBy("item_id", "cell").agg(F.sum(F.col("v") * F.col("w")).alias("y"))
+
+
+def encode(items: DataFrame, wiring: DataFrame, wiring_rows: int, k: int, seed: int = 1, col: str = "q") -> DataFrame:
+    """(item_id, cell, rnk, y): drives and their ``k`` winners (ties by priority) in one pass over the items: a map, so a
+    code costs no shuffle at any number of items."""
+    if wiring_rows > BROADCAST_ROWS:
+        return winners(drive(items, wiring, wiring_rows, col), k, "random", seed).select("item_id", "cell", "rnk", "y")
+    x = items.select("item_id", col).crossJoin(one_row(wiring, seed))
+    best = F.slice(F.array_sort(F.transform(_sums(col), lambda s: F.struct((-s["y"]).alias("neg"), s["prio"].alias("prio"), s["cell"].alias("cell")))), 1, k)
+    x = x.select("item_id", F.posexplode(best).alias("pos", "s"))
+    return x.select("item_id", F.col("s.cell").alias("cell"), (F.col("pos") + 1).cast("bigint").alias("rnk"), (-F.col("s.neg")).alias("y"))
 
 
 def priority(seed: int) -> Column:

@@ -20,7 +20,7 @@ def driven(spark, d, cells: int = M, seed: int = 7):
 
 
 def coded(spark, d):
-    return e.winners(driven(spark, d), K)
+    return e.encode(centred(spark, d), w.uniform(spark, 64, M, S, 7), M * S, K)
 
 
 def train(spark, d):

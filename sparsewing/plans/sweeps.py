@@ -38,7 +38,7 @@ def architecture(spark, d):
     out = None
     for m, k in _SIZES:
         for seed in _SEEDS:
-            code = e.winners(e.drive(centred(spark, d), w.uniform(spark, 64, m, S, seed), m * S), k)
+            code = e.encode(centred(spark, d), w.uniform(spark, 64, m, S, seed), m * S, k)
             x = _mean_ap(spark, d, code, k).select(F.lit(m).cast("bigint").alias("m"), F.lit(k).cast("bigint").alias("k"), F.lit(seed).cast("bigint").alias("seed"), "mean_ap")
             out = x if out is None else out.unionByName(x)
     return out
@@ -49,7 +49,7 @@ def fan_in_sweep(spark, d):
     """Inputs per cell from one to half of the dimensions."""
     out = None
     for s in (1, 6, 32):
-        code = e.winners(e.drive(centred(spark, d), w.uniform(spark, 64, 320, s, 21), 320 * s), K)
+        code = e.encode(centred(spark, d), w.uniform(spark, 64, 320, s, 21), 320 * s, K)
         x = _mean_ap(spark, d, code, K).select(F.lit(s).cast("bigint").alias("s"), "mean_ap")
         out = x if out is None else out.unionByName(x)
     return out

@@ -10,16 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparsewing.functions import vectors
+from sparsewing.operators.encode import _sums, one_row
 
 
-def encode_rows(items: DataFrame, cells: DataFrame, k: int, col: str = "q") -> DataFrame:
-    """Winners of every row without a shuffle of the items: ``cells`` (cell, dims array) is folded into one broadcast row, and
-    drives, ties (lowest digest, then cell) and the top k are array expressions. Works on streams."""
-    one = cells.agg(F.array_sort(F.collect_list(F.struct("cell", F.md5(F.concat(F.lit("prio:1:"), F.col("cell").cast("string"))).alias("prio"), "dims"))).alias("cells"))
-    x = items.withColumn("_c", vectors.centre(F.col(col))).crossJoin(F.broadcast(one))  # one row
-    y = F.transform("cells", lambda c: F.struct((-F.aggregate(c["dims"], F.lit(0).cast("bigint"), lambda a, i: a + F.get(F.col("_c"), i.cast("int")))).alias("neg"), c["prio"].alias("prio"), c["cell"].alias("cell")))
-    top = F.transform(F.slice(F.array_sort(y), 1, k), lambda t: t["cell"])
-    return x.select("item_id", F.array_sort(top).alias("cells"))
+def encode_rows(items: DataFrame, wiring: DataFrame, k: int, col: str = "q") -> DataFrame:
+    """(item_id, cells): winners of every row of a stream or table of items, from centred values."""
+    x = items.withColumn(col, vectors.centre(F.col(col))).crossJoin(one_row(wiring))
+    best = F.slice(F.array_sort(F.transform(_sums(col), lambda s: F.struct((-s["y"]).alias("neg"), s["prio"].alias("prio"), s["cell"].alias("cell")))), 1, k)
+    return x.select("item_id", F.array_sort(F.transform(best, lambda s: s["cell"])).alias("cells"))
 
 
 def fold_counts(batch: DataFrame, counts: DataFrame | None) -> DataFrame:

@@ -57,6 +57,15 @@ def test_winner_ties(spark):
     assert low != high and low | high <= {1, 2, 3}
 
 
+def test_both_ways_to_encode(spark, monkeypatch):
+    g = np.random.default_rng(7)
+    it = spark.createDataFrame([(i, [int(v) for v in g.integers(0, 4, 16)]) for i in range(30)], "item_id long, q array<long>")
+    w = wiring.uniform(spark, 16, 50, 3, 1)
+    fast = [sorted(map(tuple, encode.encode(it, w, 150, 6).collect())), sorted(map(tuple, encode.drive(it, w, 150).select("item_id", "cell", "y").collect()))]
+    monkeypatch.setattr(encode, "BROADCAST_ROWS", 10)
+    assert fast == [sorted(map(tuple, encode.encode(it, w, 150, 6).collect())), sorted(map(tuple, encode.drive(it, w, 150).select("item_id", "cell", "y").collect()))]
+
+
 def test_average_precision(spark):
     q = spark.createDataFrame([(0,), (1,)], "item_id long")
     pred = spark.createDataFrame([(0, i + 1, x) for i, x in enumerate((100, 5, 101, 6))], "query_id long, rnk long, item_id long")

@@ -67,9 +67,8 @@ def test_codes_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
     items = tables.items(spark, sf).select("item_id", "q").limit(40)
     items.write.parquet(str(tmp_path / "in"))
     w = wiring.uniform(spark, 64, 80, 6, 7)
-    cells = w.groupBy("cell").agg(F.collect_list("dim").alias("dims"))
     live = spark.readStream.schema(items.schema).parquet(str(tmp_path / "in"))
-    q = stream.encode_rows(live, cells, 8).writeStream.format("memory").queryName("codes").start()
+    q = stream.encode_rows(live, w, 8).writeStream.format("memory").queryName("codes").start()
     q.processAllAvailable()
     q.stop()
     from sparsewing.functions import vectors
