@@ -7,7 +7,6 @@ about ``BLOCK`` bytes at document borders, which bounds the memory of a task wha
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 21
+BLOCK, BATCH = 1 << 19, 8 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -63,6 +62,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Cuts what goes to a Python worker at a time to ``BATCH`` bytes (64 MB by default), where the session has not been
+    given a size of its own; the JVM holds such a batch twice for each running task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, BATCH)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

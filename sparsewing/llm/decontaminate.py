@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparsewing.llm.common import SIGN, blocks, bytes_of, Words, words_of
+from sparsewing.llm.common import SIGN, Words, blocks, bound_batches, bytes_of, words_of
 from sparsewing.llm.fmindex import FMIndex
 
 SHARD_WORDS, BENCH_CHARS = 1 << 20, 2_000_000
@@ -125,6 +125,7 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = 13) -> DataFram
     """(doc_id, n_words, n_hit, n_items, items, spans): words of each document that lie in an occurrence of a window of
     ``size`` item words, the items found, and the merged spans [s, e) of words."""
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bench = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
     chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0

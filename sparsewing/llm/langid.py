@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparsewing.llm.common import LOWER, blocks, bytes_of
+from sparsewing.llm.common import LOWER, blocks, bound_batches, bytes_of
 
 CELLS, PARTS, ROUNDS, SETS = 1 << 15, 8, 6, 3
 #: Weight of the penalty for a further language.
@@ -76,6 +76,7 @@ def _add(f: pd.DataFrame) -> pd.DataFrame:
 
 def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """``rows`` (text, lang; lang not null) to language names in order and log-likelihoods (CELLS x languages)."""
+    bound_batches(rows.sparkSession)
     t = rows.select("text", "lang").mapInArrow(_count, "lang string, part int, counts binary")
     got = t.groupBy("lang", "part").applyInPandas(_add, "lang string, part int, counts binary").collect()
     langs = sorted({r.lang for r in got})
@@ -154,6 +155,7 @@ def _predict(batches, langs: list[str], ll: np.ndarray):
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """All columns of ``docs`` (text, ...) with lang_pred, score and lang_set. Of these only ``text`` is looked at."""
     spark = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.drop("lang_pred", "score", "lang_set", "letter").withColumn("letter", letter)

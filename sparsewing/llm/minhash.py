@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparsewing.llm.common import U64, blocks, checkpoint, mix64, words_of, write_table
+from sparsewing.llm.common import U64, blocks, bound_batches, checkpoint, mix64, words_of, write_table
 from sparsewing.llm.graph import components
 
 CHUNKS, WIDTH, RADIUS, ROWS = 8, 4, 15, 512
@@ -246,6 +246,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` (doc_id, text, ...) to (doc_id, n_shingles, component_id, kept), one row per document."""
+    bound_batches(docs.sparkSession)
     rows = write_table(sketch(docs, size), "sketch")
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
     classes = checkpoint(classes)

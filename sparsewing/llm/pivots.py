@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparsewing.llm.common import checkpoint, partitions
+from sparsewing.llm.common import bound_batches, checkpoint, partitions
 from sparsewing.llm.graph import components
 
 NEAREST, ROWS = 6, 512
@@ -114,6 +114,7 @@ def _judge(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """``vectors`` (vec_id, embedding, label) to (vec_id, n_links, component_id, kept), one row per vector."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))

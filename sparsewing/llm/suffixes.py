@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparsewing.llm.common import BYTE, U64, blocks, bytes_of, checkpoint, drop_path, mix64, partitions, powers, shared_path, starts_of
+from sparsewing.llm.common import BLOCK, BYTE, U64, blocks, bound_batches, bytes_of, checkpoint, drop_path, mix64, partitions, powers, shared_path, starts_of
 
-LENGTH, ANCHOR, SEGMENT, HOT, STRIDE, BUCKET = 400, 64, 1 << 20, 256, 24, 1 << 19
+LENGTH, ANCHOR, SEGMENT, HOT, STRIDE, BUCKET = 400, 64, 1 << 19, 256, 24, 1 << 19
 #: Beyond so many entries positions and spans reach the texts by a shuffled join instead of a broadcast one.
 BROADCAST = 2_000_000
 
@@ -152,13 +152,13 @@ def _anchored(x: np.ndarray, length: int):
 
 
 def _glued(v: np.ndarray, o: np.ndarray, length: int):
-    """Units glued to at most about 2 MB each time; yields (row, start in document, bytes, unit offsets)."""
+    """Units glued to at most about BLOCK bytes each time; yields (row, start in document, bytes, unit offsets)."""
     rows, first, size = _units(o, length)
     i = 0
     while i < len(rows):
         j = i + 1
         total = int(size[i])
-        while j < len(rows) and total + size[j] <= 1 << 21:
+        while j < len(rows) and total + size[j] <= BLOCK:
             total += int(size[j])
             j += 1
         x = np.concatenate([v[f : f + s] for f, s in zip(first[i:j], size[i:j], strict=True)])
@@ -261,6 +261,7 @@ def _open_cut(hot: DataFrame, length: int) -> DataFrame:
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, spans) of the texts (rid, text) that have repeated bytes; spans are merged, sorted [s, e) byte ranges."""
     spark = texts.sparkSession
+    bound_batches(spark)
     path = shared_path(spark, "pieces")
     texts.mapInArrow(partial(_pieces, length=length), "rid long, at long, live int, anchor long, whole long, off int").write.parquet(path)
     every = spark.read.schema("rid long, at long, live int, anchor long, whole long, off int").parquet(path)

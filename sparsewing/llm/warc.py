@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparsewing.llm.common import checkpoint, partitions
+from sparsewing.llm.common import bound_batches, checkpoint, partitions
 
 FILE_BYTES = 64 << 20
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -95,6 +95,7 @@ def _digest(frames):
 
 def write_warc(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame:
     """Writes one record per row of ``pages`` (page_id, url, html) and returns the written files (file, bytes)."""
+    bound_batches(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     # the digest of each payload, by its row; texts are not shuffled for it
     sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
