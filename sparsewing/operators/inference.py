@@ -111,3 +111,30 @@ def paired_t(diffs: DataFrame, keys: list[str], t: float) -> DataFrame:
     g = diffs.groupBy(*keys).agg(F.avg("d").alias("m"), F.stddev_samp("d").alias("sd"), F.count("*").alias("n"))
     half = t * F.col("sd") / F.sqrt("n")
     return g.select(*keys, "n", F.round("m", 9).alias("mean"), F.round(F.col("m") - half, 9).alias("low"), F.round(F.col("m") + half, 9).alias("high"))
+
+
+def cluster_bootstrap(rows: DataFrame, draws: int, clusters: int, seed: int, level: float = 0.9) -> DataFrame:
+    """Interval of mean(real) / mean(base) - 1 over resampled clusters: (cluster 0..clusters-1, real, base). Each cluster is
+    summed once; a resample adds cluster sums, not rows."""
+    c = rows.groupBy("cluster").agg(F.sum("real").alias("r"), F.sum("base").alias("b"))
+    d = resamples(rows.sparkSession, draws, clusters, seed).join(c, F.col("pos") == F.col("cluster")).groupBy("draw").agg((F.sum("r") / F.sum("b") - 1).alias("rel"))
+    a = (1 - level) / 2
+    q = d.agg(F.expr(f"percentile(rel, array({a!r}, {1 - a!r}))").alias("q"))
+    return q.select(F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"))
+
+
+def two_stage(real: DataFrame, null: DataFrame, draws: int, n: int, n_null: int, subset: int, seed: int, level: float = 0.9) -> DataFrame:
+    """Interval of real against the null mean where each replicate draws the trials anew and a fresh subset of null draws:
+    real (trial, value), null (draw, value)."""
+    a = resamples(real.sparkSession, draws, n, seed).join(real.withColumnRenamed("value", "v"), F.col("pos") == F.col("trial")).groupBy("draw").agg(F.avg("v").alias("real"))
+    slots = resamples(real.sparkSession, draws, n_null, seed + 1).filter(F.col("slot") < subset).select(F.col("draw").alias("rep"), "pos")
+    b = slots.join(null, F.col("pos") == F.col("draw")).groupBy("rep").agg(F.avg("value").alias("base"))
+    r = a.join(b, F.col("draw") == F.col("rep")).select((F.col("real") / F.col("base") - 1).alias("rel"), (F.col("real") - F.col("base")).alias("gap"))
+    x = (1 - level) / 2
+    q = r.agg(F.expr(f"percentile(rel, array({x!r}, {1 - x!r}))").alias("r"), F.expr(f"percentile(gap, array({x!r}, {1 - x!r}))").alias("g"))
+    return q.select(F.round(F.col("r")[0], 9).alias("rel_low"), F.round(F.col("r")[1], 9).alias("rel_high"), F.round(F.col("g")[0], 4).alias("low"), F.round(F.col("g")[1], 4).alias("high"))
+
+
+def coverage(intervals: DataFrame, truth: float, z: float) -> DataFrame:
+    """Share of intervals (low, high) that hold the truth, with its Wilson interval."""
+    return wilson(intervals.agg(F.count_if((F.col("low") <= truth) & (F.col("high") >= truth)).alias("k"), F.count("*").alias("n")), z)

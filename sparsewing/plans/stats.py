@@ -150,3 +150,29 @@ def validation_choice(spark, d):
     """The best mean wins; equal ones go to the smallest exponent."""
     x = tables.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("seg"), ((F.col("c_custkey") % 5) / 2).alias("alpha")).agg(F.round(F.avg("c_acctbal"), 0).alias("score"))
     return x.groupBy("seg").agg(F.min_by("alpha", F.struct(-F.col("score"), F.abs("alpha"))).alias("alpha"))
+
+
+def _boot_sql(n: int, seed: int, draws: int = 200) -> str:
+    return f"SELECT draw, slot, CAST('0x' || substr(md5('boot:{seed}:' || draw || ':' || slot), 1, 8) AS BIGINT) % {n} AS pos FROM range({draws}) a(draw), range({n}) b(slot)"
+
+
+_A = (1 - 0.9) / 2
+
+
+@query(f"SELECT round(quantile_cont(rel, {_A!r}), 9) AS low, round(quantile_cont(rel, {1 - _A!r}), 9) AS high FROM (SELECT t.draw, sum(r) / sum(b) - 1 AS rel FROM ({_boot_sql(25, 8)}) t JOIN (SELECT c_nationkey AS cluster, sum(c_acctbal + 5000) AS r, sum(CAST(c_custkey % 1000 + 5000 AS DOUBLE)) AS b FROM customer GROUP BY 1) ON pos = cluster GROUP BY t.draw)")
+def cluster_bootstrap(spark, d):
+    c = tables.table(spark, d, "customer")
+    rows = c.select(F.col("c_nationkey").alias("cluster"), (F.col("c_acctbal") + 5000).alias("real"), (F.col("c_custkey") % 1000 + 5000).cast("double").alias("base"))
+    return i.cluster_bootstrap(rows, 200, 25, 8)
+
+
+@query(f"WITH nul AS ({_NULL}), a AS (SELECT t.draw, avg(value) AS real FROM ({_boot_sql(40, 5)}) t JOIN nul ON pos = nul.draw WHERE seg = 'BUILDING' GROUP BY t.draw), b AS (SELECT t.draw, avg(value) AS base FROM ({_boot_sql(40, 6)}) t JOIN nul ON pos = nul.draw WHERE seg = 'MACHINERY' AND slot < 10 GROUP BY t.draw) SELECT round(quantile_cont(real / base - 1, {_A!r}), 9) AS rel_low, round(quantile_cont(real / base - 1, {1 - _A!r}), 9) AS rel_high, round(quantile_cont(real - base, {_A!r}), 4) AS low, round(quantile_cont(real - base, {1 - _A!r}), 4) AS high FROM a JOIN b USING (draw)")
+def two_stage_bootstrap(spark, d):
+    null = _null(spark, d).filter("seg = 'MACHINERY'").select("draw", "value")
+    return i.two_stage(_arm(spark, d, "BUILDING"), null, 200, 40, 40, 10, 5)
+
+
+@query(f"SELECT k, n, round((p + {_Z95!r} * {_Z95!r} / (2 * n)) / d - h, 9) AS low, round((p + {_Z95!r} * {_Z95!r} / (2 * n)) / d + h, 9) AS high FROM (SELECT *, {_Z95!r} * sqrt(p * (1 - p) / n + {_Z95!r} * {_Z95!r} / (4 * n * n)) / d AS h FROM (SELECT k, {_WIL} FROM (SELECT count(*) FILTER (low <= 0 AND high >= 0) AS k, count(*) AS n FROM ({_INT}))))")
+def coverage(spark, d):
+    """How many of the intervals hold the truth."""
+    return i.coverage(equivalence(spark, d).select("low", "high"), 0.0, _Z95)

@@ -68,3 +68,43 @@ def convergence(spark, d):
         r = j.select(F.lit(sweeps).alias("sweeps"), "draw", F.round(F.col("kept") / (2 * F.col("n") - F.col("kept")), 9).alias("jaccard"))
         out = r if out is None else out.unionByName(r)
     return out
+
+
+_D, _M, _K = 64, 256, 8
+
+
+def _suite(spark, d, methods):
+    from sparsewing.operators import suite
+    from sparsewing.plans.codes import train
+
+    it = tables.items(spark, d)
+    code = suite.codes(centred(spark, d), it, train(spark, d), methods, _D, _M, S, _K)
+    return suite.mean_scores(suite.rank_all(code, it, queries(spark, d), TOP), truth(spark, d), QUERIES, TOP)
+
+
+def _resources_sql() -> str:
+    ops, bits = 1536, 64
+    even = ["fly", "balanced", "diverse", "calibrated", "zscore", "balanced_calibrated", "diverse_calibrated", "rank", "two_global", "two_concat", "two_or"]
+    rows = [(m, ops, bits, False) for m in even] + [("scale_tag", ops, 72, False), ("adaptive_relative", ops, 256, True), ("adaptive_external", ops, 256, True), ("densefly", ops, 256, False), ("densefly_probe", ops, 272, False), ("sparse_bio", 3072, 64, False), ("sparse_untrained", 3072, 64, False), ("biohash", 32768, 64, False), ("biohash_untrained", 32768, 64, False), ("gaussian_real", 1024, 256, False), ("gaussian_sign", 1024, 8, False), ("gaussian_ops", 1536, 384, False), ("gaussian_storage", 8192, 64, False)]
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{m}', CAST({o} AS BIGINT), CAST({b} AS BIGINT), {str(v).lower()})" for m, o, b, v in rows) + ") t(method, operations, bits, variable)"
+
+
+@query(_resources_sql())
+def suite_resources(spark, d):
+    """Projection operations and code bits of every method at 64 dimensions, 256 cells, 6 inputs and 8 winners."""
+    from sparsewing.operators import suite
+
+    rows = [tuple(suite.resources(m, _D, _M, S, _K).values()) for m in suite.METHODS]
+    return spark.createDataFrame(rows, "method string, operations long, bits long, variable boolean")
+
+
+@query(sql("cent items queries true", f"SELECT 'fly' AS method, mean_ap FROM ({_ap_sql(_code_sql(_M, _K, S, 7), _K)})".replace("md5('tie:5:' || query_id || ':' || item_id)", "md5('tie:5:' || item_id)")))
+def suite_fly(spark, d):
+    """The plain method of the suite, restated in SQL."""
+    return _suite(spark, d, ["fly"]).select("method", "mean_ap")
+
+
+@query()
+def encoder_suite(spark, d):
+    """Mean average precision and recall of the encoder family on the same queries, in one plan."""
+    return _suite(spark, d, ["fly", "balanced", "diverse", "zscore", "calibrated", "rank", "adaptive_relative", "scale_tag", "two_global", "two_concat", "densefly", "gaussian_ops", "gaussian_storage", "sparse_bio"])
