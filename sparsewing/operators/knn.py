@@ -43,13 +43,17 @@ def overlap(code: DataFrame, queries: DataFrame) -> DataFrame:
     return code.select("item_id", "cell").join(q, "cell").filter("item_id <> query_id").groupBy("query_id", "item_id").agg(F.count("*").alias("both"))
 
 
-def hamming(code: DataFrame, queries: DataFrame, items: DataFrame, n: int, seed: int = 5, shared_order: bool = False) -> DataFrame:
+def hamming(code: DataFrame, queries: DataFrame, items: DataFrame, n: int, seed: int = 5, shared_order: bool = False, size: int | None = None) -> DataFrame:
     """Ranking by the size of the symmetric difference; equal distances in the order of a digest of (query, item), or of the
-    item alone. Items that share no winner with a query take part with their full distance."""
-    k = code.groupBy("item_id").agg(F.count("*").alias("k"))
+    item alone. Items that share no winner with a query take part with their full distance. ``size`` says that all codes have
+    so many winners, which saves counting them."""
     every = items.select("item_id").join(F.broadcast(queries.select(F.col("item_id").alias("query_id"))), F.col("item_id") != F.col("query_id"))
     s = every.join(overlap(code, queries), ["query_id", "item_id"], "left")
-    s = s.join(k, "item_id", "left").join(k.select(F.col("item_id").alias("query_id"), F.col("k").alias("kq")), "query_id", "left")
+    if size is None:
+        k = code.groupBy("item_id").agg(F.count("*").alias("k"))
+        s = s.join(k, "item_id", "left").join(k.select(F.col("item_id").alias("query_id"), F.col("k").alias("kq")), "query_id", "left")
+    else:
+        s = s.withColumns({"k": F.lit(size), "kq": F.lit(size)})
     d = F.coalesce("k", F.lit(0)) + F.coalesce("kq", F.lit(0)) - 2 * F.coalesce("both", F.lit(0))
     tie = rng.digest("tie", seed, "item_id") if shared_order else rng.digest("tie", seed, "query_id", "item_id")
     return first(s.select("query_id", "item_id", d.cast("bigint").alias("d")), n, F.col("d"), tie, F.col("item_id")).select("query_id", "rnk", "item_id", "d")

@@ -21,7 +21,7 @@ def truth(spark, d):
 
 
 def predicted(spark, d):
-    return knn.hamming(coded(spark, d), queries(spark, d), tables.items(spark, d), TOP)
+    return knn.hamming(coded(spark, d), queries(spark, d), tables.items(spark, d), TOP, size=K)
 
 
 def scored(spark, d):
@@ -73,7 +73,7 @@ def knn_hamming(spark, d):
 @query(sql("ham", _RANK.format("d", "d, md5('tie:5:' || item_id), item_id", "SELECT * FROM ham")))
 def knn_shared_order(spark, d):
     """Ties in one order for all queries."""
-    return knn.hamming(coded(spark, d), queries(spark, d), tables.items(spark, d), TOP, shared_order=True)
+    return knn.hamming(coded(spark, d), queries(spark, d), tables.items(spark, d), TOP, shared_order=True, size=K)
 
 
 def packed(y):
@@ -165,7 +165,7 @@ def two_or(spark, d):
     """Two half tables: the best of each by its own distance are candidates, ranked by the distance over both."""
     y, q, it = driven(spark, d), queries(spark, d), tables.items(spark, d)
     half = [e.winners(y.filter(F.col("cell") % 2 == t), K // 2) for t in (0, 1)]
-    cand = knn.candidates(*[knn.hamming(c, q, it, BUDGET // 2, shared_order=True) for c in half])
+    cand = knn.candidates(*[knn.hamming(c, q, it, BUDGET // 2, shared_order=True, size=K // 2) for c in half])
     s = cand
     for t, c in enumerate(half):
         s = s.join(knn.overlap(c, q).withColumnRenamed("both", f"b{t}"), ["query_id", "item_id"], "left")

@@ -28,7 +28,7 @@ _SEEDS, _SIZES = (21, 22), ((160, 8), (320, 16))
 
 
 def _mean_ap(spark, d, code, k):
-    p = metrics.scores(knn.hamming(code, queries(spark, d), tables.items(spark, d), TOP), truth(spark, d), queries(spark, d), TOP)
+    p = metrics.scores(knn.hamming(code, queries(spark, d), tables.items(spark, d), TOP, size=k), truth(spark, d), queries(spark, d), TOP)
     return p.agg(F.round(F.avg("ap"), 6).alias("mean_ap"))
 
 
