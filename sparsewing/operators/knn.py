@@ -37,18 +37,20 @@ def truth(items: DataFrame, queries: DataFrame, n: int, metric: str = "euclidean
     return first(p.select("query_id", "item_id", d.alias("d")), n, F.col("d"), F.col("item_id")).select("query_id", "rnk", "item_id", "d")
 
 
-def overlap(code: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, item_id, both): shared winners through the inverted index on cells; pairs without any have no row."""
-    q = code.join(queries.select("item_id"), "item_id", "left_semi").select(F.col("item_id").alias("query_id"), "cell")
+def overlap(code: DataFrame, queries: DataFrame, query_code: DataFrame | None = None) -> DataFrame:
+    """(query_id, item_id, both): shared winners through the inverted index on cells; pairs without any have no row.
+    ``query_code``: the codes of the queries where they were made on their own, so that the items are encoded once."""
+    own = code.join(queries.select("item_id"), "item_id", "left_semi") if query_code is None else query_code
+    q = own.select(F.col("item_id").alias("query_id"), "cell")
     return code.select("item_id", "cell").join(q, "cell").filter("item_id <> query_id").groupBy("query_id", "item_id").agg(F.count("*").alias("both"))
 
 
-def hamming(code: DataFrame, queries: DataFrame, items: DataFrame, n: int, seed: int = 5, shared_order: bool = False, size: int | None = None) -> DataFrame:
+def hamming(code: DataFrame, queries: DataFrame, items: DataFrame, n: int, seed: int = 5, shared_order: bool = False, size: int | None = None, query_code: DataFrame | None = None) -> DataFrame:
     """Ranking by the size of the symmetric difference; equal distances in the order of a digest of (query, item), or of the
     item alone. Items that share no winner with a query take part with their full distance. ``size`` says that all codes have
     so many winners, which saves counting them."""
     every = items.select("item_id").join(F.broadcast(queries.select(F.col("item_id").alias("query_id"))), F.col("item_id") != F.col("query_id"))
-    s = every.join(overlap(code, queries), ["query_id", "item_id"], "left")
+    s = every.join(overlap(code, queries, query_code), ["query_id", "item_id"], "left")
     if size is None:
         k = code.groupBy("item_id").agg(F.count("*").alias("k"))
         s = s.join(k, "item_id", "left").join(k.select(F.col("item_id").alias("query_id"), F.col("k").alias("kq")), "query_id", "left")

@@ -19,8 +19,10 @@ def driven(spark, d, cells: int = M, seed: int = 7):
     return e.drive(centred(spark, d), w.uniform(spark, 64, cells, S, seed), cells * S)
 
 
-def coded(spark, d):
-    return e.encode(centred(spark, d), w.uniform(spark, 64, M, S, 7), M * S, K)
+def coded(spark, d, only=None):
+    """Codes of all items, or of those in ``only``."""
+    x = centred(spark, d)
+    return e.encode(x if only is None else x.join(F.broadcast(only), "item_id", "left_semi"), w.uniform(spark, 64, M, S, 7), M * S, K)
 
 
 def train(spark, d):

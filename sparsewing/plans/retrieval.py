@@ -21,7 +21,8 @@ def truth(spark, d):
 
 
 def predicted(spark, d):
-    return knn.hamming(coded(spark, d), queries(spark, d), tables.items(spark, d), TOP, size=K)
+    q = queries(spark, d)
+    return knn.hamming(coded(spark, d), q, tables.items(spark, d), TOP, size=K, query_code=coded(spark, d, q))
 
 
 def scored(spark, d):
