@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not at:
             at = "file://" + tempfile.mkdtemp(prefix="shared-")
             sc.setCheckpointDir(at)
-        return at
+        return at.replace("file:/", "file:///", 1) if at.startswith("file:/") and not at.startswith("file://") else at
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at

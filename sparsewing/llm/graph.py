@@ -3,8 +3,8 @@
 In each round every node moves to the smallest of itself and its neighbours, edges are carried over to the new ends, and
 loops and repeats drop out. Nodes compare by a hash first, so on chains and trees of any numbering about half of them or
 more vanish in a round, and the rounds grow with the logarithm of the size. Minima are combined before each shuffle, so
-a node with a third of all edges costs no task more than its share; both tables of a round are cut off from their history by
-a reliable checkpoint.
+a node with a third of all edges costs no task more than its share; the edges of a round are cut off from their history by a reliable
+checkpoint, and the moves of a round are made from them whenever they are needed.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", hashed: bool = Fals
     e, at = _pairs(e), None
     while True:
         ends = F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b"))))
-        m = checkpoint(e.select(ends.alias("x")).groupBy("x.a").agg(F.min("x.b").alias("b")).select("a", F.least("a", "b").alias("b")))
+        m = e.select(ends.alias("x")).groupBy("x.a").agg(F.min("x.b").alias("b")).select("a", F.least("a", "b").alias("b"))
         at = m.select(F.col("a").alias("node"), F.col("b").alias("at")) if at is None else at.join(m, F.col("at") == F.col("a"), "left").select("node", F.coalesce("b", "at").alias("at"))
         e = _pairs(e.join(m.select(F.col("a").alias("u"), F.col("b").alias("x")), "u").join(m.select(F.col("a").alias("v"), F.col("b").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v")))
         if e.isEmpty():

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparsewing.llm.common import U64, blocks, bound_batches, checkpoint, mix64, words_of, write_table
+from sparsewing.llm.common import U64, blocks, bound_batches, checkpoint, mix64, partitions, words_of, write_table
 from sparsewing.llm.graph import components
 
 CHUNKS, WIDTH, RADIUS, ROWS = 8, 4, 15, 512
@@ -178,14 +178,12 @@ def _across(keys: DataFrame, classes: DataFrame, lab: DataFrame, num: int, den:
     """Pairs (u, v) within the radius that meet under a key and lie in different components."""
     k = keys.join(lab, "node", "left").select("key", "kix", "node", F.coalesce("lab", "node").alias("lab"))
     mixed = k.groupBy("key").agg(F.min("lab").alias("a"), F.max("lab").alias("b"), F.count("*").alias("rows")).filter("a <> b").select("key", "rows")
-    k = checkpoint(k.join(mixed, "key"))
-    n = max(1, int(k.count() // 20_000), int(k.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    k = k.join(classes.select("node", "sig", "wide", F.col("n_shingles").alias("n")), "node")
+    k = k.join(mixed, "key").join(classes.select("node", "sig", "wide", F.col("n_shingles").alias("n")), "node")
     # the hash of a node deals the rows of a large key over its blocks
     k = k.withColumn("nb", F.ceil(F.col("rows") / ROWS).cast("int")).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     k = k.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     k = k.select("key", "kix", "node", "lab", "sig", "wide", "n", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
-    k = k.withColumn("bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n)))
+    k = k.withColumn("bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(4 * partitions(k.sparkSession))))
     got = k.groupBy("bucket").applyInPandas(partial(_bucket_pairs, nearest=nearest, num=num, den=den), "u long, v long, d int")
     if nearest:
         got = got.groupBy("u").agg(F.min(F.struct("d", "v")).alias("x")).select(F.col("u"), F.col("x.v").alias("v"))
@@ -254,16 +252,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     many = keys.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("lead")).filter("rows > 1").select("key", "lead")
     shared = checkpoint(keys.join(many, "key").select("key", "kix", "node", "lead"))
     keys = shared.select("key", "kix", "node")
-    named = checkpoint(keys.groupBy("node").agg(F.lit(1).alias("one")).join(classes.select("node", F.col("rep").alias("doc_id")), "node").select("node", "doc_id"))
+    named = keys.groupBy("node").agg(F.lit(1).alias("one")).join(classes.select("node", F.col("rep").alias("doc_id")), "node").select("node", "doc_id")
     sets = full_sets(docs, named, size)
-    seen = checkpoint(classes.select("node", "sig", "n_shingles").join(sets.select("node", "wide"), "node"))
+    seen = classes.select("node", "sig", "n_shingles").join(sets.select("node", "wide"), "node")
     # leaders: each class meets the leader that most of its keys have
     first = shared.filter("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("hits"))
     first = first.groupBy("node").agg(F.max(F.struct("hits", "lead")).alias("x")).select(F.col("node").alias("u"), F.col("x.lead").alias("v"))
     links = confirm(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, num, den)
     for nearest in (True, False):
         lab = components(links, hashed=True).select("node", F.col("component").alias("lab"))
-        links = checkpoint(links.unionByName(confirm(_across(keys, seen, lab, num, den, nearest), sets, num, den)))
+        links = links.unionByName(confirm(_across(keys, seen, lab, num, den, nearest), sets, num, den))
     lab = components(links, hashed=True).select("node", F.col("component").alias("lab"))
     of = classes.select("node", "rep").join(lab, "node", "left").select("node", "rep", F.coalesce("lab", "node").alias("lab"))
     least = of.groupBy("lab").agg(F.min("rep").alias("component_id"))
