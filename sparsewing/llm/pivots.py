@@ -44,7 +44,7 @@ def _describe(frames, pivots: np.ndarray):
             s = np.round(x / np.linalg.norm(x, axis=1, keepdims=True) @ p.T, 12)
             near = np.argsort(-s, axis=1, kind="stable")[:, :k].astype(np.int32)
             low = np.sort(near, axis=1)
-            raw = [r.tobytes() for r in x.astype(np.float64)]
+            raw = [r.tobytes() for r in x.astype(np.float32)]  # the table's own components
             desc = [r.tobytes() for r in low]
             if k < 2:
                 yield pd.DataFrame({"label": g.label, "d": d, "a": 0, "b": 0, "cid": g.cid, "rows": g.rows, "x": raw, "desc": desc})
@@ -79,7 +79,7 @@ def _judge(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
         if e - s < 2:
             continue
         g = f.iloc[s:e]
-        x = np.frombuffer(b"".join(g.x), dtype=np.float64).reshape(e - s, -1)
+        x = np.frombuffer(b"".join(g.x), dtype=np.float32).reshape(e - s, -1).astype(np.float64)
         desc = np.frombuffer(b"".join(g.desc), dtype=np.int32).reshape(e - s, -1)
         norm = np.sqrt((x * x).sum(axis=1))
         same = key[s, 4] == key[s, 5]
