@@ -48,7 +48,7 @@ def with_rule(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
             fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p)
             action, rule = F.when(fits, F.lit(a)).otherwise(action), F.when(fits, F.lit(h + p)).otherwise(rule)
         return df.withColumns({"action": action, "rule": rule})
-    r = df.sparkSession.createDataFrame([(i, a, h, p) for i, (a, h, p) in enumerate(ranked)], "pos int, a string, h string, p string")
+    r = df.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(a).alias("a"), F.lit(h).alias("h"), F.lit(p).alias("p")) for i, (a, h, p) in enumerate(ranked)])))
     keys = df.select("host", "path").distinct()
     parts = F.split("host", r"\.")
     up = keys.withColumn("h", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))))
