@@ -129,9 +129,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         pivots[i, : len(r.embedding)] = r.embedding
     listed = classes.select("cid", "rows", "label", "embedding").mapInPandas(partial(_describe, pivots=pivots), "label long, d int, a int, b int, cid long, rows long, x binary, desc binary")
     path = checkpoint(listed)
-    long_ = path.groupBy("label", "d", "a", "b").agg(F.count("*").alias("m")).filter("m > 1")
-    k = path.join(long_, ["label", "d", "a", "b"])
-    k = k.withColumn("nb", F.ceil(F.col("m") / ROWS).cast("int")).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    # only lists that are cut need their length; they are few, so the entries stay where they are
+    long_ = checkpoint(path.groupBy("label", "d", "a", "b").agg(F.count("*").alias("m")).filter(F.col("m") > ROWS))
+    k = path.join(F.broadcast(long_) if long_.count() <= 500_000 else long_, ["label", "d", "a", "b"], "left")
+    k = k.withColumn("nb", F.ceil(F.coalesce("m", F.lit(1)) / ROWS).cast("int")).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     k = k.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"lo": F.least("blk", "o"), "hi": F.greatest("blk", "o")})
     buckets = max(partitions(spark), n * NEAREST * (NEAREST - 1) // 2 // 20_000)
     k = k.withColumn("bucket", F.pmod(F.xxhash64("label", "d", "a", "b", "lo", "hi"), F.lit(buckets))).drop("nb", "o", "m")
