@@ -1,15 +1,22 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-Each vector is described by its ``NEAREST`` reference points in order of nearness (cosine). The reference points are the
-vectors with the smallest hashes of their ids, ``max(64, sqrt(n) / 2)`` of them: a bounded sample that only shapes the index;
-every vector is indexed. The inverted lists are keyed by pairs of pivots, so two vectors meet as soon as their
-nearest pivots have two in common, and once for every further shared pair; a pair is judged only under the smallest pair
-of its shared pivots. Vectors within the threshold that share fewer than two of their nearest pivots are missed; the
-tests measure recall against brute force (at least 0.9 is asked; it is 1 on the test tables).
+Reference points (pivots) are vectors with small hashes of their ids, ``max(64, sqrt(n) / 2)`` of them, spread out: of
+``POOL`` times as many candidates, those within twice the threshold's angle of an earlier one are passed over. They only
+shape the index; every vector is indexed, in one of two ways.
+
+A vector within twice the threshold's angle of its nearest pivot has this pivot as its home. Whatever is within the
+threshold of it lies, by the triangle inequality, within three times the angle of its home, and all vectors that near to
+a pivot are in the pivot's own list. So no link of a vector with a home is missed, however dense its surroundings are.
+
+Vectors without a home are described by their ``NEAREST`` pivots (cosine). Their lists are keyed by pairs of pivots, so two
+of them meet as soon as their nearest pivots have two in common, and once for every further shared pair; a pair is judged
+only under the smallest pair of its shared pivots. Vectors within the threshold, both without a home, that share fewer
+than two of their nearest pivots are missed; the tests measure recall against brute force (at least 0.9 is asked; it is
+1 on the test tables).
 
 Judging computes the cosine in double precision and keeps pairs at or above the threshold. No pair leaves its task: a task
 returns how many vectors each vector is linked with and a spanning forest of its links. Long lists are cut into blocks
-of ``ROWS`` vectors, block pairs are dealt over buckets, and equal vectors of one label are one entry with a count.
+of ``ROWS`` vectors (a pivot's own list of ``HOME_ROWS``), block pairs are dealt over buckets, and equal vectors of one label are one entry with a count.
 
 Edge cases: null labels, null or zero vectors and vectors with null or non-finite components link with nothing; vectors
 of different length are never compared; repeated rows are vectors of their own; a null id counts as a link of others, and
@@ -29,11 +36,26 @@ from pyspark.sql import functions as F
 from sparsewing.llm.common import bound_batches, checkpoint, partitions
 from sparsewing.llm.graph import components
 
-NEAREST, ROWS = 6, 512
+NEAREST, ROWS, HOME_ROWS, POOL = 6, 512, 2048, 4
+
 
+def _spread(x: np.ndarray, n: int, within: float) -> np.ndarray:
+    """At most ``n`` rows of ``x`` in order, none with a cosine of ``within`` or more to an earlier one."""
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    got = np.zeros((min(n, len(x)), x.shape[1]))
+    k = 0
+    for r in x:
+        if k == len(got):
+            break
+        if not k or (got[:k] @ r).max() < within:
+            got[k] = r
+            k += 1
+    return got[:k]
 
-def _describe(frames, pivots: np.ndarray):
-    """Keys of each class: every pair of its nearest pivots."""
+
+def _describe(frames, pivots: np.ndarray, angle: float):
+    """Keys of each class: the pivots within three times the angle, as pairs of equals, and without a home every pair of its
+    nearest pivots."""
     k = min(NEAREST, len(pivots))
     for f in frames:
         for d, g in f.groupby(f.embedding.map(len)):
@@ -44,13 +66,21 @@ def _describe(frames, pivots: np.ndarray):
             s = np.round(x / np.linalg.norm(x, axis=1, keepdims=True) @ p.T, 12)
             near = np.argsort(-s, axis=1, kind="stable")[:, :k].astype(np.int32)
             low = np.sort(near, axis=1)
-            raw = [r.tobytes() for r in x.astype(np.float32)]  # the table's own components
-            desc = [r.tobytes() for r in low]
+            home = np.where(s[np.arange(len(s)), near[:, 0]] >= np.cos(min(2 * angle, np.pi)), near[:, 0], -1).astype(np.int32)
+            raw = np.array([*(r.tobytes() for r in x.astype(np.float32)), None], dtype=object)[:-1]  # the table's own components
+            desc = np.array([*(r.tobytes() for r in low), None], dtype=object)[:-1]
+
+            def rows(at, a, b, g=g, d=d, raw=raw, desc=desc, home=home):
+                return pd.DataFrame({"label": g.label.to_numpy()[at], "d": d, "a": a, "b": b, "cid": g.cid.to_numpy()[at], "rows": g.rows.to_numpy()[at], "x": raw[at], "desc": desc[at], "home": home[at]})
+
+            at, own = np.nonzero(s >= np.cos(min(3 * angle, np.pi)) - 1e-9)
+            yield rows(at, own.astype(np.int32), own.astype(np.int32))
+            at = np.flatnonzero(home < 0)
             if k < 2:
-                yield pd.DataFrame({"label": g.label, "d": d, "a": 0, "b": 0, "cid": g.cid, "rows": g.rows, "x": raw, "desc": desc})
+                yield rows(at, -1, -1)
             for i in range(k):
                 for j in range(i + 1, k):
-                    yield pd.DataFrame({"label": g.label.to_numpy(), "d": d, "a": low[:, i], "b": low[:, j], "cid": g.cid.to_numpy(), "rows": g.rows.to_numpy(), "x": raw, "desc": desc})
+                    yield rows(at, low[at, i], low[at, j])
 
 
 def _forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -81,6 +111,7 @@ def _judge(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
         g = f.iloc[s:e]
         x = np.frombuffer(b"".join(g.x), dtype=np.float32).reshape(e - s, -1).astype(np.float64)
         desc = np.frombuffer(b"".join(g.desc), dtype=np.int32).reshape(e - s, -1)
+        home = g.home.to_numpy()
         norm = np.sqrt((x * x).sum(axis=1))
         same = key[s, 4] == key[s, 5]
         cut = e - s if same else int((g.blk.to_numpy() == key[s, 4]).sum())
@@ -94,7 +125,17 @@ def _judge(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
                 p, q = p[p < q], q[p < q]
             exact = (x[p] * x[q]).sum(axis=1) / (norm[p] * norm[q])
             p, q = p[exact >= threshold], q[exact >= threshold]
-            # the pair belongs to the key of its two smallest shared pivots
+            if key[s, 2] == key[s, 3] >= 0:
+                # the pair belongs to the smaller home of the two
+                h, o = np.minimum(home[p], home[q]), np.maximum(home[p], home[q])
+                own = np.where(h >= 0, h, o) == key[s, 2]
+                p, q = inv[s + p[own]], inv[s + q[own]]
+                np.add.at(links, p, rows[q])
+                np.add.at(links, q, rows[p])
+                us.append(p)
+                vs.append(q)
+                continue
+            # without a home, to the key of its two smallest shared pivots
             hit = (desc[p][:, :, None] == desc[q][:, None, :]).any(axis=2)
             mine = hit & (np.cumsum(hit, axis=1) <= 2)
             first = desc[p, mine.argmax(axis=1)]
@@ -122,17 +163,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     good = v.filter("cid is not null")
     classes = checkpoint(good.groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("rows"), F.first("label").alias("label"), F.first("embedding").alias("embedding")))
     n = classes.count()
-    sample = classes.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(max(64, isqrt(n) // 2)).collect()
+    most = max(64, isqrt(n) // 2)
+    sample = classes.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(POOL * most).collect()
     width = max((len(r.embedding) for r in sample), default=1)
     pivots = np.zeros((len(sample), width))
     for i, r in enumerate(sample):
         pivots[i, : len(r.embedding)] = r.embedding
-    listed = classes.select("cid", "rows", "label", "embedding").mapInPandas(partial(_describe, pivots=pivots), "label long, d int, a int, b int, cid long, rows long, x binary, desc binary")
+    angle = float(np.arccos(threshold))
+    pivots = _spread(pivots, most, float(np.cos(min(2 * angle, np.pi))))
+    listed = classes.select("cid", "rows", "label", "embedding").mapInPandas(partial(_describe, pivots=pivots, angle=angle), "label long, d int, a int, b int, cid long, rows long, x binary, desc binary, home int")
     path = checkpoint(listed)
     # only lists that are cut need their length; they are few, so the entries stay where they are
     long_ = checkpoint(path.groupBy("label", "d", "a", "b").agg(F.count("*").alias("m")).filter(F.col("m") > ROWS))
     k = path.join(F.broadcast(long_) if long_.count() <= 500_000 else long_, ["label", "d", "a", "b"], "left")
-    k = k.withColumn("nb", F.ceil(F.coalesce("m", F.lit(1)) / ROWS).cast("int")).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    k = k.withColumn("nb", F.ceil(F.coalesce("m", F.lit(1)) / F.when(F.col("a") == F.col("b"), HOME_ROWS).otherwise(ROWS)).cast("int")).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     k = k.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"lo": F.least("blk", "o"), "hi": F.greatest("blk", "o")})
     buckets = max(partitions(spark), n * NEAREST * (NEAREST - 1) // 2 // 20_000)
     k = k.withColumn("bucket", F.pmod(F.xxhash64("label", "d", "a", "b", "lo", "hi"), F.lit(buckets))).drop("nb", "o", "m")

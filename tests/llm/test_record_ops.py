@@ -103,6 +103,25 @@ def test_pivots_against_brute_force(spark):
     assert pivots.near_vectors(df.limit(0)).count() == 0
 
 
+def test_pivots_in_a_dense_group(spark):
+    """A third of the rows, none equal, within the threshold of each other: no link is missed."""
+    g = np.random.default_rng(7)
+    c = g.standard_normal(64)
+    c /= np.linalg.norm(c)
+    near = c + g.standard_normal((200, 64)) * 0.0135
+    rest = g.standard_normal((400, 64))
+    x = np.concatenate([near, rest, rest[:50] + g.standard_normal((50, 64)) * 0.1]).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3)
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    link = y @ y.T >= 0.98
+    np.fill_diagonal(link, False)
+    assert link[:200, :200].sum() > 30_000 and link[200:].sum() >= 90
+    comp = reach(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(link), strict=True) if a < b])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pivots.near_vectors(df).collect()}
+    assert got == {i: (int(link[i].sum()), comp[i], comp[i] == i) for i in range(len(x))}
+
+
 def test_warc_round_trip(spark, tmp_path):
     g = random.Random(5)
     body = ["", "<p>x</p>", "é\r\n\r\nWARC/1.1", "x" * 5000]
