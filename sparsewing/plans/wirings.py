@@ -133,6 +133,15 @@ def wcc(spark, d):
     return components(x.select(F.col("dim").alias("u"), (F.col("cell") + 1000).alias("v")))
 
 
+@query()
+def wcc_all(spark, d):
+    """Weakly connected components of the whole graph: every entry counts, whatever its weight. Nodes as in ``wcc``."""
+    from sparsewing.operators.graph import components
+
+    x = measured(spark, d, 1)
+    return components(x.select(F.col("dim").alias("u"), (F.col("cell") + 1000).alias("v")))
+
+
 # ---------------------------------------------------------------- generators
 @query(sql("wir", "SELECT dim, cell, CAST(w AS BIGINT) AS w FROM wir"))
 def fly_wiring(spark, d):

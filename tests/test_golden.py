@@ -242,3 +242,24 @@ def test_breadth_ignores_what_is_missing(spark):
     r = spark.createDataFrame([(0, "a", 0.5), (3, "a", 0.1), (0, "b", 0.0), (1, "b", 0.5), (2, "b", 0.0), (3, "b", 0.5)], "item long, dim string, v double")
     assert {x.dim: x.b for x in r.groupBy("dim").agg(F.avg((F.col("v") > 0.2).cast("int")).alias("b")).collect()} == {"a": 0.5, "b": 0.5}
     assert isclose(sqrt(4), 2)
+
+
+def test_components_of_the_whole_graph(spark, tmp_path):
+    """Light edges join components too, and their nodes are not left out."""
+    from sparsewing import catalog
+
+    at = str(tmp_path)
+    lines = [(1, 1, 200), (1, 2, 3), (2, 2, 1), (2, 3, 160), (3, 4, 1), (4, 5, 149)]
+    spark.createDataFrame([(s, p, q, "N") for s, p, q in lines], "l_suppkey long, l_partkey long, l_quantity long, l_returnflag string").write.parquet(f"{at}/lineitem.parquet")
+    spark.createDataFrame([(s, s) for s in range(1, 6)], "s_suppkey long, s_nationkey int").write.parquet(f"{at}/supplier.parquet")
+    spark.createDataFrame([(n, f"n{n}", 0) for n in range(1, 6)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{at}/nation.parquet")
+    spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string").write.parquet(f"{at}/region.parquet")
+    got = {r.node: r.component for r in catalog.QUERIES["wcc_all"](spark, at).collect()}
+    want = {}
+    for s, p, _ in lines:  # brute force: labels fall until nothing changes
+        want |= {s: s, 1000 + p: 1000 + p}
+    for _ in want:
+        for s, p, _ in lines:
+            want[s] = want[1000 + p] = min(want[s], want[1000 + p])
+    assert got == want and len(set(want.values())) == 3
+    assert 3 not in {r.node for r in catalog.QUERIES["wcc"](spark, at).collect()}
