@@ -107,8 +107,9 @@ def wilson(spark, d):
 _METHODS = "SELECT p_brand || '/' || p_size AS method, min(p_size) AS ops, CAST(count(*) AS BIGINT) AS bits, round(avg(p_retailprice), 4) AS quality FROM part WHERE p_size <= 20 GROUP BY p_brand, p_size"
 
 
-def _methods(spark, d):
-    x = tables.table(spark, d, "part").filter("p_size <= 20").groupBy("p_brand", "p_size").agg(F.min("p_size").alias("ops"), F.count("*").alias("bits"), F.round(F.avg("p_retailprice"), 4).alias("quality"))
+def _methods(spark, d, top=20):
+    p = tables.table(spark, d, "part")
+    x = (p.filter(F.col("p_size") <= top) if top else p).groupBy("p_brand", "p_size").agg(F.min("p_size").alias("ops"), F.count("*").alias("bits"), F.round(F.avg("p_retailprice"), 4).alias("quality"))
     return x.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("method"), "ops", "bits", "quality")
 
 
@@ -117,6 +118,15 @@ def pareto(spark, d):
     return i.pareto(_methods(spark, d), ["ops", "bits"], "quality")
 
 
+_EVERY = _METHODS.replace(" WHERE p_size <= 20", "")
+
+
+@query(f"WITH m AS ({_EVERY}) SELECT * FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.ops <= a.ops AND b.bits <= a.bits AND b.quality >= a.quality AND (b.ops < a.ops OR b.bits < a.bits OR b.quality > a.quality))")
+def pareto_all(spark, d):
+    """As ``pareto``, over the methods of every size."""
+    return i.pareto(_methods(spark, d, None), ["ops", "bits"], "quality")
+
+
 _T39 = numbers.t_quantile(0.975, 39)
 
 

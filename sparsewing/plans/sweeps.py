@@ -61,7 +61,7 @@ def convergence(spark, d):
     from sparsewing.operators import generators
     from sparsewing.plans.wirings import measured
 
-    x, out = measured(spark, d, 100), None
+    x, out = measured(spark, d), None
     for sweeps in (1, 2, 5, 10):
         g = generators.curveball(x, 3, sweeps)
         j = g.join(x.select("dim", "cell", F.lit(1).alias("same")), ["dim", "cell"], "left").groupBy("draw").agg(F.count("same").alias("kept"), F.count("*").alias("n"))

@@ -174,7 +174,7 @@ def degenerate(spark, d):
 
 
 def _small(spark, d):
-    """The heaviest part of the measured wiring, small enough for many chains."""
+    """The heaviest part of the measured wiring, as the SQL of these queries has it; those named ``_all`` take the whole."""
     return measured(spark, d, 100)
 
 
@@ -209,10 +209,41 @@ def curveball_weights(spark, d):
     return generators.curveball(_small(spark, d), 3).groupBy("draw", "cell").agg(F.sum("w").alias("weight"))
 
 
+_W50_MARGINS = "SELECT draw, 'dim' AS side, dim AS id, count(*) AS n FROM w50, range(3) t(draw) GROUP BY ALL UNION ALL SELECT draw, 'cell', cell, count(*) FROM w50, range(3) t(draw) GROUP BY ALL"
+
+
+@query(sql("w50", _W50_MARGINS))
+def curveball_margins_all(spark, d):
+    """As ``curveball_margins``, over the whole measured wiring."""
+    return generators.margins(generators.curveball(measured(spark, d), 3))
+
+
+@query(sql("w50", _W50_MARGINS))
+def margin_control_margins_all(spark, d):
+    return generators.margins(generators.margin_control(measured(spark, d), 3, False, False))
+
+
+@query(sql("w50", _W50_MARGINS))
+def diversify_margins_all(spark, d):
+    return generators.margins(generators.diversify(measured(spark, d), 3))
+
+
+@query(sql("w50", "SELECT draw, min(n) AS least, max(n) AS most, CAST(sum(n) AS BIGINT) AS nnz FROM (SELECT draw, r, n // k + CASE WHEN r <= n % k THEN 1 ELSE 0 END AS n FROM (SELECT count(*) AS n, count(DISTINCT dim) AS k FROM w50), range(1, 1000) s(r), range(3) t(draw) WHERE r <= k) GROUP BY draw"))
+def balanced_margins_all(spark, d):
+    x = generators.margins(generators.margin_control(measured(spark, d), 3, False, True)).filter("side = 'dim'")
+    return x.groupBy("draw").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("nnz"))
+
+
+@query(sql("w50", "SELECT draw, cell, CAST(sum(w) AS BIGINT) AS weight FROM w50, range(3) t(draw) GROUP BY ALL"))
+def curveball_weights_all(spark, d):
+    return generators.curveball(measured(spark, d), 3).groupBy("draw", "cell").agg(F.sum("w").alias("weight"))
+
+
 @query()
 def curveball_q(spark, d):
     """The co-occurrence statistic of the measured wiring (draw -1) and of random wirings with its margins."""
-    x = _small(spark, d).select(F.lit(-1).cast("bigint").alias("draw"), "dim", "cell").unionByName(generators.curveball(_small(spark, d), 5).select("draw", "dim", "cell"))
+    w50 = measured(spark, d)
+    x = w50.select(F.lit(-1).cast("bigint").alias("draw"), "dim", "cell").unionByName(generators.curveball(w50, 5).select("draw", "dim", "cell"))
     a, b = x.select("draw", "cell", F.col("dim").alias("a")), x.select("draw", "cell", F.col("dim").alias("b"))
     o = a.join(b, ["draw", "cell"]).filter("a < b").groupBy("draw", "a", "b").count()
     return o.groupBy("draw").agg(F.sum(F.col("count") * F.col("count")).alias("q"))

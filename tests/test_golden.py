@@ -263,3 +263,16 @@ def test_components_of_the_whole_graph(spark, tmp_path):
             want[s] = want[1000 + p] = min(want[s], want[1000 + p])
     assert got == want and len(set(want.values())) == 3
     assert 3 not in {r.node for r in catalog.QUERIES["wcc"](spark, at).collect()}
+
+
+def test_null_models_cover_the_measured_wiring(spark):
+    """No entry of the default wiring is left out of the random wirings and their statistic."""
+    from sparsewing import catalog
+    from sparsewing.operators import wiring as w
+    from sparsewing.plans.wirings import measured
+
+    sf = "/root/testdata/sf0.001"
+    q = {r.draw: r.q for r in catalog.QUERIES["curveball_q"](spark, sf).collect()}
+    assert q[-1] == w.co_occurrence(measured(spark, sf)).first().q and len(q) == 6
+    cells = {r.cell for r in measured(spark, sf).select("cell").distinct().collect()}
+    assert {r.id for r in catalog.QUERIES["curveball_margins_all"](spark, sf).filter("side = 'cell'").collect()} == cells
