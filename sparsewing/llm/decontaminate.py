@@ -7,7 +7,8 @@ windows are found by backward search through wavelet-tree ranks, their places by
 spans are merged per document.
 
 The benchmark is read in blocks of about ``BENCH_CHARS`` characters, each sent to the tasks in turn, so that what is
-broadcast has a bound whatever the benchmark's size; with several blocks the spans of a document are merged afterwards.
+broadcast has a bound whatever the benchmark's size; with several blocks each row of the documents gets a key, once, and
+the blocks' spans are merged by it.
 
 Edge cases: null or wordless texts have no words, no hits and are clean; null or wordless items match nothing; equal
 items count each with its own id, null item ids are left out; repeated documents are judged row by row; an empty
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparsewing.llm.common import SIGN, Words, blocks, bound_batches, bytes_of, words_of
+from sparsewing.llm.common import SIGN, Words, blocks, bound_batches, bytes_of, words_of, write_table
 from sparsewing.llm.fmindex import FMIndex
 
 SHARD_WORDS, BENCH_CHARS = 1 << 20, 2_000_000
@@ -58,12 +59,12 @@ class Windows:
         self.least = int(self.length.min()) if len(self.rows) else 0
 
 
-OUT = "doc_id long, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
+OUT = "n_words long, spans array<struct<s:int,e:int>>, items array<string>"
 
 
 def _flush(held: list, win: Windows):
-    """Builds the index of a shard and yields its documents' rows. held: (ids, n_words, run doc, run word, run length, symbols)."""
-    ids = pa.concat_arrays([h[0] for h in held])
+    """Builds the index of a shard and yields its documents' rows. held: (columns kept, n_words, run doc, run word, run length, symbols)."""
+    kept = pa.Table.from_batches([h[0] for h in held]).combine_chunks()
     n = np.concatenate([h[1] for h in held])
     base = np.cumsum([0, *[len(h[1]) for h in held]])
     doc = np.concatenate([h[2] + b for h, b in zip(held, base, strict=False)])
@@ -91,7 +92,7 @@ def _flush(held: list, win: Windows):
         for r, k in got.tolist():
             items[r].extend(win.item[win.item_upto[k] : win.item_upto[k + 1]].tolist())
         items = [sorted({win.ids[k] for k in x}) if x else [] for x in items]
-    yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+    yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in kept.columns), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], names=[*kept.column_names, "n_words", "spans", "items"])
 
 
 def _scan(batches, win: Windows):
@@ -112,7 +113,7 @@ def _scan(batches, win: Windows):
         keep = e - s >= max(win.least, 1)
         s, e = s[keep], e[keep]
         idx = np.repeat(s - np.concatenate(([0], np.cumsum(e - s)[:-1])) if len(s) else s, e - s) + np.arange(int((e - s).sum()))
-        held.append((b.column(b.schema.get_field_index("doc_id")), w.n, w.doc[s], s - w.count_upto[w.doc[s]], e - s, at[idx] + 1))
+        held.append((b.select([c for c in b.schema.names if c != "text"]), w.n, w.doc[s], s - w.count_upto[w.doc[s]], e - s, at[idx] + 1))
         words += len(idx) + len(w.n)
         if words >= SHARD_WORDS:
             yield from _flush(held, win)
@@ -121,26 +122,30 @@ def _scan(batches, win: Windows):
         yield from _flush(held, win)
 
 
-def contamination(docs: DataFrame, bench: DataFrame, size: int = 13) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, spans): words of each document that lie in an occurrence of a window of
-    ``size`` item words, the items found, and the merged spans [s, e) of words."""
+def contamination(docs: DataFrame, bench: DataFrame, size: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ``keep``, n_words, n_hit, n_items, items, spans), one row per document: words that lie in an occurrence of a
+    window of ``size`` item words, the items found, and the merged spans [s, e) of words. ``keep``: columns to carry along."""
     spark = docs.sparkSession
     bound_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
     bench = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
     chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(chars / BENCH_CHARS))
+    if n > 1:
+        docs = write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    named = [f for f in docs.schema.fields if f.name != "text"]
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in named), OUT])
     found = None
     for k in range(n):
         rows = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
         win = spark.sparkContext.broadcast(Windows([r.item_id for r in rows], [r.text for r in rows], size))
-        part = docs.mapInArrow(lambda it, win=win: _scan(it, win.value), OUT)
+        part = docs.mapInArrow(lambda it, win=win: _scan(it, win.value), out)
         found = part if found is None else found.unionByName(part)
     if n > 1:
-        found = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        found = found.groupBy(*(f.name for f in named), "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         step = "case when size(a) > 0 and element_at(a, -1).e >= x.s then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, greatest(element_at(a, -1).e, x.e) as e))) else concat(a, array(x)) end"
         found = found.withColumn("spans", F.expr(f"aggregate(array_sort(spans), cast(array() as array<struct<s:int,e:int>>), (a, x) -> {step})"))
-    return found.select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + (x.e - x.s))").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), "spans")
+    return found.select("doc_id", *keep, "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + (x.e - x.s))").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), "spans")
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -95,6 +95,19 @@ def test_contamination_against_brute_force(spark, monkeypatch):
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
+def test_contamination_of_repeated_and_null_ids(spark, monkeypatch):
+    """Every row is judged by itself, whatever its id and however many blocks the benchmark has."""
+    items = {i: " ".join(f"w{i}x{k}" for k in range(8)) for i in range(20)}
+    rows = [(i, t) for i in (7, None) for t in (items[3] + " a b", items[12] + " a b", "c d e f g h i j k l", "c d e f g h i j k l")]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((i or 0, 10, 8 * (t[0] == "w"), [x for x in ("3", "12") if items[int(x)] in t]) for i, t in rows)
+    for chars in (decontaminate.BENCH_CHARS, 100):
+        monkeypatch.setattr(decontaminate, "BENCH_CHARS", chars)
+        got = decontaminate.contamination(df, bench, 5).collect()
+        assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.items) for r in got) == want
+
+
 def test_language_mixtures(spark):
     g = random.Random(8)
     syl = {"xx": ["ta", "ko", "ri", "mo"], "yy": ["sch", "ung", "ein", "ber"], "zz": ["eau", "oui", "ille", "é"]}
