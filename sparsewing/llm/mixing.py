@@ -73,11 +73,12 @@ def schedule(spark, per: DataFrame, block: int, slots: int) -> DataFrame:
     return both.select("sid", "rank", "slot", F.least(F.lit(block), F.col("words") - F.col("rank") * block).cast("long").alias("n"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 17, slots: int = SLOTS) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) to (doc_id, size, source_size, target, taken), one row per document."""
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 17, slots: int = SLOTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...) to (doc_id, ``keep``, size, source_size, target, taken), one row per document.
+    ``keep``: columns to carry along."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    rows = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *keep))
     per = checkpoint(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).select("source", "source_size"), share, cap))
     total = int(per.agg(F.sum("target")).first()[0] or 0)
     block = max(1, math.ceil(total / slots))
@@ -90,7 +91,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 17, s
     sums = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("words")).withColumn("before", F.sum("words").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("words"))
     w = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = keyed.join(sums.select("sid", "bucket", "before"), ["sid", "bucket"]).withColumn("at", F.sum("size").over(w) - F.col("size") + F.col("before"))
-    placed = checkpoint(placed.select("doc_id", "sid", "size", "source_size", "target", "at").withColumn("uid", F.monotonically_increasing_id()))
+    placed = checkpoint(placed.select("doc_id", *keep, "sid", "size", "source_size", "target", "at").withColumn("uid", F.monotonically_increasing_id()))
     # pieces: a document's stretch of each block that it meets, lap after lap while the target reaches it
     laps = placed.filter("size > 0 and target > at").withColumn("lap", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("target") / F.col("source_size")).cast("int") - 1))))
     laps = laps.withColumn("s", F.col("at") + F.col("lap") * F.col("source_size")).withColumn("e", F.col("s") + F.col("size")).filter("s < target + 1")
@@ -98,4 +99,4 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 17, s
     piece = piece.select("uid", "sid", "rank", F.greatest(F.lit(0), F.col("s") - F.col("rank") * block).alias("a"), F.least(F.lit(block), F.col("e") - F.col("rank") * block).alias("b"))
     got = piece.join(schedule(spark, per, block, slots), ["sid", "rank"]).groupBy("uid").agg(F.sum(F.greatest(F.lit(0), F.least("b", "n") - F.col("a"))).alias("taken"))
     out = placed.join(got, "uid", "left")
-    return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", *keep, "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -64,3 +64,24 @@ def test_stages(spark, sf_dir, tmp_path):
             for source, t in target:
                 assert abs(sum(r.taken for r in after.values() if r.source == source) - t) <= 1
     assert corpus_pipeline.run(spark, sf_dir).count() == held[-1]
+
+
+def test_null_and_repeated_ids(spark, sf_dir):
+    """Rows are judged by themselves: an id that repeats or is null neither loses nor spares a document."""
+    g = random.Random(4)
+    new = lambda n: " ".join("".join(g.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, c, e = new(60), new(70), new(80), new(90)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name, rows):
+        df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        return stages[name](spark, df, sf_dir).collect()
+
+    got = run("minhash_near_dedup", [(3, a), (3, a), (3, b), (None, c), (None, e), (5, a + " x")])
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(3, a), (3, b), (0, c), (0, e)])
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    got = run("benchmark_decontamination", [(3, item), (3, b), (None, c), (None, item)])
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(3, b), (0, c)])
+    got = run("source_mixing", [(3, a), (3, b), (None, c), (None, e)])
+    assert sorted((r.doc_id or 0, r.text, r.size) for r in got) == sorted([(3, a, 60), (3, b, 70), (0, c, 80), (0, e, 90)])
+    assert abs(sum(r.taken for r in got) - 450) <= 1
