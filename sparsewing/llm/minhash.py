@@ -10,7 +10,8 @@ Method
   3. Pairs are not enumerated inside a key. First each class meets only its keys' leaders; what that links becomes one
      component. Keys that then hold a single component are done. In the others each class meets its nearest partner of
      another component, and last all pairs across components that are still within the radius. Classes that share a key
-     also have a wide signature of 2048 bits, which leaves out pairs far below the threshold. Keys with many rows are
+     also have a wide signature of 2048 bits, which leaves out pairs far below the threshold, unless a
+     set is small. Keys with many rows are
      cut into blocks of ``ROWS`` rows, and block pairs are dealt out over buckets of equal size.
   4. Every link is confirmed on the full shingle sets with integers: den * |A n B| >= num * |A u B|.
 
@@ -42,6 +43,8 @@ _MUL = mix64(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U
 #: Bits of the wide signature, and the distance beyond which a pair is not looked at: at a similarity of 0.8 the distance is
 #: 205 with a deviation of 13.6.
 WIDE, WIDE_RADIUS = 2048, 262
+#: Sets of fewer shingles are confirmed without a look at the wide signature.
+SMALL = 64
 _WIDE = mix64(np.arange(101, 101 + WIDE, dtype=U64) * U64(0xE7037ED1A0B428DB)) | U64(1)
 _MIX = mix64(np.arange(11, 75, dtype=U64)) | U64(1)
 
@@ -139,7 +142,7 @@ def _near(a: np.ndarray, b: np.ndarray, sig, wide, n, lab, kix, num: int, den: i
     ok = kix[a] == chunk * WIDTH + off[row, chunk].argmax(axis=1)
     a, b = a[ok], b[ok]
     d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int32)
-    ok = d <= WIDE_RADIUS
+    ok = (d <= WIDE_RADIUS) | (np.minimum(n[a], n[b]) < SMALL)
     return a[ok], b[ok], d[ok]
 
 
@@ -190,6 +193,16 @@ def _across(keys: DataFrame, classes: DataFrame, lab: DataFrame, num: int, den:
     return got.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
 
 
+def wide_bits(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A bit of each of ``WIDE`` minima of each set. A minimum is mixed first: a bit of the bare product depends on the bits
+    below it only, so that those of a small set would go together."""
+    bits = np.zeros((len(at), WIDE), dtype=np.uint8)
+    for k in range(0, WIDE, 64):
+        low = np.stack([np.minimum.reduceat(h * m, at) for m in _WIDE[k : k + 64]], axis=1)
+        bits[:, k : k + 64] = mix64(low).astype(np.uint8) & 1
+    return bits
+
+
 def _sets(batches, size: int):
     """The full set of each text and its wide signature: one bit of each of ``WIDE`` minima."""
     for b in blocks(batches):
@@ -207,10 +220,7 @@ def _sets(batches, size: int):
             continue
         node = node[full][right]
         h, at = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])[:-1]))
-        bits = np.zeros((len(sets), WIDE), dtype=np.uint8)
-        for k in range(WIDE):
-            bits[:, k] = (np.minimum.reduceat(h * _WIDE[k], at) >> U64(9)).astype(np.uint8) & 1
-        wide = np.packbits(bits, axis=1).tobytes()
+        wide = np.packbits(wide_bits(h, at), axis=1).tobytes()
         step = WIDE // 8
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([wide[i * step : (i + 1) * step] for i in range(len(sets))], pa.binary())], names=["node", "items", "wide"])
 

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from sparsewing.llm import minhash
 from sparsewing.llm.minhash import near_duplicates
 from tests.llm.brute import near
 
@@ -39,3 +42,20 @@ def test_empty_nulls_and_repeats(spark):
     df = spark.createDataFrame([(None, "a b c d e f", "", 0), (3, "a b c d e f", "", 0), (3, "a b c d e f", "", 0), (4, None, "", 0)], SCHEMA)
     rows = near_duplicates(df).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(False, 3, 3, True), (False, 3, 3, True), (False, 4, 4, True), (True, 0, 0, True)]
+
+
+def test_small_sets_pass_the_wide_screen():
+    """Pairs of 4 and 5 shingles (similarity exactly 0.8) are looked at whatever their wide distance, which is that of
+    independent bits."""
+    g = np.random.default_rng(3)
+    far, lost = 0, 0
+    for _ in range(20):
+        h = g.integers(0, 1 << 64, (200, 5), dtype=np.uint64)
+        sets = np.concatenate([x for r in h for x in (r[:4], r)])
+        size = np.tile([4, 5], 200)
+        wide = np.packbits(minhash.wide_bits(sets, np.cumsum(size) - size), axis=1).view(np.uint64)
+        a = np.arange(0, 400, 2)
+        far += int((np.bitwise_count(wide[a] ^ wide[a + 1]).sum(axis=1) > minhash.WIDE_RADIUS).sum())
+        sig = np.zeros((400, minhash.SYMBOLS), dtype=np.uint16)
+        lost += 200 - len(minhash._near(a, a + 1, sig, wide, size, np.arange(400), np.zeros(400, dtype=int), 80, 100)[0])
+    assert far <= 3 and lost == 0
