@@ -89,6 +89,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 #: A random word for each byte value, and powers of the base and of its inverse modulo 2**64 (grown on demand).
 BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
+#: The same for each of the first 32 places in a word.
+PLACED = mix64((np.arange(32, dtype=U64)[:, None] * U64(_BASE) + BYTE[None, :]).reshape(-1))
 _pow = np.ones(1, dtype=U64)
 _inv = np.ones(1, dtype=U64)
 
@@ -174,12 +176,20 @@ class Words:
 
     @property
     def hash(self) -> np.ndarray:
+        """The sum of one mixed value for each byte at its place in the word, mixed again with the length. A polynomial modulo
+        2**64 would not do: long words made by a substitution, such as the Thue-Morse word and its complement, collide under
+        any base."""
         if self._hash is None:
-            n = len(self.bytes)
-            p, q = powers(n + 1)
-            h = np.zeros(n + 1, dtype=U64)
-            np.cumsum(BYTE[self.bytes] * p[:n], out=h[1:])
-            self._hash = mix64((h[self.end] - h[self.start]) * q[self.start] + U64(1) * (self.end - self.start).astype(U64))
+            n = self.end - self.start
+            upto = np.cumsum(n)
+            first = upto - n
+            inside = np.arange(int(upto[-1]) if len(n) else 0)
+            place = inside - np.repeat(first, n)
+            inside += np.repeat(self.start - first, n)
+            x = PLACED[(place & 31) << 8 | self.bytes[inside]]
+            far = np.flatnonzero(place > 31)
+            x[far] = mix64(x[far] + (place[far] >> 5).astype(U64) * U64(_BASE))
+            self._hash = mix64(np.add.reduceat(x, first) + n.astype(U64)) if len(n) else np.zeros(0, dtype=U64)
         return self._hash
 
 
