@@ -7,13 +7,13 @@ Method
      chunks but for ``RADIUS // CHUNKS`` = 1 symbol. Each class therefore enters the index under every chunk with every
      choice of one wrong symbol (8 * 4 keys), and *all* pairs within the radius meet under some key. At a Jaccard
      similarity of 0.8 a pair lies outside the radius with a chance of about 1 in 10,000; closer pairs far less often.
-  3. Pairs are not enumerated inside a key. First each class meets only its keys' leaders; what that links becomes one
-     component. Keys that then hold a single component are done. In the others each class meets its nearest partner of
-     another component, and last all pairs across components that are still within the radius. Classes that share a key
-     also have a wide signature of 2048 bits, which leaves out pairs far below the threshold, unless a
-     set is small. Keys with many rows are
-     cut into blocks of ``ROWS`` rows, and block pairs are dealt out over buckets of equal size.
-  4. Every link is confirmed on the full shingle sets with integers: den * |A n B| >= num * |A u B|.
+  3. Links are confirmed where classes meet, on the full shingle sets with integers: den * |A n B| >= num * |A u B|. No
+     pair leaves its task: a task returns a spanning forest of the links that it has found, at most a row a class.
+     First each class meets the leader that most of its keys have, together with the leader's other followers, which makes
+     most components at a cost linear in the rows. Keys that then hold one component are done. The others are gathered
+     into families, by the component that has most of a key's rows: there each class of another component (a probe)
+     meets every class of the family's keys. So every pair that shares a key and is not yet linked is judged.
+     Families and followings of any size are cut into blocks of about ``ROWS`` classes and ``ITEMS`` shingles.
 
 Components are found by ``graph.components`` and carry the smallest document id.
 
@@ -35,17 +35,11 @@ from pyspark.sql import functions as F
 from sparsewing.llm.common import U64, blocks, bound_batches, checkpoint, mix64, partitions, words_of, write_table
 from sparsewing.llm.graph import components
 
-CHUNKS, WIDTH, RADIUS, ROWS = 8, 4, 15, 512
+CHUNKS, WIDTH, RADIUS, ROWS, ITEMS = 8, 4, 15, 1024, 1 << 20
 SYMBOLS = CHUNKS * WIDTH
 #: Beyond so many ids the texts to verify are found by a shuffled join instead of a broadcast one (8 bytes an id).
 BROADCAST_IDS = 2_000_000
 _MUL = mix64(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
-#: Bits of the wide signature, and the distance beyond which a pair is not looked at: at a similarity of 0.8 the distance is
-#: 205 with a deviation of 13.6.
-WIDE, WIDE_RADIUS = 2048, 262
-#: Sets of fewer shingles are confirmed without a look at the wide signature.
-SMALL = 64
-_WIDE = mix64(np.arange(101, 101 + WIDE, dtype=U64) * U64(0xE7037ED1A0B428DB)) | U64(1)
 _MIX = mix64(np.arange(11, 75, dtype=U64)) | U64(1)
 
 
@@ -116,95 +110,11 @@ def _keys(frames):
                 for i in range(WIDTH):
                     if i != wrong:
                         k = k * U64(1 << 16) + s[:, c, i] + U64(1)
-                yield pd.DataFrame({"key": mix64(k ^ (U64(c * WIDTH + wrong + 1) << U64(56))).view(np.int64), "kix": c * WIDTH + wrong, "node": f.node.to_numpy()})
-
-
-def _small(n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i < j) inside each of many small groups; ``at``: first rows, ``n``: rows."""
-    first = np.repeat(at, n * (n - 1) // 2)
-    k = np.arange(len(first)) - np.repeat(np.cumsum(n * (n - 1) // 2) - n * (n - 1) // 2, n * (n - 1) // 2)
-    j = ((1 + np.sqrt(8.0 * k + 1)) / 2).astype(np.int64)
-    j -= j * (j - 1) // 2 > k
-    return first + k - j * (j - 1) // 2, first + j
-
-
-def _near(a: np.ndarray, b: np.ndarray, sig, wide, n, lab, kix, num: int, den: int):
-    """Which of the row pairs (a, b) lie within the radius and the wide signature's bound, and their wide distance. A pair
-    that meets under several keys counts under the first of them only."""
-    ok = (lab[a] != lab[b]) & (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num)
-    a, b = a[ok], b[ok]
-    off = sig[a] != sig[b]
-    ok = off.sum(axis=1) <= RADIUS
-    a, b, off = a[ok], b[ok], off[ok].reshape(-1, CHUNKS, WIDTH)
-    wrong = off.sum(axis=2)
-    chunk = (wrong <= 1).argmax(axis=1)
-    row = np.arange(len(a))
-    ok = kix[a] == chunk * WIDTH + off[row, chunk].argmax(axis=1)
-    a, b = a[ok], b[ok]
-    d = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int32)
-    ok = (d <= WIDE_RADIUS) | (np.minimum(n[a], n[b]) < SMALL)
-    return a[ok], b[ok], d[ok]
-
-
-def _bucket_pairs(f: pd.DataFrame, nearest: bool, num: int, den: int) -> pd.DataFrame:
-    """Pairs of many keys dealt to one call; a large key comes as pairs of blocks (lo, hi)."""
-    f = f.sort_values(["key", "lo", "hi", "blk", "node"], ignore_index=True)
-    sig, node, lab, n, kix = _sigs(f.sig), f.node.to_numpy(), f.lab.to_numpy(), f.n.to_numpy(), f.kix.to_numpy()
-    wide = np.frombuffer(b"".join(f.wide), dtype=U64).reshape(len(f), -1)
-    k = f[["key", "lo", "hi"]].to_numpy()
-    at = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1))))
-    rows = np.diff(np.concatenate((at, [len(f)])))
-    few = (rows <= 32) & (f.lo.to_numpy()[at] == f.hi.to_numpy()[at])
-    found = []
-    step = 256
-    for i in range(0, int(few.sum()), step):
-        found.append(_near(*_small(rows[few][i : i + step], at[few][i : i + step]), sig, wide, n, lab, kix, num, den))
-    for s, m in zip(at[~few].tolist(), rows[~few].tolist(), strict=True):
-        blk = f.blk.to_numpy()[s : s + m]
-        cut = s + int(np.searchsorted(blk, f.lo.iloc[s], side="right"))
-        same = f.lo.iloc[s] == f.hi.iloc[s]
-        for i in range(s, s + m if same else cut, 64):
-            rest = np.arange(i if same else cut, s + m)
-            x, y = np.repeat(np.arange(i, min(i + 64, s + m if same else cut)), len(rest)), np.tile(rest, min(64, (s + m if same else cut) - i))
-            if same:
-                x, y = x[x < y], y[x < y]
-            found.append(_near(x, y, sig, wide, n, lab, kix, num, den))
-    a, b, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    u, v = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-    r = pd.DataFrame({"u": u, "v": v, "d": d.astype(np.int32)}).drop_duplicates(["u", "v"])
-    if nearest:
-        r = pd.concat([r, r.rename(columns={"u": "v", "v": "u"})]).sort_values(["u", "d", "v"]).drop_duplicates("u")
-    return r
-
-
-def _across(keys: DataFrame, classes: DataFrame, lab: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    """Pairs (u, v) within the radius that meet under a key and lie in different components."""
-    k = keys.join(lab, "node", "left").select("key", "kix", "node", F.coalesce("lab", "node").alias("lab"))
-    mixed = k.groupBy("key").agg(F.min("lab").alias("a"), F.max("lab").alias("b"), F.count("*").alias("rows")).filter("a <> b").select("key", "rows")
-    k = k.join(mixed, "key").join(classes.select("node", "sig", "wide", F.col("n_shingles").alias("n")), "node")
-    # the hash of a node deals the rows of a large key over its blocks
-    k = k.withColumn("nb", F.ceil(F.col("rows") / ROWS).cast("int")).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    k = k.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    k = k.select("key", "kix", "node", "lab", "sig", "wide", "n", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
-    k = k.withColumn("bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(4 * partitions(k.sparkSession))))
-    got = k.groupBy("bucket").applyInPandas(partial(_bucket_pairs, nearest=nearest, num=num, den=den), "u long, v long, d int")
-    if nearest:
-        got = got.groupBy("u").agg(F.min(F.struct("d", "v")).alias("x")).select(F.col("u"), F.col("x.v").alias("v"))
-    return got.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v")
-
-
-def wide_bits(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A bit of each of ``WIDE`` minima of each set. A minimum is mixed first: a bit of the bare product depends on the bits
-    below it only, so that those of a small set would go together."""
-    bits = np.zeros((len(at), WIDE), dtype=np.uint8)
-    for k in range(0, WIDE, 64):
-        low = np.stack([np.minimum.reduceat(h * m, at) for m in _WIDE[k : k + 64]], axis=1)
-        bits[:, k : k + 64] = mix64(low).astype(np.uint8) & 1
-    return bits
+                yield pd.DataFrame({"key": mix64(k ^ (U64(c * WIDTH + wrong + 1) << U64(56))).view(np.int64), "node": f.node.to_numpy()})
 
 
 def _sets(batches, size: int):
-    """The full set of each text and its wide signature: one bit of each of ``WIDE`` minima."""
+    """The full set of each text."""
     for b in blocks(batches):
         sets = [x for _, x in shingles(b, size)]
         # an id may stand on rows of different texts; only the named class's text counts
@@ -215,41 +125,129 @@ def _sets(batches, size: int):
         n = np.array([len(sets[i]) for i in full])
         h, at = np.concatenate([sets[i] for i in full]), np.concatenate(([0], np.cumsum(n)[:-1]))
         right = set_keys(h, at, n).view(np.int64) == node[full]
-        sets = [sets[i] for i, r in zip(full, right, strict=True) if r]
-        if not sets:
-            continue
-        node = node[full][right]
-        h, at = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])[:-1]))
-        wide = np.packbits(wide_bits(h, at), axis=1).tobytes()
-        step = WIDE // 8
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([wide[i * step : (i + 1) * step] for i in range(len(sets))], pa.binary())], names=["node", "items", "wide"])
-
-
-def _confirm(frames, num: int, den: int):
-    for f in frames:
-        keep = np.zeros(len(f), dtype=bool)
-        for i, (x, y) in enumerate(zip(f.x, f.y, strict=True)):
-            x, y = np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64)
-            if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
-                continue
-            z = np.concatenate((x, y))
-            z.sort(kind="stable")
-            both = int((z[1:] == z[:-1]).sum())
-            keep[i] = both * den >= num * (len(z) - both)
-        yield f.loc[keep, ["u", "v"]]
+        yield pa.RecordBatch.from_arrays([pa.array(node[full][right], pa.int64()), pa.array(n[right], pa.int64()), pa.array([sets[i].tobytes() for i, r in zip(full, right, strict=True) if r], pa.binary())], names=["node", "n", "items"])
 
 
 def full_sets(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
-    """(node, items, wide) of the classes in ``named`` (node, doc_id); only their texts leave the scan."""
-    few = named.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(named) if few else named, "doc_id")
-    return write_table(texts.select("node", "text").mapInArrow(partial(_sets, size=size), "node long, items binary, wide binary"), "sets")
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of nodes whose full shingle sets are similar enough."""
-    full = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("items").alias("y")), "v")
-    return checkpoint(full.select("u", "v", "x", "y").mapInPandas(partial(_confirm, num=num, den=den), "u long, v long"))
+    """(node, n, items) of the classes in ``named`` (node, doc_id); only their texts leave the scan."""
+    many = named.count()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(named) if many <= BROADCAST_IDS else named, "doc_id")
+    sets = write_table(texts.select("node", "text").mapInArrow(partial(_sets, size=size), "node long, n long, items binary"), "sets")
+    # an id that stands on several rows of one text made its class several times
+    return sets if sets.count() == many else write_table(sets.dropDuplicates(["node"]), "sets")
+
+
+# ---------------------------------------------------------------- confirming links where classes meet
+class Sets:
+    """Full sets of the rows of a group, glued and numbered, so that one row is compared with all others at once."""
+
+    def __init__(self, items: list[bytes], num: int, den: int):
+        self.n = np.array([len(x) // 8 for x in items])
+        self.at = np.cumsum(self.n) - self.n
+        kinds, self.codes = np.unique(np.frombuffer(b"".join(items), dtype=U64), return_inverse=True)
+        self.mark = np.zeros(len(kinds), dtype=np.int8)
+        self.num, self.den = num, den
+
+    def linked(self, i: int) -> np.ndarray:
+        """Which rows are similar enough to row ``i``."""
+        own = self.codes[self.at[i] : self.at[i] + self.n[i]]
+        self.mark[own] = 1
+        both = np.add.reduceat(self.mark[self.codes], self.at, dtype=np.int64)
+        self.mark[own] = 0
+        return both * self.den >= self.num * (self.n + self.n[i] - both)
+
+
+def _grow(sets: Sets) -> list[tuple[int, int]]:
+    """A spanning forest of all links of a group: a row is compared with what no row before it has reached."""
+    left, out = np.ones(len(sets.n), dtype=bool), []
+    for first in range(len(left)):
+        if not left[first]:
+            continue
+        left[first], todo = False, [first]
+        while todo and left.any():
+            i = todo.pop()
+            got = np.flatnonzero(sets.linked(i) & left)
+            left[got] = False
+            todo.extend(got.tolist())
+            out.extend((i, j) for j in got.tolist())
+    return out
+
+
+def _probe(sets: Sets, lab: np.ndarray, probes: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between probes and rows of other components."""
+    lab, out = np.unique(lab, return_inverse=True)[1], []
+    for i in probes.tolist():
+        if (lab == lab[i]).all():
+            continue
+        got = np.flatnonzero(sets.linked(i) & (lab != lab[i]))
+        for j in got[np.unique(lab[got], return_index=True)[1]].tolist():
+            out.append((i, j))
+            lab[lab == lab[j]] = lab[i]
+    return out
+
+
+def _links(f: pd.DataFrame, probing: bool, num: int, den: int) -> pd.DataFrame:
+    """(u, v) of many groups dealt to one call."""
+    f = f.sort_values(["fam", "lo", "hi", "node"], ignore_index=True)
+    k, node, items, probe = f[["fam", "lo", "hi"]].to_numpy(), f.node.to_numpy(), f["items"].to_numpy(), f.probe.to_numpy()
+    at = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1)))) if len(f) else []
+    lab = f.lab.to_numpy()
+    out = []
+    for s, e in zip(at, [*at[1:], len(f)], strict=True):
+        if e - s < 2:
+            continue
+        sets = Sets(items[s:e].tolist(), num, den)
+        got = _probe(sets, lab[s:e], np.flatnonzero(probe[s:e])) if probing else _grow(sets)
+        out.extend((node[s + i], node[s + j]) for i, j in got)
+    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+
+def _judged(rows: DataFrame, sets: DataFrame, probing: bool, num: int, den: int) -> DataFrame:
+    """Links among ``rows`` (fam, lo, hi, node, lab, probe), each group with its classes' full sets."""
+    rows = rows.join(sets, "node")
+    size = rows.agg(F.sum("n")).first()[0] or 0
+    buckets = max(partitions(rows.sparkSession), size // ITEMS)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("fam", "lo", "hi"), F.lit(buckets))).drop("n")
+    return checkpoint(rows.groupBy("bucket").applyInPandas(partial(_links, probing=probing, num=num, den=den), "u long, v long"))
+
+
+def _blocks(rows: str, items: str) -> F.Column:
+    return F.ceil(F.greatest(F.col(rows) / ROWS, F.col(items) / ITEMS)).cast("int")
+
+
+def _with_large(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """``rows`` with the blocks of the families that are cut; there is at most one in ``ROWS`` rows, and beyond a stated number of
+    them they are joined by a shuffle."""
+    return rows.join(F.broadcast(large) if large.count() <= BROADCAST_IDS // 4 else large, "fam", "left")
+
+
+def followings(shared: DataFrame, sizes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of each class with the leader that most of its keys have and the leader's other followers, in blocks."""
+    mine = shared.groupBy("node", "lead").agg(F.count("*").alias("hits")).groupBy("node").agg(F.max(F.struct("hits", "lead")).alias("x"))
+    mine = checkpoint(mine.select("node", F.col("x.lead").alias("fam")).join(sizes, "node"))
+    per = mine.filter("node <> fam").groupBy("fam").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
+    per = checkpoint(per.select("fam", _blocks("rows", "all").alias("nb")))
+    rest = _with_large(mine.filter("node <> fam"), per.filter("nb > 1")).select("fam", F.pmod(F.xxhash64("node"), F.coalesce("nb", F.lit(1))).cast("int").alias("lo"), "node")
+    lead = per.select("fam", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("lo"), F.col("fam").alias("node"))
+    rows = rest.unionByName(lead).select("fam", "lo", F.lit(0).alias("hi"), "node", F.lit(0).cast("long").alias("lab"), F.lit(False).alias("probe"))
+    return _judged(rows, sets, False, num, den)
+
+
+def families(shared: DataFrame, lab: DataFrame, sizes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between different components whose classes share a key."""
+    k = shared.join(lab, "node", "left").select("key", "node", F.coalesce("lab", "node").alias("lab"))
+    per = k.groupBy("key", "lab").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("labs"), F.max(F.struct("c", "lab")).alias("x"))
+    mixed = per.filter("labs > 1").select("key", F.col("x.lab").alias("fam"))
+    rows = k.join(mixed, "key").groupBy("fam", "node", "lab").agg(F.lit(1).alias("one")).join(sizes, "node")
+    rows = checkpoint(rows.select("fam", "node", "lab", "n", (F.col("lab") != F.col("fam")).alias("probe")))
+    per = rows.groupBy("fam").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), F.count_if("probe").alias("probes"), F.sum(F.when(F.col("probe"), F.col("n"))).alias("probed"))
+    per = checkpoint(per.select("fam", _blocks("rows", "all").alias("nb"), _blocks("probes", "probed").alias("np")).filter("nb > 1 or np > 1"))
+    rows = _with_large(rows, per).withColumns({"nb": F.coalesce("nb", F.lit(1)), "np": F.coalesce("np", F.lit(1))}).withColumns({"blk": F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"), "pb": F.pmod(F.xxhash64("node", F.lit(1)), F.col("np")).cast("int")})
+    # a class is met by the probes of every block, a probe meets the classes of every block; one entry where both are one
+    met = F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda p: F.struct(F.col("blk").alias("lo"), p.alias("hi"), (F.col("probe") & (p == F.col("pb"))).alias("probe")))
+    meets = F.when(F.col("probe"), F.filter(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: F.struct(b.alias("lo"), F.col("pb").alias("hi"), F.lit(True).alias("probe"))), lambda x: x["lo"] != F.col("blk"))).otherwise(F.array())
+    rows = rows.select("fam", "node", "lab", F.explode(F.concat(met, meets)).alias("x")).select("fam", "x.lo", "x.hi", "node", "lab", "x.probe")
+    return _judged(rows, sets, True, num, den)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -258,22 +256,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     rows = write_table(sketch(docs, size), "sketch")
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
     classes = checkpoint(classes)
-    keys = classes.select("node", "sig").mapInPandas(_keys, "key long, kix int, node long")
+    keys = classes.select("node", "sig").mapInPandas(_keys, "key long, node long")
     many = keys.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("lead")).filter("rows > 1").select("key", "lead")
-    shared = checkpoint(keys.join(many, "key").select("key", "kix", "node", "lead"))
-    keys = shared.select("key", "kix", "node")
-    named = keys.groupBy("node").agg(F.lit(1).alias("one")).join(classes.select("node", F.col("rep").alias("doc_id")), "node").select("node", "doc_id")
+    shared = checkpoint(keys.join(many, "key").select("key", "node", "lead"))
+    named = shared.groupBy("node").agg(F.lit(1).alias("one")).join(classes.select("node", F.col("rep").alias("doc_id")), "node").select("node", "doc_id")
     sets = full_sets(docs, named, size)
-    seen = classes.select("node", "sig", "n_shingles").join(sets.select("node", "wide"), "node")
-    # leaders: each class meets the leader that most of its keys have
-    first = shared.filter("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("hits"))
-    first = first.groupBy("node").agg(F.max(F.struct("hits", "lead")).alias("x")).select(F.col("node").alias("u"), F.col("x.lead").alias("v"))
-    links = confirm(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, num, den)
-    for nearest in (True, False):
-        lab = components(links, hashed=True).select("node", F.col("component").alias("lab"))
-        links = links.unionByName(confirm(_across(keys, seen, lab, num, den, nearest), sets, num, den))
+    sizes = sets.select("node", "n")
+    links = followings(shared, sizes, sets, num, den)
     lab = components(links, hashed=True).select("node", F.col("component").alias("lab"))
+    more = families(shared, lab, sizes, sets, num, den)
+    # the components that the later links join, by the names they have so far
+    ends = more.join(lab.select(F.col("node").alias("u"), F.col("lab").alias("x")), "u", "left").join(lab.select(F.col("node").alias("v"), F.col("lab").alias("y")), "v", "left")
+    ends = checkpoint(ends.select(F.coalesce("x", "u").alias("u"), F.coalesce("y", "v").alias("v")))
+    again = components(ends, hashed=True).select(F.col("node").alias("was"), F.col("component").alias("now"))
     of = classes.select("node", "rep").join(lab, "node", "left").select("node", "rep", F.coalesce("lab", "node").alias("lab"))
+    of = of.join(again, F.col("lab") == F.col("was"), "left").select("node", "rep", F.coalesce("now", "lab").alias("lab"))
     least = of.groupBy("lab").agg(F.min("rep").alias("component_id"))
     of = of.join(least, "lab").select("node", "component_id")
     out = rows.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node"))).select("doc_id", "n_shingles", "node").join(of, "node", "left")

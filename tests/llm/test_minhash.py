@@ -1,7 +1,5 @@
 import random
 
-import numpy as np
-
 from sparsewing.llm import minhash
 from sparsewing.llm.minhash import near_duplicates
 from tests.llm.brute import near
@@ -44,18 +42,29 @@ def test_empty_nulls_and_repeats(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(False, 3, 3, True), (False, 3, 3, True), (False, 4, 4, True), (True, 0, 0, True)]
 
 
-def test_small_sets_pass_the_wide_screen():
-    """Pairs of 4 and 5 shingles (similarity exactly 0.8) are looked at whatever their wide distance, which is that of
-    independent bits."""
-    g = np.random.default_rng(3)
-    far, lost = 0, 0
-    for _ in range(20):
-        h = g.integers(0, 1 << 64, (200, 5), dtype=np.uint64)
-        sets = np.concatenate([x for r in h for x in (r[:4], r)])
-        size = np.tile([4, 5], 200)
-        wide = np.packbits(minhash.wide_bits(sets, np.cumsum(size) - size), axis=1).view(np.uint64)
-        a = np.arange(0, 400, 2)
-        far += int((np.bitwise_count(wide[a] ^ wide[a + 1]).sum(axis=1) > minhash.WIDE_RADIUS).sum())
-        sig = np.zeros((400, minhash.SYMBOLS), dtype=np.uint16)
-        lost += 200 - len(minhash._near(a, a + 1, sig, wide, size, np.arange(400), np.zeros(400, dtype=int), 80, 100)[0])
-    assert far <= 3 and lost == 0
+def test_families_in_blocks(spark, monkeypatch):
+    """Followings and families of any size are cut into blocks: one large family of copies around the threshold."""
+    g = random.Random(7)
+    base = [f"w{k}" for k in range(60)]
+    docs = {}
+    for i in range(120):
+        w = base[:]
+        for _ in range(g.choice([1, 2, 3, 4])):
+            w[g.randrange(60)] = f"x{g.randrange(40)}"
+        docs[i] = " ".join(w)
+    want = near(docs, 4)
+    assert 1 < len({c for _, c, _ in want.values()}) < 120
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs.items()], SCHEMA).repartition(3)
+    for rows in (1024, 8, 1):
+        monkeypatch.setattr(minhash, "ROWS", rows)
+        assert got(near_duplicates(df, 4)) == want
+
+
+def test_long_words_of_one_substitution(spark):
+    """The Thue-Morse word and its complement collide under any polynomial hash modulo 2**64."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    docs = {1: a, 2: a.translate(str.maketrans("ab", "ba")), 3: a}
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs.items()], SCHEMA)
+    assert got(near_duplicates(df, 4)) == {1: (1, 1, True), 2: (1, 2, True), 3: (1, 1, False)}
