@@ -6,8 +6,9 @@ a source above ``cap`` times its own size stops there and its excess is shared a
 Schedule. Slot ``i`` takes the point frac((i + 1/2) * golden ratio) through the cumulative targets to a source, so every
 stretch of slots holds each source in proportion up to a logarithmic error. Slots are ranked within their source.
 Each source's documents stand in a hash-shuffled ring of words, cut into equal blocks of words; the slot of rank ``r``
-takes block ``r`` of the ring, lap after lap, and the last slot ends at the target. So a source's taken words are its
-target rounded, and a document is taken at most ``cap`` times.
+takes block ``r`` of the ring, lap after lap. The points alone decide how many blocks a source gives, and when: its taken
+words are its slots times the block, which differs from its target by a few blocks, and never more than ``cap`` laps.
+``first_slot`` is the slot that takes the first words of a document, so it puts the mix in order.
 
 A source may hold any part of the rows: running sums go over hash buckets of about ``BUCKET`` rows, then over a source's
 bucket totals, never over all its rows in one task. One row per source is sorted in one task to number the sources.
@@ -49,33 +50,32 @@ def targets(per: DataFrame, share: float, cap: float) -> DataFrame:
     return per.withColumn("target", F.least("top", F.col("w") * level)).select("sid", "source", "source_size", "target")
 
 
-def schedule(spark, per: DataFrame, block: int, slots: int) -> DataFrame:
-    """(sid, rank, slot, n): the slots of each source in order, and how many words each takes."""
+def points(slots: DataFrame) -> DataFrame:
+    """``slots`` (id) with ``x``, a point between 0 and 1 for each."""
+    x = (F.col("id") + 0.5) * GOLDEN
+    return slots.withColumn("x", x - F.floor(x))
+
+
+def schedule(spark, per: DataFrame, slots: int) -> DataFrame:
+    """(sid, rank, slot): the slots of each source in order."""
     w = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
     cum = per.filter("target > 0").withColumn("hi", F.sum("target").over(w)).withColumn("lo", F.col("hi") - F.col("target"))
-    cum = cum.withColumn("end", F.max("hi").over(Window.partitionBy())).withColumn("words", F.floor(F.col("target") + 0.5).cast("long"))
-    cum = checkpoint(cum.select("sid", "lo", "hi", "end", "words").withColumn("need", F.ceil(F.col("words") / block)))
+    cum = checkpoint(cum.withColumn("end", F.max("hi").over(Window.partitionBy())).select("sid", "lo", "hi", "end"))
     # points fall into 1024 equal cells, which a source's interval overlaps, so the interval is found by an equi-join
     cells = 1024
     grid = cum.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / F.col("end") * cells), F.least(F.lit(cells - 1), F.floor(F.col("hi") / F.col("end") * cells)))))
-    pts = spark.range(slots).withColumn("x", (F.col("id") + 0.5) * GOLDEN).withColumn("x", F.col("x") - F.floor("x")).withColumn("cell", F.floor(F.col("x") * cells))
-    hit = pts.join(grid, "cell").filter("x * end >= lo and x * end < hi").select("sid", F.col("id").alias("slot"), "need", "words")
+    pts = points(spark.range(slots)).withColumn("cell", F.floor(F.col("x") * cells))
+    hit = pts.join(grid, "cell").filter("x * end >= lo and x * end < hi").select("sid", F.col("id").alias("slot"))
     hit = checkpoint(hit.withColumn("part", F.floor(F.col("slot") / 2048)))
     # ranks: within stretches of slots, then over the stretches of a source
     sums = hit.groupBy("sid", "part").agg(F.count("*").alias("k")).withColumn("before", F.sum("k").over(Window.partitionBy("sid").orderBy("part")) - F.col("k"))
     rank = F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot")) - 1 + F.col("before")
-    ranked = hit.join(sums.select("sid", "part", "before"), ["sid", "part"]).withColumn("rank", rank.cast("long"))
-    # a source that the points gave too few slots gets the rest after the last point
-    have = hit.groupBy("sid").agg(F.count("*").alias("have"))
-    short = cum.join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter("have < need")
-    more = short.select("sid", F.explode(F.sequence("have", F.col("need") - 1)).alias("rank"), "need", "words").withColumn("slot", F.lit(slots) + F.col("rank"))
-    both = ranked.select("sid", "rank", "slot", "need", "words").unionByName(more.select("sid", "rank", "slot", "need", "words")).filter("rank < need")
-    return both.select("sid", "rank", "slot", F.least(F.lit(block), F.col("words") - F.col("rank") * block).cast("long").alias("n"))
+    return hit.join(sums.select("sid", "part", "before"), ["sid", "part"]).select("sid", rank.cast("long").alias("rank"), "slot")
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 17, slots: int = SLOTS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) to (doc_id, ``keep``, size, source_size, target, taken), one row per document.
-    ``keep``: columns to carry along."""
+    """``docs`` (doc_id, text, source, ...) to (doc_id, ``keep``, size, source_size, target, taken, first_slot), one
+    row per document. ``keep``: columns to carry along."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *keep))
@@ -92,11 +92,15 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 17, s
     w = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = keyed.join(sums.select("sid", "bucket", "before"), ["sid", "bucket"]).withColumn("at", F.sum("size").over(w) - F.col("size") + F.col("before"))
     placed = checkpoint(placed.select("doc_id", *keep, "sid", "size", "source_size", "target", "at").withColumn("uid", F.monotonically_increasing_id()))
-    # pieces: a document's stretch of each block that it meets, lap after lap while the target reaches it
-    laps = placed.filter("size > 0 and target > at").withColumn("lap", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("target") / F.col("source_size")).cast("int") - 1))))
-    laps = laps.withColumn("s", F.col("at") + F.col("lap") * F.col("source_size")).withColumn("e", F.col("s") + F.col("size")).filter("s < target + 1")
+    # pieces: a document's stretch of each block that it meets, lap after lap while the source's slots reach it
+    slot = checkpoint(schedule(spark, per, max(1, round(total / block))))
+    have = slot.groupBy("sid").agg(F.count("*").alias("have"))
+    most = F.least(F.col("have") * block, F.floor(F.col("source_size") * F.lit(float(cap)))).cast("long")
+    laps = placed.filter("size > 0").join(F.broadcast(have) if few else have, "sid").withColumn("most", most).filter("most > at")
+    laps = laps.withColumn("lap", F.explode(F.sequence(F.lit(0), F.floor((F.col("most") - 1 - F.col("at")) / F.col("source_size")).cast("int"))))
+    laps = laps.withColumn("s", F.col("at") + F.col("lap") * F.col("source_size")).withColumn("e", F.least(F.col("s") + F.col("size"), "most"))
     piece = laps.withColumn("rank", F.explode(F.sequence(F.floor(F.col("s") / block), F.floor((F.col("e") - 1) / block))))
-    piece = piece.select("uid", "sid", "rank", F.greatest(F.lit(0), F.col("s") - F.col("rank") * block).alias("a"), F.least(F.lit(block), F.col("e") - F.col("rank") * block).alias("b"))
-    got = piece.join(schedule(spark, per, block, slots), ["sid", "rank"]).groupBy("uid").agg(F.sum(F.greatest(F.lit(0), F.least("b", "n") - F.col("a"))).alias("taken"))
+    words = F.least(F.lit(block), F.col("e") - F.col("rank") * block) - F.greatest(F.lit(0), F.col("s") - F.col("rank") * block)
+    got = piece.select("uid", "sid", "rank", words.alias("n")).join(slot, ["sid", "rank"]).groupBy("uid").agg(F.sum("n").alias("taken"), F.min("slot").alias("first_slot"))
     out = placed.join(got, "uid", "left")
-    return out.select("doc_id", *keep, "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", *keep, "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")

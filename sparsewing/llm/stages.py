@@ -48,8 +48,9 @@ def minhash_near_dedup(spark, docs, sf_dir):
 
 
 def suffix_array_dedup(spark, docs, sf_dir):
-    """Cuts every repeated passage out of the texts; documents stay, with what is left of them."""
-    out = suffixes.remove_repeats(docs.select(COLUMNS))
+    """Cuts every passage of over 50 words, and every string of 400 bytes, that stands elsewhere too out of the texts; documents
+    stay, with what is left of them."""
+    out = suffixes.remove_repeats(docs.select(COLUMNS), length=suffixes.LENGTH, words=suffixes.PASSAGE)
     return out.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(COLUMNS)
 
 

@@ -60,19 +60,23 @@ def curveball(wiring: DataFrame, draws: int, sweeps: int = 5, seed: int = 1) ->
     return x.groupBy("draw").applyInPandas(run, SCHEMA)
 
 
-def realise(fan_out: np.ndarray, fan_in: np.ndarray) -> list[set]:
-    """Rows of a 0/1 matrix with these margins: the column with most inputs takes the rows with most places left."""
-    left, sets = fan_out.astype(np.int64).copy(), [set() for _ in fan_out]
-    for c in np.argsort(-fan_in, kind="stable"):
-        rows = np.lexsort((np.arange(len(left)), -left))[: int(fan_in[c])]
-        if len(rows) < fan_in[c] or (left[rows] <= 0).any():
+def level(entry: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
+    """Moves entries of a 0/1 matrix along its rows until the columns hold ``target``; row sums stay. A fuller column has a
+    row that a less full one lacks, so a move from above its target to below it exists whenever the surplus column holds more."""
+    have = entry.sum(axis=0)
+    if have.sum() != target.sum():
+        raise ValueError("the targets do not hold as many entries as the matrix")
+    while (have != target).any():
+        over, under = np.flatnonzero(have > target), np.flatnonzero(have < target)
+        a, b = over[have[over].argmax()], under[have[under].argmin()]
+        rows = np.flatnonzero(entry[:, a] & ~entry[:, b])
+        if not len(rows):
             raise ValueError("no 0/1 matrix has these margins")
-        for r in rows.tolist():
-            sets[r].add(int(c))
-        left[rows] -= 1
-    if left.any():
-        raise ValueError("no 0/1 matrix has these margins")
-    return sets
+        n = min(len(rows), have[a] - target[a], target[b] - have[b])
+        moved = rng.permutation(rows)[:n]
+        entry[moved, a], entry[moved, b] = False, True
+        have[a] -= n
+        have[b] += n
 
 
 def even(total: int, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -82,16 +86,19 @@ def even(total: int, n: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def margin_control(wiring: DataFrame, draws: int, equal_in: bool, equal_out: bool, sweeps: int = 5, seed: int = 1) -> DataFrame:
-    """Margins kept, or evened on one side or both; the matrix is built greedily and then mixed by trades. Entries count 1."""
+    """Margins kept, or evened on one side or both: entries of the given wiring are moved until the margins are reached, and then
+    mixed by trades. Entries count 1."""
     spark = wiring.sparkSession
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         draw = int(f.draw.iloc[0])
         g = np.random.default_rng([seed, draw, equal_in, equal_out])
-        dims, cells = np.sort(f.dim.unique()), np.sort(f.cell.unique())
-        out = f.groupby("dim").size().reindex(dims).to_numpy()
-        into = f.groupby("cell").size().reindex(cells).to_numpy()
-        sets = realise(even(len(f), len(dims), g) if equal_out else out, even(len(f), len(cells), g) if equal_in else into)
+        dims, cells, entry = _entries(f)
+        if equal_in:
+            level(entry, even(len(f), len(cells), g), g)
+        if equal_out:
+            level(entry.T, even(len(f), len(dims), g), g)
+        sets = [set(np.flatnonzero(row).tolist()) for row in entry]
         if len(sets) > 1:
             trade(sets, sweeps * len(sets), g)
         named = [[int(cells[c]) for c in sorted(s)] for s in sets]
@@ -101,40 +108,45 @@ def margin_control(wiring: DataFrame, draws: int, equal_in: bool, equal_out: boo
     return x.groupBy("draw").applyInPandas(run, SCHEMA)
 
 
-def four_cycles(sets: list[set]) -> int:
-    n = 0
-    for i in range(len(sets)):
-        for j in range(i):
-            k = len(sets[i] & sets[j])
-            n += k * (k - 1) // 2
-    return n
+def _entries(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted dims and cells of one wiring and its 0/1 matrix."""
+    dims, row = np.unique(f.dim.to_numpy(), return_inverse=True)
+    cells, col = np.unique(f.cell.to_numpy(), return_inverse=True)
+    entry = np.zeros((len(dims), len(cells)), dtype=bool)
+    entry[row, col] = True
+    return dims, cells, entry
+
+
+def swap_gains(entry: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows ``a`` and ``b``: the cells that only one of them has, p and q, and how the number of four-cycles changes when p
+    and q change rows, for every pair. With m the rows' overlaps with another row and e that row's entries, an exchange adds
+    (e_q - e_p)(m_a - m_b) + (e_q - e_p)**2; summed over the other rows this is a table of sums over columns."""
+    p, q = np.flatnonzero(entry[a] & ~entry[b]), np.flatnonzero(entry[b] & ~entry[a])
+    other = entry.astype(np.int64)
+    lean = other @ (other[a] - other[b])
+    lean[[a, b]] = 0
+    other[[a, b]] = 0
+    pull, count = lean @ other, other.sum(axis=0)
+    both = other[:, p].T @ other[:, q]
+    return p, q, (pull[q] + count[q])[None, :] - (pull[p] - count[p])[:, None] - 2 * both
 
 
 def diversify(wiring: DataFrame, draws: int, steps: int = 200, seed: int = 1) -> DataFrame:
-    """Swaps of two entries that keep both margins, taken only where they lower the number of four-cycles."""
+    """Fewer four-cycles with the same margins: for one pair of rows after another, the exchange of two entries that lowers
+    their number most."""
     spark = wiring.sparkSession
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         draw = int(f.draw.iloc[0])
         g = np.random.default_rng([seed, draw])
-        f = f.sort_values(["dim", "cell"])
-        dims, sets = _adjacency(f)
-        m = np.array([[len(a & b) for b in sets] for a in sets])
-        for _ in range(steps if len(sets) > 1 else 0):
-            a, b = g.choice(len(sets), 2, replace=False)
-            only_a, only_b = sorted(sets[a] - sets[b]), sorted(sets[b] - sets[a])
-            if not only_a or not only_b:
-                continue
-            p, q = only_a[g.integers(len(only_a))], only_b[g.integers(len(only_b))]
-            rest = [k for k in range(len(sets)) if k not in (a, b)]
-            delta = np.array([(q in sets[k]) - (p in sets[k]) for k in rest], dtype=np.int64)
-            ma, mb = m[a, rest], m[b, rest]
-            pairs = lambda x: x * (x - 1) // 2
-            if (pairs(ma + delta) + pairs(mb - delta)).sum() < (pairs(ma) + pairs(mb)).sum():
-                sets[a], sets[b] = sets[a] - {p} | {q}, sets[b] - {q} | {p}
-                m[a, rest] = m[rest, a] = ma + delta
-                m[b, rest] = m[rest, b] = mb - delta
-        named = [sorted(s) for s in sets]
+        dims, cells, entry = _entries(f)
+        for a, b in g.integers(len(dims), size=(steps, 2)).tolist():
+            p, q, gain = swap_gains(entry, a, b)
+            if gain.size and gain.min() < 0:
+                i, j = np.unravel_index(gain.argmin(), gain.shape)
+                entry[[a, b], [q[j], p[i]]] = True
+                entry[[a, b], [p[i], q[j]]] = False
+        named = [cells[row].tolist() for row in entry]
         return _rows(draw, named, dims, [[1] * len(s) for s in named])
 
     x = wiring.select("dim", "cell").crossJoin(spark.range(draws).withColumnRenamed("id", "draw"))
@@ -148,33 +160,44 @@ def margins(drawn: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- allocation
-def power_allocation(lam: np.ndarray, alpha: float, total: int, m: int, fan_in: int) -> np.ndarray:
-    """Fan-outs in proportion to lam**alpha that sum to ``total``, at most half of the cells each, whole numbers by largest
-    remainder, and realisable with ``fan_in`` inputs per cell. alpha = inf fills the largest spectrum entries first."""
-    d, top = len(lam), max(1, m // 2)
-    if total > d * top:
+def room(inputs: np.ndarray, d: int, top: int) -> np.ndarray:
+    """How many entries any k = 0..d rows can hold at most: each of them ``top``, and a column no more than its inputs."""
+    k = np.arange(d + 1)
+    return np.minimum(np.minimum(np.asarray(inputs)[:, None], k).sum(axis=0), k * top)
+
+
+def power_allocation(lam: np.ndarray, alpha: float, inputs: np.ndarray, top: int | None = None) -> np.ndarray:
+    """Whole fan-outs of the dims in proportion to lam**alpha, as far as a 0/1 matrix with ``inputs`` entries a cell and at most
+    ``top`` (half of the cells) a dim exists; alpha = inf fills the dims with the largest spectrum entries first.
+
+    What k dims can hold is a concave function of k (``room``), so the fan-outs nearest to proportion, the largest first, are
+    the slopes of the greatest convex line below the points (sum of weights, room). They are rounded down, and
+    the rest is given out by largest remainder wherever a matrix still exists; concavity makes sure that all of it finds a place.
+    """
+    d, total = len(lam), int(np.sum(inputs))
+    top = max(1, len(inputs) // 2) if top is None else top
+    most = room(inputs, d, top)
+    if most[-1] < total:
         raise ValueError("more connections than places")
     order = np.lexsort((np.arange(d), -lam))
+    most = np.minimum(most, total)
     if np.isinf(alpha):
-        f = np.zeros(d)
-        left = total
-        for i in order:
-            f[i] = min(top, left)
-            left -= f[i]
+        share = np.diff(most).astype(float)
     else:
-        share = np.power(np.maximum(lam, 1e-300) / lam.max(), alpha)
-        f, free = np.zeros(d), np.ones(d, dtype=bool)
-        while True:  # what passes the cap is shared among the rest
-            f[free] = share[free] / share[free].sum() * (total - top * (~free).sum())
-            over = free & (f > top)
-            if not over.any():
-                break
-            f[over], free[over] = top, False
-    whole = np.floor(f + 1e-9).astype(np.int64)
-    rest = total - int(whole.sum())
-    room = np.lexsort((np.arange(d), -(f - whole)))
-    for i in [i for i in room if whole[i] < top][:rest]:
-        whole[i] += 1
-    # margins with equal columns are realisable as long as no row exceeds the number of cells
-    assert whole.sum() == total and whole.max() <= m and fan_in * m == total
-    return whole
+        weight = np.power(np.maximum(lam[order], 1e-300) / lam.max(), alpha)
+        upto, share, at = np.concatenate(([0.0], np.cumsum(weight))), np.zeros(d), 0
+        while at < d:
+            slope = (most[at + 1 :] - most[at]) / (upto[at + 1 :] - upto[at])
+            to = at + 1 + int(np.flatnonzero(slope <= slope.min() * (1 + 1e-12))[-1])
+            share[at:to] = weight[at:to] * slope.min()
+            at = to
+    whole = np.floor(share + 1e-9).astype(np.int64)
+    fits = lambda f: (np.cumsum(np.sort(f)[::-1]) <= most[1:]).all()
+    while whole.sum() < total:
+        for i in np.lexsort((np.arange(d), whole - share)).tolist():
+            more = whole + (np.arange(d) == i)
+            if whole.sum() < total and fits(more):
+                whole = more
+    out = np.empty(d, dtype=np.int64)
+    out[order] = whole
+    return out

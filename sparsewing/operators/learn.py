@@ -5,6 +5,7 @@ Moments are added up by the executors; what is decomposed on the driver is a mat
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -106,32 +107,46 @@ def pq_adc(codes: DataFrame, items: DataFrame, queries: DataFrame, books: list,
     return codes.mapInPandas(run, "query_id long, item_id long, d double").filter("query_id <> item_id")
 
 
-def learn(x: np.ndarray, m: int, k: int, epochs: int, rate: float, p: float = 2.0, delta: float = 0.4, batch: int = 50, mask: np.ndarray | None = None, seed: int = 1) -> np.ndarray:
-    """Competitive learning of m units: the best unit of each row moves to it, the k-th moves away by ``delta``; a batch's step is
-    divided by its largest entry. Order matters, so it runs on one machine over a bounded sample."""
-    g = np.random.default_rng(seed)
-    w = g.standard_normal((m, x.shape[1]))
-    if mask is not None:
-        w = w * mask
-    for e in range(epochs):
-        order = g.permutation(len(x))
-        for i in range(0, len(x), batch):
-            w = w + rate * (1 - e / epochs) * step(w, x[order[i : i + batch]], p, k, delta, mask)
-    return w
-
-
-def step(w: np.ndarray, rows: np.ndarray, p: float, k: int, delta: float, mask: np.ndarray | None = None) -> np.ndarray:
-    drive = rows @ (np.sign(w) * np.abs(w) ** (p - 1)).T
-    order = np.argsort(-drive, axis=1, kind="stable")
-    gain = np.zeros_like(drive)
-    r = np.arange(len(rows))
-    gain[r, order[:, 0]] = 1.0
-    gain[r, order[:, min(k, len(w)) - 1]] = -delta
-    d = gain.T @ rows - (gain * drive).sum(axis=0)[:, None] * w
-    if mask is not None:
-        d = d * mask
-    top = np.abs(d).max()
-    return d / top if top > 0 else d
+@dataclass(frozen=True)
+class Competition:
+    """Units that compete for samples, after the published rule of competing hidden units: the unit with the largest input
+    current moves towards the sample, the unit of rank ``rank`` away from it by ``push``, and both decay with their current,
+    which keeps their norms at one. ``power`` is the exponent of the units' metric."""
+
+    rank: int
+    push: float = 0.4
+    power: float = 2.0
+
+    def currents(self, units: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return rows @ (units * np.abs(units) ** (self.power - 2)).T if self.power != 2 else rows @ units.T
+
+    def change(self, units: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The summed change of all units over some rows, scaled to a largest entry of one."""
+        current = self.currents(units, rows)
+        last = min(self.rank, len(units))
+        # ties go to the unit with the smaller number
+        named = np.lexsort((np.broadcast_to(np.arange(len(units)), current.shape), -current), axis=1)
+        out = np.zeros_like(units)
+        for place, sign in ((0, 1.0), (last - 1, -self.push)):
+            unit = named[:, place]
+            np.add.at(out, unit, sign * rows)
+            out -= sign * np.bincount(unit, weights=np.take_along_axis(current, unit[:, None], axis=1)[:, 0], minlength=len(units))[:, None] * units
+        return out / max(np.abs(out).max(), np.finfo(float).tiny)
+
+    def fit(self, rows: np.ndarray, units: np.ndarray, epochs: int, rate: float, batch: int = 50, seed: int = 1) -> np.ndarray:
+        """Units after ``epochs`` passes over the rows in random order, at a rate that falls to zero. Entries that are zero at the
+        start stay zero. The order of the samples matters, so this runs on one machine over a bounded sample."""
+        wired, rng = units != 0, np.random.default_rng(seed)
+        steps = [part for _ in range(epochs) for part in np.array_split(rng.permutation(len(rows)), max(1, -(-len(rows) // batch)))]
+        for k, part in enumerate(steps):
+            falling = rate * (1 - (k * epochs // len(steps)) / epochs)
+            units = units + falling * np.where(wired, self.change(units, rows[part]), 0.0)
+        return units
+
+
+def random_units(m: int, d: int, seed: int, wired: np.ndarray | None = None) -> np.ndarray:
+    units = np.random.default_rng([seed, m, d]).standard_normal((m, d))
+    return units if wired is None else np.where(wired, units, 0.0)
 
 
 def complete(x: np.ndarray, rank: int = 5, rounds: int = 50) -> np.ndarray:

@@ -240,8 +240,8 @@ def biohash(spark, d):
     from sparsewing.operators import learn
 
     it = tables.items(spark, d)
-    x = np.array([r.q for r in it.join(train(spark, d), "item_id", "left_semi").orderBy("item_id").select("q").collect()], dtype=float) / 1e6  # 200 rows
-    unit = learn.learn(x, 128, 8, 10, 0.05)
+    x = np.array([r.q for r in it.join(train(spark, d), "item_id", "left_semi").orderBy("item_id").limit(learn.SAMPLE).select("q").collect()], dtype=float) / 1e6
+    unit = learn.Competition(8).fit(x, learn.random_units(128, 64, 1), 10, 0.05)
     wiring = spark.createDataFrame([(j, i, int(round(v * 1000))) for i, row in enumerate(unit) for j, v in enumerate(row.tolist())], "dim long, cell long, w long")
     return cells(e.winners(e.drive(it, wiring, 128 * 64), 8))
 

@@ -256,7 +256,7 @@ def power_allocation(spark, d):
 
     x = tables.long(tables.items(spark, d)).groupBy("dim").agg(F.var_pop(F.col("v").cast("double")).alias("var")).orderBy("dim").collect()  # a row per dimension
     lam = np.array([r["var"] for r in x])
-    rows = [(float(a), i, int(f)) for a in (0.0, 0.5, 1.0, 2.0, float("inf")) for i, f in enumerate(generators.power_allocation(lam, a, M * S, M, S))]
+    rows = [(float(a), i, int(f)) for a in (0.0, 0.5, 1.0, 2.0, float("inf")) for i, f in enumerate(generators.power_allocation(lam, a, np.full(M, S)))]
     return spark.createDataFrame(rows, "alpha double, dim long, fan_out long")
 
 

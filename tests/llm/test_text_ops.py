@@ -31,6 +31,39 @@ def frame(spark, texts, parts=3):
     return spark.createDataFrame([(i, t, "x", "s", 0, 1) for i, t in texts.items()], DOCS).repartition(parts)
 
 
+def test_passages_of_words(spark):
+    """Words of passages that stand elsewhere too, whatever blanks are between them; a passage ends with its document."""
+    g = random.Random(12)
+    passage = words(g, 12).split(" ")
+    docs = {i: " ".join([*words(g, g.randint(0, 30)).split(" "), *(passage[: g.randint(5, 12)] if i % 2 else []), *words(g, 3).split(" ")]) for i in range(60)}
+    docs |= {60: "\n ".join(passage), 61: "q " + "\t".join(passage) + " r", 62: None, 63: "", 64: " ", 65: "x " * 40, 66: "a1 b2", 67: "日本 " * 9 + "é " * 9}
+    toks = {i: WORD.findall(t or "") for i, t in docs.items()}
+    seen = defaultdict(int)
+    for w in toks.values():
+        for k in range(len(w) - 7):
+            seen[tuple(w[k : k + 8])] += 1
+    want, left = {}, {}
+    for i, w in toks.items():
+        gone = set()
+        for k in range(len(w) - 7):
+            if seen[tuple(w[k : k + 8])] > 1:
+                gone |= set(range(k, k + 8))
+        want[i], left[i] = len(gone), [x for k, x in enumerate(w) if k not in gone]
+    assert sum(n > 0 for n in want.values()) > 10
+    for hot in (suffixes.HOT, 1):
+        suffixes.HOT, was = hot, suffixes.HOT
+        try:
+            got = {r.doc_id: r for r in suffixes.remove_repeats(frame(spark, docs), length=None, words=8).collect()}
+        finally:
+            suffixes.HOT = was
+        assert {i: r.passage_words for i, r in got.items()} == want
+        assert {i: WORD.findall(r.kept_text) for i, r in got.items()} == left
+    both = {r.doc_id: r for r in suffixes.remove_repeats(frame(spark, docs), length=70, words=8).collect()}
+    removed(suffixes.remove_repeats(frame(spark, docs), length=70), docs, 70)
+    assert {i: r.passage_words for i, r in both.items()} == want
+    assert all(set(r.kept_text) <= set(docs[i] or "") and len(r.kept_text) <= len(got[i].kept_text) for i, r in both.items())
+
+
 def removed(df, texts, length):
     want = repeats(texts, length)
     for r in df.collect():
@@ -47,6 +80,12 @@ def test_suffixes_against_brute_force(spark, texts):
     removed(df, texts, 80)
 
 
+def test_suffixes_of_long_texts(spark, texts, monkeypatch):
+    """Texts over a segment are anchored piece by piece."""
+    monkeypatch.setattr(suffixes, "BLOCK", 128)
+    removed(suffixes.remove_repeats(frame(spark, texts), length=80), texts, 80)
+
+
 def test_suffixes_of_hot_anchors(spark, texts, monkeypatch):
     """Every anchor counts as hot: ranges of starts, then single strings."""
     monkeypatch.setattr(suffixes, "HOT", 1)
@@ -153,17 +192,14 @@ def test_lm_base_and_score(spark):
     assert lm.score_texts(df.withColumn("train", F.lit(False))).filter("n_known > 0").count() == 0
 
 
-def test_mixing(spark):
+def mixed_fixture():
     g = random.Random(2)
     rows = [(i, words(g, g.choice([0, 1, 20, 200])), g.choice(["a", "b", "c", "d", None] + ["big"] * 4)) for i in range(300)]
-    rows += [(1, rows[1][1], "a"), (None, "x y z", "a"), (500, None, "b"), (501, "w " * 30000, "e")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mixing.mix(df.repartition(4)).collect()
-    again = mixing.mix(df.repartition(2)).collect()
-    assert sorted(map(repr, out)) == sorted(map(repr, again))
-    size = defaultdict(int)
-    for _, t, s in rows:
-        size[s] += len(WORD.findall(t or ""))
+    return rows + [(1, rows[1][1], "a"), (None, "x y z", "a"), (500, None, "b"), (501, "w " * 30000, "e")]
+
+
+def aimed(size):
+    """Plain targets of sources by their sizes."""
     order = sorted(s for s in size if s is not None) + [None]
     w = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
     target, free, total = {}, set(order), 1.5 * sum(size.values())
@@ -171,19 +207,63 @@ def test_mixing(spark):
         share = {s: (total - sum(target.values())) * w[s] / sum(w[x] for x in free) for s in free}
         over = {s for s in free if share[s] > 2 * size[s]}
         if not over:
-            break
+            return order, target | share
         target |= {s: 2.0 * size[s] for s in over}
         free -= over
-    target |= share
+
+
+def scheduled(size, order, target, point, block=1):
+    """Words that each source gives: its slots, one after another, block by block, and never more than twice its size."""
+    ends, at = [], 0.0
+    for s in order:
+        at += target[s]
+        ends.append(at)
+    have = dict.fromkeys(order, 0)
+    for i in range(round(sum(target.values()) / block)):
+        x = point(i) * at
+        have[next(s for s, e in zip(order, ends) if x < e)] += 1
+    return {s: min(block * have[s], 2 * size[s]) for s in order}
+
+
+def test_mixing(spark):
+    rows = mixed_fixture()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df.repartition(4)).collect()
+    again = mixing.mix(df.repartition(2)).collect()
+    assert sorted(map(repr, out)) == sorted(map(repr, again))
+    size = defaultdict(int)
+    for _, t, s in rows:
+        size[s] += len(WORD.findall(t or ""))
+    order, target = aimed(size)
     by = {(r.source_size, round(r.target, 6)): 0 for r in out}
     for r in out:
         by[r.source_size, round(r.target, 6)] += r.taken
-        assert 0 <= r.taken <= 2 * r.size
+        assert 0 <= r.taken <= 2 * r.size and (r.first_slot is None) == (r.taken == 0)
     assert len(out) == len(rows) and {k for k in by} == {(size[s], round(target[s], 6)) for s in order}
-    assert all(abs(taken - t) <= 1 for (_, t), taken in by.items())
+    want = scheduled(size, order, target, lambda i: (i + 0.5) * mixing.GOLDEN % 1)
+    assert by == {(size[s], round(target[s], 6)): n for s, n in want.items()}
+    assert all(abs(want[s] - target[s]) <= 8 for s in order)
+    # blocks of one word: documents of a source begin in the order of their ring, at slots of their own
+    firsts = [r.first_slot for r in out if r.taken]
+    assert len(set(firsts)) == len(firsts)
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_the_points_decide_the_mix(spark, monkeypatch):
+    """Other points give other documents, near the same targets; with poor ones a source goes without."""
+    rows = mixed_fixture()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    taken = lambda: {(r.doc_id, r.size, r.target): r.taken for r in mixing.mix(df, slots=1 << 10).collect()}
+    first = taken()
+    monkeypatch.setattr(mixing, "GOLDEN", 2**0.5 - 1)
+    other = taken()
+    assert first != other and first.keys() == other.keys()
+    total = lambda x: sum(x.values())
+    assert abs(total(first) - total(other)) < 0.02 * total(first)
+    monkeypatch.setattr(mixing, "points", lambda slots: slots.withColumn("x", F.lit(0.0)))
+    assert {t for (_, n, t), k in taken().items() if k} != {t for (_, n, t), k in first.items() if k}
+
+
 def test_hash_of_ids_splits_like_python(spark):
     from sparsewing.llm.common import held_out
 
