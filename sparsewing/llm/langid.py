@@ -5,7 +5,7 @@ cells, over all training rows; each language's cells become smoothed log-likelih
 
 Prediction sees a document as a mixture: each word comes from one language, drawn by the document's proportions, and its
 likelihood is the product of its trigrams'. Expectation-maximisation estimates the proportions from all words of the
-text. Languages are then ranked by their proportion, the first one, two and three of them are fitted alone, and the set
+text. Languages are then ranked by their proportion, the first one, two and so on to all of them are fitted alone, and the set
 with the largest likelihood less a penalty of ``PENALTY`` / 2 * log(words + 1) for each further language is selected; the
 prediction is the language with the largest proportion in it, and the score is that proportion. The set is returned too.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sparsewing.llm.common import LOWER, blocks, bound_batches, bytes_of
 
-CELLS, PARTS, ROUNDS, SETS = 1 << 15, 8, 6, 3
+CELLS, PARTS, ROUNDS = 1 << 15, 8, 6
 #: Weight of the penalty for a further language.
 PENALTY = 4.0
 LETTER = np.zeros(256, dtype=bool)
@@ -121,7 +121,7 @@ def infer(v: np.ndarray, o: np.ndarray, ll: np.ndarray):
     order = np.argsort(-order, axis=1, kind="stable")
     n = np.diff(np.concatenate((at, [len(doc)])))
     best, score = np.zeros((m, k)), np.full(m, -np.inf)
-    for size in range(1, min(SETS, k) + 1):
+    for size in range(1, k + 1):
         if size == 1:
             prop = np.zeros((m, k))
             prop[np.arange(m), lead] = 1.0

@@ -149,16 +149,17 @@ def test_contamination_of_repeated_and_null_ids(spark, monkeypatch):
 
 def test_language_mixtures(spark):
     g = random.Random(8)
-    syl = {"xx": ["ta", "ko", "ri", "mo"], "yy": ["sch", "ung", "ein", "ber"], "zz": ["eau", "oui", "ille", "é"]}
+    syl = {"xx": ["ta", "ko", "ri", "mo"], "yy": ["sch", "ung", "ein", "ber"], "zz": ["eau", "oui", "ille", "é"], "ww": ["gwy", "dda", "llh", "fe"]}
     text = lambda lang, n: " ".join("".join(g.choice(syl[lang]) for _ in range(g.randint(1, 4))) for _ in range(n))
     rows = [(i, text(lang, 40), lang) for i in range(60) for lang in syl]
     model = langid.train(spark.createDataFrame([(t, lang) for _, t, lang in rows], "text string, lang string"))
     mixed = text("xx", 30) + " " + text("yy", 60)
-    test = [(1, text("xx", 5), "xx"), (2, text("yy", 30), "yy"), (3, text("zz", 1), "zz"), (4, mixed, "yy"), (5, None, "und"), (6, "12 34 !", "und"), (7, "", "und")]
+    test = [(1, text("xx", 5), "xx"), (2, text("yy", 30), "yy"), (3, text("zz", 1), "zz"), (4, mixed, "yy"), (5, None, "und"), (6, "12 34 !", "und"), (7, "", "und"), (8, " ".join((text("ww", 60), text("xx", 40), text("yy", 40), text("zz", 40))), "ww")]
     df = spark.createDataFrame([(i, t, 9.0) for i, t, _ in test], "doc_id long, text string, score double")
     got = {r.doc_id: r for r in langid.identify(df, model).collect()}
     assert {i: got[i].lang_pred for i, _, _ in test} == {i: p for i, _, p in test}
     assert got[4].lang_set == ["xx", "yy"] and abs(got[4].score - 2 / 3) < 0.05
+    assert sorted(got[8].lang_set) == sorted(syl) and abs(got[8].score - 1 / 3) < 0.05
     assert all(0 <= r.score <= 1 for r in got.values())
     assert langid.identify(df, ([], langid.np.zeros((langid.CELLS, 0), dtype="float32"))).filter("lang_pred <> 'und'").count() == 0
     assert langid.identify(df.limit(0), model).count() == 0
