@@ -85,6 +85,34 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_B32} AS payload
 FROM b
 """
 
+
+def _centroids(rounds: int) -> str:
+    """Lloyd's rounds, each as two tables: the assignment (d * 64 + c is least for the nearest, then the smaller number), then the
+    floors of the means."""
+    dist = "list_sum(list_transform(list_zip(k.q, c.q), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+    out = [
+        "k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda v: CAST(floor(256 * v) AS BIGINT)) AS q FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v) OR abs(v) >= 524288)) = 0)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT q, sha256('2:' || vec_id) AS h FROM k WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT 40))",
+    ]
+    for i in range(rounds + 1):
+        out.append(f"a{i} AS MATERIALIZED (SELECT r, x % 64 AS c, x // 64 AS d FROM (SELECT k.r, min(CAST({dist} AS BIGINT) * 64 + c.c) AS x FROM k CROSS JOIN c{i} c GROUP BY k.r))")
+        if i < rounds:
+            out.append(
+                f"m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS q FROM (SELECT c, j, sum(v) AS s, count(*) AS n FROM"
+                f" (SELECT a.c, unnest(k.q) AS v, unnest(range(64)) AS j FROM a{i} a JOIN k USING (r)) GROUP BY c, j) GROUP BY c),"
+                f" c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN m{i} m USING (c))"
+            )
+    return "WITH " + ",\n".join(out)
+
+
+OP11 = f"""
+{_centroids(5)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a5 a JOIN k USING (r) JOIN c5 c ON c.c = a.c
+"""
+
+
 ORACLE = {
     "op1_minhash_near_dedup": OP1,
     "op4_chat_formatting": OP4,
@@ -92,4 +120,5 @@ ORACLE = {
     "op7_embedding_near_dedup": OP7,
     "op8_benchmark_decontamination": OP8,
     "op10_warc_index_merge": OP10,
+    "op11_centroid_clustering": OP11,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparsewing.llm import chat, decontaminate, langid, lm, mixing, pivots, suffixes, urlfilter, warc
+from sparsewing.llm import centroids, chat, decontaminate, langid, lm, mixing, pivots, suffixes, tokencount, urlfilter, warc
 from sparsewing.llm.common import checkpoint, drop_path, held_out, shared_path, table
 from sparsewing.llm.minhash import near_duplicates
 
@@ -64,9 +64,18 @@ def op10_warc_index_merge(spark, sf_dir):
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_lm_scoring, op3_language_id, op4_chat_formatting, op5_suffix_array_dedup, op6_url_filters, op7_embedding_near_dedup, op8_benchmark_decontamination, op9_source_mixing, op10_warc_index_merge)}
+def op11_centroid_clustering(spark, sf_dir):
+    return centroids.described(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_lm_scoring, op3_language_id, op4_chat_formatting, op5_suffix_array_dedup, op6_url_filters, op7_embedding_near_dedup, op8_benchmark_decontamination, op9_source_mixing, op10_warc_index_merge, op11_centroid_clustering, op12_token_counts)}
+
 
 def queries():
     import corpus_pipeline
