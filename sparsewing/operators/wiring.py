@@ -9,11 +9,13 @@ from sparsewing.functions import rng
 
 
 # ---------------------------------------------------------------- building
-def build(edges: DataFrame, dims: DataFrame, threshold: int = 1) -> DataFrame:
+def build(edges: DataFrame, dims: DataFrame, threshold: int = 1, by: list[str] | None = None) -> DataFrame:
     """Edges (pre, post, weight) joined with the type of their source, summed per (dim, cell), with the number of distinct
-    sources; entries below the threshold go, and cells without an entry vanish with them."""
-    g = edges.join(dims.select("pre", "dim"), "pre").groupBy("pre", "dim", F.col("post").alias("cell")).agg(F.sum("weight").alias("w"))
-    g = g.groupBy("dim", "cell").agg(F.sum("w").alias("w"), F.count("*").alias("partners"))
+    sources; entries below the threshold go, and cells without an entry vanish with them. ``by``: columns of ``dims`` that tell
+    wirings apart, each of which is built on its own."""
+    by = by or []
+    g = edges.join(dims.select("pre", "dim", *by), "pre").groupBy(*by, "pre", "dim", F.col("post").alias("cell")).agg(F.sum("weight").alias("w"))
+    g = g.groupBy(*by, "dim", "cell").agg(F.sum("w").alias("w"), F.count("*").alias("partners"))
     return g.filter(F.col("w") >= threshold)
 
 
@@ -94,6 +96,35 @@ def retained(wiring: DataFrame, threshold: int) -> DataFrame:
     return wiring.agg(F.count("*").alias("entries"), F.count_if(keep).alias("kept"), F.sum("w").cast("bigint").alias("weight"), F.sum(F.when(keep, F.col("w"))).cast("bigint").alias("kept_weight"))
 
 
+def audit(wiring: DataFrame, thresholds: list[int], by: list[str]) -> DataFrame:
+    """A row per wiring (``by``) and threshold: what stays of its entries (kept, weight) and their shares, cells, dims, inputs per
+    cell, cells with one input, relative deviation of the fan-outs, the dim with the largest one (the smallest of equal ones),
+    and Q and the four-cycles of shared cells. Entries are repeated for the thresholds that they reach, once, and summed per
+    cell and per dim; pairs of dims come from a cell's own inputs, which are no more than the dims."""
+    w = wiring.select(*by, "dim", "cell", "w")
+    key = [*by, "threshold"]
+    reached = F.filter(F.array(*[F.lit(int(t)) for t in sorted(set(thresholds))]), lambda t: t <= F.col("w"))
+    kept = w.withColumn("threshold", F.explode(reached))
+    cells = kept.groupBy(*key, "cell").agg(F.count("*").alias("inputs"), F.sum("w").alias("weight"), F.array_sort(F.collect_list("dim")).alias("dims"))
+    per_cell = cells.groupBy(*key).agg(
+        F.sum("inputs").alias("kept"), F.sum("weight").alias("weight"), F.count("*").alias("cells"), F.avg("inputs").alias("mean_inputs"),
+        F.expr("percentile(inputs, 0.5)").alias("median_inputs"), F.max("inputs").alias("max_inputs"), F.count_if(F.col("inputs") == 1).alias("single_input"),
+    )
+    fan = kept.groupBy(*key, "dim").agg(F.count("*").alias("f"))
+    per_dim = fan.groupBy(*key).agg(F.count("*").alias("dims"), (F.stddev_pop("f") / F.avg("f")).alias("fan_out_cv"), F.max("f").alias("max_fan_out"), F.max_by("dim", F.struct("f", -F.col("dim"))).alias("top_dim"))
+    pairs = cells.select(*key, "dims", F.posexplode("dims").alias("i", "a")).select(*key, "a", F.explode(F.expr("slice(dims, i + 2, size(dims))")).alias("b"))
+    shared = pairs.groupBy(*key, "a", "b").agg(F.count("*").alias("s"))
+    loops = shared.groupBy(*key).agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.sum(F.expr("s * (s - 1) div 2")).alias("four_cycles"))
+    whole = w.groupBy(*by).agg(F.count("*").alias("entries"), F.sum("w").alias("all_weight"))
+    out = per_cell.join(per_dim, key).join(loops, key, "left").join(whole, by)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return out.select(
+        "entries", "kept", F.round(F.col("kept") / F.col("entries"), 9).alias("kept_share"), F.col("weight").cast("bigint").alias("weight"), F.round(F.col("weight") / F.col("all_weight"), 9).alias("weight_share"),
+        "cells", "dims", F.round("mean_inputs", 9).alias("mean_inputs"), "median_inputs", "max_inputs", "single_input", F.round("fan_out_cv", 9).alias("fan_out_cv"), "max_fan_out", "top_dim",
+        zero("q"), zero("four_cycles"), *key,
+    )
+
+
 # ---------------------------------------------------------------- generating
 def uniform(spark, dims: int, cells: int, inputs_: int, seed: int, tag: str = "w") -> DataFrame:
     """Every cell draws the same number of different dims. The grid dims x cells is the sampling frame itself."""
