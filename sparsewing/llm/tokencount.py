@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from sparsewing.llm.common import blocks, bound_batches, bytes_of
 
-CHUNK, CELLS, LONG = 256, 1 << 23, 1 << 12
+CHUNK, CELLS, LONG = 256, 1 << 24, 1 << 12
 # ---------------------------------------------------------------- splitting
 # The pattern that SPLIT stands for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
