@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
-from math import log10
+from math import ceil, log10, sqrt
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,6 +66,58 @@ def repeats(texts, length):
     return out
 
 
+def said_twice(texts, words):
+    """{doc_id: text} to {doc_id: list of byte flags}: the words of passages of ``words`` words that stand elsewhere too, and the
+    blanks between two such words."""
+    toks = {i: [(m.group(), m.start(), m.end()) for m in WORD.finditer(t or "")] for i, t in texts.items()}
+    seen = Counter(tuple(x[0] for x in w[k : k + words]) for w in toks.values() for k in range(len(w) - words + 1))
+    out = {}
+    for i, w in toks.items():
+        t = texts[i] or ""
+        gone = [False] * len(t.encode())
+        byte = [0]
+        for c in t:
+            byte.append(byte[-1] + len(c.encode()))
+        cut = {j for k in range(len(w) - words + 1) if seen[tuple(x[0] for x in w[k : k + words])] > 1 for j in range(k, k + words)}
+        for j in cut:
+            a, b = byte[w[j][1]], byte[w[j + 1][1] if j + 1 in cut else w[j][2]]
+            gone[a:b] = [True] * (b - a)
+        out[i] = gone
+    return out
+
+
+def scheduled(docs, share=1.5, cap=2.0, weights=(3, 1, 2), slots=1 << 18):
+    """[(source, size)] to {source: (target, taken)}: water-filled targets; each slot's golden-ratio point falls into a source's
+    stretch of the targets and takes one block of words there, at most ``cap`` times the source's words."""
+    size = Counter()
+    for s, n in docs:
+        size[s] += n
+    order = sorted(size, key=lambda s: (s is None, s))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    full, left = {}, share * sum(size.values())
+    while True:
+        open_ = [s for s in order if s not in full]
+        level = left / sum(weight[s] for s in open_) if open_ else 0
+        over = [s for s in open_ if weight[s] * level >= cap * size[s]]
+        if not over:
+            break
+        for s in over:
+            full[s] = cap * size[s]
+            left -= full[s]
+    target = {s: full.get(s, weight[s] * level) for s in order}
+    total = int(sum(target.values()))
+    block, n = max(1, ceil(total / slots)), Counter()
+    ends, upto = [], 0.0
+    for s in order:
+        upto += target[s]
+        ends.append(upto)
+    golden = (sqrt(5) - 1) / 2
+    for i in range(max(1, round(total / block))):
+        x = (i + 0.5) * golden % 1.0
+        n[order[min(bisect_right(ends, x * upto), len(order) - 1)]] += 1
+    return {s: (target[s], min(n[s] * block, int(cap * size[s]))) for s in order}
+
+
 BW = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tests.llm.brute import contaminated, near, repeats
+from tests.llm.brute import WORD, contaminated, near, repeats, scheduled, said_twice
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -51,18 +51,22 @@ def test_stages(spark, sf_dir, tmp_path):
             assert set(after) == {d for d, x in near(text, 5).items() if x[2]}
             assert 10_003 not in after and 10_002 in after
         elif name == "suffix_array_dedup":
-            gone = repeats(text, 400)
+            gone, said = repeats(text, 400), said_twice(text, 51)
             for d, t in text.items():
-                kept = bytes(b for b, x in zip((t or "").encode(), gone[d], strict=True) if not x).decode("utf-8", "ignore")
+                kept = bytes(b for b, x, y in zip((t or "").encode(), gone[d], said[d], strict=True) if not (x or y)).decode("utf-8", "ignore")
                 assert (after[d].text, after[d].n_chars) == (kept, len(kept))
             assert sum(gone[10_004]) >= 400 and sum(gone[10_005]) >= 400
+            passage = " ".join((text[10_005] or "").split(" ")[:90])
+            assert all(passage not in after[d].text for d in (10_004, 10_005)) and any(any(y) and not any(x) for x, y in zip(gone.values(), said.values(), strict=True))
         elif name == "benchmark_decontamination":
             assert set(before) - set(after) == {d for d, x in contaminated(text, items).items() if x[4]} >= {10_006}
         else:
             assert set(after) <= set(before) and all(0 < r.taken <= 2 * r.size for r in after.values())
-            target = {(r.source, r.target) for r in after.values()}
-            for source, t in target:
-                assert abs(sum(r.taken for r in after.values() if r.source == source) - t) <= 1
+            sizes = [(r.source, len(WORD.findall(r.text or ""))) for r in before.values()]
+            assert {(r.source, r.size) for r in after.values()} <= set(sizes)
+            for source, (target, taken) in scheduled(sizes).items():
+                mine = [r for r in after.values() if r.source == source]
+                assert sum(r.taken for r in mine) == taken and all(abs(r.target - target) < 1e-6 for r in mine)
     assert corpus_pipeline.run(spark, sf_dir).count() == held[-1]
 
 
@@ -84,4 +88,4 @@ def test_null_and_repeated_ids(spark, sf_dir):
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(3, b), (0, c)])
     got = run("source_mixing", [(3, a), (3, b), (None, c), (None, e)])
     assert sorted((r.doc_id or 0, r.text, r.size) for r in got) == sorted([(3, a, 60), (3, b, 70), (0, c, 80), (0, e, 90)])
-    assert abs(sum(r.taken for r in got) - 450) <= 1
+    assert sum(r.taken for r in got) == scheduled([("s", n) for n in (60, 70, 80, 90)])["s"][1]
