@@ -163,41 +163,138 @@ def margins(drawn: DataFrame) -> DataFrame:
 def room(inputs: np.ndarray, d: int, top: int) -> np.ndarray:
     """How many entries any k = 0..d rows can hold at most: each of them ``top``, and a column no more than its inputs."""
     k = np.arange(d + 1)
-    return np.minimum(np.minimum(np.asarray(inputs)[:, None], k).sum(axis=0), k * top)
+    size, many = np.unique(np.asarray(inputs, dtype=np.int64), return_counts=True)
+    return np.minimum((np.minimum(size[:, None], k) * many[:, None]).sum(axis=0), k * top)
 
 
-def power_allocation(lam: np.ndarray, alpha: float, inputs: np.ndarray, top: int | None = None) -> np.ndarray:
-    """Whole fan-outs of the dims in proportion to lam**alpha, as far as a 0/1 matrix with ``inputs`` entries a cell and at most
-    ``top`` (half of the cells) a dim exists; alpha = inf fills the dims with the largest spectrum entries first.
+def shares(lam: np.ndarray, alpha: float, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the dims, heaviest first, and their fan-outs in proportion to lam**alpha as far as ``most`` (the room of the
+    first k dims, cut at the total) allows.
 
-    What k dims can hold is a concave function of k (``room``), so the fan-outs nearest to proportion, the largest first, are
-    the slopes of the greatest convex line below the points (sum of weights, room). They are rounded down, and
-    the rest is given out by largest remainder wherever a matrix still exists; concavity makes sure that all of it finds a place.
+    ``most`` is concave, so the fan-outs nearest to proportion are the slopes of the greatest convex line below the points
+    (sum of weights, room). Weights are taken relative to the first dim of each stretch of that line, from logarithms,
+    so that none of them vanishes beside a larger one. Equal spectrum entries share what they got alike.
+    """
+    lam = np.asarray(lam, dtype=float)
+    if not len(lam) or not np.isfinite(lam).all() or (lam < 0).any() or np.isnan(alpha) or alpha == -np.inf:
+        raise ValueError("the spectrum must be finite and not negative, and alpha a number or infinite")
+    log = np.log(np.maximum(lam, 1e-300))
+    weight = np.sign(alpha) * log if np.isinf(alpha) else alpha * log
+    order = np.lexsort((np.arange(len(lam)), -weight))
+    weight = weight[order]
+    if np.isinf(alpha):
+        out = np.diff(most).astype(float)
+    else:
+        out, at = np.zeros(len(lam)), 0
+        while at < len(lam):
+            rel = np.exp(np.maximum(weight[at:] - weight[at], -700.0))
+            slope = (most[at + 1 :] - most[at]) / np.cumsum(rel)
+            to = int(np.flatnonzero(slope <= slope.min() * (1 + 1e-12))[-1]) + 1
+            out[at : at + to] = rel[:to] * slope.min()
+            at += to
+    group = np.concatenate(([0], np.cumsum(np.diff(weight) != 0)))
+    return order, (np.bincount(group, weights=out) / np.bincount(group))[group]
+
+
+def whole(share: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whole fan-outs, falling like ``share``, whose first k never exceed most[k].
+
+    Running sums are cut to whole numbers and their steps sorted, which keeps each within one of its share. Where the first k
+    then hold too much, the last dim as large as the k-th gives one to the first dim that is smaller by two or more; such
+    a dim exists, because ``most`` is concave and holds the total, and each gift makes the fan-outs more even, so they end.
     """
+    upto = np.cumsum(share)
+    cut = np.where(np.abs(upto - np.rint(upto)) < 1e-7, np.rint(upto), np.floor(upto)).astype(np.int64)
+    cut[-1] = most[-1]
+    f = np.sort(np.diff(np.concatenate(([0], cut))))[::-1].copy()
+    while (over := np.flatnonzero(np.cumsum(f) > most[1:])).size:
+        value = f[over[0]]
+        f[np.flatnonzero(f == value)[-1]] -= 1
+        f[np.flatnonzero(f <= value - 2)[0]] += 1
+    start = np.flatnonzero(np.concatenate(([True], np.diff(share) != 0, [True])))
+    for a, b in zip(start[:-1], start[1:], strict=True):  # equal shares end within one of each other
+        each, more = divmod(int(f[a:b].sum()), b - a)
+        f[a:b] = each + (np.arange(b - a) < more)
+    return f
+
+
+def power_allocation(lam: np.ndarray, alpha: float, inputs: np.ndarray, top: int | None = None) -> np.ndarray:
+    """Whole fan-outs of the dims in proportion to lam**alpha, as far as a 0/1 matrix with ``inputs`` entries a cell and at most
+    ``top`` (half of the cells) a dim exists; alpha = inf fills the dims with the largest spectrum entries first, and a
+    negative alpha prefers small ones. An entry of 0 counts as 1e-300."""
     d, total = len(lam), int(np.sum(inputs))
     top = max(1, len(inputs) // 2) if top is None else top
     most = room(inputs, d, top)
     if most[-1] < total:
         raise ValueError("more connections than places")
-    order = np.lexsort((np.arange(d), -lam))
     most = np.minimum(most, total)
-    if np.isinf(alpha):
-        share = np.diff(most).astype(float)
-    else:
-        weight = np.power(np.maximum(lam[order], 1e-300) / lam.max(), alpha)
-        upto, share, at = np.concatenate(([0.0], np.cumsum(weight))), np.zeros(d), 0
-        while at < d:
-            slope = (most[at + 1 :] - most[at]) / (upto[at + 1 :] - upto[at])
-            to = at + 1 + int(np.flatnonzero(slope <= slope.min() * (1 + 1e-12))[-1])
-            share[at:to] = weight[at:to] * slope.min()
-            at = to
-    whole = np.floor(share + 1e-9).astype(np.int64)
-    fits = lambda f: (np.cumsum(np.sort(f)[::-1]) <= most[1:]).all()
-    while whole.sum() < total:
-        for i in np.lexsort((np.arange(d), whole - share)).tolist():
-            more = whole + (np.arange(d) == i)
-            if whole.sum() < total and fits(more):
-                whole = more
+    order, share = shares(lam, alpha, most)
     out = np.empty(d, dtype=np.int64)
-    out[order] = whole
+    out[order] = whole(share, most)
     return out
+
+
+def allocations(spectra: DataFrame, cells: DataFrame, alphas: list[float], by: list[str], part: float = 0.5) -> DataFrame:
+    """(*by, alpha, dim, share, fan_out) for the spectrum (*by, dim, lam) of every circuit and the inputs (*by, cell, n) of its
+    cells; no dim takes more than ``part`` of the cells. A circuit's spectrum is a row of its dims, and its cells count only by
+    how many have how many inputs, so what a task holds does not grow with the cells."""
+    lam = spectra.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("dim", F.col("lam").cast("double").alias("lam")))).alias("spectrum"))
+    held = cells.groupBy(*by, F.col("n").cast("long").alias("n")).agg(F.count("*").alias("many")).groupBy(*by).agg(F.collect_list(F.struct("n", "many")).alias("held"))
+    rows = lam.join(held, by).withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    kept = rows.select(*by, "alpha", "spectrum", "held")
+    types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+
+    def run(frames):
+        for f in frames:
+            for r in f.itertuples(index=False):
+                n = np.repeat(np.array([h["n"] for h in r.held]), [h["many"] for h in r.held])
+                lams = np.array([x["lam"] for x in r.spectrum])
+                most = np.minimum(room(n, len(lams), max(1, int(part * len(n)))), n.sum())
+                if most[-1] < n.sum():
+                    raise ValueError("more connections than places")
+                order, share = shares(lams, r.alpha, most)
+                yield pd.DataFrame({**{c: getattr(r, c) for c in by}, "alpha": r.alpha, "dim": np.array([x["dim"] for x in r.spectrum])[order], "share": share, "fan_out": whole(share, most)})
+
+    return kept.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in by) + ", alpha double, dim long, share double, fan_out long")
+
+
+# ---------------------------------------------------------------- margins alone
+def matrix_of(rows: np.ndarray, columns: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A 0/1 matrix with these row and column sums, or ValueError where none exists. The rows, longest first, take the columns
+    that have most left to give (equal ones in random order): what is left then stays as even as it can be, so a row finds no
+    place only where no matrix has the margins."""
+    if rows.sum() != columns.sum() or (rows < 0).any() or (columns < 0).any():
+        raise ValueError("no 0/1 matrix has these margins")
+    entry, left = np.zeros((len(rows), len(columns)), dtype=bool), columns.copy()
+    for i in np.lexsort((rng.permutation(len(rows)), -rows)):
+        n = int(rows[i])
+        if n > len(columns):
+            raise ValueError("no 0/1 matrix has these margins")
+        first = np.lexsort((rng.permutation(len(columns)), -left))[:n]
+        if n and left[first[-1]] <= 0:
+            raise ValueError("no 0/1 matrix has these margins")
+        entry[i, first] = True
+        left[first] -= 1
+    return entry
+
+
+def realise(margins_: DataFrame, draws: int, sweeps: int = 5, seed: int = 1, by: list[str] | None = None) -> DataFrame:
+    """(*by, draw, dim, cell, w): random wirings of given margins (*by, side, id, n), ``side`` being dim or cell: a matrix made from
+    the margins alone, mixed by trades. Margins that no wiring has are refused."""
+    by = by or []
+    types = {f.name: f.dataType.simpleString() for f in margins_.schema.fields}
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        draw = int(f.draw.iloc[0])
+        g = np.random.default_rng([seed, draw])
+        d, c = (f[f.side == s].sort_values("id") for s in ("dim", "cell"))
+        entry = matrix_of(d.n.to_numpy(np.int64), c.n.to_numpy(np.int64), g)
+        sets, dims, cells = [set(np.flatnonzero(row).tolist()) for row in entry], d.id.to_numpy(), c.id.to_numpy()
+        if len(sets) > 1:
+            trade(sets, sweeps * len(sets), g)
+        named = [[int(cells[x]) for x in sorted(s)] for s in sets]
+        out = _rows(draw, named, dims, [[1] * len(s) for s in named])
+        return out.assign(**{b: f[b].iloc[0] for b in by})[[*by, "draw", "dim", "cell", "w"]]
+
+    x = margins_.select(*by, "side", "id", "n").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    return x.groupBy(*by, "draw").applyInPandas(run, "".join(f"{b} {types[b]}, " for b in by) + SCHEMA)

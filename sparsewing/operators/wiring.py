@@ -11,10 +11,10 @@ from sparsewing.functions import rng
 # ---------------------------------------------------------------- building
 def build(edges: DataFrame, dims: DataFrame, threshold: int = 1, by: list[str] | None = None) -> DataFrame:
     """Edges (pre, post, weight) joined with the type of their source, summed per (dim, cell), with the number of distinct
-    sources; entries below the threshold go, and cells without an entry vanish with them. ``by``: columns of ``dims`` that tell
-    wirings apart, each of which is built on its own."""
+    sources; entries below the threshold go, and cells without an entry vanish with them. ``by``: columns of the edges or of
+    ``dims`` that tell wirings apart, each of which is built on its own."""
     by = by or []
-    g = edges.join(dims.select("pre", "dim", *by), "pre").groupBy(*by, "pre", "dim", F.col("post").alias("cell")).agg(F.sum("weight").alias("w"))
+    g = edges.join(dims.select("pre", "dim", *[c for c in by if c in dims.columns]), "pre").groupBy(*by, "pre", "dim", F.col("post").alias("cell")).agg(F.sum("weight").alias("w"))
     g = g.groupBy(*by, "dim", "cell").agg(F.sum("w").alias("w"), F.count("*").alias("partners"))
     return g.filter(F.col("w") >= threshold)
 
@@ -125,6 +125,17 @@ def audit(wiring: DataFrame, thresholds: list[int], by: list[str]) -> DataFrame:
     )
 
 
+def feasible(fan_outs: DataFrame, cells: DataFrame, by: list[str], form: list[str]) -> DataFrame:
+    """(*form, entries, excess, feasible): whether a 0/1 matrix exists with the row sums (*form, n) and the column sums (*by, cell,
+    n): the largest r rows must not hold more than the columns can give to r rows. ``form`` begins with ``by`` and tells
+    sets of row sums apart. Cells count by how many have how many inputs, so the join is of rows times distinct sums."""
+    o = Window.partitionBy(*form).orderBy(F.col("n").desc())
+    pre = fan_outs.withColumns({"r": F.row_number().over(o), "pre": F.sum("n").over(o.rowsBetween(Window.unboundedPreceding, 0))})
+    held = cells.groupBy(*by, F.col("n").alias("c")).agg(F.count("*").alias("many"))
+    bound = pre.join(held, by).groupBy(*form, "r", "pre").agg(F.sum(F.least("c", "r") * F.col("many")).alias("bound"), F.sum(F.col("c") * F.col("many")).alias("all"))
+    return bound.groupBy(*form).agg(F.max("pre").alias("entries"), F.max(F.col("pre") - F.col("bound")).alias("excess"), (F.every(F.col("pre") <= F.col("bound")) & (F.max("pre") == F.max("all"))).alias("feasible"))
+
+
 # ---------------------------------------------------------------- generating
 def uniform(spark, dims: int, cells: int, inputs_: int, seed: int, tag: str = "w") -> DataFrame:
     """Every cell draws the same number of different dims. The grid dims x cells is the sampling frame itself."""

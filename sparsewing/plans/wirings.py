@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparsewing.catalog import query
@@ -271,3 +272,104 @@ def gale_ryser(spark, d):
     bound = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, v: a + F.least(v, F.col("r") + 1))
     total = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, v: a + v)
     return r.groupBy("id").agg((F.min(F.when(F.col("pre") <= bound, 1).otherwise(0)) == 1).alias("ok"), F.max("pre").alias("s"), F.first(total).alias("t")).select("id", (F.col("ok") & (F.col("s") == F.col("t"))).alias("feasible"))
+
+
+# ---------------------------------------------------------------- margins of one wiring per return flag
+_BY_FLAG = "wf AS (SELECT l_returnflag AS flag, CAST(s_nationkey AS BIGINT) AS dim, l_partkey AS cell, sum(CAST(l_quantity AS BIGINT)) AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
+
+
+def by_flag(spark, d):
+    return w.build(tables.edges(spark, d), tables.dims(spark, d), by=["flag"])
+
+
+def _margins_of(x):
+    """(flag, side, id, n) of the wirings (flag, dim, cell)."""
+    side = lambda c: x.groupBy("flag", F.lit(c).alias("side"), F.col(c).alias("id")).agg(F.count("*").alias("n"))
+    return side("dim").unionByName(side("cell"))
+
+
+@query(f"WITH {_BY_FLAG} SELECT flag, draw, side, id, count(*) AS n FROM (SELECT flag, 'dim' AS side, dim AS id FROM wf UNION ALL SELECT flag, 'cell', cell FROM wf), range(2) t(draw) GROUP BY ALL")
+def realised_margins(spark, d):
+    """Random wirings made from the margins of each flag's wiring alone have those margins."""
+    x = generators.realise(_margins_of(by_flag(spark, d)), 2, sweeps=2, by=["flag"])
+    side = lambda c: x.groupBy("flag", "draw", F.lit(c).alias("side"), F.col(c).alias("id")).agg(F.count("*").alias("n"))
+    return side("dim").unionByName(side("cell"))
+
+
+@query(f"WITH {_BY_FLAG} SELECT flag, draw, count(*) AS entries, count(*) AS distinct_entries FROM wf, range(2) t(draw) GROUP BY ALL")
+def realised_entries(spark, d):
+    """... and no entry twice."""
+    x = generators.realise(_margins_of(by_flag(spark, d)), 2, sweeps=2, by=["flag"])
+    return x.groupBy("flag", "draw").agg(F.count("*").alias("entries"), F.count_distinct("dim", "cell").alias("distinct_entries"))
+
+
+_FOLDED = f"""
+WITH {_BY_FLAG},
+f0 AS (SELECT flag, dim, count(*) AS n FROM wf GROUP BY ALL),
+f1 AS (SELECT flag, n, row_number() OVER (PARTITION BY flag ORDER BY n DESC, dim) AS r, count(*) OVER (PARTITION BY flag) AS k FROM f0),
+f AS (SELECT flag, 'as_is' AS form, n FROM f0 UNION ALL SELECT a.flag, 'folded', CASE WHEN 2 * a.r > a.k + 1 THEN 0 WHEN 2 * a.r = a.k + 1 THEN a.n ELSE a.n + b.n END FROM f1 a JOIN f1 b ON a.flag = b.flag AND b.r = a.k + 1 - a.r),
+p AS (SELECT flag, form, row_number() OVER o AS r, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS pre FROM f WINDOW o AS (PARTITION BY flag, form ORDER BY n DESC)),
+c AS (SELECT flag, n, count(*) AS many FROM (SELECT flag, cell, count(*) AS n FROM wf GROUP BY ALL) GROUP BY ALL),
+b AS (SELECT p.flag, form, r, pre, sum(least(n, r) * many) AS bound FROM p JOIN c USING (flag) GROUP BY ALL)
+SELECT flag, form, CAST(max(pre) AS BIGINT) AS entries, CAST(max(pre - bound) AS BIGINT) AS excess, bool_and(pre <= bound) AS feasible FROM b GROUP BY ALL
+"""
+
+
+@query(_FOLDED)
+def margins_feasible(spark, d):
+    """Whether a wiring exists with the fan-outs of a flag's wiring, and with those folded onto the larger half of its dims."""
+    x = by_flag(spark, d)
+    fan = x.groupBy("flag", "dim").agg(F.count("*").alias("n"))
+    o = Window.partitionBy("flag")
+    ranked = fan.withColumns({"r": F.row_number().over(o.orderBy(F.col("n").desc(), "dim")), "k": F.count("*").over(o)})
+    other = ranked.select("flag", (F.col("k") + 1 - F.col("r")).alias("r"), F.col("n").alias("m"))
+    place = 2 * F.col("r") - F.col("k") - 1
+    folded = ranked.join(other, ["flag", "r"]).select("flag", F.lit("folded").alias("form"), F.when(place > 0, 0).when(place == 0, F.col("n")).otherwise(F.col("n") + F.col("m")).alias("n"))
+    return w.feasible(fan.select("flag", F.lit("as_is").alias("form"), "n").unionByName(folded), x.groupBy("flag", "cell").agg(F.count("*").alias("n")), ["flag"], ["flag", "form"])
+
+
+_ALPHAS = (-0.5, 0.0, 0.5, 1.0, 2.0)
+_LAM = f"{_BY_FLAG}, lam AS (SELECT flag, dim, var_pop(CAST(w AS DOUBLE)) AS lam FROM wf GROUP BY ALL)"
+
+
+def _allocated(spark, d, alphas):
+    x = by_flag(spark, d)
+    lam = x.groupBy("flag", "dim").agg(F.var_pop(F.col("w").cast("double")).alias("lam"))
+    return generators.allocations(lam, x.groupBy("flag", "cell").agg(F.count("*").alias("n")), list(alphas), ["flag"], part=1.0), x
+
+
+@query(
+    f"""
+WITH {_LAM},
+o AS (SELECT flag, alpha, dim, row_number() OVER p AS k, pow(greatest(lam, 1e-300), alpha) AS wt FROM lam, (SELECT unnest([{", ".join(f"{a!r}::DOUBLE" for a in _ALPHAS)}]) AS alpha) WINDOW p AS (PARTITION BY flag, alpha ORDER BY CASE WHEN alpha > 0 THEN -lam WHEN alpha < 0 THEN lam END, dim)),
+c AS (SELECT flag, n, count(*) AS many FROM (SELECT flag, cell, count(*) AS n FROM wf GROUP BY ALL) GROUP BY ALL),
+z AS (SELECT flag, sum(n * many) AS total, sum(many) AS cells FROM c GROUP BY flag),
+m AS (SELECT c.flag, k, least(sum(least(n, k) * many), k * any_value(cells), any_value(total)) AS most FROM c JOIN z USING (flag), range(1, 26) t(k) GROUP BY c.flag, k UNION ALL SELECT flag, 0, 0 FROM z),
+s AS (SELECT flag, alpha, dim, k, wt, sum(wt) OVER (PARTITION BY flag, alpha ORDER BY k) AS upto FROM o),
+pt AS (SELECT s.flag, alpha, m.k, upto, most FROM s JOIN m ON m.flag = s.flag AND m.k = s.k UNION ALL SELECT DISTINCT flag, alpha, 0, 0.0, 0 FROM s),
+sl AS (SELECT a.flag, a.alpha, a.k AS a, b.k AS b, (b.most - a.most) / (b.upto - a.upto) AS slope FROM pt a JOIN pt b ON a.flag = b.flag AND a.alpha = b.alpha AND a.k < b.k),
+lo AS (SELECT flag, alpha, a, b AS k, min(slope) OVER (PARTITION BY flag, alpha, a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least FROM sl),
+hi AS (SELECT flag, alpha, k, max(least) AS slope FROM (SELECT flag, alpha, g.k, max(least) AS least FROM lo l JOIN (SELECT unnest(range(1, 26)) AS k) g ON l.a < g.k AND l.k = g.k GROUP BY ALL) GROUP BY ALL)
+SELECT s.flag, s.alpha, s.dim, round(wt * slope, 4) AS share FROM s JOIN hi USING (flag, alpha, k)
+"""
+)
+def allocation_shares(spark, d):
+    """Fan-outs in proportion to a power of each dim's variance, as far as the cells of a flag's wiring allow. In SQL: the slope of
+    the greatest convex line at a dim is the largest, over starts before it, of the smallest slope to an end after it."""
+    return _allocated(spark, d, _ALPHAS)[0].select("flag", "alpha", "dim", F.round("share", 4).alias("share"))
+
+
+@query(f"WITH {_LAM}, a AS (SELECT unnest([{', '.join(f'{a!r}::DOUBLE' for a in _ALPHAS)}, 'infinity'::DOUBLE]) AS alpha) SELECT flag, alpha, CAST(count(*) AS BIGINT) AS entries, true AS within_cells, true AS feasible, true AS in_order, true AS near_share FROM wf, a GROUP BY ALL")
+def allocation_checks(spark, d):
+    """Whole fan-outs hold all entries, at most every cell once a dim, in the order of the spectrum, and a wiring with them exists."""
+    got, x = _allocated(spark, d, (*_ALPHAS, float("inf")))
+    cells = x.groupBy("flag", "cell").agg(F.count("*").alias("n"))
+    ok = w.feasible(got.select("flag", "alpha", F.col("fan_out").alias("n")), cells, ["flag"], ["flag", "alpha"])
+    lam = x.groupBy("flag", "dim").agg(F.var_pop(F.col("w").cast("double")).alias("lam"))
+    heavy = F.col("lam") * F.signum("alpha")
+    before = F.min("fan_out").over(Window.partitionBy("flag", "alpha").orderBy(heavy.desc(), F.col("fan_out").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    rows = got.join(lam, ["flag", "dim"]).join(cells.groupBy("flag").agg(F.count("*").alias("m")), "flag").withColumn("before", before)
+    each = rows.groupBy("flag", "alpha").agg(
+        F.every(F.col("fan_out") <= F.col("m")).alias("within_cells"), F.every(F.coalesce(F.col("fan_out") <= F.col("before"), F.lit(True))).alias("in_order"), F.every(F.abs(F.col("fan_out") - F.col("share")) < 2).alias("near_share"),
+    )
+    return each.join(ok, ["flag", "alpha"]).select("flag", "alpha", "entries", "within_cells", "feasible", "in_order", "near_share")

@@ -24,12 +24,14 @@ def drives(spark, rows):
 
 
 def test_wiring_build(spark):
-    dims = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "pre long, dim long")
-    edges = spark.createDataFrame([(1, 10, 2), (2, 10, 3), (3, 11, 1), (3, 11, 4), (4, 12, 7), (5, 12, 7), (1, 13, 1)], "pre long, post long, weight long")
+    """Two sources of one type add up, a source without a type counts nowhere, and its cell vanishes."""
+    dims = spark.createDataFrame([(20, 4), (21, 4), (22, 7), (23, 7)], "pre long, dim long")
+    edges = spark.createDataFrame([(20, 1, 6), (21, 1, 1), (21, 1, 2), (22, 1, 5), (23, 2, 3), (30, 3, 9), (30, 2, 9)], "pre long, post long, weight long")
     got = {(r.dim, r.cell): (r.w, r.partners) for r in wiring.build(edges, dims).collect()}
-    assert got == {(0, 10): (5, 2), (1, 11): (5, 1), (0, 13): (1, 1)}
-    one = wiring.align(wiring.build(edges, dims), dims.filter("dim = 1"))
-    assert [(r.cell, r.partners) for r in one.collect()] == [(11, 1)]
+    assert got == {(4, 1): (9, 2), (7, 1): (5, 1), (7, 2): (3, 1)}
+    assert [(r.dim, r.cell) for r in wiring.build(edges, dims, 5).orderBy("dim").collect()] == [(4, 1), (7, 1)]
+    one = wiring.align(wiring.build(edges, dims), dims.filter("dim = 4"))
+    assert [(r.cell, r.w, r.partners) for r in one.collect()] == [(1, 9, 2)]
 
 
 def matrix(spark, rows):
@@ -191,19 +193,81 @@ def test_generators_keep_their_margins(spark):
 
 
 def test_allocation():
-    lam = np.array([4.0, 1.0, 0.25, 1.0])
-    for alpha in (0.0, 0.5, 1.0, 3.0, float("inf")):
-        f = generators.power_allocation(lam, alpha, 60, 30, 2)
-        assert f.sum() == 60 and f.max() <= 15 and f[0] >= f[2]
-    assert generators.power_allocation(np.ones(6), 0.0, 60, 30, 2).tolist() == [10] * 6
-
-
-def test_learning_step_and_completion():
-    w = np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]])
-    d = learn.step(w, np.array([[2.0, 1.0, 0.0]]), 2.0, 2, 0.5)
-    want = np.array([[2.0, 1.0, 0.0], [0, 0, 0]]) - 2.0 * np.array([[1.0, 0, 0], [0, 0, 0]])
-    want[1] = -0.5 * np.array([2.0, 1.0, 0.0]) + 0.5 * 1.0 * w[1]
-    assert np.allclose(d, want / np.abs(want).max())
+    half, five = np.full(30, 2), np.array([4.0, 1.0, 0.25, 1.0])
+    for alpha in (-1.0, 0.0, 0.5, 1.0, 3.0, np.inf):
+        assert generators.power_allocation(five, alpha, half).tolist() == [15] * 4  # half of the cells, and no more places
+    assert generators.power_allocation(np.ones(6), np.inf, half).tolist() == [10] * 6
+    assert generators.power_allocation(np.array([9.0, 4, 2, 1, 0.5, 0.1]), -1.0, half).tolist()[2:] == sorted(generators.power_allocation(np.array([9.0, 4, 2, 1, 0.5, 0.1]), -1.0, half).tolist()[2:])
+    assert generators.power_allocation(np.array([1.0, 0, 0, 0, 0, 0]), 2.0, np.full(30, 3)).tolist() == [15] * 6
+    wide = generators.power_allocation(np.r_[[4.0, 3, 2, 1], np.zeros(60)], 2.0, np.full(640, 6))
+    assert wide[:4].tolist() == [320] * 4 and wide.sum() == 3840 and np.ptp(wide[4:]) <= 1
+    assert generators.power_allocation(np.array([3.0, 1.0]), 1.0, np.full(40, 1), 40).tolist() == [30, 10]
+    assert generators.power_allocation(np.array([2.0, 1.0, 1.0]), -1.0, np.full(50, 1), 50).tolist() == [10, 20, 20]
+    for bad in ([1.0, np.nan], [-1.0, 1.0], [np.inf, 1.0]):
+        with pytest.raises(ValueError):
+            generators.power_allocation(np.array(bad), 1.0, half, 30)
+    with pytest.raises(ValueError):
+        generators.power_allocation(np.ones(3), 1.0, np.full(30, 2))
+    with pytest.raises(ValueError):
+        generators.power_allocation(np.ones(6), -np.inf, half)
+
+
+def test_allocations_of_random_spectra():
+    """Every allocation ends, holds all entries within the bounds of a matrix, follows the spectrum, and treats equals alike."""
+    g, done = np.random.default_rng(5), 0
+    while done < 1000:
+        d, m = int(g.integers(1, 25)), int(g.integers(1, 60))
+        lam = [g.random(d), np.arange(1, d + 1.0) ** -g.uniform(0, 4), np.where(g.random(d) < 0.5, 0, g.random(d)), g.integers(0, 3, d).astype(float), 10.0 ** g.uniform(-300, 300, d)][int(g.integers(5))]
+        c = g.integers(0, d + 1, m) if g.random() < 0.7 else np.full(m, int(g.integers(0, d + 1)))
+        alpha, top = float(g.choice([-3, -1, -0.5, 0, 0.5, 1, 2, 8, np.inf])), int(g.choice([max(1, m // 2), m]))
+        if generators.room(c, d, top)[-1] < c.sum():
+            continue
+        f = generators.power_allocation(lam, alpha, c, top)
+        assert f.sum() == c.sum() and f.min() >= 0 and f.max() <= top and numbers.gale_ryser(f.tolist(), c.tolist())
+        value = np.maximum(lam, 1e-300)
+        groups = [f[value == v] for v in np.unique(value)[::-1]]
+        assert all(np.ptp(x) <= 1 for x in groups)
+        for x, y in zip(groups, groups[1:], strict=False):
+            assert alpha == 0 or (x.min() >= y.max() if alpha > 0 else x.max() <= y.min())
+        done += 1
+
+
+def test_matrices_of_margins_alone():
+    g, found = np.random.default_rng(6), 0
+    for _ in range(1500):
+        d, m = int(g.integers(1, 6)), int(g.integers(1, 7))
+        r, c = g.integers(0, m + 1, d), g.integers(0, d + 1, m)
+        if g.random() < 0.8:
+            r = np.bincount(g.integers(0, d, c.sum()), minlength=d)
+        if numbers.gale_ryser(r.tolist(), c.tolist()):
+            e = generators.matrix_of(r, c, g)
+            assert (e.sum(axis=1) == r).all() and (e.sum(axis=0) == c).all()
+            found += 1
+        else:
+            with pytest.raises(ValueError):
+                generators.matrix_of(r, c, g)
+    assert 300 < found < 1200
+
+
+def test_realise(spark):
+    rows = [("x", "dim", 5, 3), ("x", "dim", 6, 1), ("x", "cell", 1, 2), ("x", "cell", 2, 1), ("x", "cell", 3, 1), ("y", "dim", 5, 1), ("y", "cell", 9, 1)]
+    m = spark.createDataFrame(rows, "k string, side string, id long, n long")
+    got = generators.realise(m, 3, by=["k"]).collect()
+    assert {(r.k, r.draw) for r in got} == {(k, i) for k in "xy" for i in range(3)}
+    for i in range(3):
+        mine = [r for r in got if (r.k, r.draw) == ("x", i)]
+        assert {(r.dim, r.cell) for r in mine} == {(5, 1), (5, 2), (5, 3), (6, 1)} and all(r.w == 1 for r in mine)
+    with pytest.raises(Exception, match="no 0/1 matrix"):
+        generators.realise(spark.createDataFrame([("dim", 1, 2), ("cell", 1, 2)], "side string, id long, n long"), 1).collect()
+
+
+def test_competition_and_completion():
+    units, rows = np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]), np.array([[2.0, 1.0, 0.0]])
+    rule = learn.Competition(rank=2, push=0.5, power=2.0)
+    assert rule.currents(units, rows).tolist() == [[2.0, 1.0]]
+    # the first unit moves to (2, 1, 0) less twice itself, the second away from it by half, its own current back
+    assert rule.change(units, rows).tolist() == [[0.0, 1.0, 0.0], [-1.0, 0.0, 0.0]]
+    assert (rule.fit(rows, np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]), 2, 0.1)[:, 2] == 0).all()  # entries at zero stay there
     x = np.outer([1.0, 2, 3, 4], [1.0, 2, 3])
     y = x.copy()
     y[1, 1] = np.nan
