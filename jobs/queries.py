@@ -3,25 +3,18 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from jobs import audit_wiring, encode_documents
+from sparsewing.operators.graph import shared_folder
 from sparsewing.plans.sql import CTE, K
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A name that no other call takes, in ``spark.checkpoint.dir``; where that is unset (tests, one machine), in the folder that
-    the context checkpoints to, or a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not set_.isDefined() and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all machines share")
-        at = set_.get() if set_.isDefined() else tempfile.mkdtemp(prefix="jobs-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A name in the shared folder that no other call takes."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def job1_encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,28 @@ def curveball(wiring: DataFrame, draws: int, sweeps: int = 5, seed: int = 1) ->
     return x.groupBy("draw").applyInPandas(run, SCHEMA)
 
 
+def curveball_path(wiring: DataFrame, draws: int, marks: list[int], seed: int = 1) -> DataFrame:
+    """(draw, mark, dim, cell, w): every chain after each of the numbers of sweeps in ``marks``, from one walk a draw; the chains
+    are those of ``curveball``. Weights are dealt anew at each mark and do not steer the walk."""
+    spark, marks = wiring.sparkSession, sorted(set(marks))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        draw = int(f.draw.iloc[0])
+        g, done, out = np.random.default_rng([seed, draw]), 0, []
+        f = f.sort_values(["dim", "cell"])
+        dims, sets = _adjacency(f)
+        for mark in marks:
+            if len(sets) > 1:
+                trade(sets, (mark - done) * len(sets), g)
+            done = mark
+            rows = _rows(draw, [sorted(s) for s in sets], dims, _deal_weights(sets, f, np.random.default_rng([seed, draw, mark])))
+            out.append(rows.assign(mark=mark))
+        return pd.concat(out)[["draw", "mark", "dim", "cell", "w"]]
+
+    x = wiring.select("dim", "cell", F.col("w").cast("long").alias("w")).crossJoin(spark.range(draws).withColumnRenamed("id", "draw"))
+    return x.groupBy("draw").applyInPandas(run, "draw long, mark long, dim long, cell long, w long")
+
+
 def level(entry: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
     """Moves entries of a 0/1 matrix along its rows until the columns hold ``target``; row sums stay. A fuller column has a
     row that a less full one lacks, so a move from above its target to below it exists whenever the surplus column holds more."""

@@ -8,15 +8,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one the context checkpoints to. Only on one
+    machine, and where neither is set, a temporary folder is made and set."""
+    sc = spark.sparkContext
+    at = sc._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not at.isDefined():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all machines share")
+        named = named or tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(named)
+    return (named or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
 def reliable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of the cluster; one of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    """A checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

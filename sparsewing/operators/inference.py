@@ -135,6 +135,34 @@ def two_stage(real: DataFrame, null: DataFrame, draws: int, n: int, n_null: int,
     return q.select(F.round(F.col("r")[0], 9).alias("rel_low"), F.round(F.col("r")[1], 9).alias("rel_high"), F.round(F.col("g")[0], 4).alias("low"), F.round(F.col("g")[1], 4).alias("high"))
 
 
+def resampled_sums(scores: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """(rep, *keys, total): weighted sums of the trials' values in every replicate. ``scores``: (*keys, trial, value), ``weights``:
+    (rep, trial, times). A key's values and a replicate's weights are one array each, in order of the trials, so there is a row
+    for a key and a replicate, and none for a trial in them; trials are the stated set that is resampled."""
+    own = scores.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("trial", F.col("value").cast("double").alias("value")))).alias("values"))
+    times = weights.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("trial", "times"))).alias("times"))
+    total = F.aggregate("times", F.lit(0.0), lambda a, t: a + t["times"] * F.coalesce(F.element_at("values", t["trial"]), F.lit(0.0)))
+    return own.crossJoin(F.broadcast(times)).select("rep", *keys, total.alias("total"))  # a row per replicate
+
+
+def two_stage_by(scores: DataFrame, trials: DataFrame, reps: int, subset: int, by: list[str], seed: int, level: float = 0.9) -> DataFrame:
+    """(*by, rel_low, rel_high): the interval of the real wiring's mean against that of the null draws, relative to it, where each
+    replicate draws the trials with replacement and a fresh ``subset`` of the null draws without. ``scores``: (*by, draw,
+    trial, value), draw -1 being the real one; ``trials``: (trial, pos), pos from 0 on."""
+    spark, n = scores.sparkSession, trials.count()
+    drawn = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long"))).alias("slot"))
+    drawn = drawn.withColumn("pos", rng.integer(max(n, 1), "boot", seed, "rep", "slot")).groupBy("rep", "pos").agg(F.count("*").alias("times"))
+    weights = drawn.join(F.broadcast(trials), "pos").select("rep", "trial", "times")
+    nulls = scores.filter("draw >= 0").select("draw").distinct()
+    picked = rng.pick(spark.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(nulls)), subset, "sub", seed, "draw", within=["rep"])  # replicates by draws
+    total = resampled_sums(scores, weights, [*by, "draw"])
+    real = total.filter("draw = -1").select("rep", *by, F.col("total").alias("real"))
+    base = total.join(F.broadcast(picked), ["rep", "draw"]).groupBy("rep", *by).agg(F.avg("total").alias("base"))
+    rel = real.join(base, ["rep", *by]).select(*by, F.when(F.col("base") != 0, F.col("real") / F.col("base") - 1).alias("rel"))
+    x = (1 - level) / 2
+    return rel.groupBy(*by).agg(F.expr(f"percentile(rel, array({x!r}, {1 - x!r}))").alias("q")).select(*by, F.round(F.col("q")[0], 9).alias("rel_low"), F.round(F.col("q")[1], 9).alias("rel_high"))
+
+
 def coverage(intervals: DataFrame, truth: float, z: float) -> DataFrame:
     """Share of intervals (low, high) that hold the truth, with its Wilson interval."""
     return wilson(intervals.agg(F.count_if((F.col("low") <= truth) & (F.col("high") >= truth)).alias("k"), F.count("*").alias("n")), z)

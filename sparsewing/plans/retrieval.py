@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from sparsewing.catalog import query
 from sparsewing.functions import numbers
-from sparsewing.operators import encode as e, knn, metrics
+from sparsewing.operators import blocks, encode as e, knn, metrics, wiring as w
 from sparsewing.plans.codes import _VT, coded, driven, train
-from sparsewing.plans.sql import K, M, QUERIES, TOP, sql
+from sparsewing.plans.sql import K, M, QUERIES, S, TOP, sql
 from sparsewing.sources import tables
 
 
@@ -16,17 +16,27 @@ def queries(spark, d):
     return tables.queries_of(tables.items(spark, d), QUERIES)
 
 
+def plain_wiring(spark):
+    return blocks.stack(w.uniform(spark, 64, M, S, 7), 64)
+
+
 def truth(spark, d):
-    return knn.truth(tables.items(spark, d), queries(spark, d), TOP)
+    return blocks.rankings(tables.items(spark, d), queries(spark, d), [blocks.Exact("truth")], TOP).drop("arm")
 
 
 def predicted(spark, d):
-    q = queries(spark, d)
-    return knn.hamming(coded(spark, d), q, tables.items(spark, d), TOP, size=K, query_code=coded(spark, d, q))
+    return blocks.rankings(tables.items(spark, d), queries(spark, d), [blocks.Coded("code", plain_wiring(spark), (K,))], TOP).drop("arm")
+
+
+def of_queries(scores, queries_):
+    """A row for every query; one without another item scores 0."""
+    return queries_.select(F.col("item_id").alias("query_id")).join(scores, "query_id", "left").na.fill(0.0)
 
 
 def scored(spark, d):
-    return metrics.scores(predicted(spark, d), truth(spark, d), queries(spark, d), TOP)
+    arms = [blocks.Exact("truth"), blocks.Coded("code", plain_wiring(spark), (K,))]
+    ranked = blocks.rankings(tables.items(spark, d), queries(spark, d), arms, TOP)
+    return of_queries(blocks.scores(ranked, "truth", TOP).drop("arm"), queries(spark, d))
 
 
 @query(sql("ap queries", "SELECT query_id, ap, ap_retrieved, recall FROM ap"))
@@ -230,11 +240,25 @@ def list_overlap(spark, d):
     return metrics.list_overlap(predicted(spark, d), truth(spark, d), queries(spark, d), TOP)
 
 
-@query(sql("ap", "SELECT round(avg(ap), 9) AS mean_ap FROM ap"))
-def map_all(spark, d):
+_MEAN = sql("ap", "SELECT round(avg(ap), 9) AS mean_ap FROM ap")
+
+
+@query(_MEAN)
+def map_queries(spark, d):
     return metrics.mean_score(scored(spark, d), "ap")
 
 
+@query(_MEAN.replace(f" LIMIT {QUERIES}", ""))
+def map_all(spark, d):
+    """Every item is a query, in blocks."""
+    it, code = tables.items(spark, d), plain_wiring(spark)
+    arms, out = [blocks.Exact("truth"), blocks.Coded("code", code, (K,))], None
+    for q in blocks.query_blocks(it):
+        x = of_queries(blocks.scores(blocks.rankings(it, q, arms, TOP), "truth", TOP).drop("arm"), q)
+        out = x if out is None else out.unionByName(x)
+    return metrics.mean_score(out, "ap")
+
+
 @query(sql("code train", "SELECT c.item_id, round(avg(1 - coalesce(n, 0) / 200), 9) AS novelty FROM code c LEFT JOIN (SELECT cell, count(*) AS n FROM code JOIN train USING (item_id) GROUP BY cell) s ON s.cell = c.cell WHERE c.item_id NOT IN (SELECT item_id FROM train) GROUP BY c.item_id"))
 def bloom_novelty(spark, d):
     t = train(spark, d)

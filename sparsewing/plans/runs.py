@@ -6,6 +6,7 @@ Parquet table in the run's folder. A run with another version has other keys and
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,25 @@ def resume(units: DataFrame, path: str, work: Callable[[DataFrame], DataFrame])
     return units.select("unit").join(finished(units.sparkSession, path), "unit")
 
 
+def fingerprint(df: DataFrame, *parts) -> str:
+    """A digest of a table's rows, whatever their order and partitions, and of the given parts: how many rows there are, and
+    the sums and differences of two independent hashes of each."""
+    cols = [F.col(c) for c in sorted(df.columns)]
+    wide = lambda h: h.cast("decimal(38,0)")
+    a, b = F.xxhash64(*cols), F.xxhash64(F.lit("b"), *cols)
+    r = df.agg(F.count("*").alias("n"), F.sum(wide(a)).alias("a"), F.sum(wide(b)).alias("b"), F.bit_xor(a).alias("x"), F.bit_xor(b).alias("y")).first()
+    return hashlib.sha256("|".join(map(str, [sorted(df.columns), *r, *parts])).encode()).hexdigest()
+
+
+def kept(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table kept under ``key`` in ``folder``; where there is none, ``make`` makes it. A table counts once its writer has
+    committed, so one left half-written by a broken run is written anew."""
+    path = f"{folder.rstrip('/')}/{key}"
+    if finished(spark, path) is None:
+        make().write.mode("overwrite").parquet(path)
+    return finished(spark, path)
+
+
 def report(rows: DataFrame, keys: list[str], value: str, most: int = 1000) -> str:
     """A Markdown table of means and deviations; at most ``most`` groups are rendered."""
     g = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count("*").alias("n")).orderBy(*keys).limit(most).collect()

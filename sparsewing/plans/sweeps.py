@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparsewing.catalog import query
-from sparsewing.operators import encode as e, knn, metrics, wiring as w
+from sparsewing.operators import blocks, generators, wiring as w
+from sparsewing.operators.graph import shared_folder
+from sparsewing.plans import runs
 from sparsewing.plans.codes import centred
 from sparsewing.plans.retrieval import queries, truth
 from sparsewing.plans.sql import K, QUERIES, S, TOP, sql
+from sparsewing.plans.wirings import measured
 from sparsewing.sources import tables
 
 
@@ -27,47 +30,76 @@ def _ap_sql(code: str, k: int) -> str:
 _SEEDS, _SIZES = (21, 22), ((160, 8), (320, 16))
 
 
-def _mean_ap(spark, d, code, k):
-    p = metrics.scores(knn.hamming(code, queries(spark, d), tables.items(spark, d), TOP, size=k), truth(spark, d), queries(spark, d), TOP)
-    return p.agg(F.round(F.avg("ap"), 6).alias("mean_ap"))
+def _mean_aps(spark, d, codes):
+    """Mean average precision of each of the named codes."""
+    ranked = blocks.rankings(tables.items(spark, d), queries(spark, d), [blocks.Exact("truth"), *codes.values()], TOP)
+    return blocks.scores(ranked, "truth", TOP).groupBy("arm").agg(F.round(F.sum("ap") / QUERIES, 6).alias("mean_ap"))
 
 
 @query(sql("cent items queries true", " UNION ALL ".join(f"SELECT CAST({m} AS BIGINT) AS m, CAST({k} AS BIGINT) AS k, CAST({s} AS BIGINT) AS seed, mean_ap FROM ({_ap_sql(_code_sql(m, k, S, s), k)})" for m, k in _SIZES for s in _SEEDS)))
 def architecture(spark, d):
-    """Mean average precision for code sizes and wiring seeds; the queries, the truth and the ties are the same for all."""
-    out = None
-    for m, k in _SIZES:
-        for seed in _SEEDS:
-            code = e.encode(centred(spark, d), w.uniform(spark, 64, m, S, seed), m * S, k)
-            x = _mean_ap(spark, d, code, k).select(F.lit(m).cast("bigint").alias("m"), F.lit(k).cast("bigint").alias("k"), F.lit(seed).cast("bigint").alias("seed"), "mean_ap")
-            out = x if out is None else out.unionByName(x)
-    return out
+    """Mean average precision for code sizes and wiring seeds; the queries, the truth and the ties are the same for all, and so is
+    the one scan of the items."""
+    codes = {f"{m}-{k}-{seed}": blocks.Coded(f"{m}-{k}-{seed}", blocks.stack(w.uniform(spark, 64, m, S, seed), 64), (k,)) for m, k in _SIZES for seed in _SEEDS}
+    part = lambda i: F.split_part("arm", F.lit("-"), F.lit(i)).cast("bigint")
+    return _mean_aps(spark, d, codes).select(part(1).alias("m"), part(2).alias("k"), part(3).alias("seed"), "mean_ap")
 
 
 @query(sql("cent items queries true", " UNION ALL ".join(f"SELECT CAST({s} AS BIGINT) AS s, mean_ap FROM ({_ap_sql(_code_sql(320, K, s, 21), K)})" for s in (1, 6, 32))))
 def fan_in_sweep(spark, d):
     """Inputs per cell from one to half of the dimensions."""
-    out = None
-    for s in (1, 6, 32):
-        code = e.encode(centred(spark, d), w.uniform(spark, 64, 320, s, 21), 320 * s, K)
-        x = _mean_ap(spark, d, code, K).select(F.lit(s).cast("bigint").alias("s"), "mean_ap")
-        out = x if out is None else out.unionByName(x)
-    return out
+    codes = {str(s): blocks.Coded(str(s), blocks.stack(w.uniform(spark, 64, 320, s, 21), 64), (K,)) for s in (1, 6, 32)}
+    return _mean_aps(spark, d, codes).select(F.col("arm").cast("bigint").alias("s"), "mean_ap")
+
+
+_MARKS = [1, 2, 5, 10]
+
+
+def _walk(spark, d):
+    """The chains of the whole measured wiring, kept by what they are made from, so a later call reads them."""
+    x = measured(spark, d).select("dim", "cell", "w")
+    key = runs.fingerprint(x, "curveball_path 1", 3, _MARKS)
+    return x, runs.kept(spark, f"{shared_folder(spark)}/chains", key, lambda: generators.curveball_path(x, 3, _MARKS))
 
 
 @query()
 def convergence(spark, d):
-    """Overlap of random wirings with the start, and their co-occurrence statistic, after more and more sweeps."""
-    from sparsewing.operators import generators
-    from sparsewing.plans.wirings import measured
-
-    x, out = measured(spark, d), None
-    for sweeps in (1, 2, 5, 10):
-        g = generators.curveball(x, 3, sweeps)
-        j = g.join(x.select("dim", "cell", F.lit(1).alias("same")), ["dim", "cell"], "left").groupBy("draw").agg(F.count("same").alias("kept"), F.count("*").alias("n"))
-        r = j.select(F.lit(sweeps).alias("sweeps"), "draw", F.round(F.col("kept") / (2 * F.col("n") - F.col("kept")), 9).alias("jaccard"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Overlap of random wirings with the start after more and more sweeps of one chain each."""
+    x, path = _walk(spark, d)
+    j = path.join(x.select("dim", "cell", F.lit(1).alias("same")), ["dim", "cell"], "left").groupBy("draw", "mark").agg(F.count("same").alias("kept"), F.count("*").alias("n"))
+    return j.select(F.col("mark").cast("int").alias("sweeps"), "draw", F.round(F.col("kept") / (2 * F.col("n") - F.col("kept")), 9).alias("jaccard"))
+
+
+@query(sql("w50", f"SELECT draw, CAST(m AS BIGINT) AS mark, side, id, n FROM (SELECT 'dim' AS side, dim AS id, count(*) AS n FROM w50 GROUP BY dim UNION ALL SELECT 'cell', cell, count(*) FROM w50 GROUP BY cell), range(3) t(draw), (SELECT unnest({_MARKS}) AS m)"))
+def convergence_margins(spark, d):
+    """No mark of a chain leaves the margins."""
+    _, path = _walk(spark, d)
+    side = lambda c: path.groupBy("draw", "mark", F.lit(c).alias("side"), F.col(c).alias("id")).agg(F.count("*").alias("n"))
+    return side("dim").unionByName(side("cell"))
+
+
+@query()
+def convergence_pool(spark, d):
+    """The co-occurrence statistic along the chains, against a pool of wirings mixed for longer: mean, deviation and z."""
+    x, path = _walk(spark, d)
+    pool = nulls(spark, x, 10)
+    q = lambda t, by: _co_occurrence(t, by)
+    base = q(pool, ["draw"]).agg(F.avg("q").alias("pool_mean"), F.stddev_samp("q").alias("pool_sd"))
+    z = F.when(F.col("pool_sd") > 0, (F.col("q") - F.col("pool_mean")) / F.col("pool_sd"))
+    return q(path, ["draw", "mark"]).crossJoin(F.broadcast(base)).select("draw", "mark", "q", F.round("pool_mean", 6).alias("pool_mean"), F.round("pool_sd", 6).alias("pool_sd"), F.round(z, 6).alias("z"))  # one row
+
+
+def _co_occurrence(wirings, by):
+    cells = wirings.groupBy(*by, "cell").agg(F.array_sort(F.collect_list("dim")).alias("dims"))
+    pairs = cells.select(*by, "dims", F.posexplode("dims").alias("i", "a")).select(*by, "a", F.explode(F.expr("slice(dims, i + 2, size(dims))")).alias("b"))
+    return pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("s")).groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("q"))
+
+
+def nulls(spark, wiring, draws: int, sweeps: int = 20, seed: int = 1):
+    """(draw, dim, cell, w): a pool of random wirings with the margins of ``wiring``, kept by what it is made from."""
+    x = wiring.select("dim", "cell", F.col("w").cast("long").alias("w"))
+    key = runs.fingerprint(x, "curveball 1", draws, sweeps, seed)
+    return runs.kept(spark, f"{shared_folder(spark)}/nulls", key, lambda: generators.curveball(x, draws, sweeps, seed))
 
 
 _D, _M, _K = 64, 256, 8
