@@ -6,7 +6,7 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from math import ceil, log10, sqrt
+from math import ceil, floor, log, log10, sqrt
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,8 +87,9 @@ def said_twice(texts, words):
 
 
 def scheduled(docs, share=1.5, cap=2.0, weights=(3, 1, 2), slots=1 << 18):
-    """[(source, size)] to {source: (target, taken)}: water-filled targets; each slot's golden-ratio point falls into a source's
-    stretch of the targets and takes one block of words there, at most ``cap`` times the source's words."""
+    """[(source, size)] to {source: (target, taken)}: water-filled targets; sources whose targets lie in one power of 64 have a
+    schedule; each slot's golden-ratio point falls into a source's stretch of the targets and takes one block of words there,
+    at most ``cap`` times the source's words."""
     size = Counter()
     for s, n in docs:
         size[s] += n
@@ -104,18 +105,23 @@ def scheduled(docs, share=1.5, cap=2.0, weights=(3, 1, 2), slots=1 << 18):
         for s in over:
             full[s] = cap * size[s]
             left -= full[s]
-    target = {s: full.get(s, weight[s] * level) for s in order}
-    total = int(sum(target.values()))
-    block, n = max(1, ceil(total / slots)), Counter()
-    ends, upto = [], 0.0
+    target = {s: full.get(s, weight[s] * level if open_ else 0) for s in order}
+    out = {s: (target[s], 0) for s in order}
+    golden, held = (sqrt(5) - 1) / 2, defaultdict(list)
     for s in order:
-        upto += target[s]
-        ends.append(upto)
-    golden = (sqrt(5) - 1) / 2
-    for i in range(max(1, round(total / block))):
-        x = (i + 0.5) * golden % 1.0
-        n[order[min(bisect_right(ends, x * upto), len(order) - 1)]] += 1
-    return {s: (target[s], min(n[s] * block, int(cap * size[s]))) for s in order}
+        if target[s] > 0:
+            held[int(log(max(target[s], 1.0)) / log(64))].append(s)
+    for mine in held.values():
+        ends, upto, n = [], 0.0, Counter()
+        for s in mine:
+            upto += target[s]
+            ends.append(upto)
+        block = max(1, ceil(floor(upto) / max(slots, len(mine) * 64 * 64)))
+        for i in range(max(1, round(floor(upto) / block))):
+            n[mine[min(bisect_right(ends, (i + 0.5) * golden % 1.0 * upto), len(mine) - 1)]] += 1
+        for s in mine:
+            out[s] = (target[s], min(n[s] * block, int(cap * size[s])))
+    return out
 
 
 BW = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsewing.llm import decontaminate, langid, lm, mixing, suffixes
-from tests.llm.brute import WORD, contaminated, low, repeats, unigram
+from tests.llm.brute import WORD, contaminated, low, repeats, scheduled, unigram
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans int"
 
@@ -199,33 +199,6 @@ def mixed_fixture():
     return rows + [(1, rows[1][1], "a"), (None, "x y z", "a"), (500, None, "b"), (501, "w " * 30000, "e")]
 
 
-def aimed(size):
-    """Plain targets of sources by their sizes."""
-    order = sorted(s for s in size if s is not None) + [None]
-    w = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
-    target, free, total = {}, set(order), 1.5 * sum(size.values())
-    while True:
-        share = {s: (total - sum(target.values())) * w[s] / sum(w[x] for x in free) for s in free}
-        over = {s for s in free if share[s] > 2 * size[s]}
-        if not over:
-            return order, target | share
-        target |= {s: 2.0 * size[s] for s in over}
-        free -= over
-
-
-def scheduled(size, order, target, point, block=1):
-    """Words that each source gives: its slots, one after another, block by block, and never more than twice its size."""
-    ends, at = [], 0.0
-    for s in order:
-        at += target[s]
-        ends.append(at)
-    have = dict.fromkeys(order, 0)
-    for i in range(round(sum(target.values()) / block)):
-        x = point(i) * at
-        have[next(s for s, e in zip(order, ends) if x < e)] += 1
-    return {s: min(block * have[s], 2 * size[s]) for s in order}
-
-
 def test_mixing(spark):
     rows = mixed_fixture()
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -235,21 +208,43 @@ def test_mixing(spark):
     size = defaultdict(int)
     for _, t, s in rows:
         size[s] += len(WORD.findall(t or ""))
-    order, target = aimed(size)
+    want = scheduled([(s, len(WORD.findall(t or ""))) for _, t, s in rows])
     by = {(r.source_size, round(r.target, 6)): 0 for r in out}
     for r in out:
         by[r.source_size, round(r.target, 6)] += r.taken
-        assert 0 <= r.taken <= 2 * r.size and (r.first_slot is None) == (r.taken == 0)
-    assert len(out) == len(rows) and {k for k in by} == {(size[s], round(target[s], 6)) for s in order}
-    want = scheduled(size, order, target, lambda i: (i + 0.5) * mixing.GOLDEN % 1)
-    assert by == {(size[s], round(target[s], 6)): n for s, n in want.items()}
-    assert all(abs(want[s] - target[s]) <= 8 for s in order)
-    # blocks of one word: documents of a source begin in the order of their ring, at slots of their own
-    firsts = [r.first_slot for r in out if r.taken]
+        assert 0 <= r.taken <= 2 * r.size and (r.first_at is None) == (r.taken == 0) and 0 <= (r.first_at or 0) <= 1
+    assert len(out) == len(rows)
+    assert by == {(size[s], round(t, 6)): n for s, (t, n) in want.items()}
+    assert all(abs(n - t) <= 8 for t, n in want.values())
+    # blocks of one word: documents of a source begin at slots of their own
+    firsts = [(r.source_size, r.first_at) for r in out if r.taken]
     assert len(set(firsts)) == len(firsts)
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_a_small_source_beside_a_large_one(spark):
+    """However few slots, a source of nine words gets its share, and a source's words stay near its target."""
+    rows = [(i, "w " * 50, "large") for i in range(2000)] + [(9000, "nine words " * 4 + "x", "small"), (9001, "a b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for slots in (1 << 10, 1 << 18):
+        got = defaultdict(lambda: [0, 0.0])
+        for r in mixing.mix(df, slots=slots).collect():
+            got[r.source_size][0] += r.taken
+            got[r.source_size][1] = r.target
+        want = scheduled([(s, len(t.split())) for _, t, s in rows], slots=slots)
+        assert {n: x[0] for n, x in got.items()} == {100_000: want["large"][1], 9: want["small"][1], 2: want[None][1]}
+        assert abs(got[9][0] - 18) <= 1 and abs(got[2][0] - 4) <= 1 and abs(got[100_000][0] - got[100_000][1]) <= 0.01 * got[100_000][1]
+
+
+def test_equal_ids_and_sizes_are_ordered_by_their_text(spark):
+    """Reruns over other partitions take the same words of the same texts, told apart by a key of their own."""
+    rows = [(7, " ".join([f"w{i}"] * 20), "s", i) for i in range(40)] + [(8, " ".join([f"v{i}"] * 20), "t", 100 + i) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long")
+    one = {r.row: r.taken for r in mixing.mix(df.repartition(1), keep=("row",)).collect()}
+    two = {r.row: r.taken for r in mixing.mix(df.repartition(5, "row"), keep=("row",)).collect()}
+    assert one == two and len({n for n in one.values()}) > 1
+
+
 def test_the_points_decide_the_mix(spark, monkeypatch):
     """Other points give other documents, near the same targets; with poor ones a source goes without."""
     rows = mixed_fixture()
