@@ -5,9 +5,12 @@ cells, over all training rows; each language's cells become smoothed log-likelih
 
 Prediction sees a document as a mixture: each word comes from one language, drawn by the document's proportions, and its
 likelihood is the product of its trigrams'. Expectation-maximisation estimates the proportions from all words of the
-text. Languages are then ranked by their proportion, the first one, two and so on to all of them are fitted alone, and the set
-with the largest likelihood less a penalty of ``PENALTY`` / 2 * log(words + 1) for each further language is selected; the
-prediction is the language with the largest proportion in it, and the score is that proportion. The set is returned too.
+text, round after round until none moves by ``TOLERANCE`` (at most ``ROUNDS``). Languages are then ranked by their
+proportion after the one that explains the text best alone; the first one, two and so on are fitted alone for as long as a
+further language raises the likelihood less a penalty of ``PENALTY`` / 2 * log(words + 1) for it. The prediction is the language
+with the largest proportion in that set, and the score is that proportion. The set is returned too. Texts that have
+stopped, and proportions that have settled, are left out of what follows, and a set of n languages is fitted on n columns, so
+the work grows with the words times the languages.
 
 Edge cases: null text or text without a letter is ``und`` with score 0; text whose letters make no trigram that training
 saw gets the smoothed likelihoods; ties go to the first language in code-point order; without a training row all
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sparsewing.llm.common import LOWER, blocks, bound_batches, bytes_of
 
-CELLS, PARTS, ROUNDS = 1 << 15, 8, 6
+CELLS, PARTS, ROUNDS, TOLERANCE = 1 << 15, 8, 60, 1e-3
 #: Weight of the penalty for a further language.
 PENALTY = 4.0
 LETTER = np.zeros(256, dtype=bool)
@@ -88,15 +91,34 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log(p).astype(np.float32)
 
 
-def _fit(like: np.ndarray, top: np.ndarray, at: np.ndarray, doc: np.ndarray, prop: np.ndarray, rounds: int):
-    """EM for all documents of a block. like: words x languages, scaled by each word's largest (whose logs are ``top``)."""
-    n = np.diff(np.concatenate((at, [len(doc)])))[:, None]
-    for _ in range(rounds):
-        r = like * prop[doc]
-        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
-        prop = np.add.reduceat(r, at, axis=0) / n
-    mix = np.maximum((like * prop[doc]).sum(axis=1), 1e-30)
-    return prop, np.add.reduceat(np.log(mix) + top, at)
+def _fit(like: np.ndarray, at: np.ndarray, doc: np.ndarray, prop: np.ndarray) -> np.ndarray:
+    """Proportions of all documents of a block by EM from ``prop``. like: words x languages, each word scaled by its largest; at:
+    the first word of each document; doc: the document of each word."""
+    prop, live = prop.copy(), np.arange(len(at))
+    done = 0
+    while len(live) and done < ROUNDS:
+        n = np.diff(np.concatenate((at, [len(doc)])))[:, None]
+        now = prop[live]
+        for _ in range(3):
+            before = now
+            r = like * now[doc]
+            r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
+            now = np.add.reduceat(r, at, axis=0) / n
+        prop[live] = now
+        done += 3
+        moving = np.abs(now - before).max(axis=1) >= TOLERANCE
+        if not moving.all():
+            like, at, doc = _of(moving, like, at, doc)
+            live = live[moving]
+    return prop
+
+
+def _of(keep: np.ndarray, like: np.ndarray, at: np.ndarray, doc: np.ndarray):
+    """The words of some documents, which are numbered anew."""
+    words = keep[doc]
+    number = np.cumsum(keep) - 1
+    left = number[doc[words]]
+    return like[words], np.searchsorted(left, np.arange(int(keep.sum()))), left
 
 
 def infer(v: np.ndarray, o: np.ndarray, ll: np.ndarray):
@@ -112,43 +134,48 @@ def infer(v: np.ndarray, o: np.ndarray, ll: np.ndarray):
     top = word.max(axis=1)
     like = np.exp(np.maximum(word - top[:, None], -60.0))
     m = len(at)
-    full, _ = _fit(like, top, at, doc, np.full((m, k), 1.0 / k), ROUNDS)
+    full = _fit(like, at, doc, np.full((m, k), 1.0 / k))
     # the likelihood of one language alone decides which comes first, then the proportions
     alone = np.add.reduceat(word, at, axis=0)
     lead = alone.argmax(axis=1)
     order = full.copy()
     order[np.arange(m), lead] = 2.0
     order = np.argsort(-order, axis=1, kind="stable")
-    n = np.diff(np.concatenate((at, [len(doc)])))
-    best, score = np.zeros((m, k)), np.full(m, -np.inf)
-    for size in range(1, k + 1):
-        if size == 1:
-            prop = np.zeros((m, k))
-            prop[np.arange(m), lead] = 1.0
-            logs = alone[np.arange(m), lead]
-        else:
-            start = np.zeros((m, k))
-            np.put_along_axis(start, order[:, :size], 1.0 / size, axis=1)
-            prop, logs = _fit(like, top, at, doc, start, ROUNDS)
-        value = logs - (size - 1) * 0.5 * np.log(n + 1.0) * PENALTY
-        better = value > score
-        best[better], score[better] = prop[better], value[better]
+    fine = np.log(np.diff(np.concatenate((at, [len(doc)]))) + 1.0) * PENALTY / 2
+    best, score = np.zeros((m, k)), alone[np.arange(m), lead]
+    best[np.arange(m), lead] = 1.0
+    open_, topped = np.arange(m), np.add.reduceat(top, at)
+    for size in range(2, k + 1):
+        chosen = order[open_, :size]
+        part = np.take_along_axis(like, chosen[doc], axis=1)
+        prop = _fit(part, at, doc, np.full((len(open_), size), 1.0 / size))
+        logs = np.add.reduceat(np.log(np.maximum((part * prop[doc]).sum(axis=1), 1e-30)), at) + topped[open_]
+        value = logs - (size - 1) * fine[open_]
+        better = value > score[open_]
+        if not better.any():
+            break
+        won = open_[better]
+        row = np.zeros((len(won), k))
+        np.put_along_axis(row, chosen[better], prop[better], axis=1)
+        best[won], score[won] = row, value[better]
+        if not better.all():
+            like, at, doc = _of(better, like, at, doc)
+            open_ = won
     out[who] = best
     return out
 
 
-
-def _predict(batches, langs: list[str], ll: np.ndarray):
+def _predict(batches, flag: str, langs: list[str], ll: np.ndarray):
     for b in blocks(batches):
         v, o = bytes_of(b.column(b.schema.get_field_index("text")))
         p = infer(v, o, ll)
-        letter = b.column(b.schema.get_field_index("letter")).to_numpy(zero_copy_only=False).astype(bool)
+        letter = b.column(b.schema.get_field_index(flag)).to_numpy(zero_copy_only=False).astype(bool)
         got = letter & (p.sum(axis=1) > 0)
         top = p.argmax(axis=1) if len(langs) else np.zeros(len(p), int)
         pred = [langs[k] if g else "und" for k, g in zip(top.tolist(), got.tolist(), strict=True)]
         score = np.where(got, np.clip(p[np.arange(len(p)), top], 0, 1), 0.0) if len(langs) else np.zeros(len(p))
         sets = [[langs[k] for k in np.flatnonzero(r >= 0.005)] if g else [] for r, g in zip(p, got.tolist(), strict=True)]
-        keep = [n for n in b.schema.names if n != "letter"]
+        keep = [n for n in b.schema.names if n != flag]
         yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in keep), pa.array(pred), pa.array(score), pa.array(sets, pa.list_(pa.string()))], names=[*keep, "lang_pred", "score", "lang_set"])
 
 
@@ -158,6 +185,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.drop("lang_pred", "score", "lang_set", "letter").withColumn("letter", letter)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "letter"), "lang_pred string, score double, lang_set array<string>"])
-    return rows.mapInArrow(lambda it: _predict(it, *shared.value), schema)
+    flag = "letter"
+    while flag in docs.columns:
+        flag += "_"
+    rows = docs.drop("lang_pred", "score", "lang_set").withColumn(flag, letter)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != flag), "lang_pred string, score double, lang_set array<string>"])
+    return rows.mapInArrow(lambda it: _predict(it, flag, *shared.value), schema)
