@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparsewing.catalog import query
-from sparsewing.operators import collision as c, encode as e
+from sparsewing.operators import collision as c, encode as e, generators, pairmodel
 from sparsewing.plans.codes import coded
 from sparsewing.plans.retrieval import truth
+from sparsewing.plans.wirings import by_flag
 from sparsewing.plans.sql import K, sql
 from sparsewing.sources import tables
 
@@ -80,7 +81,7 @@ def median_nn_angle(spark, d):
 
 
 @query()
-def meanfield_slope(spark, d):
+def overlap_slope(spark, d):
     """Slope of overlap against angle by least squares, for several numbers of winners."""
     from sparsewing.operators import encode
 
@@ -90,3 +91,56 @@ def meanfield_slope(spark, d):
         x = _angles(spark, d).join(o, ["a", "b"]).agg(F.round(F.regr_slope("overlap", "angle"), 9).alias("slope"), F.count("*").alias("pairs")).withColumn("k", F.lit(k))
         rows = x if rows is None else rows.unionByName(x)
     return rows
+
+
+# ---------------------------------------------------------------- the pair model
+_THETAS, _MODEL_KS = [20.0, 40.0], [4, 16]
+
+
+def _spectra(x):
+    """(flag, dim, lam): the variance of the weights of each dim of a flag's wiring."""
+    return x.groupBy("flag", "dim").agg(F.var_pop(F.col("w").cast("double")).alias("lam"))
+
+
+_MODEL = """
+, wf AS (SELECT l_returnflag AS flag, CAST(s_nationkey AS BIGINT) AS dim, l_partkey AS cell, sum(CAST(l_quantity AS BIGINT)) AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+lam AS (SELECT flag, dim, var_pop(CAST(w AS DOUBLE)) AS lam FROM wf GROUP BY ALL),
+rho AS (SELECT flag, dim, lam, d, lam / (lam + d) AS r FROM lam, (SELECT unnest([50.0::DOUBLE, 500.0::DOUBLE]) AS d) WHERE lam > 0)
+SELECT flag, d, cell, round(sum(lam), 4) AS v, round(sum(lam * (1 - r + r * r)), 4) AS w, round(sum(lam * r), 4) AS u FROM (SELECT DISTINCT flag, dim, cell FROM wf) JOIN rho USING (flag, dim) GROUP BY flag, d, cell
+"""
+
+
+@query("WITH " + _MODEL.strip().removeprefix(", "))
+def pair_moments(spark, d):
+    """Variances of every cell's drive for an item and its neighbour, and their covariance, at two distances."""
+    x = by_flag(spark, d)
+    lam = _spectra(x).withColumn("d", F.explode(F.array(F.lit(50.0), F.lit(500.0))))
+    m = pairmodel.cell_moments(x, lam, ["flag"])
+    return m.select("flag", "d", "cell", *[F.round(c, 4).alias(c) for c in ("v", "w", "u")])
+
+
+@query()
+def meanfield_slope(spark, d):
+    """Expected overlap of the codes of neighbours at two angles under each flag's wiring, and its fall with the distance."""
+    x = by_flag(spark, d)
+    at = pairmodel.distances(_spectra(x), ["flag"], _THETAS)
+    return pairmodel.expected(pairmodel.cell_moments(x, at.select("flag", "dim", "lam", "d"), ["flag"]), ["flag"], _MODEL_KS).select("flag", F.round("d", 6).alias("d"), "k", F.round("overlap", 6).alias("overlap"), F.round("fall", 9).alias("fall"))
+
+
+@query()
+def optimal_fan_out(spark, d):
+    """For each flag's spectrum and inputs per cell, the power of the variances whose fan-outs tell neighbours at 30 degrees apart
+    best: fan-outs for every power, two wirings of each, and the mean fall of the expected overlap."""
+    x = by_flag(spark, d)
+    lam = _spectra(x)
+    cells = x.groupBy("flag", "cell").agg(F.count("*").alias("n"))
+    alphas = [-1.0, -0.5, 0.0, 0.5, 1.0, 2.0]
+    fan = generators.allocations(lam, cells, alphas, ["flag"], part=1.0)
+    every = cells.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
+    margins = fan.select("flag", "alpha", F.lit("dim").alias("side"), F.col("dim").alias("id"), F.col("fan_out").alias("n")).unionByName(every.select("flag", "alpha", F.lit("cell").alias("side"), F.col("cell").alias("id"), "n"))
+    made = generators.realise(margins, 2, sweeps=2, by=["flag", "alpha"])
+    at = pairmodel.distances(lam, ["flag"], [30.0]).select("flag", "dim", "lam", "d")
+    key = ["flag", "alpha", "draw"]
+    wide = at.join(made.select(*key).distinct(), "flag")
+    slopes = pairmodel.expected(pairmodel.cell_moments(made, wide, key), key, _MODEL_KS)
+    return pairmodel.best_power(slopes, ["flag"]).select("flag", "k", "alpha", F.round("fall", 9).alias("fall"))
