@@ -166,3 +166,29 @@ def two_stage_by(scores: DataFrame, trials: DataFrame, reps: int, subset: int, b
 def coverage(intervals: DataFrame, truth: float, z: float) -> DataFrame:
     """Share of intervals (low, high) that hold the truth, with its Wilson interval."""
     return wilson(intervals.agg(F.count_if((F.col("low") <= truth) & (F.col("high") >= truth)).alias("k"), F.count("*").alias("n")), z)
+
+
+def coverage_study(scores: DataFrame, trials: DataFrame, datasets: int, reps: int, subset: int, seed: int, level: float = 0.9, z: float = 1.959964) -> DataFrame:
+    """Whether the two-stage interval holds the true relative difference as often as it says, on data sets drawn from the scores
+    (draw, trial, value; draw -1 is the real one), which are the population. Each data set draws the trials with replacement;
+    each of its replicates draws from those again, and a ``subset`` of the null draws. A draw's values are one array in the order of
+    ``trials`` (trial, pos), and a replicate is one array of positions into it, so there is a row for a replicate and
+    draw, and none for a trial in it. One row: share of covering intervals, its Wilson interval, the truth, the median width."""
+    spark, n = scores.sparkSession, trials.count()
+    own = scores.join(F.broadcast(trials), "trial").groupBy("draw").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("value").cast("double").alias("value")))).alias("values"))
+    at = F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long"))
+    value = lambda i: F.coalesce(F.element_at("values", i), F.lit(0.0))
+    total = lambda picks: F.aggregate(picks, F.lit(0.0), lambda a, i: a + value(i))
+    data = spark.range(datasets).withColumnRenamed("id", "dataset").withColumn("have", F.transform(at, lambda s: rng.integer(max(n, 1), "data", seed, "dataset", s)))
+    rows = data.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
+    rows = rows.withColumn("picks", F.transform(at, lambda s: F.get("have", rng.integer(max(n, 1), "boot", seed, "dataset", "rep", s).cast("int")))).select("dataset", "rep", "picks")
+    nulls = scores.filter("draw >= 0").select("draw").distinct()
+    sub = rng.pick(rows.select("dataset", "rep").crossJoin(F.broadcast(nulls)), subset, "sub", seed, "draw", within=["dataset", "rep"])  # replicates by draws
+    drawn = sub.unionByName(rows.select("dataset", "rep", F.lit(-1).cast("long").alias("draw"))).join(F.broadcast(own), "draw").join(rows, ["dataset", "rep"])
+    t = drawn.select("dataset", "rep", "draw", total("picks").alias("t"))
+    rel = t.groupBy("dataset", "rep").agg((F.max(F.when(F.col("draw") == -1, F.col("t"))) / F.avg(F.when(F.col("draw") >= 0, F.col("t"))) - 1).alias("rel"))
+    x = (1 - level) / 2
+    spans = rel.groupBy("dataset").agg(F.expr(f"percentile(rel, array({x!r}, {1 - x!r}))").alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    truth = own.select("draw", total(at).alias("t")).agg((F.max(F.when(F.col("draw") == -1, F.col("t"))) / F.avg(F.when(F.col("draw") >= 0, F.col("t"))) - 1).alias("truth"))
+    c = spans.crossJoin(F.broadcast(truth)).agg(F.count_if((F.col("lo") <= F.col("truth")) & (F.col("truth") <= F.col("hi"))).alias("k"), F.count("*").alias("n"), F.first("truth").alias("truth"), F.expr("percentile(hi - lo, 0.5)").alias("width"))  # one row
+    return wilson(c, z).select("n", "k", F.round(F.col("k") / F.col("n"), 9).alias("share"), "low", "high", F.round("truth", 9).alias("truth"), F.round("width", 9).alias("median_width"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparsewing.catalog import query
 from sparsewing.functions import rng, vectors
+from sparsewing.operators import overlay, synthetic
 from sparsewing.plans.sql import sql
 from sparsewing.sources import tables
 
@@ -155,3 +156,67 @@ def group_mean_sums(spark, d):
     it = tables.items(spark, d)
     x = it.select("label", F.posexplode("q").alias("dim", "v"))
     return x.groupBy("label", F.col("dim").cast("bigint").alias("dim")).agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- Dirichlet mixtures
+def _draw(tag: str, *parts: str) -> str:
+    return f"CAST('0x' || substr(md5('{tag}:3:' || {" || ':' || ".join(parts)}), 1, 8) AS BIGINT)"
+
+
+def _mixed_sql(body: str) -> str:
+    """Floyd's sampling step by step, then exponential draws over their sum."""
+    n = "(SELECT count(DISTINCT item_id) FROM items)"
+    out = [f"m0 AS (SELECT mix, {n} AS n, least(2 + {_draw('mixk', 'mix')} % 4, {n}) AS k, CAST([] AS BIGINT[]) AS got FROM range(200) t(mix))"]
+    for i in range(5):
+        t = f"{_draw('mixp', 'mix', repr(str(i)))} % greatest(n - k + {i} + 1, 1)"
+        out.append(f"m{i + 1} AS (SELECT mix, n, k, CASE WHEN k > {i} THEN list_append(got, CASE WHEN list_contains(got, {t}) THEN n - k + {i} ELSE {t} END) ELSE got END AS got FROM m{i})")
+    out.append("pt AS (SELECT mix, unnest(range(len(got))) AS pos, unnest(got) AS part FROM m5)")
+    out.append(f"ex AS (SELECT mix, part, CAST(floor(-ln(({_draw('mixg', 'mix', 'pos', repr('0'))} + 1) / 4294967296.0) * 1000000000) AS HUGEINT) AS g FROM pt)")
+    out.append("id AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS part FROM (SELECT DISTINCT item_id FROM items))")
+    out.append("mx AS (SELECT mix, item_id, CAST(g * 1000000 // sum(g) OVER (PARTITION BY mix) AS BIGINT) AS weight FROM ex JOIN id USING (part))")
+    return sql("items", f"SELECT 1 FROM items").replace(" SELECT 1 FROM items", ", " + ", ".join(out) + " " + body)
+
+
+@query(_mixed_sql("SELECT mix, item_id, weight FROM mx"))
+def mixture_weights(spark, d):
+    """Two to five different items in each of 200 mixtures, with Dirichlet weights."""
+    return synthetic.mixtures(tables.items(spark, d), 200, seed=3)[0]
+
+
+@query(_mixed_sql("SELECT mix, u.dim, CAST(sum(weight * q[u.dim + 1]) AS BIGINT) AS v FROM mx JOIN items USING (item_id), range(64) u(dim) GROUP BY ALL"))
+def mixtures_dirichlet(spark, d):
+    return synthetic.mixtures(tables.items(spark, d), 200, seed=3)[1]
+
+
+# ---------------------------------------------------------------- revisions
+_LINES = "SELECT l_partkey AS p_partkey, l_returnflag AS f, round(sum(l_extendedprice) / sum(l_quantity), 2) AS price, CAST(max(l_quantity) AS INTEGER) AS size FROM lineitem GROUP BY ALL"
+
+
+def _revisions(spark, d):
+    """A table of parts, and revisions of it: the price of returned lines, then price and size of accepted ones."""
+    lines = tables.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("f")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 2).alias("p_retailprice"), F.max("l_quantity").cast("int").alias("p_size"))
+    base = tables.table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    known = base.select("p_partkey")
+    of = lambda f, *c: lines.filter(F.col("f") == f).join(known, "p_partkey", "left_semi").select("p_partkey", *c)
+    return base, [("returned", of("R", "p_retailprice")), ("accepted", of("A", "p_retailprice", "p_size").withColumn("p_size", F.when(F.col("p_size") > 40, F.col("p_size"))))]
+
+
+@query(
+    f"WITH l AS ({_LINES}) SELECT p.p_partkey, coalesce(CASE WHEN a.size > 40 THEN a.size END, p.p_size) AS p_size, coalesce(a.price, r.price, p.p_retailprice) AS p_retailprice,"
+    " CASE WHEN r.price IS NOT NULL AND a.price IS NOT NULL THEN 'returned,accepted' WHEN r.price IS NOT NULL THEN 'returned' WHEN a.price IS NOT NULL THEN 'accepted' ELSE '' END AS revised_by"
+    " FROM part p LEFT JOIN l r ON r.p_partkey = p.p_partkey AND r.f = 'R' LEFT JOIN l a ON a.p_partkey = p.p_partkey AND a.f = 'A'"
+)
+def revision_overlay(spark, d):
+    base, revisions = _revisions(spark, d)
+    return overlay.overlay(base, revisions, ["p_partkey"]).withColumn("revised_by", F.array_join("revised_by", ","))
+
+
+@query(
+    f"WITH l AS ({_LINES}), w AS (SELECT p.p_partkey, p.p_size, p.p_retailprice AS p0, r.price AS p1, a.price AS p2, CASE WHEN a.size > 40 THEN a.size END AS s2 FROM part p LEFT JOIN l r ON r.p_partkey = p.p_partkey AND r.f = 'R' LEFT JOIN l a ON a.p_partkey = p.p_partkey AND a.f = 'A'),"
+    " c AS (SELECT p_partkey, 'p_retailprice' AS field, 'returned' AS revision, p0 AS was, p1 AS now FROM w WHERE p1 <> p0 UNION ALL SELECT p_partkey, 'p_retailprice', 'accepted', coalesce(p1, p0), p2 FROM w WHERE p2 <> coalesce(p1, p0) UNION ALL SELECT p_partkey, 'p_size', 'accepted', p_size, s2 FROM w WHERE s2 <> p_size)"
+    " SELECT p_partkey, field, row_number() OVER (PARTITION BY p_partkey, field ORDER BY revision DESC) AS step, revision, was, now FROM c"
+)
+def revision_history(spark, d):
+    base, revisions = _revisions(spark, d)
+    h = overlay.history(base, revisions, ["p_partkey"])
+    return h.withColumns({"was": F.col("was").cast("double"), "now": F.col("now").cast("double")})

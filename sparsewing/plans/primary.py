@@ -41,10 +41,7 @@ def analysis(scores: DataFrame, queries_: DataFrame, primary: int, reps: int, su
     test = inference.randomization(mean.filter("draw = -1").select("k", "value"), mean.filter("draw >= 0").select("k", "value"), ["k"])
     real = mean.filter("draw = -1").select("k", F.round("value", 9).alias("real"))
     holm = inference.holm(test.filter(F.col("k") != primary).select(F.lit("secondary").alias("family"), "k", F.col("p_two").alias("p")), ["family"], "k").select("k", F.col("adjusted").alias("p_holm"))
-    place = rng.digest("q", 3, "trial")  # the order in which queries are numbered
-    from pyspark.sql import Window
-
-    trials = queries_.select(F.col("item_id").alias("trial")).withColumn("pos", F.row_number().over(Window.orderBy(place, "trial")).cast("long") - 1)  # the stated queries
+    trials = numbered(queries_)
     span = inference.two_stage_by(scores, trials, reps, subset, ["k"], seed)
     out = real.join(test, "k").join(holm, "k", "left").join(span, "k")
     return out.select(
@@ -117,3 +114,35 @@ def primary_analysis(spark, d):
     x, q = measured(spark, d), queries(spark, d)
     got = scored(cut_items(spark, d), q, x, sweeps.nulls(spark, x, 20), SIZES, TOP, DIMS)
     return analysis(got, q, PRIMARY, 100, 10)
+
+
+_SETS, _SREPS = 12, 20
+_COVERAGE = f"""
+, pv AS (SELECT draw, pos, v FROM av JOIN po USING (query_id) WHERE k = {PRIMARY}),
+dt AS (SELECT dataset, slot, CAST('0x' || substr(md5('data:5:' || dataset || ':' || slot), 1, 8) AS BIGINT) % {QUERIES} AS pos FROM range({_SETS}) a(dataset), range({QUERIES}) b(slot)),
+rp AS (SELECT dataset, rep, CAST('0x' || substr(md5('boot:5:' || dataset || ':' || rep || ':' || s), 1, 8) AS BIGINT) % {QUERIES} AS slot FROM range({_SETS}) a(dataset), range({_SREPS}) c(rep), range({QUERIES}) b(s)),
+sb AS (SELECT dataset, rep, draw FROM (SELECT dataset, rep, draw, row_number() OVER (PARTITION BY dataset, rep ORDER BY md5('sub:5:' || draw || ':' || dataset || ':' || rep), draw) AS r FROM range({_SETS}) a(dataset), range({_SREPS}) c(rep), range({_B}) t(draw)) WHERE r <= {_SUBSET} UNION ALL SELECT dataset, rep, -1 FROM range({_SETS}) a(dataset), range({_SREPS}) c(rep)),
+tv AS (SELECT dataset, rep, draw, sum(v) AS t FROM rp JOIN dt USING (dataset, slot) JOIN sb USING (dataset, rep) JOIN pv USING (pos, draw) GROUP BY ALL),
+rv AS (SELECT dataset, rep, max(t) FILTER (draw = -1) / avg(t) FILTER (draw >= 0) - 1 AS rel FROM tv GROUP BY ALL),
+sp AS (SELECT dataset, quantile_cont(rel, 0.05) AS lo, quantile_cont(rel, 0.95) AS hi FROM rv GROUP BY dataset),
+th AS (SELECT max(t) FILTER (draw = -1) / avg(t) FILTER (draw >= 0) - 1 AS truth FROM (SELECT draw, sum(v) AS t FROM pv GROUP BY draw)),
+cv AS (SELECT count(*) AS n, count(*) FILTER (lo <= truth AND truth <= hi) AS k, any_value(truth) AS truth, quantile_cont(hi - lo, 0.5) AS width FROM sp, th),
+wl AS (SELECT *, k / n AS p, 1.959964 AS z FROM cv)
+SELECT n, k, round(p, 9) AS share, round((p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n), 9) AS low,
+  round((p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n), 9) AS high, round(truth, 9) AS truth, round(width, 9) AS median_width FROM wl
+"""
+
+
+def numbered(queries_) -> DataFrame:
+    """(trial, pos): the stated queries in the order of their digests."""
+    from pyspark.sql import Window
+
+    return queries_.select(F.col("item_id").alias("trial")).withColumn("pos", F.row_number().over(Window.orderBy(rng.digest("q", 3, "trial"), "trial")).cast("long") - 1)
+
+
+@query(sql("w50 items queries", "SELECT 1 FROM w50, items, queries").replace(" SELECT 1 FROM w50, items, queries", _PRIMARY[: _PRIMARY.index("\nmn AS (")].rstrip().rstrip(",") + ", po AS (SELECT query_id, row_number() OVER (ORDER BY md5('q:3:' || query_id), query_id) - 1 AS pos FROM queries)" + _COVERAGE))
+def coverage_study(spark, d):
+    """Does the two-stage interval cover? Data sets are drawn from the queries' scores at the primary number of winners."""
+    x, q = measured(spark, d), queries(spark, d)
+    got = scored(cut_items(spark, d), q, x, shuffled_nulls(x, _B), _KS, TOP, DIMS).filter(F.col("k") == PRIMARY)
+    return inference.coverage_study(got, numbered(q), _SETS, _SREPS, _SUBSET, 5)
