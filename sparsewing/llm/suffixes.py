@@ -275,9 +275,32 @@ def _ranges(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
+def _meeting(f: pd.DataFrame, rule: Rule) -> np.ndarray:
+    """Which pieces can share a string. A string holds its anchor and at least half of the other elements on one side of it, so
+    pieces that share one have an equal half: the anchor with so many elements before it, or after it. Pieces whose halves
+    are their own are left out, as are halves that only folded pieces have, whose strings are known to repeat."""
+    w, a = rule.width, rule.anchor
+    half = -(-(rule.length - a) // 2)
+    seen: dict = {}
+    for i, (anchor, off, rows, p) in enumerate(zip(f.anchor, f.off, f.rows, f.piece, strict=True)):
+        if off >= half:
+            seen.setdefault((anchor, 0, p[(off - half) * w : (off + a) * w]), [0]).append(i)
+            seen[anchor, 0, p[(off - half) * w : (off + a) * w]][0] += rows == 1
+        if (off + a + half) * w <= len(p):
+            seen.setdefault((anchor, 1, p[off * w : (off + a + half) * w]), [0]).append(i)
+            seen[anchor, 1, p[off * w : (off + a + half) * w]][0] += rows == 1
+    keep = np.zeros(len(f), dtype=bool)
+    for single, *who in seen.values():
+        if len(who) > 1 and single:
+            keep[who] = True
+    return keep
+
+
 def _bucket(f: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     out = []
-    f = f.sort_values(["anchor", "rid", "at"])
+    f = f[_meeting(f, rule)].sort_values(["anchor", "rid", "at"])
+    if f.empty:
+        return pd.DataFrame({"rid": [], "s": [], "e": []}).astype("int64")
     for hit, rid, at, rows in zip(repeated_starts(list(f.piece), list(f.live), rule), f.rid, f["at"], f.rows, strict=True):
         if rows == 1:
             s, e = _ranges(hit)

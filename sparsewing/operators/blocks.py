@@ -48,9 +48,15 @@ class Stack:
     weight: np.ndarray
     cell: np.ndarray
 
+    def drives(self, x: np.ndarray) -> np.ndarray:
+        return product(x, self.weight)
+
     def winners(self, x: np.ndarray, k: int) -> np.ndarray:
         """Columns of the ``k`` largest drives of each row of centred values, the largest first, equal ones by priority."""
-        y, m = product(x, self.weight), len(self.cell)
+        return self.first(self.drives(x), k)
+
+    def first(self, y: np.ndarray, k: int) -> np.ndarray:
+        m = len(self.cell)
         k = min(k, m)
         if float(np.abs(y).max(initial=0)) * m < 2.0**62:
             key = y * m + np.arange(m - 1, -1, -1)
@@ -59,12 +65,13 @@ class Stack:
         return np.argsort(-y, axis=1, kind="stable")[:, :k]
 
 
-def stack(wiring: DataFrame, dims: int, seed: int = 1) -> Stack:
-    """Fetches a wiring (dim, cell, w) of at most BROADCAST_ROWS entries."""
+def stack(wiring: DataFrame, dims: int | None = None, seed: int = 1) -> Stack:
+    """Fetches a wiring (dim, cell, w) of at most BROADCAST_ROWS entries; ``dims`` are those of the items, or as many as it has."""
     rows = wiring.select("dim", "cell", F.col("w").cast("bigint").alias("w"), priority(seed).alias("p")).limit(BROADCAST_ROWS + 1).toArrow()
     if rows.num_rows > BROADCAST_ROWS:
         raise ValueError(f"a wiring of more than {BROADCAST_ROWS} entries is joined, not sent to every task")
-    return _stacked(rows.to_pandas(), dims)
+    f = rows.to_pandas()
+    return _stacked(f, dims if dims is not None else int(f.dim.max()) + 1 if len(f) else 0)
 
 
 def _stacked(f, dims: int) -> Stack:
@@ -171,6 +178,63 @@ class Nearest:
         return md5(f"tie:{self.seed}:{of}".encode()).hexdigest(), item
 
 
+# ---------------------------------------------------------------- maps
+def _padded(col: pa.Array, dims: int) -> np.ndarray:
+    """Rows of ``dims`` values from arrays of any length; what is missing is 0."""
+    size = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = np.asarray(col.flatten().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    if (size == dims).all():
+        return flat.reshape(len(col), dims)
+    out = np.zeros((len(col), dims), dtype=np.int64)
+    at = np.concatenate(([0], np.cumsum(size)))
+    place = np.arange(len(flat)) - np.repeat(at[:-1], size)
+    inside = place < dims
+    out[np.repeat(np.arange(len(col)), size)[inside], place[inside]] = flat[inside]
+    return out
+
+
+def _mapped(items: DataFrame, s: Stack, col: str, rows, schema: str) -> DataFrame:
+    """``rows`` of (ids, drives) for every batch of items, as record batches."""
+    held = items.sparkSession.sparkContext.broadcast(s)
+
+    def run(batches):
+        w = held.value
+        step = max(1, (BLOCK >> 2) // max(1, len(w.cell)))
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                x = b.slice(at, step)
+                yield rows(w, x.column(0), w.drives(_padded(x.column(1), len(w.weight))))
+
+    return items.select("item_id", col).mapInArrow(run, schema)
+
+
+def drives(items: DataFrame, s: Stack, col: str = "q") -> DataFrame:
+    """(item_id, cell, y) of every item and cell."""
+
+    def rows(w, ids, y):
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(y)), y.shape[1]))), pa.array(np.tile(w.cell, len(y))), pa.array(y.ravel())], names=["item_id", "cell", "y"])
+
+    return _mapped(items, s, col, rows, f"item_id {_type(items)}, cell long, y long")
+
+
+def codes(items: DataFrame, s: Stack, k: int, col: str = "q") -> DataFrame:
+    """(item_id, cell, rnk, y) of the ``k`` winners of every item."""
+
+    def rows(w, ids, y):
+        top = w.first(y, k)
+        n = top.shape[1]
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(np.repeat(np.arange(len(y)), n))), pa.array(w.cell[top].ravel()), pa.array(np.tile(np.arange(1, n + 1), len(y))), pa.array(np.take_along_axis(y, top, axis=1).ravel())],
+            names=["item_id", "cell", "rnk", "y"],
+        )
+
+    return _mapped(items, s, col, rows, f"item_id {_type(items)}, cell long, rnk long, y long")
+
+
+def _type(items: DataFrame) -> str:
+    return items.schema["item_id"].dataType.simpleString()
+
+
 # ---------------------------------------------------------------- scans
 def _matrix(col: pa.Array) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparsewing.functions import rng, vectors
+from sparsewing.operators import learn, order
 
 
 def distinct_pairs(near: DataFrame, items: DataFrame, draws: int, seed: int) -> DataFrame:
     """Unordered pairs (a, b): neighbours (query_id, item_id) and, for every item, ``draws`` items drawn by position."""
     n = items.count()
-    pos = items.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("pos"))
+    pos = order.place(items.select("item_id"), ["item_id"], "pos").withColumn("pos", F.col("pos") - 1)
     d = items.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("pos", rng.integer(n, "pair", seed, "item_id", "draw"))
     r = d.join(pos.withColumnRenamed("item_id", "b"), "pos").select(F.col("item_id").alias("a"), "b")
     p = near.select(F.col("query_id").alias("a"), F.col("item_id").alias("b")).union(r).filter("a <> b")
@@ -56,11 +58,14 @@ def fit_c(points: DataFrame) -> DataFrame:
 
 
 def participation(items: DataFrame, col: str = "q") -> DataFrame:
-    """(tr C)^2 / tr(C^2) of the sample covariance. One pass per item builds the d(d+1)/2 moments, which add up map-side."""
-    x = items.select(F.posexplode(col).alias("i", "u"), F.col(col).alias("q")).select("i", "u", F.posexplode("q").alias("j", "v")).filter("i <= j")
-    c = x.groupBy("i", "j").agg(F.covar_samp(F.col("u").cast("double"), F.col("v").cast("double")).alias("c"))
-    t = c.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))).alias("tr"), F.sum(F.col("c") * F.col("c") * F.when(F.col("i") == F.col("j"), 1).otherwise(2)).alias("sq"))
-    return t.select(F.round(F.col("tr") * F.col("tr") / F.col("sq"), 6).alias("participation"))
+    """(tr C)^2 / tr(C^2) of the covariance, from a matrix of products per task, which the ratio does not need scaled."""
+    spark = items.sparkSession
+    head = items.select(F.size(col).alias("d")).first()
+    if head is None:
+        return spark.createDataFrame([(None,)], "participation double")
+    _, _, c = learn.moments(items, head.d, col)
+    sq = float((c * c).sum())
+    return spark.createDataFrame([(round(float(np.trace(c)) ** 2 / sq, 6) if sq else None,)], "participation double")
 
 
 def median_angle(truth: DataFrame, items: DataFrame) -> DataFrame:

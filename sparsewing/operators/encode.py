@@ -29,11 +29,12 @@ def _sums(col: str):
 
 def drive(items: DataFrame, wiring: DataFrame, wiring_rows: int, col: str = "q") -> DataFrame:
     """(item_id, cell, y): sums of the item's values over each cell's inputs, as whole numbers. A wiring of up to
-    BROADCAST_ROWS entries goes to every task and the sums are made inside the item's row, without a shuffle; a larger one is
-    joined on the dimension."""
+    BROADCAST_ROWS entries goes to every task as a matrix and the drives are products of it with a batch of items, without a
+    shuffle; a larger one is joined on the dimension. Missing values count 0."""
     if wiring_rows <= BROADCAST_ROWS:
-        x = items.select("item_id", col).crossJoin(one_row(wiring))
-        return x.select("item_id", F.explode(_sums(col)).alias("s")).select("item_id", "s.cell", "s.y")
+        from sparsewing.operators import blocks
+
+        return blocks.drives(items, blocks.stack(wiring), col)
     x = items.select("item_id", F.posexplode(col).alias("dim", "v")).withColumn("dim", F.col("dim").cast("bigint"))
     return x.join(wiring.select("dim", "cell", "w"), "dim").groupBy("item_id", "cell").agg(F.sum(F.col("v") * F.col("w")).alias("y"))
 
@@ -43,10 +44,9 @@ def encode(items: DataFrame, wiring: DataFrame, wiring_rows: int, k: int, seed:
     code costs no shuffle at any number of items."""
     if wiring_rows > BROADCAST_ROWS:
         return winners(drive(items, wiring, wiring_rows, col), k, "random", seed).select("item_id", "cell", "rnk", "y")
-    x = items.select("item_id", col).crossJoin(one_row(wiring, seed))
-    best = F.slice(F.array_sort(F.transform(_sums(col), lambda s: F.struct((-s["y"]).alias("neg"), s["prio"].alias("prio"), s["cell"].alias("cell")))), 1, k)
-    x = x.select("item_id", F.posexplode(best).alias("pos", "s"))
-    return x.select("item_id", F.col("s.cell").alias("cell"), (F.col("pos") + 1).cast("bigint").alias("rnk"), (-F.col("s.neg")).alias("y"))
+    from sparsewing.operators import blocks
+
+    return blocks.codes(items, blocks.stack(wiring, seed=seed), k, col)
 
 
 def priority(seed: int) -> Column:

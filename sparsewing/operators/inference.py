@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparsewing.functions import rng
+from sparsewing.operators import order
 
 
 def randomization(real: DataFrame, null: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,7 +103,8 @@ def average_ranks(df: DataFrame, col: str, out: str, by: list[str] | None = None
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    r = average_ranks(average_ranks(df, x, "rx"), y, "ry")
+    """Of the mean places of equal values."""
+    r = order.average_places(order.average_places(df, x, "rx"), y, "ry")
     return r.agg(F.round(F.corr("rx", "ry"), 9).alias("rho"))
 
 

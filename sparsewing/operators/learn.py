@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparsewing.operators.graph import reliable
+
 
 def _moments(frames, d: int):
     n, s, g = 0, np.zeros(d), np.zeros((d, d))
@@ -26,7 +28,7 @@ def _moments(frames, d: int):
 def moments(items: DataFrame, d: int, col: str = "q") -> tuple[int, np.ndarray, np.ndarray]:
     """Count, mean and population covariance; one row of d * d sums per task comes back, added by position."""
     x = items.select(F.transform(col, lambda v: v.cast("double")).alias("x"))
-    p = x.mapInPandas(partial(_moments, d=d), "n long, s array<double>, g array<double>")
+    p = reliable(x.mapInPandas(partial(_moments, d=d), "n long, s array<double>, g array<double>"))
     n = p.agg(F.sum("n")).first()[0] or 0
     sums = lambda c: {r.k: r.v for r in p.select(F.posexplode(c).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("v")).collect()}
     s, g = sums("s"), sums("g")

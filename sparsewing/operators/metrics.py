@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparsewing.operators import order
+
 
 def hits(pred: DataFrame, true: DataFrame) -> DataFrame:
     """Predictions (query_id, rnk, item_id) with hit 0/1."""
@@ -57,6 +59,5 @@ def class_novelty(code: DataFrame, stored: DataFrame, probes: DataFrame) -> Data
 
 def auc(scored: DataFrame) -> DataFrame:
     """Area under the curve from ordinal ranks, equal scores counted for the novel side first: (item_id, s, novel)."""
-    r = F.row_number().over(Window.orderBy("s", F.col("novel").desc(), "item_id"))
-    x = scored.withColumn("r", r).agg(F.sum(F.when(F.col("novel") == 1, F.col("r"))).alias("rs"), F.count_if(F.col("novel") == 1).alias("a"), F.count_if(F.col("novel") == 0).alias("b"))
+    x = order.place(scored.select("item_id", "s", "novel"), [F.col("s"), F.col("novel").desc(), F.col("item_id")], "r").agg(F.sum(F.when(F.col("novel") == 1, F.col("r"))).alias("rs"), F.count_if(F.col("novel") == 1).alias("a"), F.count_if(F.col("novel") == 0).alias("b"))
     return x.select(F.round((F.col("rs") - F.col("a") * (F.col("a") + 1) / 2) / (F.col("a") * F.col("b")), 9).alias("auc"))
