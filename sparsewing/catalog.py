@@ -22,4 +22,4 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-from sparsewing.plans import codes, collisions, items, primary, retrieval, stats, sweeps, wirings  # noqa: E402, F401
+from sparsewing.plans import codes, collisions, items, primary, protocol, retrieval, stats, sweeps, wirings  # noqa: E402, F401

@@ -94,19 +94,52 @@ def stacks(wirings: DataFrame, dims: int, seed: int = 1) -> dict[int, Stack]:
 # ---------------------------------------------------------------- arms
 @dataclass(frozen=True)
 class Exact:
-    """Squared Euclidean distance of the values themselves."""
+    """Squared Euclidean distance of the values themselves, or of the centred ones."""
 
     name: str
     tie: str = "id"
+    centre: bool = False
+
+    def _values(self, x: np.ndarray) -> np.ndarray:
+        return centred(x) if self.centre else x
 
     def prepared(self, q: np.ndarray) -> object:
+        q = self._values(q)
         return q, (q * q).sum(axis=1)
 
     def distances(self, held, x: np.ndarray):
         q, size = held
+        x = self._values(x)
         yield self.name, size[:, None] + (x * x).sum(axis=1)[None, :] - 2 * product(q, x.T)
 
 
+@dataclass(frozen=True)
+class Projected(Exact):
+    """Squared Euclidean distance of the drives under a wiring, in whole steps of ``unit``."""
+
+    wiring: Stack | None = None
+    unit: int = 1
+
+    def _values(self, x: np.ndarray) -> np.ndarray:
+        return self.wiring.drives(centred(x)) // self.unit
+
+
+@dataclass(frozen=True)
+class Signed:
+    """Hamming distance of the signs of the drives (above zero or not) under a wiring."""
+
+    name: str
+    wiring: Stack
+    tie: str = "pair"
+
+    def prepared(self, q: np.ndarray) -> np.ndarray:
+        return (self.wiring.drives(centred(q)) > 0).astype(np.float32)
+
+    def distances(self, held, x: np.ndarray):
+        b = self.prepared(x)
+        yield self.name, np.rint(held.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - 2 * (held @ b.T)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Coded:
     """Hamming distance of the codes of the centred values under a wiring; one arm for each number of winners, named by it."""
@@ -301,12 +334,17 @@ def query_blocks(items: DataFrame) -> list[DataFrame]:
     return [ids] if k == 1 else [ids.filter(F.pmod(F.xxhash64("item_id"), F.lit(k)) == i) for i in range(k)]
 
 
-def scores(ranked: DataFrame, truth: str, n: int) -> DataFrame:
+def scores(ranked: DataFrame, truth: str | tuple[str, ...], n: int) -> DataFrame:
     """(arm, query_id, ap, ap_retrieved, recall) of all arms but ``truth`` against it: an item is a hit where the arm of the truth
-    ranks it for the same query, so one pass over the ranked rows scores every arm."""
-    true = F.max((F.col("arm") == truth).cast("long")).over(Window.partitionBy("query_id", "item_id"))
-    h = ranked.select("arm", "query_id", "item_id", "rnk", true.alias("hit")).filter(F.col("arm") != truth)
-    run = F.sum("hit").over(Window.partitionBy("arm", "query_id").orderBy("rnk").rowsBetween(Window.unboundedPreceding, 0))
+    ranks it for the same query, so one pass over the ranked rows scores every arm. For several truths, with a column
+    ``truth`` and a row for each."""
+    truths = (truth,) if isinstance(truth, str) else truth
+    same = Window.partitionBy("query_id", "item_id")
+    hits = F.array(*[F.struct(F.lit(t).alias("truth"), F.max((F.col("arm") == t).cast("long")).over(same).alias("hit")) for t in truths])
+    h = ranked.select("arm", "query_id", "item_id", "rnk", hits.alias("x")).filter(~F.col("arm").isin(list(truths)))
+    h = h.select("arm", "query_id", "rnk", F.explode("x").alias("x")).select("x.truth", "arm", "query_id", "rnk", "x.hit")
+    run = F.sum("hit").over(Window.partitionBy("truth", "arm", "query_id").orderBy("rnk").rowsBetween(Window.unboundedPreceding, 0))
     p = h.withColumn("p", F.when(F.col("hit") == 1, run / F.col("rnk")).otherwise(0.0))
-    g = p.groupBy("arm", "query_id").agg(F.sum("p").alias("p"), F.sum("hit").alias("hits"))
-    return g.select("arm", "query_id", F.round(F.col("p") / n, 9).alias("ap"), F.round(F.col("p") / F.greatest("hits", F.lit(1)), 9).alias("ap_retrieved"), F.round(F.col("hits") / n, 9).alias("recall"))
+    g = p.groupBy("truth", "arm", "query_id").agg(F.sum("p").alias("p"), F.sum("hit").alias("hits"))
+    out = g.select("truth", "arm", "query_id", F.round(F.col("p") / n, 9).alias("ap"), F.round(F.col("p") / F.greatest("hits", F.lit(1)), 9).alias("ap_retrieved"), F.round(F.col("hits") / n, 9).alias("recall"))
+    return out.drop("truth") if isinstance(truth, str) else out

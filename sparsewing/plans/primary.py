@@ -23,9 +23,11 @@ from sparsewing.sources import tables
 DIMS, SIZES, PRIMARY, MARGIN = 25, (8, 16, 32), 16, 0.05
 
 
-def scored(items: DataFrame, queries_: DataFrame, wiring: DataFrame, nulls: DataFrame, sizes, n: int, dims: int) -> DataFrame:
-    """(k, draw, trial, value): average precision of every query under the measured wiring (draw -1) and the random ones."""
-    every = wiring.select(F.lit(-1).cast("long").alias("draw"), "dim", "cell", "w").unionByName(nulls.select("draw", "dim", "cell", "w"))
+def scored(items: DataFrame, queries_: DataFrame, wiring: DataFrame, nulls: DataFrame, sizes, n: int, dims: int, weighted: bool = False) -> DataFrame:
+    """(k, draw, trial, value): average precision of every query under the measured wiring (draw -1) and the random ones. Entries
+    count 1 unless ``weighted``."""
+    w = F.col("w") if weighted else F.lit(1).cast("long")
+    every = wiring.select(F.lit(-1).cast("long").alias("draw"), "dim", "cell", w.alias("w")).unionByName(nulls.select("draw", "dim", "cell", w.alias("w")))
     held = blocks.stacks(every, dims)
     # names end in the number of winners, also where there is only one
     arms = [blocks.Exact("truth")] + [blocks.Coded(str(d), s, (k,) if len(sizes) == 1 else tuple(sizes)) for d, s in sorted(held.items()) for k in [sizes[0]]]
@@ -76,7 +78,7 @@ _PRIMARY = f"""
 it AS (SELECT item_id, list_slice(q, 1, {DIMS}) AS q FROM items),
 lg AS (SELECT item_id, unnest(range({DIMS})) AS dim, unnest(q) AS v FROM it),
 ct AS (SELECT item_id, dim, {DIMS} * v - sum(v) OVER (PARTITION BY item_id) AS v FROM lg),
-dr AS (SELECT draw, item_id, cell, sum(v * w) AS y FROM ct JOIN wirs USING (dim) GROUP BY ALL),
+dr AS (SELECT draw, item_id, cell, sum(v) AS y FROM ct JOIN wirs USING (dim) GROUP BY ALL),
 cd AS (SELECT draw, k, item_id, cell FROM (SELECT draw, item_id, cell, row_number() OVER (PARTITION BY draw, item_id ORDER BY y DESC, md5('prio:1:' || cell), cell) AS r FROM dr), (SELECT unnest({list(_KS)}) AS k) WHERE r <= k),
 sh AS (SELECT a.draw, a.k, query_id, b.item_id, count(*) AS n FROM queries JOIN cd a ON a.item_id = query_id JOIN cd b ON b.draw = a.draw AND b.k = a.k AND b.cell = a.cell AND b.item_id <> query_id GROUP BY ALL),
 ev AS (SELECT draw, k, query_id, i.item_id FROM (SELECT DISTINCT draw, k FROM cd), queries, items i WHERE i.item_id <> query_id),
