@@ -189,12 +189,12 @@ def mixtures_dirichlet(spark, d):
 
 
 # ---------------------------------------------------------------- revisions
-_LINES = "SELECT l_partkey AS p_partkey, l_returnflag AS f, round(sum(l_extendedprice) / sum(l_quantity), 2) AS price, CAST(max(l_quantity) AS INTEGER) AS size FROM lineitem GROUP BY ALL"
+_LINES = "SELECT l_partkey AS p_partkey, l_returnflag AS f, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) // sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / 100 AS price, CAST(max(l_quantity) AS INTEGER) AS size FROM lineitem GROUP BY ALL"
 
 
 def _revisions(spark, d):
     """A table of parts, and revisions of it: the price of returned lines, then price and size of accepted ones."""
-    lines = tables.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("f")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 2).alias("p_retailprice"), F.max("l_quantity").cast("int").alias("p_size"))
+    lines = tables.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("f")).agg((F.expr("sum(cast(round(l_extendedprice * 100) as bigint)) div sum(cast(l_quantity as bigint))").cast("double") / 100).alias("p_retailprice"), F.max("l_quantity").cast("int").alias("p_size"))
     base = tables.table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
     known = base.select("p_partkey")
     of = lambda f, *c: lines.filter(F.col("f") == f).join(known, "p_partkey", "left_semi").select("p_partkey", *c)
