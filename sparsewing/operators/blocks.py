@@ -174,13 +174,14 @@ class Nearest:
     seed: int
     d: list = field(default_factory=list)
     item: list = field(default_factory=list)
+    more: list = field(default_factory=list)
 
     def __post_init__(self):
-        self.d = [np.zeros(0, np.int64) for _ in self.ids]
-        self.item = [np.zeros(0, np.int64) for _ in self.ids]
+        self.d, self.item, self.more = ([np.zeros(0, np.int64) for _ in self.ids] for _ in range(3))
         self.limit = np.full(len(self.ids), np.iinfo(np.int64).max)
 
-    def add(self, d: np.ndarray, items: np.ndarray) -> None:
+    def add(self, d: np.ndarray, items: np.ndarray, more: np.ndarray | None = None) -> None:
+        """``d`` of every query (row) and item (column) of a block; ``more`` is kept along."""
         bound = self.limit
         if d.shape[1] > self.n:  # an item beyond n others of its own block is none of the n nearest, itself left aside
             bound = np.minimum(bound, np.partition(d, self.n, axis=1)[:, self.n])
@@ -191,6 +192,7 @@ class Nearest:
         for q in np.flatnonzero(np.diff(start)).tolist():
             c = col[start[q] : start[q + 1]]
             self.d[q], self.item[q] = np.concatenate([self.d[q], d[q, c]]), np.concatenate([self.item[q], items[c]])
+            self.more[q] = np.concatenate([self.more[q], d[q, c] if more is None else more[q, c]])
             if len(self.d[q]) > self.n:
                 self._cut(q)
 
@@ -202,7 +204,7 @@ class Nearest:
         if left < len(rim):
             rim = np.array(sorted(rim.tolist(), key=lambda i: self._order(q, int(item[i])))[:left], dtype=np.int64)
         keep = np.concatenate([inner, rim])
-        self.d[q], self.item[q], self.limit[q] = d[keep], item[keep], edge
+        self.d[q], self.item[q], self.more[q], self.limit[q] = d[keep], item[keep], self.more[q][keep], edge
 
     def _order(self, q: int, item: int):
         if self.tie == "id":
