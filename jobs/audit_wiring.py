@@ -8,9 +8,10 @@ sums the edges into wirings, one per set, and writes two tables under ``output``
 * ``wiring``, partitioned by set: (dim, cell, w, partners), every entry from weight 1;
 * ``audit``, partitioned by set and threshold: what a threshold keeps of the entries and their weight, the cells and dims that
   are left, inputs per cell, cells with a single input, the spread of the fan-outs and the dim with the largest one,
-  and the squares and four-cycles of shared cells.
+  and the squares (Q) and four-cycles of shared cells; for Q, the mean, deviation, z and randomization p values against
+  ``nulls`` random wirings in which every cell keeps its number of inputs and draws anew which dims they are.
 
-Edges are read once; all thresholds are summed in one pass over the written wiring. The writes replace the partitions that they
+Edges are read once; all thresholds, and all random wirings, are summed in one pass each over the written wiring. The writes replace the partitions that they
 have rows for and leave others alone, so a run over some of the sets or thresholds (``regions``, ``thresholds`` in the
 config) renews just those, and a rerun gives the same tables. A set without entries has no partition in either; a threshold that
 keeps nothing of a set has none in ``audit``.
@@ -28,7 +29,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sparsewing.operators import wiring
+from sparsewing.operators import inference, wiring
 
 log = logging.getLogger("jobs.audit_wiring")
 CONFIG = Path(__file__).with_suffix(".json")
@@ -45,6 +46,17 @@ def typed(nodes: DataFrame, types: DataFrame, sets: DataFrame, regions: list[str
     return n.join(t.join(s, "r"), "dim").select("pre", "dim", "region")
 
 
+def compared(audit: DataFrame, measured: DataFrame, config: dict) -> DataFrame:
+    """The audit with Q against that of random wirings; where no cell has two inputs, every Q is 0."""
+    key = ["region", "threshold"]
+    drawn = wiring.shuffled_co_occurrence(measured, config["thresholds"], ["region"], config["nulls"], config["seed"])
+    every = audit.select(*key).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config["nulls"] - 1).cast("long"))))
+    null = every.join(drawn, [*key, "draw"], "left").select(*key, F.coalesce("q", F.lit(0)).cast("double").alias("value"))
+    test = inference.randomization(audit.select(*key, F.col("q").cast("double").alias("value")), null, key)
+    q = test.select(*key, F.col("null_mean").alias("q_null_mean"), F.col("null_sd").alias("q_null_sd"), F.col("z").alias("q_z"), F.col("p_upper").alias("q_p_upper"), F.col("p_lower").alias("q_p_lower"))
+    return audit.join(q, key).select(*[c for c in audit.columns if c not in key], *[c for c in q.columns if c not in key], *key)
+
+
 def written(df: DataFrame, path: str, *by: str) -> int:
     """Replaces the partitions that ``df`` has rows for; returns the number of rows."""
     seen = Observation()
@@ -64,7 +76,7 @@ def run(spark: SparkSession, edges: str, nodes: str, types: str, sets: str, outp
     measured = spark.read.schema(WIRING).parquet(f"{at}/wiring")
     if config["regions"] is not None:
         measured = measured.filter(F.col("region").isin(config["regions"]))
-    rows = wiring.audit(measured, config["thresholds"], ["region"])
+    rows = compared(wiring.audit(measured, config["thresholds"], ["region"]), measured, config)
     n = written(rows, f"{at}/audit", "region", "threshold")
     log.info("read %d entries from %s/wiring; wrote %d rows to %s/audit", entries, at, n, at)
     return spark.read.schema(rows.schema).parquet(f"{at}/audit")

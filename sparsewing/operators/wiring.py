@@ -125,6 +125,22 @@ def audit(wiring: DataFrame, thresholds: list[int], by: list[str]) -> DataFrame:
     )
 
 
+def shuffled_co_occurrence(wiring: DataFrame, thresholds: list[int], by: list[str], draws: int, seed: int) -> DataFrame:
+    """(*by, threshold, draw, q): Q of ``draws`` random wirings for each wiring and threshold, in which every cell keeps its number of
+    inputs and draws anew which of the wiring's dims they are. A cell's draw is the front of the dims in order of their digests,
+    made inside the cell's row; only pairs of dims are shuffled."""
+    key = [*by, "threshold", "draw"]
+    w = wiring.select(*by, "dim", "cell", "w")
+    reached = F.filter(F.array(*[F.lit(int(t)) for t in sorted(set(thresholds))]), lambda t: t <= F.col("w"))
+    cells = w.withColumn("threshold", F.explode(reached)).groupBy(*by, "threshold", "cell").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
+    dims = w.groupBy(*by).agg(F.array_sort(F.collect_set("dim")).alias("dims"))  # a row per wiring
+    rows = cells.join(dims, by).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    front = F.slice(F.array_sort(F.transform("dims", lambda d: F.struct(rng.digest("null", seed, "draw", d, "cell").alias("h"), d.alias("d")))), F.lit(1), F.col("n"))
+    drawn = rows.select(*key, F.array_sort(F.transform(front, lambda x: x["d"])).alias("dims"))
+    pairs = drawn.select(*key, "dims", F.posexplode("dims").alias("i", "a")).select(*key, "a", F.explode(F.expr("slice(dims, i + 2, size(dims))")).alias("b"))
+    return pairs.groupBy(*key, "a", "b").agg(F.count("*").alias("s")).groupBy(*key).agg(F.sum(F.col("s") * F.col("s")).alias("q"))
+
+
 def feasible(fan_outs: DataFrame, cells: DataFrame, by: list[str], form: list[str]) -> DataFrame:
     """(*form, entries, excess, feasible): whether a 0/1 matrix exists with the row sums (*form, n) and the column sums (*by, cell,
     n): the largest r rows must not hold more than the columns can give to r rows. ``form`` begins with ``by`` and tells

@@ -1,16 +1,21 @@
 """The jobs: growing input on copies, reruns, refusals, the command line, and the registered queries against their SQL."""
 
+import hashlib
+import itertools
 import json
 import logging
 import os
+import random
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 import pytest
 
 from jobs import audit_wiring, encode_documents, queries
+from sparsewing.operators import wiring
 from tests.test_queries import SF, TABLES, plain
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -124,7 +129,7 @@ def circuit(spark, tmp_path):
 
 def test_audit(spark, tmp_path, circuit, caplog):
     caplog.set_level(logging.INFO, "jobs.audit_wiring")
-    out, config = f"{tmp_path}/out", {"thresholds": [1, 5, 100], "regions": None}
+    out, config = f"{tmp_path}/out", {"thresholds": [1, 5, 100], "regions": None, "nulls": 9, "seed": 2}
     got = {(r.region, r.threshold): r for r in audit_wiring.run(spark, *circuit, out, config).collect()}
     assert set(got) == {("A B", 1), ("A B", 5), ("C/D", 1), ("C/D", 5)}
     a = got["A B", 1]  # entries: dim 0 to cell 10 with 12 from two nodes, dim 1 to cell 10 with 9, to cell 11 with 2
@@ -132,6 +137,8 @@ def test_audit(spark, tmp_path, circuit, caplog):
     b = got["A B", 5]
     assert (b.kept, b.weight, b.kept_share, b.weight_share, b.cells, b.top_dim, b.fan_out_cv) == (2, 21, round(2 / 3, 9), round(21 / 23, 9), 1, 0, 0.0)
     assert got["C/D", 5].q == 0 and got["C/D", 1].q == 1
+    # cell 10 has both of its set's dims in every wiring, so Q never moves; at threshold 5 of C/D no cell has two
+    assert all((x.q_null_mean, x.q_null_sd, x.q_z, x.q_p_upper, x.q_p_lower) == (x.q, 0.0, None, 1.0, 1.0) for x in got.values())
     w = sorted((r.region, r.dim, r.cell, r.w, r.partners) for r in spark.read.parquet(f"{out}/wiring").collect())
     assert w == [("A B", 0, 10, 12, 2), ("A B", 1, 10, 9, 1), ("A B", 1, 11, 2, 1), ("C/D", 2, 12, 1, 1), ("C/D", 3, 12, 8, 1)]
     assert any("read 11 edges" in m and "wrote 5 entries" in m for m in caplog.messages) and any("wrote 4 rows" in m for m in caplog.messages)
@@ -139,11 +146,27 @@ def test_audit(spark, tmp_path, circuit, caplog):
     assert sorted(map(repr, again)) == sorted(map(repr, got.values()))
 
 
+def test_random_wirings_keep_the_cells_inputs(spark):
+    """Q of each draw, by drawing every cell's dims in order of their digests."""
+    g = random.Random(3)
+    rows = [("s", d, c, g.randint(1, 9)) for c in range(30) for d in g.sample(range(7), g.randint(1, 5))]
+    df = spark.createDataFrame(rows, "region string, dim long, cell long, w long")
+    got = {(r.threshold, r.draw): r.q for r in wiring.shuffled_co_occurrence(df, [1, 4], ["region"], 3, 5).collect()}
+    dims = sorted({d for _, d, _, _ in rows})
+    for t in (1, 4):
+        for draw in range(3):
+            n, shared = Counter(c for _, _, c, w in rows if w >= t), Counter()
+            for c, k in n.items():
+                mine = sorted(dims, key=lambda d: hashlib.md5(f"null:5:{draw}:{d}:{c}".encode()).hexdigest())[:k]  # noqa: B023
+                shared.update(itertools.combinations(sorted(mine), 2))
+            assert got[t, draw] == sum(x * x for x in shared.values())
+
+
 def test_audit_of_some_sets_leaves_the_others(spark, tmp_path, circuit):
     out = f"{tmp_path}/out"
-    audit_wiring.run(spark, *circuit, out, {"thresholds": [1, 5], "regions": None})
+    audit_wiring.run(spark, *circuit, out, {"thresholds": [1, 5], "regions": None, "nulls": 2, "seed": 2})
     spark.createDataFrame([(3, 11, 40)], "l_suppkey long, l_partkey long, l_quantity int").write.mode("append").parquet(circuit[0])
-    got = {(r.region, r.threshold): r for r in audit_wiring.run(spark, *circuit, out, {"thresholds": [5, 30], "regions": ["A B"]}).collect()}
+    got = {(r.region, r.threshold): r for r in audit_wiring.run(spark, *circuit, out, {"thresholds": [5, 30], "regions": ["A B"], "nulls": 2, "seed": 2}).collect()}
     assert set(got) == {("A B", 1), ("A B", 5), ("A B", 30), ("C/D", 1), ("C/D", 5)}
     assert (got["A B", 1].weight, got["A B", 5].weight, got["A B", 30].weight, got["C/D", 1].weight) == (23, 63, 42, 9)
 
@@ -153,7 +176,7 @@ def test_command_lines(tmp_path):
     """Both programs, each in a session of its own."""
     env = os.environ | {"SPARK_LOCAL_IP": "127.0.0.1"}
     table = lambda t: f"{SF}/{t}.parquet"
-    (tmp_path / "some.json").write_text(json.dumps({"thresholds": [50], "regions": ["ASIA"]}))
+    (tmp_path / "some.json").write_text(json.dumps({"thresholds": [50], "regions": ["ASIA"], "nulls": 3, "seed": 1}))
     calls = [
         ["jobs.encode_documents", "--documents", table("documents"), "--output", f"{tmp_path}/codes", "--checkpoint", f"{tmp_path}/mark"],
         ["jobs.audit_wiring", "--edges", table("lineitem"), "--nodes", table("supplier"), "--types", table("nation"), "--sets", table("region"), "--output", f"{tmp_path}/audit", "--config", f"{tmp_path}/some.json"],
