@@ -296,27 +296,6 @@ def _meeting(f: pd.DataFrame, rule: Rule) -> np.ndarray:
     return keep
 
 
-def _meeting(f: pd.DataFrame, rule: Rule) -> np.ndarray:
-    """Which pieces can share a string. A string holds its anchor and at least half of the other elements on one side of it, so
-    pieces that share one have an equal half: the anchor with so many elements before it, or after it. Pieces whose halves
-    are their own are left out, as are halves that only folded pieces have, whose strings are known to repeat."""
-    w, a = rule.width, rule.anchor
-    half = -(-(rule.length - a) // 2)
-    seen: dict = {}
-    for i, (anchor, off, rows, p) in enumerate(zip(f.anchor, f.off, f.rows, f.piece, strict=True)):
-        if off >= half:
-            seen.setdefault((anchor, 0, p[(off - half) * w : (off + a) * w]), [0]).append(i)
-            seen[anchor, 0, p[(off - half) * w : (off + a) * w]][0] += rows == 1
-        if (off + a + half) * w <= len(p):
-            seen.setdefault((anchor, 1, p[off * w : (off + a + half) * w]), [0]).append(i)
-            seen[anchor, 1, p[off * w : (off + a + half) * w]][0] += rows == 1
-    keep = np.zeros(len(f), dtype=bool)
-    for single, *who in seen.values():
-        if len(who) > 1 and single:
-            keep[who] = True
-    return keep
-
-
 def _bucket(f: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     out = []
     f = f[_meeting(f, rule)].sort_values(["anchor", "rid", "at"])
@@ -382,16 +361,19 @@ def repeated_spans(texts: DataFrame, rule: Rule) -> DataFrame:
     spark = texts.sparkSession
     bound_batches(spark)
     path = shared_path(spark, "pieces")
-    texts.mapInArrow(partial(_pieces, rule=rule), "rid long, at long, live int, anchor long, whole long, off int").write.parquet(path)
-    every = spark.read.schema("rid long, at long, live int, anchor long, whole long, off int").parquet(path)
-    one = every.groupBy("anchor", "whole").agg(F.count("*").alias("rows"), F.min(F.struct("rid", "at", "live", "off")).alias("x"))
-    keys = one.groupBy("anchor").agg(F.sum("rows").alias("all"), F.count("*").alias("kinds"), F.min("rows").alias("fewest")).filter("all > 1")
-    one = checkpoint(one.join(keys, "anchor").select("anchor", "whole", "rows", "kinds", "fewest", "x.*"))
-    many = one.filter("rows > 1").select("anchor", "whole")
-    whole = every.join(many, ["anchor", "whole"]).select("rid", F.col("at").alias("s"), (F.col("at") + F.col("live") + rule.length - 1).alias("e"))
+    made = "rid long, at long, live int, anchor long, whole long, off int"
+    texts.mapInArrow(partial(_pieces, rule=rule), made).withColumn("piece", F.monotonically_increasing_id()).write.parquet(path)
+    every = spark.read.schema(made + ", piece long").parquet(path)
+    one = every.groupBy("anchor", "whole").agg(F.count("*").alias("rows"), F.min("piece").alias("first"))
+    keys = one.groupBy("anchor").agg(F.sum("rows").alias("all"), F.count("*").alias("kinds"), F.min("rows").alias("fewest")).filter("all > 1").drop("all")
+    open_ = (F.col("kinds") > 1) & (F.col("fewest") == 1)
+    named = checkpoint(one.join(keys, "anchor").filter((F.col("rows") > 1) | open_).select("anchor", "whole", "rows", F.when(open_, F.col("first")).alias("first"), (F.col("kinds") > HOT).alias("hot")))
+    met = every.join(named, ["anchor", "whole"]).withColumn("fetch", F.coalesce(F.col("piece") == F.col("first"), F.lit(False))).filter((F.col("rows") > 1) | F.col("fetch"))
+    met = checkpoint(met.select("rid", "at", "live", "anchor", "off", "rows", "hot", "fetch"))
+    whole = met.filter("rows > 1").select("rid", F.col("at").alias("s"), (F.col("at") + F.col("live") + rule.length - 1).alias("e"))
     whole = checkpoint(_merged(whole))
     drop_path(spark, path)
-    left = one.filter("kinds > 1 and fewest = 1").select("rid", F.struct("rid", "at", "live", "anchor", "off", "rows", (F.col("kinds") > HOT).alias("hot")).alias("w"))
+    left = met.filter("fetch").select("rid", F.struct("rid", "at", "live", "anchor", "off", "rows", "hot").alias("w"))
     want = checkpoint(left.groupBy("rid").agg(F.collect_list("w").alias("want")))
     n = want.agg(F.sum(F.size("want"))).first()[0] or 0
     fetched = checkpoint(texts.join(F.broadcast(want) if n <= BROADCAST else want, "rid").mapInArrow(partial(_fetch, rule=rule), PIECE).dropDuplicates(["rid", "at"]))
