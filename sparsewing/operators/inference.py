@@ -84,10 +84,18 @@ def wilson(counts: DataFrame, z: float) -> DataFrame:
     return counts.withColumns({"low": F.round(mid - half, 9), "high": F.round(mid + half, 9)})
 
 
+#: Different combinations of costs and quality that every task may hold.
+MOST_METHODS = 100_000
+
+
 def pareto(methods: DataFrame, costs: list[str], quality: str) -> DataFrame:
-    """Rows that no other row dominates: nowhere dearer, not worse, and better in something. A table of methods is small;
-    the anti-join is on its size only."""
-    o = methods.select(*[F.col(c).alias(f"o_{c}") for c in [*costs, quality]])
+    """Rows that no other row dominates: nowhere dearer, not worse, and better in something. Rows alike in all of these stand or
+    fall together, so each combination is compared once, and only the best quality at given costs can dominate; there may be
+    MOST_METHODS of those."""
+    best = methods.groupBy(*costs).agg(F.max(quality).alias(quality))
+    if best.limit(MOST_METHODS + 1).count() > MOST_METHODS:
+        raise ValueError(f"more than {MOST_METHODS} combinations of costs")
+    o = best.select(*[F.col(c).alias(f"o_{c}") for c in [*costs, quality]])
     cond = F.col(f"o_{quality}") >= F.col(quality)
     better = F.col(f"o_{quality}") > F.col(quality)
     for c in costs:
@@ -96,12 +104,6 @@ def pareto(methods: DataFrame, costs: list[str], quality: str) -> DataFrame:
     return methods.join(F.broadcast(o), cond & better, "left_anti")
 
 
-def average_ranks(df: DataFrame, col: str, out: str, by: list[str] | None = None) -> DataFrame:
-    w = Window.partitionBy(*(by or []))
-    same = Window.partitionBy(*(by or []), col)
-    return df.withColumn(out, F.rank().over(w.orderBy(col)) + (F.count("*").over(same) - 1) / 2)
-
-
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Of the mean places of equal values."""
     r = order.average_places(order.average_places(df, x, "rx"), y, "ry")

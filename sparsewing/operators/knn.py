@@ -17,7 +17,7 @@ MAX_QUERIES = 100_000
 
 def pairs(items: DataFrame, queries: DataFrame, col: str = "q") -> DataFrame:
     """(query_id, item_id, x, y) for every query and every other item."""
-    q = queries.select("item_id").join(items.select("item_id", col), "item_id").select(F.col("item_id").alias("query_id"), F.col(col).alias("x"))
+    q = check_queries(queries).select("item_id").join(items.select("item_id", col), "item_id").select(F.col("item_id").alias("query_id"), F.col(col).alias("x"))
     return items.select("item_id", F.col(col).alias("y")).join(F.broadcast(q), F.col("item_id") != F.col("query_id"))
 
 
@@ -49,7 +49,7 @@ def hamming(code: DataFrame, queries: DataFrame, items: DataFrame, n: int, seed:
     """Ranking by the size of the symmetric difference; equal distances in the order of a digest of (query, item), or of the
     item alone. Items that share no winner with a query take part with their full distance. ``size`` says that all codes have
     so many winners, which saves counting them."""
-    every = items.select("item_id").join(F.broadcast(queries.select(F.col("item_id").alias("query_id"))), F.col("item_id") != F.col("query_id"))
+    every = items.select("item_id").join(F.broadcast(check_queries(queries).select(F.col("item_id").alias("query_id"))), F.col("item_id") != F.col("query_id"))
     s = every.join(overlap(code, queries, query_code), ["query_id", "item_id"], "left")
     if size is None:
         k = code.groupBy("item_id").agg(F.count("*").alias("k"))
