@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from sparsewing.llm.common import bound_batches, checkpoint, partitions
 from sparsewing.llm.graph import components
 
-NEAREST, ROWS, HOME_ROWS, POOL = 6, 512, 2048, 4
+NEAREST, ROWS, HOME_ROWS, POOL, SLICE = 6, 512, 2048, 4, 1024
 
 
 def _spread(x: np.ndarray, n: int, within: float) -> np.ndarray:
@@ -53,34 +53,41 @@ def _spread(x: np.ndarray, n: int, within: float) -> np.ndarray:
     return got[:k]
 
 
-def _describe(frames, pivots: np.ndarray, angle: float):
-    """Keys of each class: the pivots within three times the angle, as pairs of equals, and without a home every pair of its
-    nearest pivots."""
-    k = min(NEAREST, len(pivots))
+def _slices(frames):
+    """Vectors of one length, at most SLICE at a time, which bounds the table of their cosines with the pivots."""
     for f in frames:
         for d, g in f.groupby(f.embedding.map(len)):
-            x = np.stack(g.embedding.to_numpy()).astype(np.float64)
-            p = np.zeros((len(pivots), d))
-            p[:, : min(d, pivots.shape[1])] = pivots[:, :d]
-            p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300)
-            s = np.round(x / np.linalg.norm(x, axis=1, keepdims=True) @ p.T, 12)
-            near = np.argsort(-s, axis=1, kind="stable")[:, :k].astype(np.int32)
-            low = np.sort(near, axis=1)
-            home = np.where(s[np.arange(len(s)), near[:, 0]] >= np.cos(min(2 * angle, np.pi)), near[:, 0], -1).astype(np.int32)
-            raw = np.array([*(r.tobytes() for r in x.astype(np.float32)), None], dtype=object)[:-1]  # the table's own components
-            desc = np.array([*(r.tobytes() for r in low), None], dtype=object)[:-1]
-
-            def rows(at, a, b, g=g, d=d, raw=raw, desc=desc, home=home):
-                return pd.DataFrame({"label": g.label.to_numpy()[at], "d": d, "a": a, "b": b, "cid": g.cid.to_numpy()[at], "rows": g.rows.to_numpy()[at], "x": raw[at], "desc": desc[at], "home": home[at]})
-
-            at, own = np.nonzero(s >= np.cos(min(3 * angle, np.pi)) - 1e-9)
-            yield rows(at, own.astype(np.int32), own.astype(np.int32))
-            at = np.flatnonzero(home < 0)
-            if k < 2:
-                yield rows(at, -1, -1)
-            for i in range(k):
-                for j in range(i + 1, k):
-                    yield rows(at, low[at, i], low[at, j])
+            for at in range(0, len(g), SLICE):
+                yield d, g.iloc[at : at + SLICE]
+
+
+def _describe(frames, pivots: np.ndarray, angle: float, kind: type):
+    """Keys of each class: the pivots within three times the angle, as pairs of equals, and without a home every pair of its
+    nearest pivots. ``kind``: the type of the table's components, which go along as they are."""
+    k = min(NEAREST, len(pivots))
+    for d, g in _slices(frames):
+        x = np.stack(g.embedding.to_numpy()).astype(np.float64)
+        p = np.zeros((len(pivots), d))
+        p[:, : min(d, pivots.shape[1])] = pivots[:, :d]
+        p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300)
+        s = np.round(x / np.linalg.norm(x, axis=1, keepdims=True) @ p.T, 12)
+        near = np.argsort(-s, axis=1, kind="stable")[:, :k].astype(np.int32)
+        low = np.sort(near, axis=1)
+        home = np.where(s[np.arange(len(s)), near[:, 0]] >= np.cos(min(2 * angle, np.pi)), near[:, 0], -1).astype(np.int32)
+        raw = np.array([*(r.tobytes() for r in x.astype(kind)), None], dtype=object)[:-1]
+        desc = np.array([*(r.tobytes() for r in low), None], dtype=object)[:-1]
+
+        def rows(at, a, b, g=g, d=d, raw=raw, desc=desc, home=home):
+            return pd.DataFrame({"label": g.label.to_numpy()[at], "d": d, "a": a, "b": b, "cid": g.cid.to_numpy()[at], "rows": g.rows.to_numpy()[at], "x": raw[at], "desc": desc[at], "home": home[at]})
+
+        at, own = np.nonzero(s >= np.cos(min(3 * angle, np.pi)) - 1e-9)
+        yield rows(at, own.astype(np.int32), own.astype(np.int32))
+        at = np.flatnonzero(home < 0)
+        if k < 2:
+            yield rows(at, -1, -1)
+        for i in range(k):
+            for j in range(i + 1, k):
+                yield rows(at, low[at, i], low[at, j])
 
 
 def _forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -97,7 +104,7 @@ def _forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
         lab = new
 
 
-def _judge(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def _judge(f: pd.DataFrame, threshold: float, kind: type) -> pd.DataFrame:
     f = f.sort_values(["label", "d", "a", "b", "lo", "hi", "blk", "cid"], ignore_index=True)
     key = f[["label", "d", "a", "b", "lo", "hi"]].to_numpy()
     at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
@@ -109,7 +116,7 @@ def _judge(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
         if e - s < 2:
             continue
         g = f.iloc[s:e]
-        x = np.frombuffer(b"".join(g.x), dtype=np.float32).reshape(e - s, -1).astype(np.float64)
+        x = np.frombuffer(b"".join(g.x), dtype=kind).reshape(e - s, -1).astype(np.float64)
         desc = np.frombuffer(b"".join(g.desc), dtype=np.int32).reshape(e - s, -1)
         home = g.home.to_numpy()
         norm = np.sqrt((x * x).sum(axis=1))
@@ -156,7 +163,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """``vectors`` (vec_id, embedding, label) to (vec_id, n_links, component_id, kept), one row per vector."""
     spark = vectors.sparkSession
     bound_batches(spark)
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = np.float32 if single else np.float64
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     v = v.withColumn("cid", F.when(ok, F.xxhash64("label", "embedding")))
@@ -171,7 +180,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         pivots[i, : len(r.embedding)] = r.embedding
     angle = float(np.arccos(threshold))
     pivots = _spread(pivots, most, float(np.cos(min(2 * angle, np.pi))))
-    listed = classes.select("cid", "rows", "label", "embedding").mapInPandas(partial(_describe, pivots=pivots, angle=angle), "label long, d int, a int, b int, cid long, rows long, x binary, desc binary, home int")
+    listed = classes.select("cid", "rows", "label", "embedding").mapInPandas(partial(_describe, pivots=pivots, angle=angle, kind=kind), "label long, d int, a int, b int, cid long, rows long, x binary, desc binary, home int")
     path = checkpoint(listed)
     # only lists that are cut need their length; they are few, so the entries stay where they are
     long_ = checkpoint(path.groupBy("label", "d", "a", "b").agg(F.count("*").alias("m")).filter(F.col("m") > ROWS))
@@ -180,7 +189,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     k = k.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"lo": F.least("blk", "o"), "hi": F.greatest("blk", "o")})
     buckets = max(partitions(spark), n * NEAREST * (NEAREST - 1) // 2 // 20_000)
     k = k.withColumn("bucket", F.pmod(F.xxhash64("label", "d", "a", "b", "lo", "hi"), F.lit(buckets))).drop("nb", "o", "m")
-    found = checkpoint(k.groupBy("bucket").applyInPandas(partial(_judge, threshold=threshold), "cid long, links long, root long"))
+    found = checkpoint(k.groupBy("bucket").applyInPandas(partial(_judge, threshold=threshold, kind=kind), "cid long, links long, root long"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     comp = components(found, "cid", "root", hashed=True).select(F.col("node").alias("cid"), F.col("component").alias("lab"))
     of = classes.select("cid", "rep", "rows").join(comp, "cid", "left").withColumn("lab", F.coalesce("lab", "cid"))

@@ -173,3 +173,12 @@ def test_elias_fano_and_trie(tmp_path):
     Trie.write(path, ctx, first, word, quantise(np.array([0.5, 1.0, 0.1])), quantise(np.array([0.1, 0.01, 1.0])))
     code, back = Trie(path).search(np.array([5, 5, 5, 9, 1 << 60, 7], dtype=np.uint64), np.array([3, 8, 9, 3, 3, 3], dtype=np.uint64))
     assert code.tolist() == [32, 64, -1, -1, 0, -1] and back.tolist() == [10, 10, 10, 0, 32, 0]
+
+
+def test_pivots_keep_double_components(spark):
+    """A cosine within 1e-12 of the threshold is told apart where the table holds doubles."""
+    at = lambda c: [c, float(np.sqrt(1 - c * c))]
+    rows = [(1, [1.0, 0.0], 1), (2, at(0.98 + 1e-12), 1), (3, [1.0, 0.0], 2), (4, at(0.98 - 1e-12), 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
