@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sparsewing.catalog import query
 from sparsewing.functions import rng
-from sparsewing.operators import blocks, wiring as w
+from sparsewing.operators import blocks, collision, verdicts, wiring as w
+from sparsewing.plans import sweeps
 from sparsewing.plans.primary import DIMS, cut_items, shuffled_nulls
 from sparsewing.plans.retrieval import queries
 from sparsewing.plans.sql import QUERIES, TOP, sql
@@ -141,3 +142,38 @@ def robustness(spark, d):
     per = got.groupBy(part(1).alias("condition"), part(2).cast("long").alias("draw")).agg((F.sum("ap") / QUERIES).alias("v"))
     real, null = F.max(F.when(F.col("draw") == -1, F.col("v"))), F.avg(F.when(F.col("draw") >= 0, F.col("v")))
     return per.groupBy("condition").agg(F.count_if(F.col("draw") >= 0).alias("nulls"), F.round(real, 6).alias("real"), F.round(null, 6).alias("null_mean"), F.round(real / null - 1, 6).alias("rel"))
+
+
+# ---------------------------------------------------------------- verdicts
+_INPUTS, _CELLS, _WINNERS = (1, 2, 4, 8, 16, 32), 320, (8, 16)
+
+
+def _fan_in_sql() -> str:
+    gauss = f"SELECT cell, dim, CAST(sum(CAST('0x' || substr(md5('g:2:' || dim || ':' || cell || ':' || (i // 4)), 1 + 4 * (i % 4), 4) AS BIGINT)) - 393210 AS BIGINT) AS w FROM range({_CELLS}) a(cell), range({D}) b(dim), range(12) c(i) GROUP BY cell, dim"
+    dense = f"SELECT item_id, cell FROM (SELECT item_id, cell, row_number() OVER (PARTITION BY item_id ORDER BY y DESC, md5('prio:1:' || cell), cell) AS rnk FROM gy) WHERE rnk <= {{0}}"
+    parts = [f"SELECT CAST({k} AS BIGINT) AS k, CAST({s} AS BIGINT) AS s, mean_ap FROM ({sweeps._ap_sql(sweeps._code_sql(_CELLS, k, s, 21), k)})" for k in _WINNERS for s in _INPUTS]
+    base = [f"SELECT CAST({k} AS BIGINT) AS k, mean_ap FROM ({sweeps._ap_sql(dense.format(k), k)})" for k in _WINNERS]
+    part = "SELECT tr * tr / sq AS d_eff FROM (SELECT sum(c) FILTER (i = j) AS tr, sum(c * c * CASE WHEN i = j THEN 1 ELSE 2 END) AS sq FROM (SELECT a.dim AS i, b.dim AS j, covar_samp(CAST(a.v AS DOUBLE), CAST(b.v AS DOUBLE)) AS c FROM long a JOIN long b ON a.item_id = b.item_id AND a.dim <= b.dim GROUP BY ALL))"
+    body = f""", gw AS ({gauss}), gy AS (SELECT item_id, cell, sum(v * w) AS y FROM cent JOIN gw USING (dim) GROUP BY item_id, cell),
+fl AS ({" UNION ALL ".join(parts)}), ba AS ({" UNION ALL ".join(base)}), de AS ({part}),
+rw AS (SELECT fl.k, s, round(1 - fl.mean_ap / ba.mean_ap, 6) AS deficit, d_eff FROM fl JOIN ba USING (k), de),
+rk AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY k ORDER BY deficit) + (count(*) OVER (PARTITION BY k, deficit) - 1) / 2.0 AS rd FROM rw),
+gr AS (SELECT k, round(corr(rs, rd), 9) AS spearman, bool_and(deficit > 0.1) FILTER (s <= 5) AS low, bool_and(deficit < 0.05) FILTER (s >= d_eff) AS high, count(*) FILTER (s <= 5 AND s >= d_eff) AS contradictory FROM rk GROUP BY k)
+SELECT k, spearman, coalesce(spearman <= -0.9, false) AS falls, coalesce(low, false) AS low, coalesce(high, false) AS high, contradictory, coalesce(spearman <= -0.9, false) AND coalesce(low, false) AND coalesce(high, false) AS passed FROM gr"""
+    return sql("cent items queries true long", "SELECT 1 FROM cent, items, queries, long, true").replace(" SELECT 1 FROM cent, items, queries, long, true", body).replace("JOIN true t", 'JOIN "true" t')
+
+
+@query(_fan_in_sql())
+def fan_in_verdict(spark, d):
+    """Whether the deficit of sparse wirings against dense ones falls with the inputs of a cell, by the stated rule."""
+    it = tables.items(spark, d)
+    dense = blocks.stack(gaussian(spark, _CELLS, 2), D)
+    arms = [blocks.Exact("truth"), blocks.Coded("dense", dense, _WINNERS)]
+    arms += [blocks.Coded(f"s{s}", blocks.stack(w.uniform(spark, D, _CELLS, s, 21), D), _WINNERS) for s in _INPUTS]
+    part = lambda i: F.split_part("arm", F.lit(":"), F.lit(i))
+    per = blocks.scores(blocks.rankings(it, queries(spark, d), arms, TOP), "truth", TOP).groupBy("arm").agg(F.round(F.sum("ap") / QUERIES, 6).alias("ap"))
+    per = per.select(part(1).alias("kind"), part(2).cast("long").alias("k"), "ap")
+    base = per.filter("kind = 'dense'").select("k", F.col("ap").alias("base"))
+    d_eff = collision.participation(it).first().participation
+    rows = per.filter("kind <> 'dense'").join(base, "k").select("k", F.substring("kind", 2, 9).cast("long").alias("s"), F.round(1 - F.col("ap") / F.col("base"), 6).alias("deficit"), F.lit(d_eff).cast("double").alias("d_eff"))
+    return verdicts.fan_in(rows, ["k"])
