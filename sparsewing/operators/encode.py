@@ -126,8 +126,9 @@ def value_tags(code: DataFrame, bits: int) -> DataFrame:
     return r.withColumn("rec", F.when(F.col("hi") > F.col("lo"), F.col("lo") + (F.col("lev") + 0.5) * step).otherwise(F.col("lo").cast("double"))).select("item_id", "cell", "rnk", "y", "lev", "rec")
 
 
-def random_cells(spark, m: int, k: int, seed: int) -> DataFrame:
-    return rng.pick(spark.range(m).withColumnRenamed("id", "cell"), k, "rand", seed, "cell")
+def random_cells(cells: DataFrame, k: int, seed: int) -> DataFrame:
+    """``k`` of the cells of a table (cell), in order of their digests."""
+    return rng.pick(cells.select("cell").distinct(), k, "rand", seed, "cell")
 
 
 def probe_bins(y: DataFrame, m: int, blocks: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparsewing.functions import rng
@@ -153,24 +153,33 @@ def feasible(fan_outs: DataFrame, cells: DataFrame, by: list[str], form: list[st
 
 
 # ---------------------------------------------------------------- generating
-def uniform(spark, dims: int, cells: int, inputs_: int, seed: int, tag: str = "w") -> DataFrame:
-    """Every cell draws the same number of different dims. The grid dims x cells is the sampling frame itself."""
+def _cells(spark, cells: int | DataFrame) -> DataFrame:
+    """Cells 0, 1, ... of a number, or those of a table (cell)."""
+    return spark.range(cells).select(F.col("id").alias("cell")) if isinstance(cells, int) else cells.select("cell").distinct()
+
+
+def _drawn(cells: DataFrame, dims: Column, n: int, tag: str, seed: int) -> DataFrame:
+    """(dim, cell, w): the first ``n`` of an array of dims in order of their digests with the cell, made inside the cell's row."""
+    order = F.array_sort(F.transform(dims, lambda d: F.struct(rng.digest(tag, seed, d, "cell").alias("h"), d.alias("d"))))
+    return cells.select("cell", F.explode(F.slice(order, 1, n)).alias("x")).select(F.col("x.d").alias("dim"), "cell", F.lit(1).cast("bigint").alias("w"))
+
+
+def uniform(spark, dims: int, cells: int | DataFrame, inputs_: int, seed: int, tag: str = "w") -> DataFrame:
+    """Every cell draws the same number of different dims; a map over the cells."""
     if not 1 <= inputs_ <= dims:
         raise ValueError("inputs out of range")
-    grid = spark.range(cells).select(F.col("id").alias("cell"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint"))).alias("dim"))
-    return rng.pick(grid, inputs_, tag, seed, "dim", within=["cell"]).select("dim", "cell", F.lit(1).cast("bigint").alias("w"))
+    return _drawn(_cells(spark, cells), F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")), inputs_, tag, seed)
 
 
-def fly(spark, dims: int, cells: int, seed: int, share: float = 0.1) -> DataFrame:
+def fly(spark, dims: int, cells: int | DataFrame, seed: int, share: float = 0.1) -> DataFrame:
     """A tenth of the dims (at least one) for each cell."""
     return uniform(spark, dims, cells, max(1, round(share * dims)), seed)
 
 
-def degenerate(spark, dims: int, cells: int, inputs_: int, pool: int, seed: int) -> DataFrame:
+def degenerate(spark, dims: int, cells: int | DataFrame, inputs_: int, pool: int, seed: int) -> DataFrame:
     """All cells draw from one small pool of dims."""
-    d = rng.pick(spark.range(dims).withColumnRenamed("id", "dim"), pool, "pool", seed, "dim")
-    grid = spark.range(cells).withColumnRenamed("id", "cell").crossJoin(F.broadcast(d))  # at most ``pool`` rows
-    return rng.pick(grid, min(inputs_, pool), "deg", seed, "dim", within=["cell"]).select("dim", "cell", F.lit(1).cast("bigint").alias("w"))
+    d = rng.pick(spark.range(dims).withColumnRenamed("id", "dim"), pool, "pool", seed, "dim").agg(F.collect_list("dim").alias("pool"))
+    return _drawn(_cells(spark, cells).crossJoin(F.broadcast(d)), F.col("pool"), min(inputs_, pool), "deg", seed)  # one row
 
 
 def shuffle_inputs(wiring: DataFrame, dims: int, seed: int) -> DataFrame:
@@ -185,5 +194,14 @@ def shuffle_inputs(wiring: DataFrame, dims: int, seed: int) -> DataFrame:
 
 def even_split(spark, total: int, n: int, seed: int) -> DataFrame:
     """``total`` split evenly over n parts; the remainder goes to parts in order of digest."""
-    w = Window.orderBy(rng.digest("even", seed, "part"), "part")
-    return spark.range(n).withColumnRenamed("id", "part").withColumn("share", (F.lit(total // n) + F.when(F.row_number().over(w) <= total % n, 1).otherwise(0)).cast("bigint"))
+    one = spark.range(1).select(F.lit(total).cast("bigint").alias("total"))
+    return even_splits(one, n, [], seed)
+
+
+def even_splits(totals: DataFrame, n: int, by: list[str], seed: int) -> DataFrame:
+    """(*by, part, share): every row's ``total`` split evenly over n parts, the remainder to parts in one order of digests. The
+    parts of a row are made in the row."""
+    order = F.array_sort(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")), lambda p: F.struct(rng.digest("even", seed, p).alias("h"), p.alias("p"))))
+    parts = totals.select(*by, "total", F.posexplode(order).alias("place", "x"))
+    share = F.floor(F.col("total") / n).cast("bigint") + F.when(F.col("place") < F.col("total") % n, 1).otherwise(0)
+    return parts.select(*by, F.col("x.p").alias("part"), share.cast("bigint").alias("share"))

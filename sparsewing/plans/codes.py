@@ -200,16 +200,31 @@ def value_tag(spark, d):
     return e.value_tags(coded(spark, d), 4).select("item_id", "cell", "rnk", "lev", F.round("rec", 3).alias("rec"))
 
 
-@query(f"SELECT cell FROM range({M}) t(cell) ORDER BY md5('rand:12:' || cell), cell LIMIT {K}")
+@query(sql("w50", f"SELECT cell FROM (SELECT DISTINCT cell FROM w50) ORDER BY md5('rand:12:' || cell), cell LIMIT {K}"))
 def random_select(spark, d):
-    return e.random_cells(spark, M, K, 12)
+    """Cells of the measured wiring at random."""
+    from sparsewing.plans.wirings import measured
 
+    return e.random_cells(measured(spark, d), K, 12)
 
-@query("SELECT * FROM (VALUES ('storage_4_2', 3), ('storage_5_1', 3), ('storage_8_4', 7), ('storage_1838_64', 397), ('fixed_9_2', 8), ('winners_23_3000', 1), ('winners_252_3000', 15), ('operations_3840_64', 30)) t(name, bits)")
+
+_BITS = f"CAST(ceil(list_sum(list_transform(range({K}), lambda i: log2((cells - i) / (i + 1)))) - 1e-9) AS BIGINT)"
+
+
+@query(
+    sql("w50", f"SELECT region, cells, entries, {_BITS} AS storage, {K} * CAST(ceil(log2(cells) - 1e-12) AS BIGINT) AS fixed, greatest(1, CAST(round_even(entries / (2 * dims), 0) AS BIGINT)) AS dense FROM (SELECT r_name AS region, count(DISTINCT cell) AS cells, count(*) AS entries, count(DISTINCT dim) AS dims FROM w50 JOIN nation ON n_nationkey = dim JOIN region ON n_regionkey = r_regionkey GROUP BY r_name) WHERE cells >= {K}")
+)
 def budgets(spark, d):
-    """Storage and operation budgets."""
-    rows = [("storage_4_2", numbers.storage_bits(4, 2)), ("storage_5_1", numbers.storage_bits(5, 1)), ("storage_8_4", numbers.storage_bits(8, 4)), ("storage_1838_64", numbers.storage_bits(1838, 64)), ("fixed_9_2", numbers.fixed_bits(9, 2)), ("winners_23_3000", numbers.value_winners(23, 3000)), ("winners_252_3000", numbers.value_winners(252, 3000)), ("operations_3840_64", numbers.operations(3840, 64))]
-    return spark.createDataFrame(rows, "name string, bits int")
+    """Bits of a code of the measured wiring of each region, all choices numbered or each cell by its own number, and the dense
+    projections that cost as much as the wiring."""
+    from sparsewing.plans.wirings import measured
+
+    n, r = tables.table(spark, d, "nation"), tables.table(spark, d, "region")
+    region = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").cast("bigint").alias("dim"), F.col("r_name").alias("region"))
+    g = measured(spark, d).join(F.broadcast(region), "dim").groupBy("region").agg(F.count_distinct("cell").alias("cells"), F.count("*").alias("entries"), F.count_distinct("dim").alias("dims")).filter(F.col("cells") >= K)
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(K - 1)), F.lit(0.0), lambda a, i: a + F.log2((F.col("cells") - i) / (i + 1)))
+    fixed = K * F.ceil(F.log2("cells") - 1e-12)
+    return g.select("region", "cells", "entries", F.ceil(steps - 1e-9).cast("bigint").alias("storage"), fixed.cast("bigint").alias("fixed"), F.greatest(F.lit(1), F.bround(F.col("entries") / (2 * F.col("dims")))).cast("bigint").alias("dense"))
 
 
 @query()

@@ -118,16 +118,19 @@ def _resources_sql() -> str:
     ops, bits = 1536, 64
     even = ["fly", "balanced", "diverse", "calibrated", "zscore", "balanced_calibrated", "diverse_calibrated", "rank", "two_global", "two_concat", "two_or"]
     rows = [(m, ops, bits, False) for m in even] + [("scale_tag", ops, 72, False), ("adaptive_relative", ops, 256, True), ("adaptive_external", ops, 256, True), ("densefly", ops, 256, False), ("densefly_probe", ops, 272, False), ("sparse_bio", 3072, 64, False), ("sparse_untrained", 3072, 64, False), ("biohash", 32768, 64, False), ("biohash_untrained", 32768, 64, False), ("gaussian_real", 1024, 256, False), ("gaussian_sign", 1024, 8, False), ("gaussian_ops", 1536, 384, False), ("gaussian_storage", 8192, 64, False)]
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{m}', CAST({o} AS BIGINT), CAST({b} AS BIGINT), {str(v).lower()})" for m, o, b, v in rows) + ") t(method, operations, bits, variable)"
+    return "SELECT t.*, bits * n AS table_bits FROM (SELECT count(*) AS n FROM embeddings), (VALUES " + ", ".join(f"('{m}', CAST({o} AS BIGINT), CAST({b} AS BIGINT), {str(v).lower()})" for m, o, b, v in rows) + ") t(method, operations, bits, variable)"
 
 
 @query(_resources_sql())
 def suite_resources(spark, d):
-    """Projection operations and code bits of every method at 64 dimensions, 256 cells, 6 inputs and 8 winners."""
+    """Projection operations and code bits of every method at 64 dimensions, 256 cells, 6 inputs and 8 winners, and the bits that
+    the codes of all items take."""
     from sparsewing.operators import suite
 
     rows = [tuple(suite.resources(m, _D, _M, S, _K).values()) for m in suite.METHODS]
-    return spark.createDataFrame(rows, "method string, operations long, bits long, variable boolean")
+    n = tables.items(spark, d).agg(F.count("*").alias("n"))
+    cost = spark.createDataFrame(rows, "method string, operations long, bits long, variable boolean")
+    return cost.crossJoin(F.broadcast(n)).select(*cost.columns, (F.col("bits") * F.col("n")).alias("table_bits"))  # one row
 
 
 @query(sql("cent items queries true", f"SELECT 'fly' AS method, mean_ap FROM ({_ap_sql(_code_sql(_M, _K, S, 7), _K)})".replace("md5('tie:5:' || query_id || ':' || item_id)", "md5('tie:5:' || item_id)")))

@@ -144,14 +144,23 @@ def wcc_all(spark, d):
 
 
 # ---------------------------------------------------------------- generators
-@query(sql("wir", "SELECT dim, cell, CAST(w AS BIGINT) AS w FROM wir"))
+def parts(spark, d):
+    """A cell for every part."""
+    return tables.table(spark, d, "part").select(F.col("p_partkey").alias("cell"))
+
+
+def _drawn_sql(tag: str, dims: str, n: int) -> str:
+    return f"SELECT dim, cell, CAST(1 AS BIGINT) AS w FROM (SELECT cell, dim, row_number() OVER (PARTITION BY cell ORDER BY md5('{tag}:' || dim || ':' || cell), dim) AS r FROM (SELECT DISTINCT p_partkey AS cell FROM part), {dims}) WHERE r <= {n}"
+
+
+@query(_drawn_sql("w:7", "range(64) b(dim)", 6))
 def fly_wiring(spark, d):
-    return w.fly(spark, 64, M, 7)
+    return w.fly(spark, 64, parts(spark, d), 7)
 
 
-@query("SELECT dim, cell, CAST(1 AS BIGINT) AS w FROM (SELECT cell, dim, row_number() OVER (PARTITION BY cell ORDER BY md5('w:8:' || dim || ':' || cell), dim) AS r FROM range(500) a(cell), range(25) b(dim)) WHERE r <= 6")
+@query(_drawn_sql("w:8", "range(25) b(dim)", S))
 def uniform_inputs(spark, d):
-    return w.uniform(spark, 25, 500, S, 8)
+    return w.uniform(spark, 25, parts(spark, d), S, 8)
 
 
 @query(
@@ -164,14 +173,18 @@ def shuffle_inputs(spark, d):
     return w.shuffle_inputs(measured(spark, d), 25, 5)
 
 
-@query("SELECT part, CAST(1000 // 64 + CASE WHEN row_number() OVER (ORDER BY md5('even:3:' || part), part) <= 1000 % 64 THEN 1 ELSE 0 END AS BIGINT) AS share FROM range(64) t(part)")
+@query(
+    "WITH wf AS (SELECT DISTINCT l_returnflag AS flag, s_nationkey, l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), t AS (SELECT flag, count(*) AS total FROM wf GROUP BY flag)"
+    " SELECT flag, part, CAST(total // 64 + CASE WHEN row_number() OVER (PARTITION BY flag ORDER BY md5('even:3:' || part), part) <= total % 64 THEN 1 ELSE 0 END AS BIGINT) AS share FROM t, range(64) p(part)"
+)
 def even_split(spark, d):
-    return w.even_split(spark, 1000, 64, 3)
+    """The entries of each flag's wiring over 64 parts."""
+    return w.even_splits(by_flag(spark, d).groupBy("flag").agg(F.count("*").alias("total")), 64, ["flag"], 3)
 
 
-@query("SELECT dim, cell, CAST(1 AS BIGINT) AS w FROM (SELECT cell, dim, row_number() OVER (PARTITION BY cell ORDER BY md5('deg:6:' || dim || ':' || cell), dim) AS r FROM range(200) a(cell), (SELECT dim FROM range(64) b(dim) ORDER BY md5('pool:6:' || dim), dim LIMIT 4)) WHERE r <= 6")
+@query(_drawn_sql("deg:6", "(SELECT dim FROM range(64) b(dim) ORDER BY md5('pool:6:' || dim), dim LIMIT 4)", 4))
 def degenerate(spark, d):
-    return w.degenerate(spark, 64, 200, 6, 4, 6)
+    return w.degenerate(spark, 64, parts(spark, d), 6, 4, 6)
 
 
 def _small(spark, d):
@@ -261,19 +274,6 @@ def power_allocation(spark, d):
     return spark.createDataFrame(rows, "alpha double, dim long, fan_out long")
 
 
-@query("SELECT * FROM (VALUES (0, true), (1, false), (2, true), (3, false), (4, false)) t(id, feasible)")
-def gale_ryser(spark, d):
-    """Prefix sums of the sorted fan-outs against what the columns can hold."""
-    from pyspark.sql import Window
-
-    cases = [([3, 2, 0], [2, 2, 1]), ([4, 1, 0], [2, 2, 1]), ([2, 2, 1], [3, 1, 1]), ([3, 2, 0], [3, 1, 1]), ([2, 2, 2], [3, 1, 1])]
-    c = spark.createDataFrame([(i, f, c) for i, (f, c) in enumerate(cases)], "id int, f array<int>, c array<int>")
-    r = c.select("id", "c", F.posexplode(F.sort_array("f", asc=False)).alias("r", "f")).withColumn("pre", F.sum("f").over(Window.partitionBy("id").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)))
-    bound = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, v: a + F.least(v, F.col("r") + 1))
-    total = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, v: a + v)
-    return r.groupBy("id").agg((F.min(F.when(F.col("pre") <= bound, 1).otherwise(0)) == 1).alias("ok"), F.max("pre").alias("s"), F.first(total).alias("t")).select("id", (F.col("ok") & (F.col("s") == F.col("t"))).alias("feasible"))
-
-
 # ---------------------------------------------------------------- margins of one wiring per return flag
 _BY_FLAG = "wf AS (SELECT l_returnflag AS flag, CAST(s_nationkey AS BIGINT) AS dim, l_partkey AS cell, sum(CAST(l_quantity AS BIGINT)) AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
 
@@ -316,7 +316,7 @@ SELECT flag, form, CAST(max(pre) AS BIGINT) AS entries, CAST(max(pre - bound) AS
 
 
 @query(_FOLDED)
-def margins_feasible(spark, d):
+def gale_ryser(spark, d):
     """Whether a wiring exists with the fan-outs of a flag's wiring, and with those folded onto the larger half of its dims."""
     x = by_flag(spark, d)
     fan = x.groupBy("flag", "dim").agg(F.count("*").alias("n"))
