@@ -128,7 +128,7 @@ def meanfield_slope(spark, d):
 
 
 @query()
-def optimal_fan_out(spark, d):
+def best_fan_out(spark, d):
     """For each flag's spectrum and inputs per cell, the power of the variances whose fan-outs tell neighbours at 30 degrees apart
     best: fan-outs for every power, two wirings of each, and the mean fall of the expected overlap."""
     x = by_flag(spark, d)
