@@ -89,3 +89,13 @@ def test_null_and_repeated_ids(spark, sf_dir):
     got = run("source_mixing", [(3, a), (3, b), (None, c), (None, e)])
     assert sorted((r.doc_id or 0, r.text, r.size) for r in got) == sorted([(3, a, 60), (3, b, 70), (0, c, 80), (0, e, 90)])
     assert sum(r.taken for r in got) == scheduled([("s", n) for n in (60, 70, 80, 90)])["s"][1]
+
+
+def test_no_documents(spark, sf_dir, tmp_path):
+    """Every stage of an empty table gives an empty one with the columns of documents, the last with its own."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    columns = df.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, df, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        df = spark.read.parquet(f"{tmp_path}/{name}")
+        assert df.count() == 0 and (df.columns == columns if i < 4 else set(columns) < set(df.columns))
