@@ -356,34 +356,43 @@ def _open_cut(hot: DataFrame, rule: Rule) -> DataFrame:
     return spans
 
 
+def _table(df: DataFrame, name: str, held: list[str]) -> DataFrame:
+    """Writes a table of columns to the shared folder, which takes less room than a checkpoint, and names it in ``held``."""
+    held.append(shared_path(df.sparkSession, name))
+    df.write.parquet(held[-1])
+    return df.sparkSession.read.schema(df.schema).parquet(held[-1])
+
+
 def repeated_spans(texts: DataFrame, rule: Rule) -> DataFrame:
     """(rid, spans) of the texts (rid, text) that have repeated strings; spans are merged, sorted [s, e) ranges of elements."""
-    spark = texts.sparkSession
+    spark, held = texts.sparkSession, []
     bound_batches(spark)
-    path = shared_path(spark, "pieces")
     made = "rid long, at long, live int, anchor long, whole long, off int"
-    texts.mapInArrow(partial(_pieces, rule=rule), made).withColumn("piece", F.monotonically_increasing_id()).write.parquet(path)
-    every = spark.read.schema(made + ", piece long").parquet(path)
+    every = _table(texts.mapInArrow(partial(_pieces, rule=rule), made).withColumn("piece", F.monotonically_increasing_id()), "pieces", held)
     one = every.groupBy("anchor", "whole").agg(F.count("*").alias("rows"), F.min("piece").alias("first"))
     keys = one.groupBy("anchor").agg(F.sum("rows").alias("all"), F.count("*").alias("kinds"), F.min("rows").alias("fewest")).filter("all > 1").drop("all")
     open_ = (F.col("kinds") > 1) & (F.col("fewest") == 1)
-    named = checkpoint(one.join(keys, "anchor").filter((F.col("rows") > 1) | open_).select("anchor", "whole", "rows", F.when(open_, F.col("first")).alias("first"), (F.col("kinds") > HOT).alias("hot")))
+    named = _table(one.join(keys, "anchor").filter((F.col("rows") > 1) | open_).select("anchor", "whole", "rows", F.when(open_, F.col("first")).alias("first"), (F.col("kinds") > HOT).alias("hot")), "named", held)
     met = every.join(named, ["anchor", "whole"]).withColumn("fetch", F.coalesce(F.col("piece") == F.col("first"), F.lit(False))).filter((F.col("rows") > 1) | F.col("fetch"))
-    met = checkpoint(met.select("rid", "at", "live", "anchor", "off", "rows", "hot", "fetch"))
+    met = _table(met.select("rid", "at", "live", "anchor", "off", "rows", "hot", "fetch"), "met", held)
+    for path in held[:2]:
+        drop_path(spark, path)
     whole = met.filter("rows > 1").select("rid", F.col("at").alias("s"), (F.col("at") + F.col("live") + rule.length - 1).alias("e"))
     whole = checkpoint(_merged(whole))
-    drop_path(spark, path)
     left = met.filter("fetch").select("rid", F.struct("rid", "at", "live", "anchor", "off", "rows", "hot").alias("w"))
     want = checkpoint(left.groupBy("rid").agg(F.collect_list("w").alias("want")))
     n = want.agg(F.sum(F.size("want"))).first()[0] or 0
-    fetched = checkpoint(texts.join(F.broadcast(want) if n <= BROADCAST else want, "rid").mapInArrow(partial(_fetch, rule=rule), PIECE).dropDuplicates(["rid", "at"]))
+    fetched = _table(texts.join(F.broadcast(want) if n <= BROADCAST else want, "rid").mapInArrow(partial(_fetch, rule=rule), PIECE).dropDuplicates(["rid", "at"]), "fetched", held)
     spans = _sorted_buckets(fetched.filter("not hot"), rule)
     hot = fetched.filter("hot")
     if not hot.isEmpty():
         spans = spans.unionByName(_open_cut(hot, rule))
     spans = spans.select("rid", F.struct("s", "e").alias("x")).groupBy("rid").agg(F.collect_list("x").alias("spans"))
     both = whole.unionByName(spans).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return checkpoint(both.select("rid", _join_spans("spans")))
+    out = checkpoint(both.select("rid", _join_spans("spans")))
+    for path in held[2:]:
+        drop_path(spark, path)
+    return out
 
 
 def _join_spans(name: str):
