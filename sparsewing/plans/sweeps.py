@@ -58,7 +58,7 @@ _MARKS = [1, 2, 5, 10]
 def _walk(spark, d):
     """The chains of the whole measured wiring, kept by what they are made from, so a later call reads them."""
     x = measured(spark, d).select("dim", "cell", "w")
-    key = runs.fingerprint(x, "curveball_path 1", 3, _MARKS)
+    key = runs.fingerprint(x, "curveball_path 2", 3, _MARKS)
     return x, runs.kept(spark, f"{shared_folder(spark)}/chains", key, lambda: generators.curveball_path(x, 3, _MARKS))
 
 
@@ -98,7 +98,7 @@ def _co_occurrence(wirings, by):
 def nulls(spark, wiring, draws: int, sweeps: int = 20, seed: int = 1):
     """(draw, dim, cell, w): a pool of random wirings with the margins of ``wiring``, kept by what it is made from."""
     x = wiring.select("dim", "cell", F.col("w").cast("long").alias("w"))
-    key = runs.fingerprint(x, "curveball 1", draws, sweeps, seed)
+    key = runs.fingerprint(x, "curveball 2", draws, sweeps, seed)
     return runs.kept(spark, f"{shared_folder(spark)}/nulls", key, lambda: generators.curveball(x, draws, sweeps, seed))
 
 
