@@ -69,7 +69,7 @@ def test_bounds_are_checked(spark, items, monkeypatch):
         blocks.rankings(df, df.select("item_id"), [blocks.Exact("truth")], 2)
     parts = blocks.query_blocks(df)
     assert len(parts) == 45 and sorted(r.item_id for p in parts for r in p.collect()) == list(range(1000, 1090))
-    monkeypatch.setattr(blocks, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(blocks, "BROADCAST_ROWS", 5)
     with pytest.raises(ValueError, match="more than 10 entries"):
         blocks.stack(wiring.uniform(spark, 8, 20, 3, 2), 8)
     with pytest.raises(ValueError, match="too large"):
@@ -122,3 +122,24 @@ def test_one_scan_for_all_arms(spark, items):
     arms = [blocks.Exact("truth")] + [blocks.Coded(str(i), blocks.stack(wiring.uniform(spark, 8, 20, 3, i), 8), (4,)) for i in range(3)]
     plan = blocks.scores(blocks.rankings(df, df.select("item_id").limit(3), arms, 5), "truth", 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_wirings_too_large_for_every_task(spark, monkeypatch):
+    """The same ranks whether a wiring goes to every task or its cells are dealt into blocks."""
+    g = np.random.default_rng(8)
+    items = spark.createDataFrame([(i, g.integers(-3, 4, 6).tolist()) for i in range(60)], "item_id long, q array<long>").cache()
+    rows = [(d, int(i), c, int(g.integers(1, 3))) for d in (-1, 0) for c in range(40) for i in g.choice(6, 2, replace=False)]
+    w = spark.createDataFrame(rows, "draw long, dim long, cell long, w long").cache()
+    queries = items.filter("item_id < 5").select("item_id")
+
+    def ranks():
+        it, arms = blocks.coded(items, [("a/", w, 1), ("b/", w.filter("cell < 3"), 2)], 6, (2, 5))
+        return sorted(map(tuple, blocks.rankings(it, queries, [blocks.Front(blocks.Exact("truth"), 6), *arms], 7).collect())), arms
+
+    plain, arms = ranks()
+    assert not any(isinstance(a, blocks.Listed) for a in arms)
+    monkeypatch.setattr(blocks, "BROADCAST_ROWS", 5)
+    for name, n in (("CELLS", 7), ("ITEMS", 16)):
+        monkeypatch.setattr(blocks, name, n)
+    dealt, arms = ranks()
+    assert sum(isinstance(a, blocks.Listed) for a in arms) == 4 and dealt == plain
