@@ -71,7 +71,7 @@ def run(spark: SparkSession, edges: str, nodes: str, types: str, sets: str, outp
     lines = lines.observe(read, F.count(F.lit(1)).alias("rows")).filter("pre is not null and post is not null and weight is not null")
     dims = typed(*(spark.read.parquet(p) for p in (nodes, types, sets)), config["regions"])
     at = output.rstrip("/")
-    entries = written(wiring.build(lines, dims, by=["region"]).repartition("region", "cell"), f"{at}/wiring", "region")
+    entries = written(wiring.build(lines, dims, by=["region"], rows=spark.read.parquet(edges).count()).repartition("region", "cell"), f"{at}/wiring", "region")
     log.info("read %d edges from %s; wrote %d entries to %s/wiring", read.get["rows"], edges, entries, at)
     measured = spark.read.schema(WIRING).parquet(f"{at}/wiring")
     if config["regions"] is not None:

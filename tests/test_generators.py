@@ -103,3 +103,13 @@ def test_steepest_exchanges(spark, monkeypatch, most):
     x = generators.diversify(w, 1, 12).select("dim", "cell", "w")
     assert wiring.co_occurrence(x).first().four_cycles == pytest.approx(cycles(entry), rel=0.05)
     assert sums(x, "dim") == sums(w, "dim") and sums(x, "cell") == sums(w, "cell")
+
+
+def test_edges_dealt_by_cell(spark, monkeypatch):
+    """The same wiring whatever number of parts its edges are dealt into; both sums then stay in their part."""
+    monkeypatch.setattr(wiring, "EDGES", 50)
+    g = np.random.default_rng(2)
+    e = spark.createDataFrame([(int(a), int(b), int(c)) for a, b, c in zip(g.integers(0, 20, 400), g.integers(0, 30, 400), g.integers(1, 9, 400), strict=True)], "pre long, post long, weight long")
+    d = spark.createDataFrame([(i, i % 4) for i in range(20)], "pre long, dim long")
+    dealt = wiring.build(e, d, 3, rows=400)
+    assert dealt.rdd.getNumPartitions() == 8 and sorted(map(tuple, dealt.collect())) == sorted(map(tuple, wiring.build(e, d, 3).collect()))
