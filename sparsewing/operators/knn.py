@@ -67,10 +67,12 @@ def by_score(scored: DataFrame, n: int, seed: int = 5) -> DataFrame:
 
 
 def asymmetric(code: DataFrame, y: DataFrame, queries: DataFrame, weight: Column | None = None) -> DataFrame:
-    """(query_id, item_id, s): the query's drives summed over the item's winners, or weighted by ``weight`` of the code row."""
+    """(query_id, item_id, s): the query's drives summed over the item's winners, or weighted by ``weight`` of the code row. The
+    drives of the queries, a stated set, go to every task, so an item's sums are complete where its code is made, and only
+    they are shuffled."""
     q = y.join(queries.select("item_id"), "item_id", "left_semi").select(F.col("item_id").alias("query_id"), "cell", F.col("y").alias("u"))
     c = code.select("item_id", "cell", (F.lit(1) if weight is None else weight).alias("b"))
-    return c.join(q, "cell").filter("item_id <> query_id").groupBy("query_id", "item_id").agg(F.sum(F.col("u") * F.col("b")).alias("s"))
+    return c.join(F.broadcast(q), "cell").filter("item_id <> query_id").groupBy("query_id", "item_id").agg(F.sum(F.col("u") * F.col("b")).alias("s"))  # queries x cells
 
 
 def candidates(*predictions: DataFrame) -> DataFrame:

@@ -15,8 +15,10 @@ def centred(spark, d):
     return tables.items(spark, d).withColumn("q", vectors.centre(F.col("q")))
 
 
-def driven(spark, d, cells: int = M, seed: int = 7):
-    return e.drive(centred(spark, d), w.uniform(spark, 64, cells, S, seed), cells * S)
+def driven(spark, d, cells: int = M, seed: int = 7, only=None):
+    """Drives of all items, or of those in ``only``."""
+    x = centred(spark, d)
+    return e.drive(x if only is None else x.join(F.broadcast(only), "item_id", "left_semi"), w.uniform(spark, 64, cells, S, seed), cells * S)
 
 
 def coded(spark, d, only=None):

@@ -125,8 +125,9 @@ _UV = f"SELECT query_id, c.item_id, sum((u.y / 1e6) * (rec / 1e6)) AS uv, sum((r
 @query(sql("drive code queries", _S.format(f"SELECT query_id, item_id, round(uv, 4) AS s FROM ({_UV})")))
 def asym_value(spark, d):
     """Winners weighted by their reconstructed value."""
-    y = driven(spark, d)
-    s = knn.asymmetric(e.value_tags(e.winners(y, K), 4), y.withColumn("y", F.col("y") / 1e6), queries(spark, d), F.col("rec") / 1e6)
+    q = queries(spark, d)
+    y = driven(spark, d, only=q)
+    s = knn.asymmetric(e.value_tags(coded(spark, d), 4), y.withColumn("y", F.col("y") / 1e6), q, F.col("rec") / 1e6)
     return knn.by_score(s.withColumn("s", F.round("s", 4)), TOP)
 
 
