@@ -163,3 +163,58 @@ def complete(x: np.ndarray, rank: int = 5, rounds: int = 50) -> np.ndarray:
             return new
         y = new
     return y
+
+
+EVERY = 10
+
+
+def completed(rows: DataFrame, dims: int, rank: int = 5, rounds: int = 50) -> DataFrame:
+    """(item, y): the rows (item, x) of one response matrix, ``dims`` values each, with what is missing (null or NaN) filled in as by
+    ``complete``. The right singular vectors are those of the sums of products of the dims, which a task adds up over
+    its rows, and a row is projected by itself; so a task holds a batch of rows, and the driver a matrix of the dims for each task. The
+    rows are written anew after EVERY rounds, and in between carried on from there."""
+    gap = F.lit(float("nan"))
+    state = reliable(rows.select("item", F.transform("x", lambda v: F.coalesce(v, gap)).alias("x")))
+    if not dims:
+        return state.select("item", F.col("x").alias("y"))
+    known = state.select(F.posexplode("x").alias("k", "v")).filter(~F.isnan("v")).groupBy("k").agg(F.avg("v").alias("v"))
+    means = {r.k: r.v for r in known.collect()}  # a row per dim
+    mean, held = np.array([means.get(i, 0.0) for i in range(dims)]), []
+
+    def moved(f: pd.DataFrame, steps: list, begun: bool) -> tuple[np.ndarray, float]:
+        x = np.stack(f.x.to_numpy()).astype(np.float64)
+        y = np.stack(f.y.to_numpy()).astype(np.float64) if begun else np.where(np.isnan(x), mean, x)
+        last = y
+        for v in steps:
+            last, y = y, np.where(np.isnan(x), (y @ v) @ v.T, x)
+        return y, float(np.abs(y - last).max(initial=0))
+
+    def carried(steps: list, begun: bool) -> DataFrame:
+        def run(frames):
+            for f in frames:
+                if len(f):
+                    yield pd.DataFrame({"item": f["item"], "x": f.x, "y": list(moved(f, steps, begun)[0])})
+
+        return state.mapInPandas(run, f"item {rows.schema['item'].dataType.simpleString()}, x array<double>, y array<double>")
+
+    def products(steps: list, begun: bool) -> tuple[np.ndarray, float]:
+        def run(frames):
+            g, most = np.zeros((dims, dims)), 0.0
+            for f in frames:
+                if len(f):
+                    y, change = moved(f, steps, begun)
+                    g, most = g + y.T @ y, max(most, change)
+            yield pd.DataFrame({"most": [most], "g": [g.tobytes()]})
+
+        got = state.mapInPandas(run, "most double, g binary").collect()  # a matrix of the dims for each task
+        return sum((np.frombuffer(r.g).reshape(dims, dims) for r in got), np.zeros((dims, dims))), max((r.most for r in got), default=0.0)
+
+    begun = False
+    for i in range(rounds):
+        g, change = products(list(held), begun)
+        if i and change < 1e-9:
+            break
+        held.append(np.linalg.eigh(g)[1][:, ::-1][:, :rank])
+        if len(held) == EVERY:  # the last step stays, as its change is not known yet
+            state, begun, held = reliable(carried(held[:-1], begun)), True, held[-1:]
+    return carried(held, begun).select("item", "y")

@@ -107,18 +107,16 @@ def impute_row_mean(spark, d):
 
 @query()
 def lowrank_impute(spark, d):
-    """Completion by a truncated decomposition. One response matrix is one group; its size is that of an experiment."""
-    import numpy as np
-    import pandas as pd
-
-    from sparsewing.operators.learn import complete
-
-    def run(f):
-        t = f.pivot(index="item", columns="dim", values="v")
-        y = complete(t.to_numpy(dtype=float), rank=5)
-        return pd.DataFrame({"item": np.repeat(t.index.to_numpy(), t.shape[1]), "dim": np.tile(t.columns.to_numpy(), len(t)), "v": np.round(y.ravel(), 6)})
-
-    return _grid(_covered(spark, d, 60, 20)).withColumn("m", F.lit(0)).groupBy("m").applyInPandas(lambda f: run(f), "item long, dim string, v double")
+    """Completion by a truncated decomposition, a row per item."""
+    from sparsewing.operators.learn import completed
+
+    r = _covered(spark, d, 60, 20)
+    dims = sorted(x.dim for x in r.select("dim").distinct().collect())  # event types and hours
+    values = r.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("m"))
+    x = F.array(*[F.element_at("m", F.lit(c)) for c in dims]) if dims else F.array().cast("array<double>")
+    rows = completed(values.select("item", x.alias("x")), len(dims)).select("item", F.posexplode("y").alias("i", "y"))
+    name = F.get(F.array(*[F.lit(c) for c in dims]).cast("array<string>"), F.col("i"))
+    return rows.select("item", name.alias("dim"), (F.rint(F.col("y") * 1e6) / 1e6).alias("v"))
 
 
 @query(sql("items", "SELECT item_id, CASE WHEN r <= 100 THEN 'query' WHEN r <= 200 THEN 'validation' WHEN r <= 400 THEN 'train' ELSE 'rest' END AS part FROM (SELECT item_id, row_number() OVER (ORDER BY md5('split:9:' || item_id), item_id) AS r FROM items)"))

@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparsewing.operators import encode, knn
+from sparsewing.operators import encode, knn, learn
+from sparsewing.plans import items
 
 
 def plan(df):
@@ -24,3 +25,21 @@ def test_asymmetric_sums_where_the_code_is_made(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     value, won = {(r.item_id, r.cell): r.y for r in y.collect()}, [(r.item_id, r.cell) for r in code.collect()]
     assert got == {(q, i): sum(value[q, c] for j, c in won if j == i) for q in (0, 5) for i in range(12) if i != q}
+
+
+def test_completion_by_rows(spark):
+    g = np.random.default_rng(2)
+    x = g.standard_normal((60, 3)) @ g.standard_normal((3, 8)) + 0.01 * g.standard_normal((60, 8))
+    x[g.random(x.shape) < 0.3] = np.nan
+    x[:, 7] = np.nan
+    rows = [(i, [None if i % 2 and np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    table = spark.createDataFrame(rows, "item long, x array<double>")
+    for rounds in (1, 9, 10, 11, 25):
+        got = {r.item: r.y for r in learn.completed(table.repartition(5), 8, 3, rounds).collect()}
+        assert np.abs(np.array([got[i] for i in range(60)]) - learn.complete(x, 3, rounds)).max() < 1e-9
+    assert learn.completed(table.filter("item < 0"), 8, 3).count() == 0
+
+
+def test_no_group_holds_the_response_matrix(spark):
+    made = items.lowrank_impute(spark, "/root/testdata/sf0.001")
+    assert "FlatMapGroups" not in plan(made)
