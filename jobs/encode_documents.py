@@ -23,7 +23,7 @@ import logging
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparsewing.functions import rng
@@ -45,8 +45,17 @@ def vectors(docs: DataFrame, dims: int) -> DataFrame:
     """Adds ``bins``, the dimension of every word, and ``q``, the words in each dimension."""
     words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(f"({WORD})"), 1)
     docs = docs.withColumn("bins", F.transform(words, lambda w: rng.integer(dims, "word", w).cast("int")))
-    n = F.size("bins")
-    return docs.withColumn("q", F.array(*[(n - F.size(F.array_remove("bins", F.lit(b)))).cast("bigint") for b in range(dims)]))
+    many = docs.withColumn("_many", counts(F.col("bins")))
+    return many.withColumn("q", F.array(*[F.coalesce(F.try_element_at("_many", F.lit(b)), F.lit(0)).cast("bigint") for b in range(dims)])).drop("_many")
+
+
+def counts(bins: Column) -> Column:
+    """A map from each number of an array to how often it is there: the array is sorted once, and the ends of the runs of equal
+    numbers tell their lengths, so the work does not grow with the number of dimensions."""
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    last = lambda s: F.filter(F.transform(s, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("end"))), lambda r: ~F.equal_null(F.get(s, r["end"]), r["x"]))
+    length = lambda e: F.transform(e, lambda r, i: F.struct(r["x"], r["end"] - F.coalesce(F.get(e, i - 1)["end"], F.lit(0))))
+    return F.map_from_entries(once(once(F.sort_array(bins), last), length))
 
 
 def encoded(docs: DataFrame, w: DataFrame, config: dict) -> DataFrame:

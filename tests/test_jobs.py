@@ -13,6 +13,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from jobs import audit_wiring, encode_documents, queries
 from sparsewing.operators import wiring
@@ -187,3 +188,13 @@ def test_command_lines(tmp_path):
         assert "read " in done.stderr
     assert duckdb.sql(f"SELECT count(*) FROM '{tmp_path}/codes/*/*.parquet'").fetchall()[0][0] == duckdb.sql(f"SELECT count(*) FROM '{table('documents')}'").fetchall()[0][0]
     assert duckdb.sql(f"SELECT region, threshold FROM '{tmp_path}/audit/audit/*/*/*.parquet'").fetchall() == [("ASIA", 50)]
+
+
+def test_counts_of_bins(spark):
+    rows = [(0, [3, 1, 3, 3, 0]), (1, []), (2, [7]), (3, [2] * 500)]
+    got = {r.i: r.n for r in spark.createDataFrame(rows, "i int, b array<int>").select("i", encode_documents.counts(F.col("b")).alias("n")).collect()}
+    assert got == {0: {0: 1, 1: 1, 3: 3}, 1: {}, 2: {7: 1}, 3: {2: 500}}
+    docs = spark.createDataFrame([(0, "A b a"), (1, None)], "doc_id long, text string")
+    made = encode_documents.vectors(docs, 64)
+    assert "array_remove" not in made._jdf.queryExecution().optimizedPlan().toString()  # no pass over the words for each dimension
+    assert [sum(r.q) for r in made.orderBy("doc_id").collect()] == [3, 0]
