@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparsewing.operators import encode, knn, learn
+from sparsewing.operators import encode, knn, learn, pairmodel, wiring
 from sparsewing.plans import items
 
 
@@ -43,3 +43,23 @@ def test_completion_by_rows(spark):
 def test_no_group_holds_the_response_matrix(spark):
     made = items.lowrank_impute(spark, "/root/testdata/sf0.001")
     assert "FlatMapGroups" not in plan(made)
+
+
+def test_parts_of_a_wiring_hold_after_the_join(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    edges = spark.createDataFrame([(int(a), int(b), int(c), "AR"[int(a) % 2]) for a, b, c in g.integers(0, (20, 30, 9), (400, 3))], "pre long, post long, weight long, flag string")
+    dims = spark.createDataFrame([(i, i % 5) for i in range(20)], "pre long, dim long")
+    monkeypatch.setattr(wiring, "EDGES", 100)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = wiring.build(edges, dims, 3, by=["flag"], rows=400)
+        above = plan(dealt).split("SortMergeJoin")[0]
+        assert above.count("Exchange") == above.count("REPARTITION_BY_NUM") == 1  # the deal by cell; no sum is shuffled again
+        assert sorted(dealt.collect()) == sorted(wiring.build(edges, dims, 3, by=["flag"]).collect())
+        lam = spark.createDataFrame([(f, i, 1.0 + i, 50.0) for f in "AR" for i in range(5)], "flag string, dim long, lam double, d double")
+        moments = plan(pairmodel.cell_moments(dealt, lam, ["flag"]))
+        assert "BroadcastHashJoin [flag" in moments and moments.count("SortMergeJoin") == 1  # the spectrum goes to the wiring
+        assert plan(wiring.align(dealt, dims)).count("SortMergeJoin") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
