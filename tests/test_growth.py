@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparsewing.operators import encode, knn, learn, pairmodel, wiring
-from sparsewing.plans import items
+from sparsewing.plans import items, wirings
 
 
 def plan(df):
@@ -63,3 +63,11 @@ def test_parts_of_a_wiring_hold_after_the_join(spark, monkeypatch):
         assert plan(wiring.align(dealt, dims)).count("SortMergeJoin") == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_realised_wirings_are_summed_where_they_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(wiring, "EDGES", 1000)
+    made = wirings.realised_entries(spark, "/root/testdata/sf0.001")
+    above = plan(made).split("REPARTITION_BY_NUM")[0]
+    assert "keys=[flag" in above and "dim#" in above and above.count("Exchange hashpartitioning(flag") == 1  # of the flags' counts alone
+    assert all(r.entries == r.distinct_entries for r in made.collect())
