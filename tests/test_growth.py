@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparsewing.operators import encode, knn, learn, pairmodel, wiring
+from sparsewing.operators import encode, generators, knn, learn, pairmodel, wiring
 from sparsewing.plans import items, wirings
 
 
@@ -71,3 +71,32 @@ def test_realised_wirings_are_summed_where_they_are_dealt(spark, monkeypatch):
     above = plan(made).split("REPARTITION_BY_NUM")[0]
     assert "keys=[flag" in above and "dim#" in above and above.count("Exchange hashpartitioning(flag") == 1  # of the flags' counts alone
     assert all(r.entries == r.distinct_entries for r in made.collect())
+
+
+def test_equal_cells_do_not_crowd_out_others(spark, monkeypatch):
+    g = np.random.default_rng(4)
+    base = [(i, j) for j in range(40) for i in g.choice(8, g.integers(1, 5), replace=False).tolist()]
+    w = spark.createDataFrame([(i, 40 * copy + j) for copy in range(80) for i, j in base], "dim long, cell long")
+    scans, scan = [], generators._candidates
+    monkeypatch.setattr(generators, "_candidates", lambda *x: scans.append(x[3]) or scan(*x))
+    x = np.zeros((8, 3200), dtype=np.int64)
+    for r in generators.diversify(w, 1, 60).collect():
+        x[r.dim, r.cell] += 1
+    assert x.max() == 1 and max(scans) == generators.MOST and len(scans) <= 4
+    was = np.zeros_like(x)
+    was[tuple(np.array([(i, 40 * copy + j) for copy in range(80) for i, j in base]).T)] = 1
+    assert (x.sum(axis=0) == was.sum(axis=0)).all() and (x.sum(axis=1) == was.sum(axis=1)).all()
+    # the same steps over all cells, one of each pattern being enough
+    left = was.copy()
+    for a, b in np.random.default_rng([1, 0]).integers(8, size=(60, 2)).tolist():
+        if a != b:
+            s = left @ left.T
+            lean, rest = generators._lean(s, a, b), np.delete(np.arange(8), [a, b])
+            p, q = (np.flatnonzero((left[i] == 1) & (left[j] == 0)) for i, j in ((a, b), (b, a)))
+            p, q = (k[np.unique(left[:, k].T, axis=0, return_index=True)[1]] for k in (p, q))
+            gain = generators.swap_gains(left.T[:, rest], lean[rest], p, q)
+            if gain.size and gain.min() < 0:
+                i, j = np.unravel_index(gain.argmin(), gain.shape)
+                left[[a, b], p[i]], left[[a, b], q[j]] = (0, 1), (1, 0)
+    cycles = lambda m: int((np.triu(m @ m.T, 1) ** 2).sum())
+    assert abs(cycles(x) - cycles(left)) <= 0.001 * cycles(was) and cycles(x) < cycles(was)
