@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparsewing.catalog import query
 from sparsewing.operators import blocks, generators, wiring as w
-from sparsewing.operators.graph import shared_folder
+from sparsewing.operators.graph import reliable, shared_folder
 from sparsewing.plans import runs
 from sparsewing.plans.codes import centred
 from sparsewing.plans.retrieval import queries, truth
@@ -57,15 +57,16 @@ _MARKS = [1, 2, 5, 10]
 
 def _walk(spark, d):
     """The chains of the whole measured wiring, kept by what they are made from, so a later call reads them."""
-    x = measured(spark, d).select("dim", "cell", "w")
-    key = runs.fingerprint(x, "curveball_path 2", 3, _MARKS)
-    return x, runs.kept(spark, f"{shared_folder(spark)}/chains", key, lambda: generators.curveball_path(x, 3, _MARKS))
+    x = reliable(measured(spark, d).select("dim", "cell", "w"))
+    key = runs.fingerprint(x, "chains 3", 3, _MARKS)
+    return x, runs.kept(spark, f"{shared_folder(spark)}/chains", key, lambda: generators.chains(x, 3, _MARKS))
 
 
 @query()
 def convergence(spark, d):
     """Overlap of random wirings with the start after more and more sweeps of one chain each."""
-    x, path = _walk(spark, d)
+    x, walk = _walk(spark, d)
+    path = generators.path_rows(walk, 3, _MARKS)
     j = path.join(x.select("dim", "cell", F.lit(1).alias("same")), ["dim", "cell"], "left").groupBy("draw", "mark").agg(F.count("same").alias("kept"), F.count("*").alias("n"))
     return j.select(F.col("mark").cast("int").alias("sweeps"), "draw", F.round(F.col("kept") / (2 * F.col("n") - F.col("kept")), 9).alias("jaccard"))
 
@@ -73,7 +74,7 @@ def convergence(spark, d):
 @query(sql("w50", f"SELECT draw, CAST(m AS BIGINT) AS mark, side, id, n FROM (SELECT 'dim' AS side, dim AS id, count(*) AS n FROM w50 GROUP BY dim UNION ALL SELECT 'cell', cell, count(*) FROM w50 GROUP BY cell), range(3) t(draw), (SELECT unnest({_MARKS}) AS m)"))
 def convergence_margins(spark, d):
     """No mark of a chain leaves the margins."""
-    _, path = _walk(spark, d)
+    path = generators.path_rows(_walk(spark, d)[1], 3, _MARKS)
     side = lambda c: path.groupBy("draw", "mark", F.lit(c).alias("side"), F.col(c).alias("id")).agg(F.count("*").alias("n"))
     return side("dim").unionByName(side("cell"))
 
@@ -81,25 +82,25 @@ def convergence_margins(spark, d):
 @query()
 def convergence_pool(spark, d):
     """The co-occurrence statistic along the chains, against a pool of wirings mixed for longer: mean, deviation and z."""
-    x, path = _walk(spark, d)
-    pool = nulls(spark, x, 10)
-    q = lambda t, by: _co_occurrence(t, by)
-    base = q(pool, ["draw"]).agg(F.avg("q").alias("pool_mean"), F.stddev_samp("q").alias("pool_sd"))
+    x, walk = _walk(spark, d)
+    q = lambda t: t.groupBy("draw", "mark").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
+    pool = generators.path_overlaps(_pool(spark, x, 10), 10, [20])
+    base = q(pool).agg(F.avg("q").alias("pool_mean"), F.stddev_samp("q").alias("pool_sd"))
     z = F.when(F.col("pool_sd") > 0, (F.col("q") - F.col("pool_mean")) / F.col("pool_sd"))
-    return q(path, ["draw", "mark"]).crossJoin(F.broadcast(base)).select("draw", "mark", "q", F.round("pool_mean", 6).alias("pool_mean"), F.round("pool_sd", 6).alias("pool_sd"), F.round(z, 6).alias("z"))  # one row
+    path = q(generators.path_overlaps(walk, 3, _MARKS))
+    return path.crossJoin(F.broadcast(base)).select("draw", "mark", "q", F.round("pool_mean", 6).alias("pool_mean"), F.round("pool_sd", 6).alias("pool_sd"), F.round(z, 6).alias("z"))  # one row
 
 
-def _co_occurrence(wirings, by):
-    cells = wirings.groupBy(*by, "cell").agg(F.array_sort(F.collect_list("dim")).alias("dims"))
-    pairs = cells.select(*by, "dims", F.posexplode("dims").alias("i", "a")).select(*by, "a", F.explode(F.expr("slice(dims, i + 2, size(dims))")).alias("b"))
-    return pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("s")).groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("q"))
+def _pool(spark, wiring, draws: int, sweeps: int = 20, seed: int = 1):
+    """Random wirings with the margins of ``wiring`` as chains, kept by what they are made from."""
+    x = wiring.select("dim", "cell", F.col("w").cast("long").alias("w"))
+    key = runs.fingerprint(x, "chains 3", draws, sweeps, seed)
+    return runs.kept(spark, f"{shared_folder(spark)}/nulls", key, lambda: generators.chains(x, draws, [sweeps], seed))
 
 
 def nulls(spark, wiring, draws: int, sweeps: int = 20, seed: int = 1):
-    """(draw, dim, cell, w): a pool of random wirings with the margins of ``wiring``, kept by what it is made from."""
-    x = wiring.select("dim", "cell", F.col("w").cast("long").alias("w"))
-    key = runs.fingerprint(x, "curveball 2", draws, sweeps, seed)
-    return runs.kept(spark, f"{shared_folder(spark)}/nulls", key, lambda: generators.curveball(x, draws, sweeps, seed))
+    """(draw, dim, cell, w): a pool of random wirings with the margins of ``wiring``."""
+    return generators.path_rows(_pool(spark, wiring, draws, sweeps, seed), draws, [sweeps], seed).drop("mark")
 
 
 _D, _M, _K = 64, 256, 8

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparsewing.operators import encode, generators, knn, learn, pairmodel, wiring
-from sparsewing.plans import items, wirings
+from sparsewing.plans import items, sweeps, wirings
 
 
 def plan(df):
@@ -100,3 +100,23 @@ def test_equal_cells_do_not_crowd_out_others(spark, monkeypatch):
                 left[[a, b], p[i]], left[[a, b], q[j]] = (0, 1), (1, 0)
     cycles = lambda m: int((np.triu(m @ m.T, 1) ** 2).sum())
     assert abs(cycles(x) - cycles(left)) <= 0.001 * cycles(was) and cycles(x) < cycles(was)
+
+
+def test_overlaps_of_chains_without_rows_for_entries(spark):
+    g = np.random.default_rng(5)
+    w = spark.createDataFrame([(int(i) * 3, j, int(g.integers(1, 9))) for j in range(90) for i in g.choice(9, g.integers(1, 5), replace=False)], "dim long, cell long, w long")
+    kept = generators.chains(w, 2, [1, 3], 4).cache()
+    rows = generators.curveball_path(w, 2, [1, 3], 4).collect()
+    assert sorted(rows) == sorted(generators.path_rows(kept, 2, [1, 3], 4).collect())
+    want = {}
+    for r in rows:
+        want.setdefault((r.draw, r.mark, r.cell), []).append(r.dim)
+    count = {}
+    for (draw, mark, _), dims in want.items():
+        for a in dims:
+            for b in dims:
+                if a < b:
+                    count[draw, mark, a, b] = count.get((draw, mark, a, b), 0) + 1
+    made = generators.path_overlaps(kept, 2, [1, 3])
+    assert {tuple(r)[:4]: r.n for r in made.collect() if r.n} == count
+    assert "Generate" not in plan(sweeps.convergence_pool(spark, "/root/testdata/sf0.001"))
