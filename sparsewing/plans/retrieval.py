@@ -251,13 +251,10 @@ def map_queries(spark, d):
 
 @query(_MEAN.replace(f" LIMIT {QUERIES}", ""))
 def map_all(spark, d):
-    """Every item is a query, in blocks."""
+    """Every item is a query: blocks of queries meet blocks of items."""
     it, code = tables.items(spark, d), plain_wiring(spark)
-    arms, out = [blocks.Exact("truth"), blocks.Coded("code", code, (K,))], None
-    for q in blocks.query_blocks(it):
-        x = of_queries(blocks.scores(blocks.rankings(it, q, arms, TOP), "truth", TOP).drop("arm"), q)
-        out = x if out is None else out.unionByName(x)
-    return metrics.mean_score(out, "ap")
+    ranked = blocks.all_rankings(it, [blocks.Exact("truth"), blocks.Coded("code", code, (K,))], TOP)
+    return metrics.mean_score(of_queries(blocks.scores(ranked, "truth", TOP).drop("arm"), it.select("item_id")), "ap")
 
 
 @query(sql("code train", "SELECT c.item_id, round(avg(1 - coalesce(n, 0) / 200), 9) AS novelty FROM code c LEFT JOIN (SELECT cell, count(*) AS n FROM code JOIN train USING (item_id) GROUP BY cell) s ON s.cell = c.cell WHERE c.item_id NOT IN (SELECT item_id FROM train) GROUP BY c.item_id"))
