@@ -112,7 +112,7 @@ def _suite(spark, d, methods):
 
     it = tables.items(spark, d)
     code = suite.codes(centred(spark, d), it, train(spark, d), methods, _D, _M, S, _K)
-    return suite.mean_scores(suite.rank_all(code, it, queries(spark, d), TOP, _M // 2), truth(spark, d), QUERIES, TOP)
+    return suite.mean_scores(suite.rank_all(code, it, queries(spark, d), TOP, _M // 2, methods), truth(spark, d), QUERIES, TOP)
 
 
 def _resources_sql() -> str:
@@ -167,7 +167,7 @@ def encoder_ablations(spark, d):
     it = tables.items(spark, d)
     names = sorted({m for pair in ABLATIONS for m in pair})
     code = suite.codes(centred(spark, d), it, train(spark, d), names, _D, _M, S, _K)
-    per = suite.query_scores(suite.rank_all(code, it, queries(spark, d), TOP, _M // 2), truth(spark, d), TOP)
+    per = suite.query_scores(suite.rank_all(code, it, queries(spark, d), TOP, _M // 2, names), truth(spark, d), TOP)
     pairs = spark.createDataFrame(list(ABLATIONS), "treatment string, control string")
     a = per.select(F.col("method").alias("treatment"), "query_id", F.col("ap").alias("a"))
     b = per.select(F.col("method").alias("control"), "query_id", F.col("ap").alias("b"))
