@@ -73,3 +73,13 @@ def test_random_wirings_are_not_written(spark, monkeypatch, name):
     """No row is made for an entry of a random wiring: the only joins are those of the measured one and of items."""
     monkeypatch.setattr(wiring, "shuffle_inputs", None)
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_conditions_share_one_wiring(spark, monkeypatch):
+    """The measured wiring is built once for all conditions, and no random wiring is written."""
+    from sparsewing.plans import protocol
+
+    made, build = [], protocol.measured
+    monkeypatch.setattr(protocol, "measured", lambda *x: made.append(x) or build(*x))
+    monkeypatch.setattr(wiring, "shuffle_inputs", None)
+    assert protocol.robustness(spark, "/root/testdata/sf0.001").count() == len(protocol.CONDITIONS) and len(made) == 1
