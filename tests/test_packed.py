@@ -33,7 +33,7 @@ def test_largest_drives_against_sorting(monkeypatch):
         for weighted in (False, True):
             for seed in (None, 100):
                 arm = packed.Arm("a", 0, shuffle=seed, weighted=weighted)
-                y = x @ cells.entries(arm, 0, 300).astype(np.int64).T
+                y = x @ cells.entries(arm, np.arange(300)).astype(np.int64).T
                 best = packed.largest(cells, arm, x, 7)
                 assert (best.place.reshape(11, 7) == np.argsort(-y, axis=1, kind="stable")[:, :7]).all()
                 assert (best.y == np.take_along_axis(y, best.place.reshape(11, 7), axis=1).ravel()).all()
@@ -83,3 +83,11 @@ def test_conditions_share_one_wiring(spark, monkeypatch):
     monkeypatch.setattr(protocol, "measured", lambda *x: made.append(x) or build(*x))
     monkeypatch.setattr(wiring, "shuffle_inputs", None)
     assert protocol.robustness(spark, "/root/testdata/sf0.001").count() == len(protocol.CONDITIONS) and len(made) == 1
+
+
+def test_all_random_wirings_and_sizes_count(spark):
+    """Forty random wirings and four numbers of winners, of which all but the primary one are corrected together."""
+    rows = {r.k: r for r in catalog.QUERIES["primary_shuffled"](spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(rows) == [8, 16, 32, 64] and all(abs(41 * r.p_upper - round(41 * r.p_upper)) < 1e-6 for r in rows.values())
+    p = sorted((r.p_two, k) for k, r in rows.items() if k != 16)
+    assert rows[16].p_holm is None and abs(rows[p[0][1]].p_holm - min(1.0, 3 * p[0][0])) < 1e-8
