@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparsewing.catalog import query
-from sparsewing.operators import blocks, generators, wiring as w
+from sparsewing.operators import blocks, generators, packed, wiring as w
 from sparsewing.operators.graph import reliable, shared_folder
 from sparsewing.plans import runs
 from sparsewing.plans.codes import centred
@@ -98,9 +98,11 @@ def _pool(spark, wiring, draws: int, sweeps: int = 20, seed: int = 1):
     return runs.kept(spark, f"{shared_folder(spark)}/nulls", key, lambda: generators.chains(x, draws, [sweeps], seed))
 
 
-def nulls(spark, wiring, draws: int, sweeps: int = 20, seed: int = 1):
-    """(draw, dim, cell, w): a pool of random wirings with the margins of ``wiring``."""
-    return generators.path_rows(_pool(spark, wiring, draws, sweeps, seed), draws, [sweeps], seed).drop("mark")
+def pool_parts(spark, wiring, draws: int, dims: int, first: int, sweeps: int = 20, seed: int = 1):
+    """A pool of random wirings with the margins of ``wiring`` in parts (``packed``), draw i as source ``first`` + i; their entries,
+    which count 1, are never rows."""
+    state = _pool(spark, wiring, draws, sweeps, seed)
+    return packed.packed_chains(state, draws, generators.dims_of(state), dims, first)
 
 
 _D, _M, _K = 64, 256, 8

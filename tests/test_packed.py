@@ -91,3 +91,21 @@ def test_all_random_wirings_and_sizes_count(spark):
     assert sorted(rows) == [8, 16, 32, 64] and all(abs(41 * r.p_upper - round(41 * r.p_upper)) < 1e-6 for r in rows.values())
     p = sorted((r.p_two, k) for k, r in rows.items() if k != 16)
     assert rows[16].p_holm is None and abs(rows[p[0][1]].p_holm - min(1.0, 3 * p[0][0])) < 1e-8
+
+
+def test_chains_in_parts(spark, monkeypatch):
+    """Chains go to the tasks as bits; their entries are not made rows."""
+    from sparsewing.operators import generators
+    from sparsewing.plans import sweeps
+
+    g = np.random.default_rng(3)
+    w = spark.createDataFrame([(int(i), j, 1) for j in range(50) for i in g.choice(9, g.integers(1, 5), replace=False) if i != 4], "dim long, cell long, w long").cache()
+    want = sorted((r.draw + 1, r.cell, r.dim) for r in generators.curveball_path(w, 2, [3], 1).collect())
+    monkeypatch.setattr(generators, "path_rows", None)
+    got = []
+    for r in sweeps.pool_parts(spark, w, 2, 9, 1, sweeps=3).collect():
+        cells = packed.Cells([r], 9, 1)
+        assert (cells.n == cells.has.sum(axis=1)).all() and r.cells == len(cells.cell)
+        row, dim = np.nonzero(cells.has)
+        got += [(r.source, int(c), int(i)) for c, i in zip(cells.cell[row], dim, strict=True)]
+    assert sorted(got) == want
