@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparsewing.catalog import query
 from sparsewing.operators import collision as c, encode as e, generators, pairmodel
+from sparsewing.operators.graph import reliable
 from sparsewing.plans.codes import coded
 from sparsewing.plans.retrieval import truth
 from sparsewing.plans.wirings import by_flag
@@ -138,9 +140,14 @@ def best_fan_out(spark, d):
     fan = generators.allocations(lam, cells, alphas, ["flag"], part=1.0)
     every = cells.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
     margins = fan.select("flag", "alpha", F.lit("dim").alias("side"), F.col("dim").alias("id"), F.col("fan_out").alias("n")).unionByName(every.select("flag", "alpha", F.lit("cell").alias("side"), F.col("cell").alias("id"), "n"))
-    made = generators.realise(margins, 2, sweeps=2, by=["flag", "alpha"])
-    at = pairmodel.distances(lam, ["flag"], [30.0]).select("flag", "dim", "lam", "d")
-    key = ["flag", "alpha", "draw"]
-    wide = at.join(made.select(*key).distinct(), "flag")
-    slopes = pairmodel.expected(pairmodel.cell_moments(made, wide, key), key, _MODEL_KS)
+    made = generators.realised_bits(margins, 2, sweeps=2, by=["flag", "alpha"])
+    if made is None:
+        return spark.createDataFrame([], "flag string, k long, alpha double, fall double")
+    bits, dims, names = made
+    at: dict = {}
+    for r in pairmodel.distances(lam, ["flag"], [30.0]).collect():  # a row per dim of a circuit
+        at.setdefault(r.flag, {})[r.dim] = (r.lam, r.d)
+    flags = {r.g: r.flag for r in names.collect()}
+    spectra = [(np.array([at[flags[g]][x][0] for x in own.tolist()]), next(iter(at[flags[g]].values()))[1]) for g, own in enumerate(dims)]
+    slopes = pairmodel.expected_of_bits(reliable(bits), 2, spectra, _MODEL_KS).join(F.broadcast(names), "g")  # a row per circuit
     return pairmodel.best_power(slopes, ["flag"]).select("flag", "k", "alpha", F.round("fall", 9).alias("fall"))

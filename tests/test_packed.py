@@ -109,3 +109,28 @@ def test_chains_in_parts(spark, monkeypatch):
         row, dim = np.nonzero(cells.has)
         got += [(r.source, int(c), int(i)) for c, i in zip(cells.cell[row], dim, strict=True)]
     assert sorted(got) == want
+
+
+def test_expected_overlap_without_rows_for_entries(spark, monkeypatch):
+    """The same as from rows, for circuits of other dims and a spectrum with a zero."""
+    from sparsewing.operators import generators, pairmodel
+
+    g = np.random.default_rng(5)
+    size = {"a": 7, "b": 4}
+    entry = {c: g.random((n, 60)) < 0.4 for c, n in size.items()}
+    rows = [(c, "dim", 3 * i, int(x.sum())) for c, m in entry.items() for i, x in enumerate(m)] + [(c, "cell", j, int(x.sum())) for c, m in entry.items() for j, x in enumerate(m.T) if x.any()]
+    margins = spark.createDataFrame(rows, "flag string, side string, id long, n long").cache()
+    lam = {c: g.random(n) * 5 for c, n in size.items()}
+    lam["a"][2], d = 0.0, {"a": 2.0, "b": 0.7}
+    spectrum = spark.createDataFrame([(c, 3 * i, float(x), d[c]) for c, v in lam.items() for i, x in enumerate(v)], "flag string, dim long, lam double, d double")
+    made = generators.realise(margins, 2, sweeps=2, by=["flag"]).cache()
+    wide = spectrum.join(made.select("flag", "draw").distinct(), "flag")
+    want = {(r.flag, r.draw, r.k): (r.overlap, r.fall) for r in pairmodel.expected(pairmodel.cell_moments(made, wide, ["flag", "draw"]), ["flag", "draw"], [3, 8]).collect()}
+    monkeypatch.setattr(generators, "_rows", None)
+    bits, dims, names = generators.realised_bits(margins, 2, sweeps=2, by=["flag"])
+    of = {r.g: r.flag for r in names.collect()}
+    got = pairmodel.expected_of_bits(bits, 2, [(lam[of[i]][x // 3], d[of[i]]) for i, x in enumerate(dims)], [3, 8]).collect()
+    assert {(of[r.g], r.draw, r.k) for r in got} == set(want) and len(want) == 8
+    assert all(np.allclose((r.overlap, r.fall), want[of[r.g], r.draw, r.k], rtol=1e-9) for r in got)
+    assert generators.realised_bits(margins.limit(0), 2) is None
+    assert generators.realise(margins.limit(0), 2, by=["flag"]).columns == ["flag", "draw", "dim", "cell", "w"]
